@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("mixing",)
+MODULES = ("mixing", "quality", "chat", "bpe", "sharding")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
