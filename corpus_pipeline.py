@@ -1,12 +1,66 @@
-"""A corpus pipeline over ``documents``, one of the llm operators a stage."""
+"""A corpus pipeline over ``documents``, one of the llm operators a stage.
+
+Each stage gets all that the one before it kept, as a table with the columns of
+``documents``; the last returns digests of the encoded texts, a row for each
+copy of a document in the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.bpe import default_path, digests
+from millrace.llm.common import keep, small_or_not, table
+from millrace.llm.jaccard import jaccard_join
+from millrace.llm.mixing import mix
+from millrace.llm.quality import quality
+from millrace.llm.secrets import find, redact
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality(docs).where("rejected_by is null").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near duplicates; rows of one doc_id, or of none, stay together."""
+    first = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = small_or_not(keep(first, "first"))
+    return docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns).union(
+        docs.where("doc_id is null")
+    )
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in the place of each secret."""
+    found = find(docs)
+    text = redact(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes."""
+    taken = mix(docs).where("epochs > 0").groupBy("doc_id").agg(F.max("epochs").alias("_epochs"))
+    taken = small_or_not(keep(taken.withColumnRenamed("doc_id", "_doc"), "taken"))
+    copies = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every copy."""
+    return digests(docs, default_path())
+
 
-from millrace.llm.common import keep, table
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
 
-STAGES: list = []
+#: DuckDB has neither the tokenizer nor the order of the mix: the rows are tested against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -54,6 +54,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_not(keys: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """``keys`` to be broadcast if their counted rows are few enough, else as they are, for a shuffled join."""
+    return F.broadcast(keys) if keys.count() * row_bytes <= BROADCAST_BYTES else keys
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often it is used."""
     return F.transform(F.array(value), body)[0]

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keep, table
+from .common import keep, small_or_not, table
 
 SHINGLE = 5
 #: Similarity at which two documents link, in hundredths.
@@ -181,9 +181,7 @@ def _survivors(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     """digest, n and tokens of the survivors."""
-    keys = survivors.select(F.col("text_key").alias("_key")).distinct()
-    if survivors.count() * 16 <= BROADCAST_BYTES:
-        keys = F.broadcast(keys)
+    keys = small_or_not(survivors.select(F.col("text_key").alias("_key")).distinct())
     rows = docs.select("text").join(keys, F.xxhash64("text") == F.col("_key"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +295,8 @@ def _between(orders: DataFrame, roots: DataFrame) -> DataFrame:
     spanning = keep(lists.join(mixed, "token"), "spanning")
     left = spanning.where("root != main").select("token", *[F.col(c).alias(f"l_{c}") for c in ("digest", "n", "root", "at")])
     overlap = F.ceil(PERCENT * (F.col("l_n") + F.col("n")) / (100 + PERCENT))
-    reach = 1 + F.least(F.col("l_n") - F.col("l_at"), F.col("n") - F.col("at")) - 1
+    # were this the first common token, what stands from here on is all that can be common
+    reach = F.least(F.col("l_n") - F.col("l_at"), F.col("n") - F.col("at"))
     pairs = left.join(spanning, "token").where(
         (F.col("l_root") != F.col("root"))
         & ((F.col("root") == F.col("main")) | (F.col("l_digest") < F.col("digest")))

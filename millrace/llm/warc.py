@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keep, new_path, table
+from .common import keep, new_path, small_or_not, table
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT_BYTES = 100
@@ -94,9 +94,7 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     page are responses too. No file is written for an empty partition.
     """
     # known by its written size: small enough it is broadcast, else both sides are shuffled
-    known = keep(revisits(pages), "revisits")
-    if known.count() * 16 <= BROADCAST_BYTES:
-        known = F.broadcast(known)
+    known = small_or_not(keep(revisits(pages), "revisits"))
     rows = pages.select("page_id", "url", "html").join(known, "page_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
