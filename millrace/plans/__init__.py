@@ -1,0 +1,27 @@
+"""All queries of the library but those of the llm subpackage, by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import answers, eligibility, health, pages, questions, retrieve, store
+from ..sources import views
+
+_MODULES = (retrieve, eligibility, store, pages, questions, answers, health)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of each query that SQL can express, the views of the model in front."""
+
+    def whole(sql: str) -> str:
+        rest = sql.strip()
+        own = ", " + rest[5:] if rest.startswith("WITH ") else "\n" + rest
+        return f"WITH {views.SQL.strip()}{own}"
+
+    return {name: whole(sql) for m in _MODULES for name, sql in m.ORACLES.items()}
