@@ -85,7 +85,8 @@ SYMBOL = r"[#*$%&|<>]"
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_stutters."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_stutters, in place of any so named."""
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stutters", "_counted")
     text = F.coalesce("text", F.lit(""))
     counted = let(
         words_of(text),

@@ -213,11 +213,11 @@ def find(docs: DataFrame, columns: list[str] | None = None, fdr: float = FDR) ->
 
     Each span is (start, kind, end), kind the place in ``KINDS``, or 3 for
     tokens of the battery; spans are in order of start and kind. ``columns``:
-    those to return, all by default. A column named base_spans or spans is
-    replaced. Null and empty texts have no spans. Copies get equal spans; every
+    those to return, all by default. Columns named base_spans, spans,
+    _base or _candidates are replaced or left out. Null and empty texts have no spans. Copies get equal spans; every
     row counts in the false-discovery control.
     """
-    kept = [c for c in (columns or docs.columns) if c not in ("base_spans", "spans")]
+    kept = [c for c in (columns or docs.columns) if c not in ("base_spans", "spans", "_base", "_candidates")]
     text = F.coalesce("text", F.lit(""))
     measured = docs.withColumn("_base", base_spans(text)).withColumn("_candidates", candidates(text, F.col("_base")))
     measured = keep(measured.select(*kept, "_base", "_candidates"), "measured")

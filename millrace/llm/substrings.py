@@ -192,9 +192,10 @@ def without(text: Column, spans: Column) -> Column:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages left only in the document of least id that holds them.
 
-    All columns and rows stay; only texts get shorter. Rows that repeat a
+    All rows and columns stay (but for any named _n or _spans); only texts get shorter. Rows that repeat a
     doc_id with another text are left as they are, for spans go by doc_id.
     """
+    docs = docs.drop("_n", "_spans")
     spans = repeats(docs)
     once = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n = 1 and doc_id is not null").drop("_n")
     drop = spans.join(once, "doc_id").select(
