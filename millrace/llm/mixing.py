@@ -59,6 +59,11 @@ def _sources(sized: DataFrame, budget: int, weights: Column | None, max_epochs:
     return poured.select("source", "rank", "weight", "source_size", target.cast("double").alias("target"))
 
 
+def shuffle_key(seed: int) -> Column:
+    """What the documents of a source are shuffled by."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def mix(
     docs: DataFrame,
     budget: int | None = None,
@@ -86,7 +91,7 @@ def mix(
         budget = sized.agg(F.sum("size")).first()[0] or 0
     sources = keep(_sources(sized, budget, weights, max_epochs), "targets")
     queued = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    queued = queued.drop("_source").withColumn("_shuffled", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    queued = queued.drop("_source").withColumn("_shuffled", shuffle_key(seed))
     order = [F.col("_shuffled"), F.col("doc_id"), F.col("size")]
     queued = running_totals(queued, order, {"_done": F.col("size")}, within=["rank"])
     queued = keep(queued, "queued")
@@ -120,4 +125,33 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_mixing": op2_mixing}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), ranked AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, ((rank - 1) % 3 + 1)::DOUBLE AS weight, (3 * source_size) / ((rank - 1) % 3 + 1)::DOUBLE AS dry_at,
+    (SELECT sum(size) FROM sized)::DOUBLE AS budget FROM ranked
+), leveled AS (
+  SELECT *, (budget - (sum(3 * source_size) OVER o - 3 * source_size)) / (sum(weight) OVER () - (sum(weight) OVER o - weight)) AS level
+  FROM weighed WINDOW o AS (ORDER BY dry_at, rank ROWS UNBOUNDED PRECEDING)
+), aimed AS (
+  SELECT *, CASE WHEN common IS NULL OR dry_at <= common THEN 3.0::DOUBLE * source_size ELSE common * weight END AS target
+  FROM leveled, (SELECT arg_min(level, dry_at) AS common FROM leveled WHERE dry_at > level)
+), queued AS (
+  SELECT d.*, t.rank, t.source_size, t.weight, t.target, t.budget, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS shuffled,
+    sum(size) OVER (PARTITION BY t.rank ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS done
+  FROM sized d JOIN aimed t ON d.source IS NOT DISTINCT FROM t.source
+), served AS (
+  SELECT doc_id, shuffled, rank, budget, sum(size) OVER (
+    ORDER BY (epoch * source_size + done)::DOUBLE / weight, rank, shuffled, doc_id ROWS UNBOUNDED PRECEDING) AS served
+  FROM queued, range(3) AS e(epoch) WHERE size > 0
+), counted AS (
+  SELECT doc_id, count(*)::INT AS epochs FROM served WHERE served <= budget GROUP BY doc_id
+)
+SELECT q.doc_id, size, source_size, target, size * coalesce(epochs, 0) AS taken, source, coalesce(epochs, 0)::INT AS epochs
+FROM queued q LEFT JOIN counted c ON c.doc_id = q.doc_id
+"""
+}
