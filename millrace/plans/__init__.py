@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import answers, eligibility, health, pages, questions, retrieve, store
+from ..operators import answers, edits, eligibility, health, pages, questions, retrieve, store
 from ..sources import views
 
-_MODULES = (retrieve, eligibility, store, pages, questions, answers, health)
+_MODULES = (retrieve, eligibility, store, edits, pages, questions, answers, health)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

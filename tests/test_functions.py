@@ -123,3 +123,31 @@ def test_files(spark, tmp_path):
     assert files.restore(spark, str(tmp_path / "sets"), "set_1", ["files"])["files"].count() == len(given)
     with pytest.raises(ValueError):
         files.snapshot(tables, str(tmp_path), "../x")
+
+
+def test_chosen_spans_equal_a_greedy_pass(spark):
+    import random
+
+    from millrace.operators.edits import non_overlapping
+
+    rng = random.Random(8)
+    spans = [(t, rng.randrange(40), rng.randint(1, 9), rng.randint(0, 3)) for t in range(30) for _ in range(rng.randint(0, 12))]
+    want = set()
+    for text_id in range(30):
+        taken = []
+        for s in sorted((s for s in spans if s[0] == text_id), key=lambda s: (s[1], s[3], -s[2])):
+            if all(s[1] >= a + n or a >= s[1] + s[2] for _, a, n, _ in taken):
+                taken.append(s)
+        want |= set(taken)
+    table = spark.createDataFrame(spans, "text_id long, start int, length int, priority int")
+    assert {tuple(r) for r in non_overlapping(table).collect()} == want
+
+
+def test_crawl_goes_by_depth(spark):
+    from millrace.operators.pages import crawl
+
+    link = lambda *to: "".join(f'<a href="{t}">x</a>' for t in to)
+    pages = [("https://s.com", link("/a", "https://other.com/x")), ("https://s.com/a", link("b", "/")), ("https://www.s.com/b/", link("/c")), ("https://s.com/c", link("/d")), ("https://other.com/x", "")]
+    table = spark.createDataFrame(pages, "url string, html string")
+    seeds = spark.createDataFrame([("https://s.com", "https://s.com")], "url string, site string")
+    assert [(r.url, r.depth) for r in crawl(table, seeds, max_depth=2).collect()] == [("https://s.com", 0), ("https://s.com/a", 1), ("https://s.com/b", 2)]
