@@ -151,3 +151,16 @@ def test_crawl_goes_by_depth(spark):
     table = spark.createDataFrame(pages, "url string, html string")
     seeds = spark.createDataFrame([("https://s.com", "https://s.com")], "url string, site string")
     assert [(r.url, r.depth) for r in crawl(table, seeds, max_depth=2).collect()] == [("https://s.com", 0), ("https://s.com/a", 1), ("https://s.com/b", 2)]
+
+
+def test_labels(spark):
+    from millrace.functions import labels
+
+    assert one(spark, labels.safe_file_name, "a\\b/c:d?.txt") == "c_d_.txt" and one(spark, labels.safe_file_name, "x/") == "document"
+    name = lambda *v: one(spark, labels.download_name, *v)
+    assert name("https://x.com/a/Doc.PDF?x", "text/html", "T") == "Doc.PDF"
+    assert name("https://x.com/a/view", "application/pdf; x", "My: title") == "My- title.pdf"
+    assert name("https://x.com/", "", "") == "web-document.txt"
+    assert one(spark, labels.is_html, " ") and one(spark, labels.is_html, "application/XHTML") and not one(spark, labels.is_html, "image/png")
+    assert one(spark, labels.is_utility, "https://x.com/robots.txt") and not one(spark, labels.is_utility, "https://x.com/a/robots.txt")
+    assert one(spark, labels.source_type, "Web Sitesi") == "web_site" and one(spark, labels.source_type, "x") is None
