@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse_white, cut_at_word
+from .text import collapse_white, cut_at_word, let
 
 # Terms that lead navigation lines, lines that are navigation or section titles, starts of
 # footer lines, and parts of error messages of client-side applications.
@@ -31,19 +31,18 @@ SHORT = 80
 
 def once_if_short(lines: Column) -> Column:
     """Lines without repeats, ignoring case, of the short ones; the first stays."""
-    keys = F.transform(lines, lambda x: F.upper(x))
-    # the array of first places: a line is kept if it is long or stands where its key is first found
-    return F.transform(
-        F.filter(
-            F.zip_with(lines, F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("i"))), lambda x, k: F.struct(x.alias("line"), k["key"].alias("key"), k["i"].alias("i"))),
-            lambda x: (F.char_length(x["line"]) >= SHORT) | (F.array_position(keys, x["key"]) == x["i"] + 1),
-        ),
-        lambda x: x["line"],
-    )
+
+    def first_places(lines: Column) -> Column:
+        # sorted by key and place, so a repeat stands behind its first
+        entry = lambda x, i: F.struct(F.when(F.char_length(x) < SHORT, F.upper(x)).alias("key"), i.alias("i"))
+        places = F.sort_array(F.transform(lines, entry))
+        kept = let(places, lambda p: F.filter(p, lambda e, j: F.coalesce(e["key"] != F.get(p, j - 1)["key"], F.lit(True))))
+        return F.sort_array(F.transform(kept, lambda e: e["i"]))
+
+    return let(lines, lambda x: F.transform(first_places(x), lambda i: F.get(x, i)))
 
 
-def _is_boilerplate(line: Column, exact: Sequence[str], footers: Sequence[str]) -> Column:
-    low = F.lower(line)
+def _is_boilerplate(low: Column, exact: Sequence[str], footers: Sequence[str]) -> Column:
     found = low.isin(*exact)
     for start in footers:
         found = found | low.startswith(start.strip().lower())
@@ -59,7 +58,8 @@ def lines_of(text: Column, leading: Sequence[str] = (), exact: Sequence[str] = (
     raw = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("\n")), "\n")
     stripped = F.transform(raw, lambda x: F.trim(F.regexp_replace(collapse_white(x), lead, "")))
     kept = F.filter(
-        stripped, lambda x: (x != "") & ~_is_boilerplate(x, (*EXACT, *map(str.lower, exact)), (*FOOTERS, *footers))
+        stripped,
+        lambda x: (x != "") & ~let(F.lower(x), lambda low: _is_boilerplate(low, (*EXACT, *map(str.lower, exact)), (*FOOTERS, *footers))),
     )
     return once_if_short(kept)
 
@@ -70,6 +70,6 @@ def clean(text: Column) -> Column:
 
 def clean_preview(text: Column, length: int = 220) -> Column:
     """Useful clean lines, of 24 characters or more, joined and cut at a word; all lines if none is useful."""
-    lines = lines_of(text)
-    useful = F.filter(lines, lambda x: F.char_length(x) >= 24)
-    return cut_at_word(F.array_join(F.when(F.size(useful) > 0, useful).otherwise(lines), " "), min(max(length, 80), 500))
+    useful = lambda lines: F.filter(lines, lambda x: F.char_length(x) >= 24)
+    chosen = let(lines_of(text), lambda x: let(useful(x), lambda u: F.when(F.size(u) > 0, u).otherwise(x)))
+    return cut_at_word(F.array_join(chosen, " "), min(max(length, 80), 500))

@@ -6,6 +6,8 @@ Lengths are code points. Null in, null out, unless said otherwise.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +18,11 @@ from pyspark.sql.types import StringType
 TURKISH = ("ıİşŞğĞüÜöÖçÇ", "iissgguuoocc")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse_spaces(text: Column) -> Column:
     """Line ends are spaces, runs of spaces one; tabs and other white space stay."""
     return F.trim(F.regexp_replace(F.translate(text, "\r\n", "  "), " +", " "))
@@ -34,24 +41,34 @@ def collapse_lines(text: Column) -> Column:
 
 def cut(text: Column, length: int) -> Column:
     """Texts over ``length`` end in three dots."""
-    return F.when(F.char_length(text) <= length, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(length))), F.lit("...")))
+    return let(
+        text,
+        lambda t: F.when(F.char_length(t) <= length, t).otherwise(
+            F.concat(F.rtrim(F.substring(t, 1, length)), F.lit("..."))
+        ),
+    )
 
 
 def preview(content: Column, title: Column, fallback: str, length: int = 260) -> Column:
     """The content collapsed and cut; the title, or a fixed text, where there is none."""
-    collapsed = collapse_spaces(F.coalesce(content, F.lit("")))
     named = F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit(fallback))
-    return cut(F.when(collapsed != "", collapsed).otherwise(named), length)
+    collapsed = collapse_spaces(F.coalesce(content, F.lit("")))
+    return cut(let(collapsed, lambda t: F.when(t != "", t).otherwise(named)), length)
 
 
 def cut_at_word(text: Column, length: int, least: int = 80) -> Column:
     """Cut at the last space up to ``length``, or at ``length`` if that leaves under ``least``."""
-    head = F.left(text, F.lit(length + 1))
-    at = F.char_length(head) - F.locate(" ", F.reverse(head))
-    at = F.when((F.locate(" ", head) == 0) | (at < least), F.lit(length)).otherwise(at)
-    return F.when(F.char_length(text) <= length, text).otherwise(
-        F.concat(F.rtrim(F.left(text, at)), F.lit("..."))
-    )
+
+    def shorten(t: Column) -> Column:
+        head = F.substring(t, 1, length + 1)
+        place = F.locate(" ", F.reverse(head))
+        at = F.char_length(head) - place
+        at = F.when((place == 0) | (at < least), F.lit(length)).otherwise(at)
+        return F.when(F.char_length(t) <= length, t).otherwise(
+            F.concat(F.rtrim(F.substring(t, F.lit(1), at)), F.lit("..."))
+        )
+
+    return let(text, shorten)
 
 
 def sha256(text: Column, upper: bool = False) -> Column:
@@ -73,16 +90,17 @@ def guid_of(text: Column) -> Column:
     )
 
 
+@cache
+def _marks() -> dict[int, None]:
+    """All non-spacing marks, for str.translate."""
+    return {c: None for c in range(0x300, 0x110000) if unicodedata.category(chr(c)) == "Mn"}
+
+
 @F.pandas_udf(StringType())
 def strip_marks(text: pd.Series) -> pd.Series:
     """Canonical decomposition without non-spacing marks: no built-in does this."""
-
-    def strip(value: str | None) -> str | None:
-        if value is None or value.isascii():
-            return value
-        return "".join(c for c in unicodedata.normalize("NFD", value) if unicodedata.category(c) != "Mn")
-
-    return text.map(strip)
+    marks = _marks()
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFD", t).translate(marks))
 
 
 def search_text(text: Column) -> Column:

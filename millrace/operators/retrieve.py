@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import citation_text, search_terms, search_text
+from ..functions.text import citation_text, let, search_terms, search_text
 from ..sources import views
 from .eligibility import displayable, usable, with_source
 
@@ -62,14 +62,15 @@ def tree_fingerprint(rows: DataFrame, id_column: str, hash_column: str, buckets:
 
 def scored(found: DataFrame, terms: Column) -> DataFrame:
     """Blocks with a score: 12 for each term within source, title or URL, 2 for each within the block."""
-    header = search_text(F.concat_ws(" ", "source_name", "title", "url"))
-    texts = found.withColumns({"_header": header, "_body": search_text(F.col("block"))})
-    score = F.aggregate(
-        terms,
-        F.lit(0),
-        lambda n, t: n + F.when(F.contains("_header", t), 12).otherwise(0) + F.when(F.contains("_body", t), 2).otherwise(0),
+    texts = F.struct(
+        search_text(F.concat_ws(" ", "source_name", "title", "url")).alias("header"), search_text(F.col("block")).alias("body")
     )
-    return texts.withColumn("score", score).where("score > 0").drop("_header", "_body")
+
+    def score(x: Column) -> Column:
+        hits = lambda part, t, n: F.when(F.contains(x[part], t), n).otherwise(0)
+        return F.aggregate(terms, F.lit(0), lambda total, t: total + hits("header", t, 12) + hits("body", t, 2))
+
+    return found.withColumn("score", let(texts, score))
 
 
 def top_under_budget(found: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -79,7 +80,8 @@ def top_under_budget(found: DataFrame, max_blocks: int = MAX_BLOCKS, max_chars:
     task orders just these.
     """
     order = [F.desc("score"), F.upper("title"), F.col("document_id")]
-    best = found.withColumn("chars", F.char_length("block")).orderBy(*order).limit(max_blocks)
+    # blocks without a score are last; left out after the limit, so scores are computed once
+    best = found.withColumn("chars", F.char_length("block")).orderBy(*order).limit(max_blocks).where("score > 0")
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ranked = best.withColumns({"rank": F.row_number().over(Window.orderBy(*order)), "used_chars": F.sum("chars").over(upto)})
     return ranked.where((F.col("rank") == 1) | (F.col("used_chars") <= max_chars))
