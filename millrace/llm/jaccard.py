@@ -11,11 +11,13 @@ share prefix tokens under every order used. The steps, each exact:
 3. Whole sets are made for those that are left, and the most frequent tokens
    counted. The further orders put these last, by frequency, and the others by
    a different hash each, so passages that many documents share head no prefix.
-4. Min-hash stars: classes that agree on a min-hash are compared with one of
-   them, which ties large groups of copies together without making pairs.
-5. All candidates between different components: they share a prefix token under
-   the second order, with length and position filters, then prefix tokens under
-   the third and fourth, and are then verified on their whole sets.
+4. Stars tie large groups of copies together without making pairs: classes that
+   agree on a min-hash are compared with the most central of them, and then
+   those that still share a list of the second order with another component with
+   the most central of its largest component.
+5. All candidates between the components that are left: they share a prefix
+   token under the second order, with length and position filters, then prefix
+   tokens under the third and fourth, and are then verified on their whole sets.
 
 A token's list never meets itself: in step 5 only lists that span components
 are joined, and the largest component in each meets the others only.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, small_or_not, table
@@ -42,9 +44,15 @@ PERCENT = 80
 HOT_TOKENS = 1 << 18
 HOT_LEAST = 8
 STARS = 4
+#: How many tokens before its own an entry of a list carries.
+EARLIER = 8
+#: Most links that one task joins up.
+LOCAL_LINKS = 1 << 19
+#: Min-hashes that tell how central a class is: how many others agree on them.
+CENTRAL = 8
 
 _B = 0x9E3779B97F4A7C15
-_SEEDS = [np.uint64(((k + 1) * 0xD6E8FEB86659FD93) % 2**64) for k in range(8)]
+_SEEDS = [np.uint64(((k + 1) * 0xD6E8FEB86659FD93) % 2**64) for k in range(CENTRAL + 3)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -125,58 +133,46 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, digest and n of every row."""
+    """doc_id, text_key, digest, class (the digest's first eight bytes), n and prefix of every row.
+
+    The prefix is that of the first order, as long as its filter asks for.
+    """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py() or "") for t in batch.column("text")]
+            digests = [_digest(s) for s in sets]
+            # a single token links with equal sets only, and has no prefix
+            heads = [s[: prefix_length(len(s), int(wanted(len(s)))) if len(s) > 1 else 0] for s in sets]
+            offsets = np.zeros(len(sets) + 1, np.int32)
+            np.cumsum([len(h) for h in heads], out=offsets[1:])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("text_key"),
-                    pa.array([_digest(s) for s in sets], pa.binary()),
+                    pa.array(digests, pa.binary()),
+                    pa.array(np.frombuffer(b"".join(d[:8] for d in digests), ">i8").astype(np.int64)),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)),
                 ],
-                names=["doc_id", "text_key", "digest", "n"],
-            )
-
-    return rows.mapInArrow(run, "doc_id long, text_key long, digest binary, n long")
-
-
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """token and class (the digest's first eight bytes) of every prefix token under the first order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for text in batch.column("text"):
-                s = shingles(text.as_py() or "")
-                if len(s) > 1:  # a single token links with equal sets only
-                    head = s[: prefix_length(len(s), int(wanted(len(s))))]
-                    tokens.append(head)
-                    owners.append(np.full(len(head), np.frombuffer(_digest(s)[:8], ">i8")[0], np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))],
-                names=["token", "class"],
+                names=["doc_id", "text_key", "digest", "class", "n", "prefix"],
             )
 
-    return docs.select("text").mapInArrow(run, "token long, class long")
-
-
-def _class(digest: Column) -> Column:
-    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")
+    return rows.mapInArrow(
+        run, "doc_id long, text_key long, digest binary, class long, n long, prefix array<long>"
+    )
 
 
-def _survivors(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _survivors(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes with enough prefix tokens, under the first order, that other classes have too."""
-    prefixes = _prefixes(docs)
+    prefixes = sets.select("class", F.explode("prefix").alias("token"))
     shared = prefixes.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most"))
     shared = shared.where("least < most").select("token")
     hits = prefixes.join(shared, "token").groupBy("class").agg(F.count("*").alias("hits"))
     least = F.floor((PERCENT * F.col("n") + 99) / 100)
     need = F.greatest(F.lit(1), F.floor(least / 20))
-    return classes.withColumn("class", _class(F.col("digest"))).join(hits, "class").where(F.col("hits") >= need * F.col("copies"))
+    return classes.join(hits, "class").where(F.col("hits") >= need * F.col("copies"))
 
 
 def _whole_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -230,9 +226,9 @@ def _orders(sets: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(frequent, signed), max(len(frequent) - 1, 0))
                 count = np.where(frequent[at] == signed, counts[at], 0) if len(frequent) else np.zeros(len(signed), int)
                 hashed = [_mix(plain ^ seed) for seed in _SEEDS]
-                found[0].append(np.array([h.min() for h in hashed[:STARS]]).view(np.int64))
+                found[0].append(np.array([h.min() for h in hashed[:CENTRAL]]).view(np.int64))
                 for k in (1, 2, 3):
-                    order = np.lexsort((hashed[STARS + k - 1], count))
+                    order = np.lexsort((hashed[CENTRAL + k - 1], count))
                     found[k].append(signed[order[: prefix_length(len(signed))]])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), batch.column("n"), *(pa.array(c, pa.list_(pa.int64())) for c in found)],
@@ -255,10 +251,43 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node that links reach) for every node of ``links`` (a, b).
 
-    Labels spread along links and then jump to their label's label, until none
-    changes. Every round is written to the shared folder.
+    Up to ``LOCAL_LINKS`` distinct links, counted first, are joined up by one
+    task. Beyond that labels spread along links and then jump to their label's
+    label, until none changes; every round is written to the shared folder. Both
+    ways give the same roots.
     """
-    edges = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    pairs = keep(links.select("a", "b").distinct(), "links")
+    return _joined(pairs) if pairs.count() <= LOCAL_LINKS else _spread(pairs)
+
+
+def _joined(pairs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            top = x
+            while root[top] != top:
+                top = root[top]
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                root.setdefault(a, a)
+                root.setdefault(b, b)
+                a, b = sorted((find(a), find(b)))
+                root[b] = a
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], names=["node", "root"]
+        )
+
+    return keep(pairs.repartition(1).mapInArrow(run, "node binary, root binary"), "roots")
+
+
+def _spread(pairs: DataFrame) -> DataFrame:
+    edges = keep(pairs.union(pairs.select("b", "a")), "edges")
     labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
@@ -276,36 +305,72 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _stars(orders: DataFrame) -> DataFrame:
-    """Pairs of each class with the least class of the same min-hash."""
+def _central(orders: DataFrame) -> DataFrame:
+    """``orders`` with central: how many classes agree on each min-hash, added up."""
     keys = orders.select("digest", F.posexplode("stars").alias("star", "key"))
-    least = keys.groupBy("star", "key").agg(F.min("digest").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(least, ["star", "key"]).where("a < digest")
-    return pairs.select("a", F.col("digest").alias("b")).distinct()
+    sizes = keys.groupBy("star", "key").agg(F.count("*").alias("members")).where("members > 1")
+    sums = keys.join(sizes, ["star", "key"]).groupBy("digest").agg(F.sum("members").alias("central"))
+    return orders.join(sums, "digest", "left").withColumn("central", F.coalesce("central", F.lit(0)))
+
+
+def _stars(orders: DataFrame) -> DataFrame:
+    """Pairs of each class with the most central one of the same min-hash."""
+    keys = orders.select("digest", "central", F.posexplode("stars").alias("star", "key")).where(F.col("star") < STARS)
+    hubs = keys.groupBy("star", "key").agg(
+        F.max(F.struct("central", "digest"))["digest"].alias("hub"), F.count("*").alias("n")
+    )
+    pairs = keys.join(hubs.where("n > 1").drop("n"), ["star", "key"]).where("hub <> digest")
+    return pairs.select(F.least("hub", "digest").alias("a"), F.greatest("hub", "digest").alias("b")).distinct()
 
 
-def _between(orders: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs of classes in different components."""
+def _spanning(orders: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries of the second order's lists (token; digest, n, at, central, root) that hold several components, with their largest."""
     placed = orders.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     placed = placed.withColumn("root", F.coalesce("root", "digest"))
-    lists = keep(placed.select("digest", "n", "root", F.posexplode("second").alias("at", "token")), "lists")
+    lists = keep(placed.select("digest", "n", "central", "root", F.posexplode("second").alias("at", "token")), "lists")
     sizes = lists.groupBy("token", "root").agg(F.count("*").alias("members"))
     mixed = sizes.groupBy("token").agg(F.max_by("root", "members").alias("main"), F.count("*").alias("roots"))
-    mixed = mixed.where("roots > 1").drop("roots")
-    spanning = keep(lists.join(mixed, "token"), "spanning")
-    left = spanning.where("root != main").select("token", *[F.col(c).alias(f"l_{c}") for c in ("digest", "n", "root", "at")])
+    return keep(lists.join(mixed.where("roots > 1").drop("roots"), "token"), "spanning")
+
+
+def _hubs(spanning: DataFrame, orders: DataFrame) -> DataFrame:
+    """Pairs of each class outside a list's largest component with the most central class inside."""
+    hubs = spanning.where("root = main").groupBy("token").agg(F.max(F.struct("central", "digest", "n")).alias("hub"))
+    near = spanning.where("root <> main").join(hubs, "token")
+    near = near.where(100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n"))
+    hub = F.col("hub.digest")
+    return near.select(F.least("digest", hub).alias("a"), F.greatest("digest", hub).alias("b")).distinct()
+
+
+def _between(spanning: DataFrame, orders: DataFrame) -> DataFrame:
+    """Candidate pairs of classes in different components.
+
+    A pair meets in the list of every common prefix token. Entries carry the few
+    tokens before theirs, and where two entries have one of these in common the
+    pair has met before: so it is made once or little more, and always at its
+    first common token.
+    """
+    start = F.greatest(F.col("at") - EARLIER + 1, F.lit(1))
+    earlier = F.slice("second", start, F.least(F.col("at"), F.lit(EARLIER)))
+    entries = spanning.join(orders.select("digest", "second"), "digest").withColumn("earlier", earlier).drop("second")
+    entries = keep(entries, "entries")
+    columns = ("digest", "n", "root", "at", "earlier")
+    left = entries.where("root != main").select("token", *[F.col(c).alias(f"l_{c}") for c in columns])
     overlap = F.ceil(PERCENT * (F.col("l_n") + F.col("n")) / (100 + PERCENT))
     # were this the first common token, what stands from here on is all that can be common
     reach = F.least(F.col("l_n") - F.col("l_at"), F.col("n") - F.col("at"))
-    pairs = left.join(spanning, "token").where(
+    pairs = left.join(entries, "token").where(
         (F.col("l_root") != F.col("root"))
         & ((F.col("root") == F.col("main")) | (F.col("l_digest") < F.col("digest")))
         & (100 * F.least("l_n", "n") >= PERCENT * F.greatest("l_n", "n"))
         & (reach >= overlap)
+        & ~F.arrays_overlap("l_earlier", "earlier")
     )
-    pairs = pairs.select(
-        F.least("l_digest", "digest").alias("a"), F.greatest("l_digest", "digest").alias("b")
-    ).distinct()
+    return pairs.select(F.least("l_digest", "digest").alias("a"), F.greatest("l_digest", "digest").alias("b")).distinct()
+
+
+def _meet(pairs: DataFrame, orders: DataFrame) -> DataFrame:
+    """The pairs that share prefix tokens under the third and the fourth order too."""
     side = lambda c: orders.select(
         F.col("digest").alias(c), F.col("third").alias(f"third_{c}"), F.col("fourth").alias(f"fourth_{c}")
     )
@@ -326,15 +391,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     light = keep(_sets(rows), "sets")
     classes = light.where("n > 0").groupBy("digest").agg(
-        F.first("n").alias("n"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least_doc")
+        F.first("class").alias("class"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least_doc")
     )
     classes = keep(classes, "classes")
-    survivors = keep(_survivors(rows, classes).select("digest", "text_key"), "survivors")
+    survivors = keep(_survivors(light, classes).select("digest", "text_key"), "survivors")
     sets = keep(_whole_sets(rows, survivors), "whole")
-    orders = keep(_orders(sets), "orders")
-    starred = keep(_verify(_stars(orders), sets), "starred")
-    between = _verify(keep(_between(orders, components(starred)), "between"), sets)
-    roots = components(starred.union(between))
+    orders = keep(_central(keep(_orders(sets), "orders")), "central")
+    links = keep(_verify(_stars(orders), sets), "stars")
+    for step, candidates in (("hubs", _hubs), ("between", _between)):
+        pairs = keep(_meet(candidates(_spanning(orders, components(links)), orders), orders), f"{step}_pairs")
+        links = links.union(keep(_verify(pairs, sets), step))
+    roots = components(links)
 
     joined = classes.select("digest", "least_doc").join(roots, F.col("digest") == F.col("node"))
     ids = joined.groupBy("root").agg(F.min("least_doc").alias("component_id"))

@@ -144,7 +144,7 @@ def estimate(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPL
     n = docs.count()
     if not n:
         return [Estimate(r, 0.0, 0.0) for r in rules]
-    sample = keep(docs.sample(min(1.0, sample_rows / n), seed=11).coalesce(1), "sample")
+    sample = keep(docs.sample(min(1.0, sample_rows / n), seed=11).repartition(1), "sample")
 
     def seconds(measured: Column) -> tuple[float, float]:
         began = time.perf_counter()

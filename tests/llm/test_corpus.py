@@ -89,6 +89,7 @@ def test_jaccard_remainder_is_exact_without_stars(spark, docs, monkeypatch):
 
     monkeypatch.setattr(jaccard, "_stars", lambda orders: orders.limit(0).select(F.col("digest").alias("a"), F.col("digest").alias("b")))
     monkeypatch.setattr(jaccard, "HOT_LEAST", 3)
+    monkeypatch.setattr(jaccard, "LOCAL_LINKS", 0)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert Counter(tuple(r) for r in jaccard.jaccard_join(docs).collect()) == _components(rows)
 
