@@ -46,8 +46,6 @@ HOT_LEAST = 8
 STARS = 4
 #: How many tokens before its own an entry of a list carries.
 EARLIER = 8
-#: Most links that one task joins up.
-LOCAL_LINKS = 1 << 19
 #: Min-hashes that tell how central a class is: how many others agree on them.
 CENTRAL = 8
 
@@ -251,54 +249,24 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node that links reach) for every node of ``links`` (a, b).
 
-    Up to ``LOCAL_LINKS`` distinct links, counted first, are joined up by one
-    task. Beyond that labels spread along links and then jump to their label's
-    label, until none changes; every round is written to the shared folder. Both
-    ways give the same roots.
+    Labels are nodes of the same component and only fall. In a round every node
+    offers the least label of its neighbours to itself and to the node that its
+    own label names, so whole trees hook onto others, and then takes its label's
+    label. When a round changes nothing, neighbours agree everywhere. Every round
+    is written to the shared folder; a component of any size is a matter of joins
+    and partial minima, never of one task.
     """
-    pairs = keep(links.select("a", "b").distinct(), "links")
-    return _joined(pairs) if pairs.count() <= LOCAL_LINKS else _spread(pairs)
-
-
-def _joined(pairs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[bytes, bytes] = {}
-
-        def find(x: bytes) -> bytes:
-            top = x
-            while root[top] != top:
-                top = root[top]
-            while root[x] != top:
-                root[x], x = top, root[x]
-            return top
-
-        for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                root.setdefault(a, a)
-                root.setdefault(b, b)
-                a, b = sorted((find(a), find(b)))
-                root[b] = a
-        nodes = list(root)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], names=["node", "root"]
-        )
-
-    return keep(pairs.repartition(1).mapInArrow(run, "node binary, root binary"), "roots")
-
-
-def _spread(pairs: DataFrame) -> DataFrame:
-    edges = keep(pairs.union(pairs.select("b", "a")), "edges")
+    edges = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        spread = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("root")
-        )
-        spread = keep(spread, "spread")
-        jump = spread.select(F.col("node").alias("_at"), F.col("root").alias("_root"))
-        moved = spread.join(jump, F.col("root") == F.col("_at")).select(
-            "node", "old", F.least("root", "_root").alias("root")
+        offers = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("near"))
+        offers = offers.select("node", "near", F.col("root").alias("old")).union(
+            offers.select("root", "near", F.lit(None).cast("binary"))
         )
+        hooked = keep(offers.groupBy("node").agg(F.min("near").alias("root"), F.max("old").alias("old")), "hooked")
+        jump = hooked.select(F.col("node").alias("_at"), F.col("root").alias("_root"))
+        moved = hooked.join(jump, F.col("root") == F.col("_at")).select("node", "old", F.least("root", "_root").alias("root"))
         moved = keep(moved, "moved")
         labels = moved.select("node", "root")
         if moved.where("old != root").isEmpty():

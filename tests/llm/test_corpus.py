@@ -89,11 +89,22 @@ def test_jaccard_remainder_is_exact_without_stars(spark, docs, monkeypatch):
 
     monkeypatch.setattr(jaccard, "_stars", lambda orders: orders.limit(0).select(F.col("digest").alias("a"), F.col("digest").alias("b")))
     monkeypatch.setattr(jaccard, "HOT_LEAST", 3)
-    monkeypatch.setattr(jaccard, "LOCAL_LINKS", 0)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert Counter(tuple(r) for r in jaccard.jaccard_join(docs).collect()) == _components(rows)
 
 
+def test_components_of_chains_rings_and_stars(spark):
+    from millrace.llm.jaccard import components
+
+    name = lambda i: hashlib.md5(str(i).encode()).digest()
+    links = [(i, i + 1) for i in range(300)] + [(400 + i, 400 + (i + 1) % 50) for i in range(50)] + [(500, 501 + i) for i in range(90)]
+    df = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in links], "a binary, b binary")
+    groups = [range(301), range(400, 450), range(500, 591)]
+    want = {name(i): min(map(name, g)) for g in groups for i in g}
+    assert {bytes(r.node): bytes(r.root) for r in components(df).collect()} == want
+    assert not components(df.limit(0)).collect()
+
+
 def test_substrings(spark, docs):
     from millrace.llm import substrings as sub
 
