@@ -16,8 +16,8 @@ Each is a standard score under the ordinary token, and the three are combined
 by Stouffer's sum, so a clear word structure in one outweighs chance in the
 others. Long tokens give more
 evidence and hold more of the real secrets, so each p-value is divided by its
-token's length over the mean length (weighted Benjamini-Hochberg), and tokens
-are reported at a false-discovery rate of ``FDR`` over the whole corpus.
+token's length (``MOST_WEIGHT`` at most) over the mean of these (weighted
+Benjamini-Hochberg), and tokens are reported at a false-discovery rate of ``FDR`` over the whole corpus.
 
 DataFrame functions only. Positions are code points, ends exclusive.
 """
@@ -40,8 +40,10 @@ KINDS = {
 #: Texts without a match of these have no kept match of the kind.
 LIKELY = {"assign": KINDS["assign"][0], "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 RANDOM = "random"
-#: Tokens the battery looks at; longer ones are encoded data, not credentials.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}+={0,2}(?![A-Za-z0-9+/_=-])"
+#: Tokens the battery looks at, of any length and after any other symbol ("=" included), with their padding.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?"
+#: Tokens longer than this weigh no more, so that one long token doesn't set the mean for all others.
+MOST_WEIGHT = 64
 FDR = 0.0001
 
 # The alphabets of the encodings, in the order of their symbols.
@@ -134,18 +136,26 @@ def randomness(token: Column) -> Column:
     )
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
-    def symbols(known: Column) -> Column:
-        spelled = F.when(known["alphabet"] == HEX, F.lower(known["bare"])).otherwise(known["bare"])
-        chars = F.filter(F.split(spelled, ""), lambda c: c != "")
-        return F.transform(chars, lambda c: F.instr(known["alphabet"], c).cast("double") - 1)
+    def chars(known: Column) -> Column:
+        return F.filter(F.split(known["spelled"], ""), lambda c: c != "")
+
+    def described(known: Column, chars: Column) -> Column:
+        at = F.transform(chars, lambda c: F.instr(known["alphabet"], c).cast("double") - 1)
+        # a count is what the token loses without the symbol: a pass each over the alphabet, for tokens of any length
+        lost = lambda c: F.char_length(F.replace(known["spelled"], c, F.lit("")))
+        counts = F.transform(F.array_distinct(chars), lambda c: (F.size(chars) - lost(c)).cast("double"))
+        return F.struct(known["alphabet"].alias("alphabet"), at.alias("x"), counts.alias("counts"))
 
     def score(known: Column) -> Column:
+        # the mean once, not again for each symbol
+        return let(total(known["x"]) / F.size(known["x"]), lambda middle: score_around(known, middle))
+
+    def score_around(known: Column, middle: Column) -> Column:
         size = F.char_length(known["alphabet"]).cast("double")
         x = known["x"]
         n = F.size(x).cast("double")
         # chi-squared against the uniform alphabet
-        counts = F.transform(F.array_distinct(x), lambda s: F.size(F.filter(x, lambda y: y == s)).cast("double"))
-        chi2 = size / n * total(F.transform(counts, lambda c: c * c)) - n
+        chi2 = size / n * total(F.transform(known["counts"], lambda c: c * c)) - n
         expected = (size - 1) + (n - 1) * (size * F.greatest(F.lit(EQUAL), 2 / size) - 1)
         spread = F.sqrt(2 * (size - 1)) * size * F.greatest(F.lit(EQUAL), 2 / size)
         uniform = (expected - chi2) / spread
@@ -161,7 +171,6 @@ def randomness(token: Column) -> Column:
         mean = (n - 1) * SWITCH
         runs = (switches - mean) / F.sqrt(mean * (1 - SWITCH))
         # serial correlation
-        middle = total(x) / n
         power = total(F.transform(x, lambda s: (s - middle) * (s - middle)))
         lagged = total(
             F.transform(x, lambda s, i: F.when(i > 0, (s - middle) * (F.get(x, i - 1) - middle)).otherwise(0.0))
@@ -171,8 +180,10 @@ def randomness(token: Column) -> Column:
         bounded = [F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0)) for z in (uniform, runs, alone)]
         return 1 / (1 + F.exp(_logit((bounded[0] + bounded[1] + bounded[2]) / F.sqrt(F.lit(3.0)))))
 
-    known = F.struct(bare.alias("bare"), alphabet.alias("alphabet"))
-    return let(known, lambda k: let(F.struct(k["alphabet"].alias("alphabet"), symbols(k).alias("x")), score))
+    spelled = lambda k: F.when(k["alphabet"] == HEX, F.lower(k["bare"])).otherwise(k["bare"])
+    known = lambda k: F.struct(k["alphabet"].alias("alphabet"), spelled(k).alias("spelled"))
+    whole = lambda k: let(chars(k), lambda c: let(described(k, c), score))
+    return let(F.struct(bare.alias("bare"), alphabet.alias("alphabet")), lambda k: let(known(k), whole))
 
 
 _CANDIDATES = "array<struct<start:int,end:int,p:double>>"
@@ -192,20 +203,25 @@ def candidates(text: Column, base: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), scored).otherwise(F.array().cast(_CANDIDATES))
 
 
-def _weighted(c: Column, mean_length: Column | float) -> Column:
-    return c["p"] * mean_length / (c["end"] - c["start"])
+def _weight(start: Column, end: Column) -> Column:
+    return F.least(end - start, F.lit(MOST_WEIGHT))
+
+
+def _weighted(c: Column, mean_weight: Column | float) -> Column:
+    return c["p"] * mean_weight / _weight(c["start"], c["end"])
 
 
 def discoveries(measured: DataFrame, fdr: float = FDR) -> tuple[float, float]:
-    """Mean length and largest weighted p-value of the tokens reported, over all rows (-1 if none is)."""
+    """Mean weight and largest weighted p-value of the tokens reported, over all rows (-1 if none is)."""
     tokens = keep(measured.select(F.explode("_candidates").alias("c")).select("c.*"), "tokens")
-    n, mean_length = tokens.agg(F.count("*"), F.avg(F.col("end") - F.col("start"))).first()
+    weight = _weight(F.col("start"), F.col("end"))
+    n, mean_weight = tokens.agg(F.count("*"), F.avg(weight)).first()
     if not n:
         return 1.0, -1.0
-    weighted = tokens.select((F.col("p") * mean_length / (F.col("end") - F.col("start"))).alias("q"))
+    weighted = tokens.select((F.col("p") * mean_weight / weight).alias("q"))
     ranked = running_totals(weighted, [F.col("q")], {"rank": F.lit(1)})
     last = ranked.where(F.col("q") <= F.col("rank") * fdr / n).agg(F.max("q")).first()[0]
-    return mean_length, -1.0 if last is None else last
+    return mean_weight, -1.0 if last is None else last
 
 
 def find(docs: DataFrame, columns: list[str] | None = None, fdr: float = FDR) -> DataFrame:
@@ -221,8 +237,8 @@ def find(docs: DataFrame, columns: list[str] | None = None, fdr: float = FDR) ->
     text = F.coalesce("text", F.lit(""))
     measured = docs.withColumn("_base", base_spans(text)).withColumn("_candidates", candidates(text, F.col("_base")))
     measured = keep(measured.select(*kept, "_base", "_candidates"), "measured")
-    mean_length, last = discoveries(measured, fdr)
-    found = F.filter("_candidates", lambda c: _weighted(c, mean_length) <= last)
+    mean_weight, last = discoveries(measured, fdr)
+    found = F.filter("_candidates", lambda c: _weighted(c, mean_weight) <= last)
     spans = F.transform(
         found, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), c["end"].alias("end"))
     )

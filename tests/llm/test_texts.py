@@ -133,6 +133,26 @@ def test_secrets_base_and_random(spark, docs):
     assert not secrets.find(docs.limit(0)).collect()
 
 
+def test_secrets_after_equals_and_long(spark):
+    from millrace.llm import secrets
+
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = lambda n: "".join(rng.choices(letters, k=n))
+    values = [(before, secret(n), after) for n in (48, 600, 30_000) for before, after in (
+        ("AUTH=", ""), ("see https://x.example/a?sig=", "&v=1"), ("export AWS_SECRET_ACCESS_KEY=", "\n"), ("a == ", "== b"), ("", "=short"), ("k=", "=")
+    )]
+    texts = [b + v + a for b, v, a in values]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.find(table).select("doc_id", "spans", secrets.redact(F.col("text"), F.col("spans")).alias("r")).collect()
+    for r in found:
+        before, value, after = values[r.doc_id]
+        [span] = r.spans
+        assert span["start"] == len(before) and span["end"] - span["start"] - len(value) in (0, 1, 2), texts[r.doc_id][:80]
+        assert r.r == before + "[secret]" + (after.lstrip("=") if not after.startswith("=s") else after)
+    assert len(found) == len(texts)
+
+
 def test_fingerprints(spark, docs):
     from millrace.llm import fingerprints as fp
 
