@@ -7,14 +7,16 @@ other symbols also part the words of ordinary tokens) and asks of three
 statistics how likely an ordinary token (an identifier, a path, a name with a
 number) is to look as random as this:
 
-* chi-squared of its symbols against a uniform alphabet, low if random;
+* chi-squared of its symbols against a uniform alphabet, low if random, taken
+  as the share of pairs of equal symbols;
 * runs of symbol classes (upper, lower, digit), many if random: a word may
   begin with a capital, so a step from upper to lower case is none;
 * serial correlation of its symbols, none if random.
 
-Each is a standard score under the ordinary token, and the three are combined
-by Stouffer's sum, so a clear word structure in one outweighs chance in the
-others. Long tokens give more
+Each is a standard score under the ordinary token of its encoding: tokens differ
+among themselves as well as by chance, so a score is bounded however long the
+token is. The three are combined by Stouffer's weighted sum; weights and spreads
+were fitted to some 5000 tokens of source code, see the README. Long tokens give more
 evidence and hold more of the real secrets, so each p-value is divided by its
 token's length (``MOST_WEIGHT`` at most) over the mean of these (weighted
 Benjamini-Hochberg), and tokens are reported at a false-discovery rate of ``FDR`` over the whole corpus.
@@ -44,16 +46,20 @@ RANDOM = "random"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?"
 #: Tokens longer than this weigh no more, so that one long token doesn't set the mean for all others.
 MOST_WEIGHT = 64
-FDR = 0.0001
+FDR = 0.05
 
 # The alphabets of the encodings, in the order of their symbols.
 HEX = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
-#: What ordinary tokens are like: chance that two of their symbols are equal, that a symbol is of another
-#: class than the one before, and their serial correlation.
-EQUAL, SWITCH, SERIAL = 0.08, 0.2, 0.5
+#: What ordinary tokens are like, by the size of the alphabet: chance that two of their symbols are equal,
+#: that a symbol is of another class than the one before, and their serial correlation.
+ORDINARY = {16: (0.125, 0.2, 0.15), 32: (0.08, 0.1, 0.15), 62: (0.05, 0.09, 0.15)}
+#: Standard deviations of these three: among tokens, and by chance (over the root of the length).
+SPREAD = ((0.012, 0.09), (0.04, 0.25), (0.15, 1.1))
+#: Weights of the three in the sum.
+WEIGHTS = (0.55, 0.8, 0.1)
 _BLOCK = 64
 
 
@@ -154,11 +160,9 @@ def randomness(token: Column) -> Column:
         size = F.char_length(known["alphabet"]).cast("double")
         x = known["x"]
         n = F.size(x).cast("double")
-        # chi-squared against the uniform alphabet
+        # chi-squared against the uniform alphabet, as the share of equal pairs
         chi2 = size / n * total(F.transform(known["counts"], lambda c: c * c)) - n
-        expected = (size - 1) + (n - 1) * (size * F.greatest(F.lit(EQUAL), 2 / size) - 1)
-        spread = F.sqrt(2 * (size - 1)) * size * F.greatest(F.lit(EQUAL), 2 / size)
-        uniform = (expected - chi2) / spread
+        equal = ((chi2 + n) * n / size - n) / (n * (n - 1))
         # runs of classes: 0 digits, 1 lower, 2 upper case
         group = lambda s: (
             F.when(size == 16, (s >= 10).cast("int"))
@@ -168,17 +172,20 @@ def randomness(token: Column) -> Column:
         steps = F.transform(x, lambda s, i: group(s) - group(F.get(x, i - 1)) * F.when(i > 0, 1))
         upper_to_lower = lambda d, i: (d == -1) & (group(F.get(x, i)) == 1)
         switches = F.size(F.filter(steps, lambda d, i: (d != 0) & ~upper_to_lower(d, i))).cast("double")
-        mean = (n - 1) * SWITCH
-        runs = (switches - mean) / F.sqrt(mean * (1 - SWITCH))
+        runs = switches / (n - 1)
         # serial correlation
         power = total(F.transform(x, lambda s: (s - middle) * (s - middle)))
         lagged = total(
             F.transform(x, lambda s, i: F.when(i > 0, (s - middle) * (F.get(x, i - 1) - middle)).otherwise(0.0))
         )
         serial = F.when(power > 0, lagged / power).otherwise(1.0)
-        alone = (SERIAL - serial) * F.sqrt(n) / (1 - SERIAL * SERIAL)
-        bounded = [F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0)) for z in (uniform, runs, alone)]
-        return 1 / (1 + F.exp(_logit((bounded[0] + bounded[1] + bounded[2]) / F.sqrt(F.lit(3.0)))))
+        ordinary = [
+            F.when(size == 16, ORDINARY[16][k]).when(size == 32, ORDINARY[32][k]).otherwise(ORDINARY[62][k]) for k in range(3)
+        ]
+        away = (ordinary[0] - equal, runs - ordinary[1], ordinary[2] - serial)
+        scores = [z / F.sqrt(a * a + b * b / n) for z, (a, b) in zip(away, SPREAD, strict=True)]
+        bounded = [w * F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0)) for z, w in zip(scores, WEIGHTS, strict=True)]
+        return 1 / (1 + F.exp(_logit((bounded[0] + bounded[1] + bounded[2]) / sum(w * w for w in WEIGHTS) ** 0.5)))
 
     spelled = lambda k: F.when(k["alphabet"] == HEX, F.lower(k["bare"])).otherwise(k["bare"])
     known = lambda k: F.struct(k["alphabet"].alias("alphabet"), spelled(k).alias("spelled"))

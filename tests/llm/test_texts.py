@@ -153,6 +153,23 @@ def test_secrets_after_equals_and_long(spark):
     assert len(found) == len(texts)
 
 
+def test_secrets_short_among_many(spark):
+    from millrace.llm import secrets
+
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "get user name list page count value index update remove text field button click order total month year file path".split()
+    ordinary = lambda: rng.choice(["_", "-", "/", ""]).join(w.title() if k % 2 else w for k, w in enumerate(rng.choices(words, k=6))) + str(rng.randint(1, 99))
+    tokens = [(n, "".join(rng.choices(letters, k=n))) for n in (20, 24, 32, 40) for _ in range(50)]
+    tokens += [(0, ordinary()) for _ in range(20_000)]
+    table = spark.createDataFrame([(i, f"see {t} there") for i, (_, t) in enumerate(tokens)], "doc_id long, text string")
+    hit = {r.doc_id for r in secrets.find(table).where("size(spans) > 0").select("doc_id").collect()}
+    caught = Counter(n for i, (n, _) in enumerate(tokens) if i in hit)
+    # one candidate in a hundred is a secret
+    assert [caught[n] >= least for n, least in ((20, 40), (24, 43), (32, 48), (40, 48))] == [True] * 4, caught
+    assert caught[0] <= 0.1 * len(hit), caught
+
+
 def test_fingerprints(spark, docs):
     from millrace.llm import fingerprints as fp
 
