@@ -1,16 +1,18 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the bytes of a text and cuts where its top bits are
-zero. A cut depends on the 16 bytes before it only, so after an insertion the
-cuts fall into step again within a chunk or two. Chunks are compared by digest;
+A gear hash rolls over the bytes of a text and cuts where it is least among the
+``REACH`` places on either side. A cut depends on the ``HASH_BYTES`` + ``REACH``
+bytes before it and the ``REACH`` after it only, never on the cut before, so two
+texts cut a common passage alike from there on. Chunks are compared by digest;
 a run of neighbouring chunks that other documents also hold is a repeated
 passage. The document of least id among a chunk's holders keeps it, the others
 may drop it.
 
-Chunks are small beside the passages sought: a passage of ``REPEAT_WORDS``
-words holds several whole ones. The true passage ends somewhere in the chunks
-beside the run, so a run counts if it has ``RUN_WORDS`` words itself and at
-least ``REPEAT_WORDS`` with these two; shorter common lines don't reach that.
+The true passage ends in the chunks beside the run or little beyond: had it gone
+on ``HASH_BYTES`` + ``REACH`` bytes before the chunk at the run's start (``REACH``
+behind the one at its end), that chunk would be common too. A run counts if it
+has ``REPEAT_WORDS`` words up to there, so a passage of over ``REPEAT_WORDS``
+words with a whole chunk is never lost; one of some fewer words may be found too.
 """
 
 from __future__ import annotations
@@ -25,21 +27,26 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
-LEAST_BYTES, MOST_BYTES = 16, 128
-#: Zero bits of the 16-bit hash at a cut: one in 2**CUT_BITS bytes.
-CUT_BITS = 4
-REPEAT_WORDS, RUN_WORDS = 50, 20
+MOST_BYTES = 128
+#: Places on either side of a cut whose hashes are no less: a cut in 2 * REACH + 1 bytes, and never two within REACH.
+REACH = 12
+#: Bytes that a hash depends on.
+HASH_BYTES = 8
+#: Words of a repeated passage, and those that must be in whole chunks.
+REPEAT_WORDS, RUN_WORDS = 50, 1
 
 
 def gears() -> np.ndarray:
-    """A 16-bit number for each byte, from a multiplicative rule."""
+    """A 32-bit number for each byte, from a multiplicative rule."""
     with np.errstate(over="ignore"):
         x = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(48)).astype(np.uint16)
+    return (x >> np.uint64(32)).astype(np.uint32)
 
 
 _GEARS = gears()
+#: The hash where no cut may be.
+_NEVER = np.uint32(0xFFFFFFFF)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -49,15 +56,26 @@ def cuts(data: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    # in 16 bits a byte is shifted out after 16 steps; sums over 1, 2, 4, 8 and 16 bytes
+    # in 32 bits a byte is shifted out after 8 steps of 4; sums over 1, 2, 4 and 8 bytes
     rolled = _GEARS[data]
-    for s in (1, 2, 4, 8):
-        older = rolled[:-s] << np.uint16(s)
+    for s in (1, 2, 4):
+        older = rolled[:-s] << np.uint32(4 * s)
         rolled = rolled.copy()
         rolled[s:] += older
+    # mixed, as the lowest bits hold the last byte only
+    rolled *= np.uint32(0x9E3779B1)
+    rolled ^= rolled >> np.uint32(15)
     starts = (data & 0xC0) != 0x80
-    may_end = np.append(starts[1:], True)
-    wanted = np.flatnonzero((rolled >> np.uint16(16 - CUT_BITS) == 0) & may_end) + 1
+    rolled[~np.append(starts[1:], True)] = _NEVER
+    rolled[: HASH_BYTES - 1] = _NEVER
+    # the least of REACH places, from the least of 1, 2, 4 and so on
+    padded = np.full(n + 2 * REACH, _NEVER, np.uint32)
+    padded[REACH : REACH + n] = rolled
+    least, width = padded, 1
+    while 2 * width <= REACH:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    least = np.minimum(least[: n + REACH + 1], least[REACH - width : n + 2 * REACH + 1 - width])
+    wanted = np.flatnonzero((rolled < least[:n]) & (rolled <= least[REACH + 1 :])) + 1
     ends, at = [], 0
     for end in [*wanted.tolist(), n]:
         while end - at > MOST_BYTES:
@@ -65,7 +83,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
             while not starts[at]:
                 at -= 1
             ends.append(at)
-        if end - at >= LEAST_BYTES or end == n > at:
+        if end > at:
             ends.append(end)
             at = end
     return np.array(ends, np.int64)
@@ -144,11 +162,15 @@ def repeats(docs: DataFrame, repeat_words: int = REPEAT_WORDS, run_words: int =
         seqs, firsts = seqs[order], firsts[order]
         breaks = np.flatnonzero(np.diff(seqs) != 1) + 1
         upto = np.concatenate([[0], np.cumsum(words)])
+        at = np.concatenate([[0], ends])
+        far = lambda place: np.interp(place, at, upto)  # noqa: E731  words up to a place, spread evenly in a chunk
         spans = []
         for a, b in zip(np.concatenate([[0], breaks]), np.concatenate([breaks, [len(seqs)]]), strict=True):
             i, j = int(seqs[a]), int(seqs[b - 1])
             n = int(upto[j + 1] - upto[i])
-            around = int(upto[min(j + 2, len(words))] - upto[max(i - 1, 0)])
+            # code points are no more than bytes, so this reaches far enough
+            low, high = at[max(i - 1, 0)] - HASH_BYTES - REACH, at[min(j + 2, len(words))] + REACH
+            around = np.ceil(far(high)) - np.floor(far(low))
             if n >= min(run_words, repeat_words) and around >= repeat_words:
                 start = int(ends[i - 1]) if i else 0
                 spans.append({"start": start, "end": int(ends[j]), "words": n, "first_doc": int(firsts[a])})

@@ -131,6 +131,22 @@ def test_substrings(spark, docs):
     assert not sub.repeats(docs.limit(0)).collect()
 
 
+def test_substrings_just_over_fifty_words(spark):
+    from millrace.llm import substrings as sub
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 6))) for _ in range(n))
+    rows, planted = [], {}
+    for n in (51, 52, 53, 54, 55, 60, 15):
+        for _ in range(100):
+            passage = prose(n)
+            for _ in range(2):
+                planted[len(rows)] = n
+                rows.append((len(rows), " ".join([prose(rng.randint(40, 90)), passage, prose(rng.randint(40, 90))])))
+    found = {r.doc_id for r in sub.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert Counter(planted[i] for i in found) == {n: 200 for n in (51, 52, 53, 54, 55, 60)}
+
+
 def test_cuts_resist_insertions():
     from millrace.llm import substrings as sub
 
