@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean, html, text, urls
@@ -18,26 +18,36 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 10, max_pages: int = 1000) -> DataFrame:
-    """Pages reached from ``seeds`` (url, site) by links, over landed ``pages`` (url, html): url and depth.
+    """Pages reached from ``seeds`` (url, site) by links, over landed ``pages`` (url, html): url, site and depth.
 
     Each round joins the frontier with the pages, follows their links and drops
-    what was seen. Rounds are written to the shared folder, so lineage stays
-    short; depth and pages are limited as a polite crawl's are.
+    what its site has seen. Rounds are written to the shared folder, so lineage
+    stays short. Each site is a crawl of its own, with at most ``max_pages``
+    pages, by depth and URL; there is no limit over all sites. A page that two
+    sites reach (one within the other's domain) is in both.
     """
     keyed = pages.select(urls.canonical(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
-    frontier = seeds.select(urls.canonical(F.col("url")).alias("url"), "site", F.lit(0).alias("depth")).dropDuplicates(["url"])
-    seen = frontier.join(keyed.select("url"), "url", "left_semi").checkpoint()
-    last = seen
+    landed = keyed.select("url")
+
+    def within_cap(new: DataFrame, counts: DataFrame | None, depth: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("site").orderBy("url"))
+        ranked = new.join(landed, "url", "left_semi").withColumn("_rank", rank).where(F.col("_rank") <= max_pages)
+        if counts is not None:
+            ranked = ranked.join(counts, "site", "left").where(F.col("_rank") + F.coalesce("_had", F.lit(0)) <= max_pages)
+        return ranked.select("url", "site", F.lit(depth).alias("depth")).checkpoint()
+
+    first = seeds.select(urls.canonical(F.col("url")).alias("url"), "site").dropDuplicates(["site", "url"])
+    seen = last = within_cap(first, None, 0)
     for depth in range(1, max_depth + 1):
         found = last.join(keyed, "url").select("url", "site", F.explode(html.links(F.col("html"))).alias("link"))
         found = found.select(urls.resolve(F.col("link"), F.col("url"), F.col("site")).alias("url"), "site").where("url is not null")
-        found = found.withColumn("url", urls.canonical(F.col("url")))
-        new = found.dropDuplicates(["url"]).join(seen.select("url"), "url", "left_anti").join(keyed.select("url"), "url", "left_semi")
-        last = new.withColumn("depth", F.lit(depth)).checkpoint()
-        if last.isEmpty() or seen.count() >= max_pages:
+        found = found.withColumn("url", urls.canonical(F.col("url"))).dropDuplicates(["site", "url"])
+        new = found.join(seen.select("site", "url"), ["site", "url"], "left_anti")
+        last = within_cap(new, seen.groupBy("site").agg(F.count("*").alias("_had")), depth)
+        if last.isEmpty():
             break
         seen = seen.unionByName(last).checkpoint()
-    return seen.orderBy("depth", "url").limit(max_pages)
+    return seen.orderBy("depth", "url", "site")
 
 
 def q_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +116,9 @@ def q_followed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    seeds = pages.where("page_id % 10 = 1").select("url", urls.canonical(F.col("url"), False).alias("site"))
-    return crawl(pages, seeds).select("url", "depth")
+    # a source each address; the landed pages stand for the sitemap that seeds its crawl, the root among them
+    seeds = pages.select("url", urls.canonical(F.col("url"), False).alias("site"))
+    return crawl(pages, seeds).groupBy("url").agg(F.min("depth").alias("depth"))
 
 
 def q_refresh_period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

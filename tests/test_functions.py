@@ -164,3 +164,19 @@ def test_labels(spark):
     assert one(spark, labels.is_html, " ") and one(spark, labels.is_html, "application/XHTML") and not one(spark, labels.is_html, "image/png")
     assert one(spark, labels.is_utility, "https://x.com/robots.txt") and not one(spark, labels.is_utility, "https://x.com/a/robots.txt")
     assert one(spark, labels.source_type, "Web Sitesi") == "web_site" and one(spark, labels.source_type, "x") is None
+
+
+def test_crawl_caps_each_site(spark):
+    from millrace.operators.pages import crawl
+
+    link = lambda u: f'<a href="{u}">x</a>'
+    pages = [(f"https://s{i}.com", "".join(link(f"/p{k}") for k in range(4))) for i in range(3)]
+    pages += [(f"https://s{i}.com/p{k}", link(f"/q{k}")) for i in range(3) for k in range(4)]
+    pages += [(f"https://s{i}.com/q{k}", "") for i in range(3) for k in range(4)]
+    table = spark.createDataFrame(pages, "url string, html string")
+    seeds = spark.createDataFrame([(f"https://s{i}.com", f"https://s{i}.com") for i in range(3)], "url string, site string")
+    found = lambda n: [(r.site, r.depth, r.url) for r in crawl(table, seeds, max_pages=n).collect()]
+    names = ["", "/p0", "/p1", "/p2", "/p3", "/q0", "/q1", "/q2", "/q3"]
+    for n in (1, 3, 6, 20):
+        want = [(f"https://s{i}.com", len(x) and "/pq".index(x[1]), f"https://s{i}.com{x}") for i in range(3) for x in names[:n]]
+        assert sorted(found(n)) == sorted(want), n
