@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +41,16 @@ def active_blocks(docs: DataFrame, sources: DataFrame) -> DataFrame:
 def fingerprint(rows: DataFrame, id_column: str, hash_column: str) -> DataFrame:
     """SHA-256, in upper-case hex, of the lines ``id|hash`` in order of id, and their number.
 
-    A digest of one ordered text is sequential by definition and holds some 100
-    bytes a document in one row: it is for banks of up to a few million
-    documents. `tree_fingerprint` serves any number.
+    Lines are sorted by all tasks and fed to the digest a partition at a time, so
+    no row or task holds the whole text. One digest of one ordered text is
+    sequential by definition, here on the driver; `tree_fingerprint` is not.
     """
     line = F.concat_ws("|", F.col(id_column).cast("string"), hash_column)
-    lines = rows.agg(F.array_sort(F.collect_list(F.struct(id_column, line.alias("line")))).alias("lines"))
-    joined = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
-    return lines.select(F.upper(F.sha2(joined, 256)).alias("fingerprint"), F.size("lines").cast("long").alias("documents"))
+    digest, n = hashlib.sha256(), 0
+    for r in rows.select(F.col(id_column).alias("id"), line.alias("line")).orderBy("id", "line").toLocalIterator(True):
+        digest.update(("\n" if n else "").encode() + r["line"].encode())
+        n += 1
+    return rows.sparkSession.createDataFrame([(digest.hexdigest().upper(), n)], "fingerprint string, documents long")
 
 
 def tree_fingerprint(rows: DataFrame, id_column: str, hash_column: str, buckets: int = 4096) -> DataFrame:

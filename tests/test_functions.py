@@ -180,3 +180,16 @@ def test_crawl_caps_each_site(spark):
     for n in (1, 3, 6, 20):
         want = [(f"https://s{i}.com", len(x) and "/pq".index(x[1]), f"https://s{i}.com{x}") for i in range(3) for x in names[:n]]
         assert sorted(found(n)) == sorted(want), n
+
+
+def test_fingerprint_gathers_no_lines(spark, monkeypatch):
+    import hashlib
+
+    from millrace.operators.retrieve import F, fingerprint
+
+    rows = [(i * 7 % 101, f"hash {i}") for i in range(101)]
+    monkeypatch.delattr(F, "collect_list")
+    table = spark.createDataFrame(rows, "id long, h string")
+    text = "\n".join(f"{i}|{h}" for i, h in sorted(rows))
+    assert [tuple(r) for r in fingerprint(table, "id", "h").collect()] == [(hashlib.sha256(text.encode()).hexdigest().upper(), 101)]
+    assert fingerprint(table.limit(0), "id", "h").first()["fingerprint"] == hashlib.sha256().hexdigest().upper()
