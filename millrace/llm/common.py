@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +22,17 @@ BROADCAST_BYTES = 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a laptop) a local folder is set; never
-    rely on that on a cluster.
+    Where a local session (tests, a laptop) has none, a local folder is set. On
+    a cluster that would lose data, so it is an error there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -59,6 +63,18 @@ def small_or_not(keys: DataFrame, row_bytes: int = 16) -> DataFrame:
     return F.broadcast(keys) if keys.count() * row_bytes <= BROADCAST_BYTES else keys
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` doesn't have yet, in any case."""
+    known = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        found.append(name)
+    return found
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often it is used."""
     return F.transform(F.array(value), body)[0]
@@ -103,3 +119,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Powers:
+    """Powers of an odd base modulo 2^64 and of its inverse, as many as the longest array so far needs."""
+
+    def __init__(self, base: int) -> None:
+        self.base = base
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            make = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]))
+            self.up, self.down = make(np.uint64(self.base)), make(np.uint64(pow(self.base, -1, 2**64)))
+        return self.up, self.down
+
+    def sums(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sum of values[start + k] * base^k over each range: the same for equal ranges, wherever they stand."""
+        up, down = self.of(len(values) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
+            return (total[ends] - total[starts]) * down[starts]
+
+
+powers = Powers(0x9E3779B97F4A7C15)
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 stand between words."""
+    return _SPACES[data]
+
+
+def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (bytes) and 64-bit hashes of the words of ``data``, bytes of UTF-8."""
+    edges = np.flatnonzero(np.diff(~is_space(data), prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64)
+    return starts, ends, mix64(powers.sums(data.astype(np.uint64) + np.uint64(1), starts, ends))
+
+
+def hash_windows(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` words in a row, from the words' hashes."""
+    at = np.arange(max(0, len(words) - n + 1))
+    return mix64(powers.sums(words, at, at + n) + np.uint64(n))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, small_or_not, table
+from .common import hash_windows, hash_words, keep, mix64, small_or_not, table
 
 SHINGLE = 5
 #: Similarity at which two documents link, in hundredths.
@@ -49,67 +49,17 @@ EARLIER = 8
 #: Min-hashes that tell how central a class is: how many others agree on them.
 CENTRAL = 8
 
-_B = 0x9E3779B97F4A7C15
 _SEEDS = [np.uint64(((k + 1) * 0xD6E8FEB86659FD93) % 2**64) for k in range(CENTRAL + 3)]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
-
-
-class _Powers:
-    """Powers of a base and of its inverse, as many as the longest text so far needs."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            make = lambda base: np.multiply.accumulate(
-                np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)])
-            )
-            self.up, self.down = make(np.uint64(_B)), make(np.uint64(pow(_B, -1, 2**64)))
-        return self.up, self.down
-
-
-_powers = _Powers()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word of ``text``, A-Z in lower case."""
-    data = _LOWER[np.frombuffer(text.encode(), np.uint8)]
-    word = ~_SPACES[data]
-    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers.of(len(data))
-    with np.errstate(over="ignore"):
-        # sums of bytes times powers; from start to end, brought back to the start's power
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-        return _mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def shingles(text: str) -> np.ndarray:
-    """Distinct tokens of ``text``, ascending: hashes of five words, or of all if there are fewer."""
-    words = word_hashes(text)
+    """Distinct tokens of ``text``, ascending: hashes of five words, A-Z in lower case, or of all if there are fewer."""
+    _, _, words = hash_words(_LOWER[np.frombuffer(text.encode(), np.uint8)])
     if not len(words):
         return words
-    with np.errstate(over="ignore"):
-        n = min(SHINGLE, len(words))
-        rolled = words[: len(words) - n + 1]
-        for k in range(1, n):
-            rolled = rolled * np.uint64(_B) + words[k : len(words) - n + 1 + k]
-        return np.unique(_mix(rolled + np.uint64(n)))
+    return np.unique(hash_windows(words, min(SHINGLE, len(words))))
 
 
 def partner_least(n):
@@ -223,7 +173,7 @@ def _orders(sets: DataFrame) -> DataFrame:
                 plain = signed.view(np.uint64)
                 at = np.minimum(np.searchsorted(frequent, signed), max(len(frequent) - 1, 0))
                 count = np.where(frequent[at] == signed, counts[at], 0) if len(frequent) else np.zeros(len(signed), int)
-                hashed = [_mix(plain ^ seed) for seed in _SEEDS]
+                hashed = [mix64(plain ^ seed) for seed in _SEEDS]
                 found[0].append(np.array([h.min() for h in hashed[:CENTRAL]]).view(np.int64))
                 for k in (1, 2, 3):
                     order = np.lexsort((hashed[CENTRAL + k - 1], count))

@@ -1,18 +1,26 @@
 """Substring deduplication by content-defined chunking.
 
 A gear hash rolls over the bytes of a text and cuts where it is least among the
-``REACH`` places on either side. A cut depends on the ``HASH_BYTES`` + ``REACH``
-bytes before it and the ``REACH`` after it only, never on the cut before, so two
-texts cut a common passage alike from there on. Chunks are compared by digest;
-a run of neighbouring chunks that other documents also hold is a repeated
-passage. The document of least id among a chunk's holders keeps it, the others
-may drop it.
-
-The true passage ends in the chunks beside the run or little beyond: had it gone
-on ``HASH_BYTES`` + ``REACH`` bytes before the chunk at the run's start (``REACH``
-behind the one at its end), that chunk would be common too. A run counts if it
-has ``REPEAT_WORDS`` words up to there, so a passage of over ``REPEAT_WORDS``
-words with a whole chunk is never lost; one of some fewer words may be found too.
+``REACH`` places on either side. Such a cut depends on the ``HASH_BYTES`` +
+``REACH`` bytes before it and the ``REACH`` after it only, never on the cut
+before, so two texts cut a common passage alike from there on. Where a text
+repeats itself with a short period (a word over and over) there are equal least
+places and no such cut; chunks end at some of these, so that they fall in step
+there too.
+
+Texts are cut with single spaces between words, as another line width makes no
+other passage. Chunks are deduplicated by digest: one that stands at a single place of the
+corpus ends a run of chunks that others have too. A repeated passage lies in
+such a run, or reaches over its ends as far as the bytes that settle the chunk
+beside it, no further. Passages of ``REPEAT_WORDS`` words or more are then found
+exactly in these stretches: a window of so many words is repeated if it occurs
+at two places or more, in one document or several, and the first place (by
+doc_id, then place) keeps it.
+
+Neither step joins chunks or windows with each other. Both aggregate by key to
+the one place to be told (that of a single chunk; the first of a window), which
+merges before the shuffle, so a line that every document has is as light as any
+other; and whatever is not told of a document is repeated.
 """
 
 from __future__ import annotations
@@ -25,15 +33,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import fresh, hash_windows, hash_words, is_space, keep, running_totals, small_or_not, table
 
 MOST_BYTES = 128
 #: Places on either side of a cut whose hashes are no less: a cut in 2 * REACH + 1 bytes, and never two within REACH.
 REACH = 12
 #: Bytes that a hash depends on.
 HASH_BYTES = 8
-#: Words of a repeated passage, and those that must be in whole chunks.
-REPEAT_WORDS, RUN_WORDS = 50, 1
+#: Words of a repeated passage.
+REPEAT_WORDS = 50
+#: A word's place is its document's block times this, and its number in the block; long documents have several blocks.
+BLOCK_BITS = 24
+#: Windows in a batch that a task returns.
+BATCH_WINDOWS = 1 << 20
 
 
 def gears() -> np.ndarray:
@@ -47,15 +59,13 @@ def gears() -> np.ndarray:
 _GEARS = gears()
 #: The hash where no cut may be.
 _NEVER = np.uint32(0xFFFFFFFF)
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of ``data`` (bytes of UTF-8), never inside a character."""
+def cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of ``data`` (bytes of UTF-8), never inside a character, and which are settled by the bytes around."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     # in 32 bits a byte is shifted out after 8 steps of 4; sums over 1, 2, 4 and 8 bytes
     rolled = _GEARS[data]
     for s in (1, 2, 4):
@@ -75,132 +85,299 @@ def cuts(data: np.ndarray) -> np.ndarray:
     while 2 * width <= REACH:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     least = np.minimum(least[: n + REACH + 1], least[REACH - width : n + 2 * REACH + 1 - width])
-    wanted = np.flatnonzero((rolled < least[:n]) & (rolled <= least[REACH + 1 :])) + 1
-    ends, at = [], 0
+    before, after = least[:n], least[REACH + 1 :]
+    wanted = np.flatnonzero((rolled < before) & (rolled <= after)) + 1
+    # equal least places within REACH: the text repeats itself with a short period
+    level = np.flatnonzero((rolled == before) & (rolled <= after) & (rolled < _NEVER)) + 1
+    if not len(level) and np.diff(np.concatenate([[0], wanted, [n]])).max() <= MOST_BYTES:
+        ends = wanted if len(wanted) and wanted[-1] == n else np.append(wanted, n)
+        return ends, np.ones(len(ends), bool)
+    ends, sure, at, k = [], [], 0, 0
+    level = level.tolist()
     for end in [*wanted.tolist(), n]:
+        first = True
+        while k < len(level) and level[k] < end:
+            # the first such place, and then the last within 2 * REACH of the one before
+            while not first and k + 1 < len(level) and level[k + 1] < end and level[k + 1] - at <= 2 * REACH:
+                k += 1
+            while level[k] - at > MOST_BYTES:
+                at += MOST_BYTES
+                while not starts[at]:
+                    at -= 1
+                ends.append(at)
+                sure.append(False)
+            if level[k] > at:
+                at = level[k]
+                ends.append(at)
+                sure.append(False)
+            k, first = k + 1, False
         while end - at > MOST_BYTES:
             at += MOST_BYTES
             while not starts[at]:
                 at -= 1
             ends.append(at)
+            sure.append(False)
         if end > at:
             ends.append(end)
+            sure.append(True)
             at = end
-    return np.array(ends, np.int64)
+    return np.array(ends, np.int64), np.array(sure)
 
 
-def chunk(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends in code points, numbers of words begun, and digests of a text's chunks."""
-    raw = text.encode()
-    data = np.frombuffer(raw, np.uint8)
-    ends = cuts(data)
+def chunk(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Ends (bytes) and digests of the chunks of a text, its words parted by single spaces, the bounds of passages beside each, and the number of words.
+
+    The bounds are words: a passage that doesn't hold the chunk, but does hold
+    one behind it, begins no earlier than the first; one that holds a chunk
+    before it ends no later than the second.
+    """
+    data = np.frombuffer(text.encode(), np.uint8)
+    space = is_space(data)
+    again = np.zeros(len(data), bool)
+    again[1:] = space[1:] & space[:-1]
+    # words count, not how they are parted
+    data = np.where(space, np.uint8(32), data)[~again]
+    raw = data.tobytes()
+    ends, sure = cuts(data)
     if not len(ends):
-        return ends, ends, ends
-    space = _SPACES[data]
-    begins = ~space
-    begins[1:] &= space[:-1]
-    words = np.diff(np.cumsum(begins)[ends - 1], prepend=0)
-    points = np.cumsum((data & 0xC0) != 0x80)[ends - 1]
+        return ends, ends, ends, ends, 0
+    begins = data != 32
+    begins[1:] &= data[:-1] == 32
+    upto = np.concatenate([[0], np.cumsum(begins)])
     digest, at, digests = xxhash.xxh3_64_intdigest, 0, []
     for end in ends.tolist():
         digests.append(digest(raw[at:end]))
         at = end
-    return points, words, np.array(digests, np.uint64).view(np.int64)
+    # all between two sure cuts is settled by the bytes from somewhat before the first to somewhat behind the second;
+    # a chunk without a sure end by the bytes up to MOST_BYTES behind it, and those before the sure cut before last
+    anchors = np.concatenate([[0], ends[sure]])
+    starts = np.concatenate([[0], ends[:-1]])
+    k = np.searchsorted(anchors, starts, side="right") - 1
+    first = anchors[np.maximum(np.where(sure, k, k - 1), 0)]
+    last = np.append(anchors, len(data))[np.searchsorted(anchors, ends)]
+    last = np.where(sure, last, np.maximum(last, ends + MOST_BYTES))
+    low = np.maximum(upto[np.maximum(first - HASH_BYTES - REACH, 0)] - 1, 0)
+    high = upto[np.minimum(last + REACH, len(data))]
+    return ends, np.array(digests, np.uint64).view(np.int64), low, high, int(upto[-1])
+
+
+def _lists(found: list[np.ndarray], kind: type) -> pa.ListArray:
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, kind), *found]).astype(kind))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """row, doc_id, ends, words and digests (arrays, an entry a chunk) of every row of ``docs``."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+def _key() -> Column:
+    """What stands for a text: its MD5."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """key, doc_id, n_words and digests, low and high (arrays, an entry a chunk) of every row of ``docs``."""
+    rows = docs.where("length(text) > 0").select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [chunk(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"), batch.column("doc_id"), pa.array([c[4] for c in cut], pa.int64()),
+                    _lists([c[1] for c in cut], np.int64), _lists([c[2] for c in cut], np.int32), _lists([c[3] for c in cut], np.int32),
+                ],
+                names=["key", "doc_id", "n_words", "digests", "low", "high"],
+            )
+
+    return rows.mapInArrow(
+        run, "key binary, doc_id long, n_words long, digests array<long>, low array<int>, high array<int>"
     )
 
+
+def _stretches(docs: DataFrame, repeat_words: int) -> DataFrame:
+    """Stretches of the texts in which repeated passages can be, a row for each text that has some.
+
+    key, first_doc (the least doc_id that has the text), copies (2 if several
+    rows have it), ranges (array of words: start, end, start, end, ...), block
+    and blocks: the text's first block of places, and their number.
+    """
+    cut = keep(_chunks(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
+    # rows with equal text are one; its chunks count once
+    texts = cut.groupBy("key").agg(
+        F.min("row").alias("row"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"),
+        F.min("doc_id").alias("first_doc"), F.first("n_words").alias("n_words"), F.first(F.size("digests")).alias("n_chunks"),
+    )
+    texts = keep(texts.where(F.col("n_words") >= repeat_words), "texts")
+    read = cut.join(small_or_not(texts.select("row")), "row", "left_semi")
+    each = read.select("row", F.posexplode(F.arrays_zip("digests", "low", "high")).alias("seq", "c"))
+    each = each.select("row", "seq", F.col("c.digests").alias("digest"), F.col("c.low").alias("low"), F.col("c.high").alias("high"))
+    # a chunk at one place only: the least of its columns are its own
+    once = each.groupBy("digest").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("row", "seq", "low", "high")]).where("n = 1")
+    lone = once.groupBy("row").agg(F.collect_list(F.struct("seq", "low", "high")).alias("lone"))
+    laid = texts.join(lone, "row", "left")
+
+    def ranges_of(lone, n_words: int, n_chunks: int, copies: int) -> np.ndarray:
+        if copies > 1 or lone is None or not len(lone):
+            return np.array([0, n_words])
+        seq, low, high = (lone.field(c).to_numpy() for c in ("seq", "low", "high"))
+        order = np.argsort(seq)
+        seq = np.concatenate([[-1], seq[order], [n_chunks]])
+        low, high = np.concatenate([[0], low[order]]), np.append(high[order], n_words)
+        wide = (np.diff(seq) > 1) & (high - low >= repeat_words)
+        low, high = low[wide], high[wide]
+        if not len(low):
+            return low
+        # ranges that meet are one
+        reached = np.maximum.accumulate(high)
+        new = np.concatenate([[True], low[1:] > reached[:-1]])
+        return np.stack([low[new], reached[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)]], 1).ravel()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [chunk(t.as_py() or "") for t in batch.column("text")]
-            offsets = np.zeros(len(cut) + 1, np.int32)
-            np.cumsum([len(c[0]) for c in cut], out=offsets[1:])
-            lists = [
-                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([c[k] for c in cut]).astype(kind)))
-                if cut
-                else pa.array([], pa.list_(pa.from_numpy_dtype(kind)))
-                for k, kind in enumerate((np.int32, np.int32, np.int64))
+            columns = (batch.column(c) for c in ("lone", "n_words", "n_chunks", "copies"))
+            ranges = [
+                ranges_of(x.values, n.as_py(), k.as_py(), c.as_py()) for x, n, k, c in zip(*columns, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), *lists], names=["row", "doc_id", "ends", "words", "digests"]
+            kept = pa.array([len(r) > 0 for r in ranges])
+            out = pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("key", "first_doc", "copies", "n_words")), _lists(ranges, np.int32)],
+                names=["key", "first_doc", "copies", "n_words", "ranges"],
             )
+            yield out.filter(kept)
 
-    return rows.mapInArrow(run, "row long, doc_id long, ends array<int>, words array<int>, digests array<long>")
+    found = laid.mapInArrow(run, "key binary, first_doc long, copies int, n_words long, ranges array<int>")
+    order = [F.col("first_doc").isNull(), F.col("first_doc"), F.col("key")]
+    blocks = F.shiftright("n_words", BLOCK_BITS) + 1
+    placed = running_totals(found.withColumn("blocks", blocks), order, {"upto": F.col("blocks")})
+    return keep(placed.select("key", "first_doc", "copies", "ranges", (F.col("upto") - F.col("blocks")).alias("block"), "blocks"), "stretches")
 
 
-SPAN = "struct<start: int, end: int, words: int, first_doc: long>"
+def _windows(docs: DataFrame, stretches: DataFrame, repeat_words: int) -> DataFrame:
+    """hash, place and copies of each window of ``repeat_words`` words in the stretches; of equal texts once."""
+    keys = small_or_not(stretches.withColumnRenamed("key", "_key"), 256)
+    rows = docs.where("length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key"))
+    # a row that repeats both doc_id and text counts again, of a text that is counted as several anyway
+    rows = rows.join(keys, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [np.concatenate([f[k] for f in found]) for k in range(3)], names=["hash", "place", "copies"]
+            )
+
+        for batch in batches:
+            found, held = [], 0
+            for text, ranges, block, copies in zip(*(batch.column(c) for c in ("text", "ranges", "block", "copies")), strict=True):
+                _, _, words = hash_words(np.frombuffer(text.as_py().encode(), np.uint8))
+                bounds = ranges.values.to_numpy().reshape(-1, 2).tolist()
+                for a, b in bounds:
+                    hashed = hash_windows(words[a:b], repeat_words).view(np.int64)
+                    place = (block.as_py() << BLOCK_BITS) + np.arange(a, a + len(hashed), dtype=np.int64)
+                    found.append((hashed, place, np.full(len(hashed), copies.as_py(), np.int32)))
+                    held += len(hashed)
+                if held > BATCH_WINDOWS:
+                    yield batch_of(found)
+                    found, held = [], 0
+            if found:
+                yield batch_of(found)
+
+    return rows.select("text", "ranges", "block", "copies").mapInArrow(run, "hash long, place long, copies int")
+
+
+def passages(docs: DataFrame, repeat_words: int = REPEAT_WORDS) -> DataFrame:
+    """key, first_doc, spans and drops of the texts with repeated passages, by words.
+
+    ``spans``: all words of repeated windows; ``drops``: those that no first
+    window holds, for the rows of first_doc (arrays of start, end, start, ...).
+    """
+    stretches = _stretches(docs, repeat_words)
+    firsts = _windows(docs, stretches, repeat_words).groupBy("hash").agg(F.min("place").alias("place"), F.sum("copies").alias("n"))
+    # the number in the block, and whether the window is repeated
+    code = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)), 1) + (F.col("n") > 1).cast("int")
+    told = firsts.select(F.shiftright("place", BLOCK_BITS).alias("at"), code.cast("int").alias("code"))
+    told = told.groupBy("at").agg(F.collect_list("code").alias("codes"))
+    blocks = stretches.select("key", "block", F.explode(F.sequence("block", F.col("block") + F.col("blocks") - 1)).alias("at"))
+    told = told.join(blocks, "at").groupBy("key").agg(F.collect_list(F.struct((F.col("at") - F.col("block")).alias("nth"), "codes")).alias("told"))
+    laid = stretches.join(told, "key", "left")
+
+    def runs(flags: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.diff(flags, prepend=False, append=False))
+
+    def covered(windows: np.ndarray) -> np.ndarray:
+        """The words of the windows (flags of their first words)."""
+        depth = np.zeros(len(windows) + repeat_words, np.int32)
+        at = np.flatnonzero(windows)
+        np.add.at(depth, at, 1)
+        np.add.at(depth, at + repeat_words, -1)
+        return np.cumsum(depth)[:-1] > 0
+
+    def spans_of(ranges: np.ndarray, told) -> tuple[np.ndarray, np.ndarray]:
+        n = int(ranges[-1])
+        repeated, first = np.zeros(n, bool), np.zeros(n, bool)
+        for a, b in ranges.reshape(-1, 2).tolist():
+            repeated[a : max(a, b - repeat_words + 1)] = True
+        for one in told or ():
+            codes = one["codes"].values.to_numpy().astype(np.int64)
+            at = (int(one["nth"].as_py()) << BLOCK_BITS) + (codes >> 1)
+            repeated[at[codes % 2 == 0]] = False
+            first[at[codes % 2 == 1]] = True
+        spans = covered(repeated)
+        return runs(spans), runs(spans & ~covered(first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [spans_of(r.values.to_numpy(), t.values) for r, t in zip(batch.column("ranges"), batch.column("told"), strict=True)]
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("first_doc"), *(_lists([f[k] for f in found], np.int32) for k in (0, 1))],
+                names=["key", "first_doc", "spans", "drops"],
+            )
+            yield out.filter(pa.array([len(f[0]) > 0 for f in found]))
 
-def repeats(docs: DataFrame, repeat_words: int = REPEAT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """Passages of ``docs`` (doc_id, text) that other documents hold too.
+    return laid.mapInArrow(run, "key binary, first_doc long, spans array<int>, drops array<int>")
 
-    Returns a row for each row with such passages: row (an id of the row),
-    doc_id and spans, an array of start, end (code points, end exclusive; whole
-    chunks), words and first_doc, the least doc_id that holds the passage's
-    first chunk. In the row of that document the passage is the one to keep.
 
-    Repeats within one document, or within rows of one doc_id, don't count.
-    Rows without doc_id are each a document of their own; first_doc is negative
-    where only such rows hold the passage. Null and empty texts have no
-    passages; other columns are ignored.
+SPAN = "struct<start: int, end: int, words: int>"
+
+
+def repeats(docs: DataFrame, repeat_words: int = REPEAT_WORDS) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text and others) that hold repeated passages, with spans and drops.
+
+    ``spans``: the passages (start, end in code points, end exclusive; words),
+    whole and apart, each of ``repeat_words`` words or more that stand elsewhere
+    too, in this document or another. ``drops``: what of them is not the first
+    of its kind, first by doc_id, then by place; it may go.
+
+    Rows with equal text are copies, of which those of the least doc_id are
+    first (all of them, if rows repeat both doc_id and text, or if no copy has a
+    doc_id). Rows without doc_id come last. Null and empty texts have no
+    passages; an empty table gives an empty result. Columns named spans or drops
+    are replaced, others pass through.
     """
-    cut = keep(chunks(docs), "chunks")
-    holder = F.coalesce("doc_id", -1 - F.col("row")).alias("holder")
-    each = cut.select("row", holder, F.posexplode("digests").alias("seq", "digest"))
-    shared = each.groupBy("digest").agg(F.min("holder").alias("first"), F.max("holder").alias("last"))
-    shared = shared.where("first < last").select("digest", "first")
-    found = each.select("row", "seq", "digest").join(shared, "digest")
-    hits = found.groupBy("row").agg(F.collect_list(F.struct("seq", "first")).alias("hits"))
-    laid = hits.join(cut.select("row", "doc_id", "ends", "words"), "row")
-
-    def spans_of(ends: np.ndarray, words: np.ndarray, seqs: np.ndarray, firsts: np.ndarray) -> list[dict]:
-        order = np.argsort(seqs)
-        seqs, firsts = seqs[order], firsts[order]
-        breaks = np.flatnonzero(np.diff(seqs) != 1) + 1
-        upto = np.concatenate([[0], np.cumsum(words)])
-        at = np.concatenate([[0], ends])
-        far = lambda place: np.interp(place, at, upto)  # noqa: E731  words up to a place, spread evenly in a chunk
-        spans = []
-        for a, b in zip(np.concatenate([[0], breaks]), np.concatenate([breaks, [len(seqs)]]), strict=True):
-            i, j = int(seqs[a]), int(seqs[b - 1])
-            n = int(upto[j + 1] - upto[i])
-            # code points are no more than bytes, so this reaches far enough
-            low, high = at[max(i - 1, 0)] - HASH_BYTES - REACH, at[min(j + 2, len(words))] + REACH
-            around = np.ceil(far(high)) - np.floor(far(low))
-            if n >= min(run_words, repeat_words) and around >= repeat_words:
-                start = int(ends[i - 1]) if i else 0
-                spans.append({"start": start, "end": int(ends[j]), "words": n, "first_doc": int(firsts[a])})
-        return spans
+    docs = docs.drop("spans", "drops")
+    found = keep(passages(docs, repeat_words), "passages")
+    key, doc = fresh(docs, "_key", "_first")
+    found = found.select(F.col("key").alias(key), F.col("first_doc").alias(doc), "spans", "drops")
+    own = F.unhex(F.md5(F.col("text").cast("binary")))
+    rows = docs.join(small_or_not(found, 256), own == F.col(key))
+    # other copies go as a whole
+    drops = F.when(F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), F.col("drops")).otherwise(F.col("spans"))
+    rows = rows.select(*[F.col(c) for c in docs.columns], "spans", drops.alias("drops"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(
-            pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first_doc", pa.int64())])
-        )
         for batch in batches:
-            rows, ids, spans = [], [], []
-            columns = [batch.column(c) for c in ("row", "doc_id", "ends", "words", "hits")]
-            for row, doc_id, ends, words, hit in zip(*columns, strict=True):
-                hit = hit.values
-                found = spans_of(
-                    ends.values.to_numpy(),
-                    words.values.to_numpy(),
-                    hit.field("seq").to_numpy(),
-                    hit.field("first").to_numpy(),
-                )
-                if found:
-                    rows.append(row.as_py())
-                    ids.append(doc_id.as_py())
-                    spans.append(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(spans, kind)],
-                names=["row", "doc_id", "spans"],
-            )
+            laid: list[list] = [[], []]
+            for text, *both in zip(batch.column("text"), batch.column("spans"), batch.column("drops"), strict=True):
+                data = np.frombuffer(text.as_py().encode(), np.uint8)
+                starts, ends, _ = hash_words(data)
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                for out, words in zip(laid, both, strict=True):
+                    bounds = words.values.to_numpy().reshape(-1, 2).tolist()
+                    out.append([{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]]), "words": b - a} for a, b in bounds])
+            columns = [batch.column(c) for c in names] + [pa.array(x, kind) for x in laid]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "spans", "drops"])
 
-    return laid.mapInArrow(run, f"row long, doc_id long, spans array<{SPAN}>")
+    none = F.lit(None).cast(f"array<{SPAN}>")
+    return rows.mapInArrow(run, docs.withColumns({"spans": none, "drops": none}).schema)
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -212,34 +389,35 @@ def without(text: Column, spans: Column) -> Column:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages left only in the document of least id that holds them.
+    """``docs`` with repeated passages left only where they stand first.
 
-    All rows and columns stay (but for any named _n or _spans); only texts get shorter. Rows that repeat a
-    doc_id with another text are left as they are, for spans go by doc_id.
+    All rows and columns stay, and only texts get shorter: see `repeats` for
+    copies, nulls and rows that repeat a doc_id. A text is settled by its own
+    passages, so of each passage one place at least stays whole.
     """
-    docs = docs.drop("_n", "_spans")
-    spans = repeats(docs)
-    once = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n = 1 and doc_id is not null").drop("_n")
-    drop = spans.join(once, "doc_id").select(
-        "doc_id", F.filter("spans", lambda s: s["first_doc"] != F.col("doc_id")).alias("_spans")
-    )
-    marked = docs.join(drop.where(F.size("_spans") > 0), "doc_id", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_spans")))
-    return marked.withColumn("text", text).select(*docs.columns)
+    spans, drops, key = fresh(docs, "spans", "drops", "_text")
+    found = repeats(docs.select("doc_id", "text")).select("doc_id", "text", F.col("drops"))
+    # one row a text and doc_id, of which all rows have the same drops
+    found = found.groupBy(F.col("doc_id").alias(spans), F.unhex(F.md5(F.col("text").cast("binary"))).alias(key)).agg(F.first("drops").alias(drops))
+    found = small_or_not(keep(found.where(F.size(drops) > 0), "drops"), 256)
+    own = F.unhex(F.md5(F.col("text").cast("binary")))
+    marked = docs.join(found, F.col("doc_id").eqNullSafe(F.col(spans)) & (own == F.col(key)), "left")
+    text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(drops)))
+    return marked.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents that hold passages of some 50 words or more that other documents hold too."""
-    found = repeats(table(spark, sf_dir, "documents"))
+    """All documents that hold passages of 50 words or more that stand elsewhere too."""
+    found = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["words"])
-    dropped = F.filter("spans", lambda s: s["first_doc"] != F.col("doc_id"))
+    spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return found.select(
         "doc_id",
         F.size("spans").cast("long").alias("n_spans"),
         words(F.col("spans")).alias("repeated_words"),
-        words(dropped).alias("dropped_words"),
-        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
-        F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["first_doc"]))).alias("first_docs"),
+        words(F.col("drops")).alias("dropped_words"),
+        spelled(F.col("spans")).alias("spans"),
+        spelled(F.col("drops")).alias("drops"),
     )
 
 

@@ -105,63 +105,6 @@ def test_components_of_chains_rings_and_stars(spark):
     assert not components(df.limit(0)).collect()
 
 
-def test_substrings(spark, docs):
-    from millrace.llm import substrings as sub
-
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    holders = defaultdict(set)
-    for i, (d, t) in enumerate(rows):
-        words = WORD.findall(t or "")
-        for j in range(len(words) - 50):
-            holders[tuple(words[j : j + 51])].add(d if d is not None else f"row {i}")
-    want = {d for s in holders.values() if len(s) > 1 for d in s}
-    found = sub.repeats(docs).collect()
-    assert want <= {r.doc_id for r in found}
-    assert not {r.doc_id for r in found} & set(range(60))
-    text = {}
-    for d, t in rows:
-        text.setdefault(d, t)
-    for r in found:
-        for s in r.spans:
-            assert len(WORD.findall(text[r.doc_id][s.start : s.end])) >= sub.RUN_WORDS - 2
-    cleaned = {r.doc_id: r.text for r in sub.dedup(docs.where("doc_id not in (5, 6)")).collect()}
-    whole = sum(len(text[d] or "") for d in range(160, 200))
-    assert sum(len(cleaned[d] or "") for d in range(160, 200)) < 0.75 * whole
-    assert all(cleaned[d] == text[d] for d in (*range(5), *range(7, 60), 160, 200, 201, 202))
-    assert not sub.repeats(docs.limit(0)).collect()
-
-
-def test_substrings_just_over_fifty_words(spark):
-    from millrace.llm import substrings as sub
-
-    rng = random.Random(8)
-    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 6))) for _ in range(n))
-    rows, planted = [], {}
-    for n in (51, 52, 53, 54, 55, 60, 15):
-        for _ in range(100):
-            passage = prose(n)
-            for _ in range(2):
-                planted[len(rows)] = n
-                rows.append((len(rows), " ".join([prose(rng.randint(40, 90)), passage, prose(rng.randint(40, 90))])))
-    found = {r.doc_id for r in sub.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert Counter(planted[i] for i in found) == {n: 200 for n in (51, 52, 53, 54, 55, 60)}
-
-
-def test_cuts_resist_insertions():
-    from millrace.llm import substrings as sub
-
-    rng = random.Random(5)
-    text = " ".join("".join(rng.choices("abcdeféß", k=5)) for _ in range(2000))
-    own = set(sub.chunk(text)[2].tolist())
-    moved = set(sub.chunk(text[:3000] + "inserted words é " + text[3000:])[2].tolist())
-    assert len(own - moved) <= 4
-    ends, _, _ = sub.chunk(text)
-    assert ends[-1] == len(text) and (np.diff(ends) > 0).all()
-    for odd in ("", "a", "é" * 1000, "🙂" * 500, "x" * 5000, " " * 300):
-        ends = sub.chunk(odd)[0]
-        assert (len(odd) == 0 and len(ends) == 0) or ends[-1] == len(odd)
-
-
 def test_mixing_near_targets(spark, docs):
     from millrace.llm.mixing import mix
 
