@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, hash_windows, hash_words, is_space, keep, running_totals, small_or_not, table
+from .common import fresh, hash_windows, hash_words, is_space, keep, mix64, running_totals, small_or_not, table
 
 MOST_BYTES = 128
 #: Places on either side of a cut whose hashes are no less: a cut in 2 * REACH + 1 bytes, and never two within REACH.
@@ -250,8 +250,12 @@ def _stretches(docs: DataFrame, repeat_words: int) -> DataFrame:
     return keep(placed.select("key", "first_doc", "copies", "ranges", (F.col("upto") - F.col("blocks")).alias("block"), "blocks"), "stretches")
 
 
-def _windows(docs: DataFrame, stretches: DataFrame, repeat_words: int) -> DataFrame:
-    """hash, place and copies of each window of ``repeat_words`` words in the stretches; of equal texts once."""
+def _windows(docs: DataFrame, stretches: DataFrame, repeat_words: int, across: bool) -> DataFrame:
+    """hash, place and copies of each window of ``repeat_words`` words in the stretches; of equal texts once.
+
+    ``across``: a window that its document had before gets a hash of its own
+    and, for copies, where that was: -1 - the number of the word.
+    """
     keys = small_or_not(stretches.withColumnRenamed("key", "_key"), 256)
     rows = docs.where("length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key"))
     # a row that repeats both doc_id and text counts again, of a text that is counted as several anyway
@@ -268,11 +272,18 @@ def _windows(docs: DataFrame, stretches: DataFrame, repeat_words: int) -> DataFr
             for text, ranges, block, copies in zip(*(batch.column(c) for c in ("text", "ranges", "block", "copies")), strict=True):
                 _, _, words = hash_words(np.frombuffer(text.as_py().encode(), np.uint8))
                 bounds = ranges.values.to_numpy().reshape(-1, 2).tolist()
-                for a, b in bounds:
-                    hashed = hash_windows(words[a:b], repeat_words).view(np.int64)
-                    place = (block.as_py() << BLOCK_BITS) + np.arange(a, a + len(hashed), dtype=np.int64)
-                    found.append((hashed, place, np.full(len(hashed), copies.as_py(), np.int32)))
-                    held += len(hashed)
+                at = np.concatenate([np.arange(a, b - repeat_words + 1) for a, b in bounds])
+                hashed = np.concatenate([hash_windows(words[a:b], repeat_words) for a, b in bounds])
+                times = np.full(len(at), copies.as_py(), np.int32)
+                place = (block.as_py() << BLOCK_BITS) + at
+                if across:
+                    _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+                    before = at[first[which]]
+                    again = before < at
+                    hashed[again] = mix64(hashed[again] ^ mix64(place[again].view(np.uint64)))
+                    times[again] = -1 - before[again]
+                found.append((hashed.view(np.int64), place, times))
+                held += len(at)
                 if held > BATCH_WINDOWS:
                     yield batch_of(found)
                     found, held = [], 0
@@ -282,17 +293,19 @@ def _windows(docs: DataFrame, stretches: DataFrame, repeat_words: int) -> DataFr
     return rows.select("text", "ranges", "block", "copies").mapInArrow(run, "hash long, place long, copies int")
 
 
-def passages(docs: DataFrame, repeat_words: int = REPEAT_WORDS) -> DataFrame:
+def passages(docs: DataFrame, repeat_words: int = REPEAT_WORDS, across: bool = False) -> DataFrame:
     """key, first_doc, spans and drops of the texts with repeated passages, by words.
 
     ``spans``: all words of repeated windows; ``drops``: those that no first
     window holds, for the rows of first_doc (arrays of start, end, start, ...).
     """
     stretches = _stretches(docs, repeat_words)
-    firsts = _windows(docs, stretches, repeat_words).groupBy("hash").agg(F.min("place").alias("place"), F.sum("copies").alias("n"))
-    # the number in the block, and whether the window is repeated
-    code = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)), 1) + (F.col("n") > 1).cast("int")
-    told = firsts.select(F.shiftright("place", BLOCK_BITS).alias("at"), code.cast("int").alias("code"))
+    windows = _windows(docs, stretches, repeat_words, across)
+    firsts = windows.groupBy("hash").agg(F.min("place").alias("place"), F.sum("copies").alias("n"), F.min("copies").alias("least"))
+    # the number in the block, whether the window is repeated, and above 32 bits where its document had it before
+    code = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)), 1) + (F.col("n") > 1).cast("long")
+    code += F.when(F.col("least") < 0, F.shiftleft(-F.col("least").cast("long"), 32)).otherwise(0)
+    told = firsts.select(F.shiftright("place", BLOCK_BITS).alias("at"), code.alias("code"))
     told = told.groupBy("at").agg(F.collect_list("code").alias("codes"))
     blocks = stretches.select("key", "block", F.explode(F.sequence("block", F.col("block") + F.col("blocks") - 1)).alias("at"))
     told = told.join(blocks, "at").groupBy("key").agg(F.collect_list(F.struct((F.col("at") - F.col("block")).alias("nth"), "codes")).alias("told"))
@@ -310,15 +323,19 @@ def passages(docs: DataFrame, repeat_words: int = REPEAT_WORDS) -> DataFrame:
         return np.cumsum(depth)[:-1] > 0
 
     def spans_of(ranges: np.ndarray, told) -> tuple[np.ndarray, np.ndarray]:
-        n = int(ranges[-1])
+        n, links = int(ranges[-1]), []
         repeated, first = np.zeros(n, bool), np.zeros(n, bool)
         for a, b in ranges.reshape(-1, 2).tolist():
             repeated[a : max(a, b - repeat_words + 1)] = True
         for one in told or ():
-            codes = one["codes"].values.to_numpy().astype(np.int64)
-            at = (int(one["nth"].as_py()) << BLOCK_BITS) + (codes >> 1)
-            repeated[at[codes % 2 == 0]] = False
-            first[at[codes % 2 == 1]] = True
+            codes = one["codes"].values.to_numpy()
+            at = (int(one["nth"].as_py()) << BLOCK_BITS) + ((codes & 0xFFFFFFFF) >> 1)
+            before = (codes >> 32) - 1
+            repeated[at[(codes % 2 == 0) & (before < 0)]] = False
+            first[at[(codes % 2 == 1) & (before < 0)]] = True
+            links.append((at[before >= 0], before[before >= 0]))
+        for at, before in links:
+            repeated[at] = repeated[before]
         spans = covered(repeated)
         return runs(spans), runs(spans & ~covered(first))
 
@@ -337,13 +354,14 @@ def passages(docs: DataFrame, repeat_words: int = REPEAT_WORDS) -> DataFrame:
 SPAN = "struct<start: int, end: int, words: int>"
 
 
-def repeats(docs: DataFrame, repeat_words: int = REPEAT_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, repeat_words: int = REPEAT_WORDS, across: bool = False) -> DataFrame:
     """Rows of ``docs`` (doc_id, text and others) that hold repeated passages, with spans and drops.
 
     ``spans``: the passages (start, end in code points, end exclusive; words),
     whole and apart, each of ``repeat_words`` words or more that stand elsewhere
-    too, in this document or another. ``drops``: what of them is not the first
-    of its kind, first by doc_id, then by place; it may go.
+    too, in this document or another (``across``: in another row, only).
+    ``drops``: what of them is not the first of its kind, first by doc_id, then
+    by place; it may go.
 
     Rows with equal text are copies, of which those of the least doc_id are
     first (all of them, if rows repeat both doc_id and text, or if no copy has a
@@ -352,7 +370,7 @@ def repeats(docs: DataFrame, repeat_words: int = REPEAT_WORDS) -> DataFrame:
     are replaced, others pass through.
     """
     docs = docs.drop("spans", "drops")
-    found = keep(passages(docs, repeat_words), "passages")
+    found = keep(passages(docs, repeat_words, across), "passages")
     key, doc = fresh(docs, "_key", "_first")
     found = found.select(F.col("key").alias(key), F.col("first_doc").alias(doc), "spans", "drops")
     own = F.unhex(F.md5(F.col("text").cast("binary")))
@@ -407,8 +425,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents that hold passages of 50 words or more that stand elsewhere too."""
-    found = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents with passages of 50 words or more that repeat across documents."""
+    found = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), across=True)
     words = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["words"])
     spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return found.select(

@@ -9,7 +9,7 @@ import numpy as np
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, n=50):
+def brute(rows, n=50, across=False):
     """doc_id, spans and drops of every row with windows of n words that stand at two places or more."""
     places = defaultdict(list)
     words = [list(WORD.finditer(t or "")) for _, t in rows]
@@ -19,7 +19,7 @@ def brute(rows, n=50):
             places[tuple(w[j : j + n])].append((i, j))
     repeated, first = [set() for _ in rows], [set() for _ in rows]
     for found in places.values():
-        if len(found) > 1:
+        if len({i for i, _ in found}) > 1 or (len(found) > 1 and not across):
             for i, j in found:
                 repeated[i].update(range(j, j + n))
                 # rows that repeat doc_id and text of the first aren't told apart from it
@@ -38,10 +38,10 @@ def brute(rows, n=50):
     return Counter((rows[i][0], spans(i, repeated[i]), spans(i, repeated[i] - first[i])) for i in range(len(rows)) if repeated[i])
 
 
-def found(df, n=50):
+def found(df, n=50, across=False):
     from millrace.llm import substrings as sub
 
-    return Counter((r.doc_id, tuple(map(tuple, r.spans)), tuple(map(tuple, r.drops))) for r in sub.repeats(df, n).collect())
+    return Counter((r.doc_id, tuple(map(tuple, r.spans)), tuple(map(tuple, r.drops))) for r in sub.repeats(df, n, across).collect())
 
 
 def hard(seed):
@@ -78,6 +78,7 @@ def test_repeats_equal_brute_force(spark):
         rows = hard(seed)
         table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
         assert found(table) == brute(rows)
+        assert found(table, across=True) == brute(rows, across=True)
     assert found(table, 20) == brute(rows, 20)
     assert not found(table.limit(0))
 
