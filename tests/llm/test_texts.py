@@ -170,22 +170,89 @@ def test_secrets_short_among_many(spark):
     assert caught[0] <= 0.1 * len(hit), caught
 
 
-def test_fingerprints(spark, docs):
+def _plain_anchors(text, k=24, s=8):
+    """Closed syncmers as defined: k-mers whose least inner s-mer is the first or the last, with hash and place."""
+    mask, base = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def rolled(part):
+        h = 0
+        for c in part:
+            h = (h * base + ord(c) + 1) & mask
+        return h
+
+    if len(text) < k:
+        h = len(text)
+        for c in text:
+            h = (h * base + ord(c) + 1) & mask
+        return [(0, mix(h))] if text else []
+    found = []
+    for i in range(len(text) - k + 1):
+        inner = [mix(rolled(text[i + j : i + j + s])) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.append((i, mix(rolled(text[i : i + k]))))
+    return found
+
+
+def _plain_print(text):
+    first = {}
+    for at, h in _plain_anchors(text):
+        first.setdefault(h >> 32, at)
+    kept = {h: at for h, at in first.items() if len(first) <= 128 or h % 4 == 0}
+    return kept, len(first) > 128
+
+
+def _plain_likeness(a, b):
+    (x, more_x), (y, more_y) = _plain_print(a), _plain_print(b)
+    if (x, more_x) == (y, more_y):
+        return 1.0
+    if more_x or more_y:
+        x, y = ({h: at for h, at in z.items() if h % 4 == 0} for z in (x, y))
+    shifts = Counter(y[h] - x[h] for h in x.keys() & y.keys())
+    agreed = sum(n for n in shifts.values() if n >= min(2, len(x), len(y)))
+    return agreed / len(x.keys() | y.keys()) if x.keys() | y.keys() else 0.0
+
+
+def test_fingerprints_equal_brute_force(spark, docs):
     from millrace.llm import fingerprints as fp
 
-    texts = [r.text or "" for r in docs.collect()]
-    long = max(texts[:60], key=len)
+    rng = random.Random(9)
+    texts = [r.text or "" for r in docs.collect() if len(r.text or "") < 3000] + ["abc" * 40, "a", "x" * 23, "y" * 24, "é🙂" * 300]
+    for text in texts:
+        assert [(int(a), int(h)) for a, h in zip(*fp.anchors(text), strict=True)] == _plain_anchors(text)
+        kept, more = _plain_print(text)
+        spelled = "".join(f"{h:08x}{at:08x}" for h, at in sorted(kept.items(), key=lambda x: x[1]))
+        assert fp.fingerprint(text) == (f"{int(more)}{spelled}" if text else "")
+    for _ in range(150):
+        a, b = rng.choice(texts), rng.choice(texts)
+        cut = rng.randint(0, len(a))
+        for other in (b, a[:cut] + b[: len(a) - cut], a[:cut] + "inserted " + a[cut:]):
+            assert fp.likeness(fp.fingerprint(a), fp.fingerprint(other)) == _plain_likeness(a, other)
+
+
+def test_fingerprints_match_by_position(spark, docs):
+    from millrace.llm import fingerprints as fp
+
+    long = max((r.text or "" for r in docs.limit(60).collect()), key=len)
     # context-free: anchors of a passage are the same, shifted, wherever it stands
     at, hashed = fp.anchors(long)
-    moved, again = fp.anchors("some words before " + long)
-    assert set(hashed.tolist()) <= set(again.tolist())
+    assert set(hashed.tolist()) <= set(fp.anchors("some words before " + long)[1].tolist())
     assert fp.align(fp.fingerprint(long), fp.fingerprint("some words before " + long))[0] == 18
-    # closed: the least inner s-mer is at an edge; so every window of k - s + 1 k-mers has an anchor
-    gaps = [b - a for a, b in zip(at.tolist(), at.tolist()[1:], strict=False)]
-    assert max(gaps) <= fp.K - fp.S + 1
-    brute = lambda a, b: len(set(fp.anchors(a)[1].tolist()) & set(fp.anchors(b)[1].tolist())) / max(1, len(set(fp.anchors(a)[1].tolist()) | set(fp.anchors(b)[1].tolist())))
-    half = long[: len(long) // 2]
-    assert abs(fp.likeness(fp.fingerprint(long), fp.fingerprint(half)) - brute(long, half)) < 0.2
+    half = len(long) // 2
+    shifts, votes, _ = fp.matching(fp.fingerprint(long), fp.fingerprint(long[:half] + " and " + long[half:]))
+    assert {0, 5} <= set(shifts[:2].tolist()) and votes[:2].sum() > 0.9 * votes.sum()
+    # the same anchors in another order are less alike than in their own
+    parts = [long[i : i + 60] for i in range(0, len(long), 60)]
+    mixed = "".join(sorted(parts))
+    assert fp.likeness(fp.fingerprint(long), fp.fingerprint(mixed)) < 0.5
+    # one of half the length shares half; all of a text of any length takes part
+    whole = " ".join(str(i * 7919) for i in range(40_000))
+    assert abs(fp.likeness(fp.fingerprint(whole), fp.fingerprint(whole[: len(whole) // 2])) - 0.5) < 0.03
+    assert len(fp.fingerprint(whole)) > 16 * len(whole) / 60
     assert fp.likeness("", "") == 1 and fp.likeness("", fp.fingerprint("abc")) == 0
 
 
@@ -193,12 +260,20 @@ def test_fingerprints_follow_the_next_document(spark):
     from millrace.llm import fingerprints as fp
 
     rows = [(i * 3 % 101, f"text {i} " * (i % 13)) for i in range(101)] + [(5, None), (5, "again"), (5, "again"), (None, "lost"), (None, "lost too")]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    found = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint) for r in fp.compare_next(table).collect())
+    rows += [(200, "long text " * 30_000), (201, " ".join(map(str, range(20_000))))]
+    table = spark.createDataFrame([(*r, 3, "x") for r in rows], "doc_id long, text string, bucket int, guest string").repartition(4)
+    found = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in fp.compare_next(table).collect())
     order = sorted([(i, t or "") for i, t in rows if i is not None])
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    want = Counter((i, len(t), sha(fp.edit(t, order[(k + 1) % len(order)][1])), fp.fingerprint(t)) for k, (i, t) in enumerate(order))
-    want.update((None, len(t), sha(fp.edit(t, "")), fp.fingerprint(t)) for i, t in rows if i is None)
+
+    def row(i, text, following):
+        quarter = len(text) // 4
+        edited = text[: len(text) - quarter] + following[:quarter]
+        like = _plain_likeness if len(text) + len(following) < 3000 else lambda a, b: fp.likeness(fp.fingerprint(a), fp.fingerprint(b))
+        return i, len(text), sha(edited), fp.fingerprint(text), like(text, edited), like(text, following)
+
+    want = Counter(row(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    want.update(row(None, t, "") for i, t in rows if i is None)
     assert found == want
     assert not fp.compare_next(table.limit(0)).collect()
     assert fp.compare_next(table.where("doc_id = 7")).count() == 1
