@@ -90,6 +90,11 @@ class Tokenizer:
     def load(cls, path: str) -> Tokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        kinds = [
+            [n["type"] for n in spec["normalizer"]["normalizers"]], [p["type"] for p in spec["pre_tokenizer"]["pretokenizers"]]
+        ]
+        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]:
+            raise ValueError(f"a tokenizer of another kind: {kinds}")
         model, suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -246,7 +251,12 @@ def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encodes and decodes in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encodes and decodes in one pass.
+
+    Null and empty texts have no tokens and the digests of the empty text; long
+    texts are encoded whole. Rows are encoded one by one, repeats too; other
+    columns are ignored, and an empty table gives an empty result.
+    """
     sent = send(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

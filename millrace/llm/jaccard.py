@@ -297,14 +297,10 @@ def _meet(pairs: DataFrame, orders: DataFrame) -> DataFrame:
     return both.where(meets).select("a", "b")
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """As `jaccard_join`, with text_key (xxhash64 of the text) and root, a digest that just a component's rows share.
 
-    component_id is the least doc_id that links reach, the row's own included.
-    Null texts and texts without words have no shingles and link with nothing.
-    Rows with one doc_id are documents of their own; rows without doc_id link
-    like others but give a component no id (it is null if no row has one). An
-    empty table gives an empty result. Other columns are ignored.
+    root is null for rows without shingles.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     light = keep(_sets(rows), "sets")
@@ -323,12 +319,26 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     joined = classes.select("digest", "least_doc").join(roots, F.col("digest") == F.col("node"))
     ids = joined.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = joined.join(ids, "root").select("digest", "component_id")
-    all_classes = classes.select("digest", "least_doc").join(named, "digest", "left")
-    all_classes = all_classes.select("digest", F.coalesce("component_id", "least_doc").alias("component_id"))
-    alone = light.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    linked = light.where("n > 0").join(all_classes, "digest")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    named = joined.join(ids, "root").select("digest", "root", "component_id")
+    # a class without links is a component of its own
+    own = classes.select("digest", "least_doc").join(named, "digest", "left")
+    component = F.when(F.col("root").isNull(), F.col("least_doc")).otherwise(F.col("component_id"))
+    own = own.select("digest", F.coalesce("root", "digest").alias("root"), component.alias("component_id"))
+    columns = ("doc_id", "text_key", F.col("n").alias("n_shingles"))
+    alone = light.where("n = 0").select(*columns, F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("component_id"))
+    return light.where("n > 0").join(own, "digest").select(*columns, "root", "component_id").union(alone)
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+
+    component_id is the least doc_id that links reach, the row's own included.
+    Null texts and texts without words have no shingles and link with nothing.
+    Rows with one doc_id are documents of their own; rows without doc_id link
+    like others but give a component no id (it is null if no row has one). An
+    empty table gives an empty result. Other columns are ignored.
+    """
+    return linked_rows(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ spread over all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,11 +73,13 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: int = 17,
     size: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """How often each row of ``docs`` (doc_id, source, text) is in the mix.
 
     Returns doc_id, source, size, source_size, weight, target, epochs, taken,
-    a row per input row. ``budget``: tokens of the mix, all by default.
+    a row per input row, and the columns named in ``carry``. ``budget``: tokens
+    of the mix, all by default.
     ``weights``: a column over ``source`` and ``rank`` (from 1, by code point,
     null last), by default 1, 2, 3 repeating. A mix never holds part of a
     document, so it ends within one document of the budget.
@@ -86,13 +90,13 @@ def mix(
     first. An empty table gives an empty mix. Other columns are ignored.
     """
     measured = n_words(F.col("text")) if size is None else size
-    sized = keep(docs.select("doc_id", "source", measured.alias("size")), "sized")
+    sized = keep(docs.select("doc_id", "source", measured.alias("size"), *carry), "sized")
     if budget is None:
         budget = sized.agg(F.sum("size")).first()[0] or 0
     sources = keep(_sources(sized, budget, weights, max_epochs), "targets")
     queued = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     queued = queued.drop("_source").withColumn("_shuffled", shuffle_key(seed))
-    order = [F.col("_shuffled"), F.col("doc_id"), F.col("size")]
+    order = [F.col("_shuffled"), F.col("doc_id"), F.col("size"), *map(F.col, carry)]
     queued = running_totals(queued, order, {"_done": F.col("size")}, within=["rank"])
     queued = keep(queued, "queued")
 
@@ -114,7 +118,7 @@ def mix(
 
     epochs = sum((is_taken(e) for e in range(1, max_epochs)), is_taken(0))
     return queued.select(
-        "doc_id", "source", "size", "source_size", "weight", "target", epochs.alias("epochs")
+        "doc_id", "source", "size", "source_size", "weight", "target", epochs.alias("epochs"), *carry
     ).withColumn("taken", F.col("size") * F.col("epochs"))
 
 

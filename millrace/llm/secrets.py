@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, let, running_totals, table
+from .common import fresh, keep, let, running_totals, table
 
 # The base patterns, with the group and the least length that count.
 KINDS = {
@@ -218,9 +218,9 @@ def _weighted(c: Column, mean_weight: Column | float) -> Column:
     return c["p"] * mean_weight / _weight(c["start"], c["end"])
 
 
-def discoveries(measured: DataFrame, fdr: float = FDR) -> tuple[float, float]:
-    """Mean weight and largest weighted p-value of the tokens reported, over all rows (-1 if none is)."""
-    tokens = keep(measured.select(F.explode("_candidates").alias("c")).select("c.*"), "tokens")
+def discoveries(candidates: DataFrame, fdr: float = FDR) -> tuple[float, float]:
+    """Mean weight and largest weighted p-value of the tokens reported (-1 if none is), over all ``candidates`` (an array a row)."""
+    tokens = keep(candidates.select(F.explode(candidates.columns[0]).alias("c")).select("c.*"), "tokens")
     weight = _weight(F.col("start"), F.col("end"))
     n, mean_weight = tokens.agg(F.count("*"), F.avg(weight)).first()
     if not n:
@@ -231,27 +231,31 @@ def discoveries(measured: DataFrame, fdr: float = FDR) -> tuple[float, float]:
     return mean_weight, -1.0 if last is None else last
 
 
-def find(docs: DataFrame, columns: list[str] | None = None, fdr: float = FDR) -> DataFrame:
+def find(
+    docs: DataFrame, columns: list[str] | None = None, fdr: float = FDR, names: tuple[str, str] = ("base_spans", "spans")
+) -> DataFrame:
     """Rows of ``docs`` (text and others) with base_spans and spans.
 
     Each span is (start, kind, end), kind the place in ``KINDS``, or 3 for
     tokens of the battery; spans are in order of start and kind. ``columns``:
-    those to return, all by default. Columns named base_spans, spans,
-    _base or _candidates are replaced or left out. Null and empty texts have no spans. Copies get equal spans; every
-    row counts in the false-discovery control.
+    those to return, all by default. ``names``: what the two new columns are
+    called; columns of these names are replaced, all others pass through.
+
+    Null and empty texts have no spans; texts and tokens of any length are
+    scanned whole. Copies get equal spans; every row counts in the
+    false-discovery control. An empty table gives an empty result.
     """
-    kept = [c for c in (columns or docs.columns) if c not in ("base_spans", "spans", "_base", "_candidates")]
+    kept = [c for c in (columns or docs.columns) if c.lower() not in [n.lower() for n in names]]
+    base, tokens = fresh(docs, "_base", "_candidates")
     text = F.coalesce("text", F.lit(""))
-    measured = docs.withColumn("_base", base_spans(text)).withColumn("_candidates", candidates(text, F.col("_base")))
-    measured = keep(measured.select(*kept, "_base", "_candidates"), "measured")
-    mean_weight, last = discoveries(measured, fdr)
-    found = F.filter("_candidates", lambda c: _weighted(c, mean_weight) <= last)
+    measured = docs.withColumn(base, base_spans(text)).withColumn(tokens, candidates(text, F.col(base)))
+    measured = keep(measured.select(*kept, base, tokens), "measured")
+    mean_weight, last = discoveries(measured.select(tokens), fdr)
+    found = F.filter(tokens, lambda c: _weighted(c, mean_weight) <= last)
     spans = F.transform(
         found, lambda c: F.struct(c["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), c["end"].alias("end"))
     )
-    return measured.select(
-        *kept, F.col("_base").alias("base_spans"), F.array_sort(F.concat("_base", spans)).alias("spans")
-    )
+    return measured.select(*kept, F.col(base).alias(names[0]), F.array_sort(F.concat(base, spans)).alias(names[1]))
 
 
 def spelled(spans: Column) -> Column:

@@ -234,3 +234,40 @@ def test_pipeline_stages(spark):
     for _, f in pipe.STAGES:
         empty = f(spark, empty, sf)
         assert not empty.collect()
+
+
+def test_pipeline_with_clashing_columns_repeats_and_nulls(spark):
+    import corpus_pipeline as pipe
+
+    rng = random.Random(7)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(2, 7))) for _ in range(n))
+    texts = [prose(60) for _ in range(12)]
+    near = texts[0] + " " + prose(2)
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    rows += [(0, texts[0], "s0"), (0, near, "s1"), (50, near, None), (None, texts[1], "s1"), (None, prose(70), None), (3, prose(80), "s2")]
+    rows += [(60, "my password = hunter2hunter2 " + prose(40), "s0"), (61, None, "s0"), (62, "", None), (63, prose(30_000), "s1")]
+    rows.append(rows[-5])
+    clash = ("rejected_by", "_base", "spans", "_doc", "_copy", "_epochs", "_key", "base_spans", "row", "root", "size", "epochs", "_counted", "_times")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    table = spark.createDataFrame([(d, t, "xx", s, len(t or ""), *clash) for d, t, s in rows], schema)
+    docs, kept = table, {}
+    for name, stage in pipe.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == table.columns
+        kept[name] = docs.collect()
+        assert all(tuple(r)[5:] == clash for r in kept[name])
+    assert Counter((r.doc_id, r.text) for r in kept["quality_rules"]) == Counter((d, t) for d, t, _ in rows if t)
+    groups = defaultdict(list)
+    for r in kept["quality_rules"]:
+        groups[min(t for t in [*texts, r.text] if 100 * len(_shingles(t) & _shingles(r.text)) >= 80 * len(_shingles(t) | _shingles(r.text)))].append(r)
+    want = Counter(min(((r.doc_id is None, r.doc_id or 0) for r in g)) for g in groups.values())
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept["near_duplicates"]) == want
+    assert len({r.text for r in kept["near_duplicates"]}) == len(kept["near_duplicates"]) == len(groups)
+    assert len(kept["secret_scans"]) == len(groups) and not any("hunter2" in r.text for r in kept["secret_scans"])
+    assert all(r.n_chars == len(r.text) for r in kept["secret_scans"])
+    mixed = Counter(r.text for r in kept["mixing"])
+    assert set(mixed) <= {r.text for r in kept["secret_scans"]} and max(mixed.values()) <= 3 and len(mixed) >= len(groups) // 2
+    # a stage on its own takes rows without words
+    odd = spark.createDataFrame([(1, None), (1, None), (None, ""), (2, " \n"), (2, "a b"), (2, "a b")], "doc_id long, text string")
+    alone = Counter((r.doc_id, r.text) for r in pipe.near_duplicates(spark, odd, "").collect())
+    assert alone == {(1, None): 2, (None, ""): 1, (2, " \n"): 1, (2, "a b"): 1}
