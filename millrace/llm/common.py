@@ -18,6 +18,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Most bytes of keys that may be broadcast; a larger side is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 
+#: Most keys that `join_uneven` broadcasts: a key that has less than this part of all rows isn't hot.
+HOT_KEYS = 1 << 18
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -55,7 +58,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete what `keep` wrote, once all that is made from it is written too."""
+    for df in kept:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_or_not(keys: DataFrame, row_bytes: int = 16) -> DataFrame:
@@ -63,6 +76,24 @@ def small_or_not(keys: DataFrame, row_bytes: int = 16) -> DataFrame:
     return F.broadcast(keys) if keys.count() * row_bytes <= BROADCAST_BYTES else keys
 
 
+def join_uneven(rows: DataFrame, named: DataFrame, on: Sequence[str], count: str) -> DataFrame:
+    """``rows`` joined with ``named``, which has a row for each key and, in ``count``, how many of ``rows`` have it.
+
+    The keys that most rows have, ``HOT_KEYS`` at most, are broadcast, so that
+    none of them is one task's; a key of the others has no more than that part
+    of all rows, and is joined by shuffle.
+    """
+    total = named.agg(F.sum(count)).first()[0] or 0
+    least = max(64, -(-total // HOT_KEYS))
+    hot = named.where(F.col(count) >= least)
+    rest = [c for c in named.columns if c not in on]
+    [mark] = fresh(rows, "_hot")
+    marked = rows.join(F.broadcast(hot.withColumn(mark, F.lit(True))), [*on], "left")
+    found = marked.where(F.col(mark)).drop(mark)
+    others = marked.where(F.col(mark).isNull()).drop(mark, *rest)
+    return found.unionByName(others.join(named.where(F.col(count) < least), [*on]))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """A column name for each of ``names`` that ``df`` doesn't have yet, in any case."""
     known = {c.lower() for c in df.columns}

@@ -14,6 +14,7 @@ file that nothing refers to.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -25,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, new_path, small_or_not, table
+from .common import join_uneven, keep, new_path, small_or_not, table
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT_BYTES = 100
@@ -38,27 +39,28 @@ STEP_BYTES = 8 << 10
 #: Bytes of a member's start that are inflated to see whether it is a record.
 PROBE_BYTES = 512
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of an archive after which its task begins another.
+ROLL_BYTES = 1 << 30
+#: Record ids of pages: this and the page's id.
+PAGE_URN = "urn:x-page:"
+
+# Fixed value: the profile of revisits that have the payload of an earlier record.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _control = re.compile(r"[\x00-\x20\x7f]")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
     """One WARC record: a response with its payload, or a revisit of page ``first`` without."""
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
+    name = lambda i: f"<{PAGE_URN}{i}>" if i is not None else f"<{uuid.uuid4().urn}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if first is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}"]
-    if page_id is not None:
-        head.append(f"X-Page-Id: {page_id}")
     if url:
         head.append(f"WARC-Target-URI: {_control.sub(lambda m: f'%{ord(m[0]):02X}', url)}")
-    head += [f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Bytes: {len(payload)}"]
+    head += [f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
     if first is not None:
-        head += [
-            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {name(first)}",
-            f"X-Refers-To-Page: {first}",
-        ]
+        head += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {name(first)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -80,7 +82,7 @@ def revisits(pages: DataFrame) -> DataFrame:
     light = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
     light = keep(light.where((F.col("n") >= LEAST_REVISIT_BYTES) & F.col("page_id").isNotNull()), "payloads")
     firsts = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies"))
-    later = light.join(firsts.where("copies > 1").drop("copies"), "digest")
+    later = join_uneven(light, keep(firsts.where("copies > 1"), "firsts"), ["digest"], "copies")
     return later.where("page_id > refers_to").select("page_id", "refers_to").distinct()
 
 
@@ -91,18 +93,28 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     page_id is a response and the others revisit it. Null html is an empty
     payload, a null url is left out. Pages without page_id are responses; rows
     that repeat a page_id are records of their own, and repeats of the first
-    page are responses too. No file is written for an empty partition.
+    page are responses too. No file is written for an empty partition; after
+    ``ROLL_BYTES`` a task begins another file. Other columns are ignored.
     """
     # known by its written size: small enough it is broadcast, else both sides are shuffled
     known = small_or_not(keep(revisits(pages), "revisits"))
     rows = pages.select("page_id", "url", "html").join(known, "page_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, n = f"{path}/part-{uuid.uuid4().hex}.warc.gz", None, 0
+        name, out, n = "", None, 0
+
+        def done() -> pa.RecordBatch:
+            size = out.tell()
+            out.close()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], names=["file", "bytes", "records"]
+            )
+
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "html", "refers_to")]
             for page_id, url, html, first in zip(*columns, strict=True):
                 if out is None:
+                    name, n = f"{path}/part-{uuid.uuid4().hex}.warc.gz", 0
                     system, at = file_system(name)
                     system.create_dir(at.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(at, compression=None)
@@ -110,13 +122,11 @@ def write(pages: DataFrame, path: str) -> DataFrame:
                 digest = hashlib.sha256(payload).hexdigest()
                 out.write(member(record(page_id.as_py(), url.as_py(), payload, digest, first.as_py())))
                 n += 1
+                if out.tell() >= ROLL_BYTES:
+                    yield done()
+                    out = None
         if out is not None:
-            size = out.tell()
-            out.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([size], pa.int64()), pa.array([n], pa.int64())],
-                names=["file", "bytes", "records"],
-            )
+            yield done()
 
     return keep(rows.mapInArrow(run, "file string, bytes long, records long"), "manifest")
 
@@ -179,54 +189,95 @@ class Range:
         return b"".join(parts)
 
     def __iter__(self) -> Iterator[bytes]:
-        if not self.find():
-            return
-        while self.at < self.end and (self.pos < len(self.data) or self.more()):
+        # members follow each other; what else stands between them is passed over
+        while self.find():
             yield self.take()
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers, by lower-case name, and block of a record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    return fields, rest[: int(fields["content-length"])]
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers, by lower-case name, and block of the records of a member."""
+    while data := data.lstrip(b"\r\n"):
+        head, _, rest = data.partition(b"\r\n\r\n")
+        # a line that begins with white space goes on with the one before
+        lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        size = int(fields["content-length"])
+        if len(rest) < size:
+            raise ValueError(f"the record {fields.get('warc-record-id')} is cut off")
+        yield fields, rest[:size]
+        data = rest[size:]
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string"
+def payload_of(fields: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes]:
+    """HTTP headers, by lower-case name, and payload of a record's block."""
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return {}, block
+    head, _, payload = block.partition(b"\r\n\r\n")
+    lines = head.decode("latin-1").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
 
 
-def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of the archives in ``manifest`` (file, bytes): a row each.
+def _fits(payload: bytes, digest: str) -> bool:
+    """Whether a payload has the recorded digest, in hex or base32; other algorithms can't be told."""
+    name, _, value = digest.partition(":")
+    if name.lower() not in ("sha1", "sha256", "md5"):
+        return True
+    found = hashlib.new(name.lower(), payload)
+    return value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
+
+
+def _page(name: str | None) -> int | None:
+    """The page_id in a record id; None in those of other writers."""
+    found = re.fullmatch(rf"<?{PAGE_URN}(-?\d+)>?", name or "")
+    return int(found[1]) if found else None
+
 
-    Returns page_id, payload_bytes, payload_digest (of the payload itself for
-    responses, as recorded for revisits), record_type, refers_to, url, html
-    (null for revisits, and if ``payloads`` is false). Raises if a payload
-    doesn't fit its recorded digest, or a member is cut off.
+READ = (
+    "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+    "record_id string, refers_to_id string, url string, html string"
+)
+
+
+def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Responses and revisits in the archives of ``manifest`` (file, bytes): a row each.
+
+    Returns page_id, payload_bytes, payload_digest (SHA-256 in hex: of the
+    payload itself for responses, as recorded for revisits), record_type,
+    refers_to, record_id, refers_to_id, url, and html (null for revisits, and
+    if ``payloads`` is false; what is no UTF-8 is replaced).
+
+    Archives of other writers are read too: page_id and refers_to are null
+    where a record id isn't a page's, the digest of a revisit is null where
+    SHA-256 isn't recorded, its payload_bytes where no length is. Records of
+    other types (warcinfo, request, metadata and so on) are left out, members
+    with several records read whole. Raises if a payload doesn't fit its
+    recorded digest or a member is cut off. An empty manifest, and an empty
+    file, have no rows.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
     splits = manifest.where("bytes > 0").select("file", "bytes", F.explode(starts).alias("start"))
     n = max(1, splits.count())
     splits = splits.repartition(min(n, 100_000), F.xxhash64("file", "start"))
 
-    def row(data: bytes) -> tuple:
-        fields, block = parse(data)
-        digest, n_bytes = fields["warc-payload-digest"].partition(":")[2], int(fields["x-payload-bytes"])
-        page, first = fields.get("x-page-id"), fields.get("x-refers-to-page")
-        html = None
-        if fields["warc-type"] == "response":
-            payload = block.partition(b"\r\n\r\n")[2]
-            found = hashlib.sha256(payload).hexdigest()
-            if found != digest or len(payload) != n_bytes:
-                raise ValueError(f"the payload of page {page} isn't what was written")
-            html = payload.decode("utf-8") if payloads else None
-        return (
-            int(page) if page else None, n_bytes, digest, fields["warc-type"], int(first) if first else None,
-            fields.get("warc-target-uri"), html,
-        )
+    def row(fields: dict[str, str], block: bytes) -> tuple:
+        name, kind, first = fields.get("warc-record-id"), fields["warc-type"], fields.get("warc-refers-to")
+        recorded = fields.get("warc-payload-digest", "")
+        http, payload = payload_of(fields, block)
+        html = digest = None
+        if kind == "response":
+            if not _fits(payload, recorded):
+                raise ValueError(f"the payload of {name} isn't what was written")
+            digest, n_bytes = hashlib.sha256(payload).hexdigest(), len(payload)
+            html = payload.decode("utf-8", "replace") if payloads else None
+        else:
+            told = http.get("content-length", "")
+            n_bytes = int(told) if told.isdigit() else None
+            if re.fullmatch("(?i)sha256:[0-9a-f]{64}", recorded):
+                digest = recorded[7:].lower()
+        return _page(name), n_bytes, digest, kind, _page(first), name, first, fields.get("warc-target-uri"), html
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4]
         names = [c.split()[0] for c in READ.split(", ")]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -240,9 +291,9 @@ def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BY
                 rows, held = [], 0
                 with system.open_input_file(at) as file:
                     for data in Range(file, split["bytes"], split["start"], split["start"] + split_bytes):
-                        rows.append(row(data))
+                        rows += [row(*r) for r in parse(data) if r[0].get("warc-type") in ("response", "revisit")]
                         held += len(data)
-                        if held > 16 << 20:
+                        if held > 16 << 20 and rows:
                             yield batch_of(rows)
                             rows, held = [], 0
                 if rows:
@@ -255,7 +306,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to archives and read back."""
     pages = table(spark, sf_dir, "pages")
     manifest = write(pages, new_path(spark, "warc"))
-    return read(manifest, payloads=False).drop("html", "url")
+    return read(manifest, payloads=False).drop("html", "url", "record_id", "refers_to_id")
 
 
 QUERIES = {"op9_warc": op9_warc}

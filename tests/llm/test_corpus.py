@@ -89,6 +89,7 @@ def test_jaccard_remainder_is_exact_without_stars(spark, docs, monkeypatch):
 
     monkeypatch.setattr(jaccard, "_stars", lambda orders: orders.limit(0).select(F.col("digest").alias("a"), F.col("digest").alias("b")))
     monkeypatch.setattr(jaccard, "HOT_LEAST", 3)
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 5)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert Counter(tuple(r) for r in jaccard.jaccard_join(docs).collect()) == _components(rows)
 
@@ -271,3 +272,56 @@ def test_pipeline_with_clashing_columns_repeats_and_nulls(spark):
     odd = spark.createDataFrame([(1, None), (1, None), (None, ""), (2, " \n"), (2, "a b"), (2, "a b")], "doc_id long, text string")
     alone = Counter((r.doc_id, r.text) for r in pipe.near_duplicates(spark, odd, "").collect())
     assert alone == {(1, None): 2, (None, ""): 1, (2, " \n"): 1, (2, "a b"): 1}
+
+
+def test_warc_of_another_writer(spark, tmp_path, monkeypatch):
+    import base64
+
+    from millrace.llm import warc
+
+    def record(kind, block, *more, content="application/http; msgtype=response"):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", "WARC-Date: 2020-01-01T00:00:00Z", *more]
+        return "\r\n".join([*head, f"Content-Type: {content}", f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    body = "<html>é</html>".encode()
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    records = [
+        record("warcinfo", b"software: other\r\n", content="application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://x/", content="application/http; msgtype=request"),
+        record("response", http + body, "WARC-Target-URI: http://x/", f"WARC-Payload-Digest: {sha1}"),
+        record("metadata", b"fetchTimeMs: 3\r\n", content="application/warc-fields"),
+        record("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 15\r\n\r\n", "WARC-Target-URI: http://x/a", f"WARC-Payload-Digest: {sha1}", "WARC-Refers-To: <urn:uuid:response-44>"),
+        record("response", b"dns answer", "WARC-Target-URI: dns:x", content="text/dns"),
+    ]
+    one, many = tmp_path / "one.warc.gz", tmp_path / "many.warc.gz"
+    one.write_bytes(gzip.compress(b"".join(records)))
+    many.write_bytes(b"\0\0".join(gzip.compress(r) for r in records))
+    files = spark.createDataFrame([(str(p), p.stat().st_size) for p in (one, many)], "file string, bytes long")
+    for split in (100, 1 << 20):
+        found = Counter((r.record_type, r.url, r.payload_bytes, r.payload_digest, r.html, r.refers_to_id, r.page_id) for r in warc.read(files, split_bytes=split).collect())
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        assert found == {
+            ("response", "http://x/", 15, sha(body), "<html>é</html>", None, None): 2,
+            ("revisit", "http://x/a", 15, None, None, "<urn:uuid:response-44>", None): 2,
+            ("response", "dns:x", 10, sha(b"dns answer"), "dns answer", None, None): 2,
+        }
+    # archives roll over, and a damaged payload is noticed
+    monkeypatch.setattr(warc, "ROLL_BYTES", 2000)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "long " * 100_000 if i == 5 else f"{i} " * 300) for i in range(60)], "page_id long, url string, html string")
+    manifest = warc.write(pages.coalesce(1), str(tmp_path / "rolled"))
+    assert manifest.count() > 3 and {r.page_id for r in warc.read(manifest).collect()} == set(range(60))
+    bad = tmp_path / "bad.warc.gz"
+    bad.write_bytes(gzip.compress(records[2].replace(b"<html>", b"<HTML>")))
+    with pytest.raises(Exception, match="isn't what was written"):
+        warc.read(spark.createDataFrame([(str(bad), bad.stat().st_size)], "file string, bytes long")).collect()
+
+
+def test_join_uneven(spark, monkeypatch):
+    from millrace.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = spark.createDataFrame([(1 if i % 2 else i, i) for i in range(600)], "k long, v long")
+    named = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    got = Counter(tuple(r) for r in common.join_uneven(rows, named, ["k"], "n").select("k", "v", "n", "top").collect())
+    assert got == Counter(tuple(r) for r in rows.join(named, "k").select("k", "v", "n", "top").collect())
