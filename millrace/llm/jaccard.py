@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_windows, hash_words, keep, mix64, small_or_not, table
+from .common import forget, hash_windows, hash_words, join_uneven, keep, mix64, small_or_not, table
 
 SHINGLE = 5
 #: Similarity at which two documents link, in hundredths.
@@ -46,6 +46,8 @@ HOT_LEAST = 8
 STARS = 4
 #: How many tokens before its own an entry of a list carries.
 EARLIER = 8
+#: Entries of a list that are joined in one task.
+LIST_ROWS = 4096
 #: Min-hashes that tell how central a class is: how many others agree on them.
 CENTRAL = 8
 
@@ -113,14 +115,19 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _survivors(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Classes with enough prefix tokens, under the first order, that other classes have too."""
+    """Classes with enough prefix tokens, under the first order, that other classes have too.
+
+    Tokens of one class alone are counted, and what its prefix has beside them
+    is shared: an aggregate, so a token that most classes have meets nobody.
+    """
     prefixes = sets.select("class", F.explode("prefix").alias("token"))
-    shared = prefixes.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most"))
-    shared = shared.where("least < most").select("token")
-    hits = prefixes.join(shared, "token").groupBy("class").agg(F.count("*").alias("hits"))
+    own = prefixes.groupBy("token").agg(F.min("class").alias("class"), F.max("class").alias("most")).where("class = most")
+    misses = own.groupBy("class").agg(F.count("*").alias("misses"))
     least = F.floor((PERCENT * F.col("n") + 99) / 100)
+    length = F.col("n") - least + F.greatest(F.lit(1), F.floor(F.col("n") / 20))
+    hits = length - F.coalesce("misses", F.lit(0))
     need = F.greatest(F.lit(1), F.floor(least / 20))
-    return classes.join(hits, "class").where(F.col("hits") >= need * F.col("copies"))
+    return classes.where("n > 1").join(misses, "class", "left").where(hits >= need)
 
 
 def _whole_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -203,11 +210,11 @@ def components(links: DataFrame) -> DataFrame:
     offers the least label of its neighbours to itself and to the node that its
     own label names, so whole trees hook onto others, and then takes its label's
     label. When a round changes nothing, neighbours agree everywhere. Every round
-    is written to the shared folder; a component of any size is a matter of joins
-    and partial minima, never of one task.
+    is written to the shared folder, and the round before deleted; a component
+    of any size is a matter of joins and partial minima, never of one task.
     """
     edges = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "labels")
+    last = labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         offers = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("near"))
@@ -218,8 +225,10 @@ def components(links: DataFrame) -> DataFrame:
         jump = hooked.select(F.col("node").alias("_at"), F.col("root").alias("_root"))
         moved = hooked.join(jump, F.col("root") == F.col("_at")).select("node", "old", F.least("root", "_root").alias("root"))
         moved = keep(moved, "moved")
-        labels = moved.select("node", "root")
+        forget(hooked, last)
+        last, labels = moved, moved.select("node", "root")
         if moved.where("old != root").isEmpty():
+            forget(edges)
             return labels
 
 
@@ -227,7 +236,7 @@ def _central(orders: DataFrame) -> DataFrame:
     """``orders`` with central: how many classes agree on each min-hash, added up."""
     keys = orders.select("digest", F.posexplode("stars").alias("star", "key"))
     sizes = keys.groupBy("star", "key").agg(F.count("*").alias("members")).where("members > 1")
-    sums = keys.join(sizes, ["star", "key"]).groupBy("digest").agg(F.sum("members").alias("central"))
+    sums = join_uneven(keys, keep(sizes, "sizes"), ["star", "key"], "members").groupBy("digest").agg(F.sum("members").alias("central"))
     return orders.join(sums, "digest", "left").withColumn("central", F.coalesce("central", F.lit(0)))
 
 
@@ -237,24 +246,34 @@ def _stars(orders: DataFrame) -> DataFrame:
     hubs = keys.groupBy("star", "key").agg(
         F.max(F.struct("central", "digest"))["digest"].alias("hub"), F.count("*").alias("n")
     )
-    pairs = keys.join(hubs.where("n > 1").drop("n"), ["star", "key"]).where("hub <> digest")
+    pairs = join_uneven(keys, keep(hubs.where("n > 1"), "hubs"), ["star", "key"], "n").where("hub <> digest")
     return pairs.select(F.least("hub", "digest").alias("a"), F.greatest("hub", "digest").alias("b")).distinct()
 
 
 def _spanning(orders: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries of the second order's lists (token; digest, n, at, central, root) that hold several components, with their largest."""
+    """Entries of the second order's lists (token; digest, n, at, central, root) that hold several components.
+
+    With main, the largest component of the list, and listed, its entries.
+    """
     placed = orders.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     placed = placed.withColumn("root", F.coalesce("root", "digest"))
     lists = keep(placed.select("digest", "n", "central", "root", F.posexplode("second").alias("at", "token")), "lists")
     sizes = lists.groupBy("token", "root").agg(F.count("*").alias("members"))
-    mixed = sizes.groupBy("token").agg(F.max_by("root", "members").alias("main"), F.count("*").alias("roots"))
-    return keep(lists.join(mixed.where("roots > 1").drop("roots"), "token"), "spanning")
+    mixed = sizes.groupBy("token").agg(
+        F.max_by("root", "members").alias("main"), F.count("*").alias("roots"), F.sum("members").alias("listed")
+    )
+    mixed = keep(mixed.where("roots > 1").drop("roots"), "mixed")
+    spanning = keep(join_uneven(lists, mixed, ["token"], "listed"), "spanning")
+    forget(lists, mixed)
+    return spanning
 
 
 def _hubs(spanning: DataFrame, orders: DataFrame) -> DataFrame:
     """Pairs of each class outside a list's largest component with the most central class inside."""
     hubs = spanning.where("root = main").groupBy("token").agg(F.max(F.struct("central", "digest", "n")).alias("hub"))
-    near = spanning.where("root <> main").join(hubs, "token")
+    outside = spanning.where("root <> main")
+    hubs = keep(hubs.join(outside.groupBy("token").agg(F.count("*").alias("others")), "token"), "hubs")
+    near = join_uneven(outside, hubs, ["token"], "others")
     near = near.where(100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n"))
     hub = F.col("hub.digest")
     return near.select(F.least("digest", hub).alias("a"), F.greatest("digest", hub).alias("b")).distinct()
@@ -266,18 +285,22 @@ def _between(spanning: DataFrame, orders: DataFrame) -> DataFrame:
     A pair meets in the list of every common prefix token. Entries carry the few
     tokens before theirs, and where two entries have one of these in common the
     pair has met before: so it is made once or little more, and always at its
-    first common token.
+    first common token. Lists of over ``LIST_ROWS`` entries are dealt into
+    parts of so many, which the entries outside the main component all meet.
     """
     start = F.greatest(F.col("at") - EARLIER + 1, F.lit(1))
     earlier = F.slice("second", start, F.least(F.col("at"), F.lit(EARLIER)))
     entries = spanning.join(orders.select("digest", "second"), "digest").withColumn("earlier", earlier).drop("second")
-    entries = keep(entries, "entries")
+    parts = F.ceil(F.col("listed") / LIST_ROWS).cast("int")
+    entries = keep(entries.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("digest"), "parts").cast("int")), "entries")
     columns = ("digest", "n", "root", "at", "earlier")
-    left = entries.where("root != main").select("token", *[F.col(c).alias(f"l_{c}") for c in columns])
+    left = entries.where("root != main").select(
+        "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"l_{c}") for c in columns]
+    )
     overlap = F.ceil(PERCENT * (F.col("l_n") + F.col("n")) / (100 + PERCENT))
     # were this the first common token, what stands from here on is all that can be common
     reach = F.least(F.col("l_n") - F.col("l_at"), F.col("n") - F.col("at"))
-    pairs = left.join(entries, "token").where(
+    pairs = left.join(entries, ["token", "part"]).where(
         (F.col("l_root") != F.col("root"))
         & ((F.col("root") == F.col("main")) | (F.col("l_digest") < F.col("digest")))
         & (100 * F.least("l_n", "n") >= PERCENT * F.greatest("l_n", "n"))
@@ -305,7 +328,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     light = keep(_sets(rows), "sets")
     classes = light.where("n > 0").groupBy("digest").agg(
-        F.first("class").alias("class"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least_doc")
+        F.first("class").alias("class"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least_doc")
     )
     classes = keep(classes, "classes")
     survivors = keep(_survivors(light, classes).select("digest", "text_key"), "survivors")
@@ -313,8 +336,10 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     orders = keep(_central(keep(_orders(sets), "orders")), "central")
     links = keep(_verify(_stars(orders), sets), "stars")
     for step, candidates in (("hubs", _hubs), ("between", _between)):
-        pairs = keep(_meet(candidates(_spanning(orders, components(links)), orders), orders), f"{step}_pairs")
+        spanning = _spanning(orders, components(links))
+        pairs = keep(_meet(candidates(spanning, orders), orders), f"{step}_pairs")
         links = links.union(keep(_verify(pairs, sets), step))
+        forget(spanning, pairs)
     roots = components(links)
 
     joined = classes.select("digest", "least_doc").join(roots, F.col("digest") == F.col("node"))
