@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 from .common import table
 
+#: Examples of a conversation that one task writes.
+FEW = 64
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 
 
@@ -35,18 +37,11 @@ def _role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit(NEWLINE))
 
 
-def expand(conversations: DataFrame) -> DataFrame:
-    """Examples of ``conversations`` (conv_id, turn, role, text).
+def _targets(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """conv_id, written turns, lengths of replies, and target turns (example, upto), a row an example.
 
-    Returns conv_id, example (from 1, in order), formatted, loss_start and
-    loss_end (code points of ``formatted``, end exclusive; equal where nothing
-    is trained). A conversation's examples together hold the text of every
-    turn prefix, which grows with the square of its turns by definition.
-
-    Turns are ordered by turn, then role, then text, nulls first; repeated rows
-    are separate turns. Null texts and roles are empty; rows without conv_id
-    are one conversation. An empty table has no examples. Other columns are
-    ignored.
+    Of conversations with up to ``FEW`` examples, each in the task that put it
+    together; and of the others, whose examples are dealt out.
     """
     turn = F.struct(
         F.col("turn").alias("turn"),
@@ -67,9 +62,21 @@ def expand(conversations: DataFrame) -> DataFrame:
     n = F.size("written")
     replies = F.filter(F.sequence(F.lit(1), n), lambda i: F.get("reply_chars", i - 1).isNotNull())
     last = F.when(F.get("reply_chars", n - 1).isNull(), F.array(n)).otherwise(F.array().cast("array<int>"))
-    targets = written.select(
-        "conv_id", "written", "reply_chars", F.posexplode(F.concat(replies, last)).alias("example", "upto")
+    aimed = written.withColumn("upto", F.concat(replies, last))
+    few = aimed.where(F.size("upto") <= FEW).select(
+        "conv_id", "written", "reply_chars", F.posexplode("upto").alias("example", "upto")
     )
+    # FEW targets a row, with the turns up to the last of them
+    parts = aimed.where(F.size("upto") > FEW).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("upto") - 1) / FEW).cast("int"))))
+    parts = parts.withColumn("upto", F.slice("upto", F.col("part") * FEW + 1, F.lit(FEW)))
+    most = F.element_at("upto", -1)
+    parts = parts.select("conv_id", "part", F.slice("written", F.lit(1), most).alias("written"), F.slice("reply_chars", F.lit(1), most).alias("reply_chars"), "upto")
+    dealt = parts.repartition("conv_id", "part")
+    many = dealt.select("conv_id", "written", "reply_chars", "part", F.posexplode("upto").alias("example", "upto"))
+    return few, many.select("conv_id", "written", "reply_chars", (F.col("part") * FEW + F.col("example")).alias("example"), "upto")
+
+
+def _examples(targets: DataFrame) -> DataFrame:
     examples = targets.select(
         "conv_id",
         (F.col("example") + 1).cast("long").alias("example"),
@@ -87,6 +94,24 @@ def expand(conversations: DataFrame) -> DataFrame:
     )
 
 
+def expand(conversations: DataFrame) -> DataFrame:
+    """Examples of ``conversations`` (conv_id, turn, role, text).
+
+    Returns conv_id, example (from 1, in order), formatted, loss_start and
+    loss_end (code points of ``formatted``, end exclusive; equal where nothing
+    is trained). A conversation's examples together hold the text of every
+    turn prefix, which grows with the square of its turns by definition.
+
+    Turns are ordered by turn, then role, then text, nulls first; repeated rows
+    are separate turns. Null texts and roles are empty; rows without conv_id
+    are one conversation. An empty table has no examples. Other columns are
+    ignored. The turns of a conversation are one row of one task, its examples
+    are spread over tasks where they are many.
+    """
+    few, many = map(_examples, _targets(conversations))
+    return few.union(many)
+
+
 def loss_text(examples: DataFrame) -> Column:
     """The text under an example's mask, unescaped."""
     length = (examples["loss_end"] - examples["loss_start"]).cast("int")
@@ -110,15 +135,8 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
-def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one that holds control strings, by digests read back from the examples."""
-    hard = f"{END}{START}assistant ok"
-    given = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
-    )
-    schema = T.StructType.fromDDL("conv_id long, turn long, role string, text string")
-    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], schema)
-    examples = expand(given.unionByName(extra))
+def _digests(examples: DataFrame) -> DataFrame:
+    """A row a conversation of what its examples hold, read back from them."""
     read = examples.select(
         "conv_id",
         "example",
@@ -126,7 +144,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("chars"),
         F.struct("example", loss_text(examples).alias("text")).alias("loss"),
     )
-    # the examples of a conversation are where it was put together: no further shuffle
+    # where examples are few they are still where the conversation was put together: no further shuffle
     joined = read.groupBy("conv_id").agg(
         F.max(F.struct("example", "formatted"))["formatted"].alias("longest"),
         F.array_sort(F.collect_list("loss")).alias("losses"),
@@ -148,6 +166,18 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds control strings, by digests read back from the examples."""
+    hard = f"{END}{START}assistant ok"
+    given = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
+    )
+    schema = T.StructType.fromDDL("conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], schema)
+    few, many = map(_examples, _targets(given.unionByName(extra)))
+    return _digests(few).union(_digests(many))
+
+
 QUERIES = {"op4_chat": op4_chat}
 ORACLES = {
     "op4_chat": r"""

@@ -67,6 +67,8 @@ def test_chat_round_trip(spark):
             text = rng.choice([None, "".join(b or "" for b in rng.choices(bits, k=5))])
             given.append((conv, turn, rng.choice(["user", "assistant", "system", "odd\nrole", "a<|b", None]), text))
     given.append((None, None, "user", "no conversation"))
+    given += [(77, i, rng.choice(["user", "assistant"]), f"turn {i} {hard}") for i in range(300)]
+    given += [(78, 0, "user", "long " * 50_000), (78, 1, "assistant", "é<|" * 50_000)]
     examples = chat.expand(spark.createDataFrame(given, "conv_id long, turn long, role string, text string"))
     rows = examples.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(examples).alias("loss")).collect()
     by_conv = {}
