@@ -14,7 +14,7 @@ share prefix tokens under every order used. The steps, each exact:
 4. Stars tie large groups of copies together without making pairs: classes that
    agree on a min-hash are compared with the most central of them, and then
    those that still share a list of the second order with another component with
-   the most central of its largest component.
+   the most central of its largest component and with one class in ``SOME``.
 5. All candidates between the components that are left: they share a prefix
    token under the second order, with length and position filters, then prefix
    tokens under the third and fourth, and are then verified on their whole sets.
@@ -46,6 +46,8 @@ HOT_LEAST = 8
 STARS = 4
 #: How many tokens before its own an entry of a list carries.
 EARLIER = 8
+#: Of so many classes one is compared with those of other components first.
+SOME = 16
 #: Entries of a list that are joined in one task.
 LIST_ROWS = 4096
 #: Min-hashes that tell how central a class is: how many others agree on them.
@@ -279,8 +281,17 @@ def _hubs(spanning: DataFrame, orders: DataFrame) -> DataFrame:
     return near.select(F.least("digest", hub).alias("a"), F.greatest("digest", hub).alias("b")).distinct()
 
 
-def _between(spanning: DataFrame, orders: DataFrame) -> DataFrame:
-    """Candidate pairs of classes in different components.
+def _some(spanning: DataFrame, orders: DataFrame) -> DataFrame:
+    """Those of `_hubs`, and of `_between` with one class in ``SOME``.
+
+    A class that links with many of a component is tied to it here, and meets
+    no other class of it later; `_between` is for those that don't.
+    """
+    return _hubs(spanning, orders).union(_between(spanning, orders, SOME)).distinct()
+
+
+def _between(spanning: DataFrame, orders: DataFrame, one_in: int = 1) -> DataFrame:
+    """Candidate pairs of classes in different components; with ``one_in``, of those outside a main one with one in so many.
 
     A pair meets in the list of every common prefix token. Entries carry the few
     tokens before theirs, and where two entries have one of these in common the
@@ -300,9 +311,14 @@ def _between(spanning: DataFrame, orders: DataFrame) -> DataFrame:
     overlap = F.ceil(PERCENT * (F.col("l_n") + F.col("n")) / (100 + PERCENT))
     # were this the first common token, what stands from here on is all that can be common
     reach = F.least(F.col("l_n") - F.col("l_at"), F.col("n") - F.col("at"))
+    met = F.lit(True)
+    if one_in > 1:
+        entries = entries.where(F.pmod(F.xxhash64("digest", F.lit(one_in)), F.lit(one_in)) == 0)
+    else:
+        met = (F.col("root") == F.col("main")) | (F.col("l_digest") < F.col("digest"))
     pairs = left.join(entries, ["token", "part"]).where(
         (F.col("l_root") != F.col("root"))
-        & ((F.col("root") == F.col("main")) | (F.col("l_digest") < F.col("digest")))
+        & met
         & (100 * F.least("l_n", "n") >= PERCENT * F.greatest("l_n", "n"))
         & (reach >= overlap)
         & ~F.arrays_overlap("l_earlier", "earlier")
@@ -326,16 +342,20 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     root is null for rows without shingles.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    light = keep(_sets(rows), "sets")
+    full = keep(_sets(rows), "sets")
+    light = keep(full.drop("prefix"), "light")
     classes = light.where("n > 0").groupBy("digest").agg(
         F.first("class").alias("class"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least_doc")
     )
     classes = keep(classes, "classes")
-    survivors = keep(_survivors(light, classes).select("digest", "text_key"), "survivors")
+    survivors = keep(_survivors(full, classes).select("digest", "text_key"), "survivors")
+    forget(full)
     sets = keep(_whole_sets(rows, survivors), "whole")
-    orders = keep(_central(keep(_orders(sets), "orders")), "central")
+    plain = keep(_orders(sets), "orders")
+    orders = keep(_central(plain), "central")
+    forget(plain)
     links = keep(_verify(_stars(orders), sets), "stars")
-    for step, candidates in (("hubs", _hubs), ("between", _between)):
+    for step, candidates in (("some", _some), ("between", _between)):
         spanning = _spanning(orders, components(links))
         pairs = keep(_meet(candidates(spanning, orders), orders), f"{step}_pairs")
         links = links.union(keep(_verify(pairs, sets), step))
