@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import keep, small_or_not, table
 
-#: Examples of a conversation that one task writes.
+#: Examples of a long conversation that one task writes.
 FEW = 64
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 
@@ -40,7 +40,7 @@ def _role(role: Column) -> Column:
 def _targets(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """conv_id, written turns, lengths of replies, and target turns (example, upto), a row an example.
 
-    Of conversations with up to ``FEW`` examples, each in the task that put it
+    Of conversations with up to ``FEW`` replies, each in the task that put it
     together; and of the others, whose examples are dealt out.
     """
     turn = F.struct(
@@ -48,26 +48,33 @@ def _targets(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    written = whole.select(
-        "conv_id",
-        F.transform(
-            "turns", lambda t: F.concat(F.lit(START), _role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(f"{END}\n"))
-        ).alias("written"),
-        F.transform(
-            "turns",
-            lambda t: F.when(t["role"] == "assistant", F.char_length(escape(t["text"]))),
-        ).alias("reply_chars"),
-    )
+
+    def written(rows: DataFrame) -> DataFrame:
+        whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+        return whole.select(
+            "conv_id",
+            F.transform(
+                "turns", lambda t: F.concat(F.lit(START), _role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(f"{END}\n"))
+            ).alias("written"),
+            F.transform(
+                "turns",
+                lambda t: F.when(t["role"] == "assistant", F.char_length(escape(t["text"]))),
+            ).alias("reply_chars"),
+        )
+
     n = F.size("written")
     replies = F.filter(F.sequence(F.lit(1), n), lambda i: F.get("reply_chars", i - 1).isNotNull())
     last = F.when(F.get("reply_chars", n - 1).isNull(), F.array(n)).otherwise(F.array().cast("array<int>"))
-    aimed = written.withColumn("upto", F.concat(replies, last))
-    few = aimed.where(F.size("upto") <= FEW).select(
-        "conv_id", "written", "reply_chars", F.posexplode("upto").alias("example", "upto")
+    targets = F.concat(replies, last)
+    counted = conversations.groupBy(F.col("conv_id").alias("_long")).agg(F.count_if(F.col("role") == "assistant").alias("_replies"))
+    long = small_or_not(keep(counted.where(F.col("_replies") >= FEW).select("_long"), "long"))
+    is_long = F.col("conv_id").eqNullSafe(F.col("_long"))
+    few = written(conversations.join(long, is_long, "left_anti")).select(
+        "conv_id", "written", "reply_chars", F.posexplode(targets).alias("example", "upto")
     )
     # FEW targets a row, with the turns up to the last of them
-    parts = aimed.where(F.size("upto") > FEW).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("upto") - 1) / FEW).cast("int"))))
+    parts = written(conversations.join(long, is_long, "left_semi")).withColumn("upto", targets)
+    parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("upto") - 1) / FEW).cast("int"))))
     parts = parts.withColumn("upto", F.slice("upto", F.col("part") * FEW + 1, F.lit(FEW)))
     most = F.element_at("upto", -1)
     parts = parts.select("conv_id", "part", F.slice("written", F.lit(1), most).alias("written"), F.slice("reply_chars", F.lit(1), most).alias("reply_chars"), "upto")
