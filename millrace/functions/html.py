@@ -68,14 +68,16 @@ def title(markup: Column) -> Column:
     """The first heading's text, else that of the title element; null where there is neither."""
     heading = F.regexp_extract(markup, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1)
     named = F.regexp_extract(markup, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.nullif(_clean(F.when(heading != "", heading).otherwise(named)), F.lit(""))
+    # a heading without text of its own, as of an image, gives way to the title
+    return F.coalesce(F.nullif(_clean(heading), F.lit("")), F.nullif(_clean(named), F.lit("")))
 
 
 def links(markup: Column) -> Column:
     """Anchors, JSON hrefs and URLs, quoted paths and sitemap locations, in this order, repeats kept."""
+    # What stands before and around a link.
     patterns = (
         r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']+)["']""",
-        r'"(?:href|url)"\s*:\s*"([^"]+)"',
+        r'(?i)"(?:href|url)"\s*:\s*"([^"]+)"',
         r"""["'](/[A-Za-z0-9][^"'\s<>]*)["']""",
         r"(?i)<loc>\s*([^<\s]+)\s*</loc>",
     )

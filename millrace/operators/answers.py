@@ -97,26 +97,52 @@ def contacts(text: Column) -> Column:
     return F.filter(found, lambda c: c["value"].isNotNull())
 
 
+#: Letters of the part of a label by which lines that contain it are looked up.
+GRAM = 6
+
+
+def _contained(lines: DataFrame, labels: DataFrame) -> DataFrame:
+    """answer_id and key of the ``labels`` (key) that stand anywhere in the ``lines`` (answer_id, text).
+
+    A label is looked up by the rarest of its parts of ``GRAM`` letters, so no
+    line meets every label; shorter labels by all of theirs.
+    """
+    parts = lambda text, n: F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, n))
+    n = F.least(F.char_length("key"), F.lit(GRAM))
+    grams = labels.where("key <> ''").select("key", F.explode(F.array_distinct(parts(F.col("key"), n))).alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("labels"))
+    rarest = grams.join(common, "gram").groupBy("key").agg(F.min_by("gram", F.struct("labels", "gram")).alias("gram"))
+    # lengths of the parts: at most GRAM numbers
+    sizes = [r[0] for r in labels.where("key <> ''").select(n.alias("n")).distinct().collect()]
+    long = lambda k: F.when(F.char_length("text") >= k, parts(F.col("text"), F.lit(k))).otherwise(F.array().cast("array<string>"))
+    found = F.array_distinct(F.flatten(F.array(*[long(k) for k in sizes]))) if sizes else F.array().cast("array<string>")
+    near = lines.select("answer_id", "text", F.explode(found).alias("gram")).join(rarest, "gram")
+    return near.where(F.contains("text", "key")).select("answer_id", "key")
+
+
 def cite(answers: DataFrame, blocks: DataFrame) -> DataFrame:
     """Documents that each answer's source line (answer_id, line) names, in order.
 
-    Cited pairs ``source - title; title | source - title`` are taken apart and
-    joined by key, so no answer meets every block; labels that hold a separator
-    are found by the line's own pieces. The first block of equal keys stands.
+    First those whose whole label stands in the line, whatever separators it
+    holds, the longest label first; then those of the cited pairs ``source -
+    title; title | source - title``, taken apart and joined by key, in order of
+    the line. Of blocks with equal labels that of the longest and then of the
+    least id stands, and every document once.
     """
     keyed = blocks.select("document_id", "label", citation_text(F.upper("label")).alias("key"))
-    first = keyed.groupBy("key").agg(F.min_by(F.struct("document_id", "label"), "document_id").alias("_b")).select("key", "_b.*")
+    order = F.struct(-F.char_length("label"), F.col("document_id"))
+    first = keyed.groupBy("key").agg(F.min_by(F.struct("document_id", "label"), order).alias("_b")).select("key", "_b.*")
+    lines = answers.where("line is not null").select("answer_id", citation_text(F.upper("line")).alias("text"))
+    exact = _contained(lines, first.select("key")).select("answer_id", "key", F.lit(0).alias("g"), F.lit(0).alias("t"))
     groups = answers.select("answer_id", "line", F.posexplode(F.split("line", r"\s*\|\s*")).alias("g", "part"))
     named = groups.where(F.locate(" - ", "part") > 1).select(
         "answer_id", "g", F.substring_index("part", " - ", 1).alias("name"), F.expr("substring(part, locate(' - ', part) + 3)").alias("rest"),
     )
     titles = named.select("answer_id", "g", "name", F.posexplode(F.split("rest", r"\s*;\s*")).alias("t", "title"))
-    pairs = titles.select("answer_id", "g", "t", F.concat_ws(" - ", "name", "title").alias("cited"))
-    whole = groups.select("answer_id", "g", F.lit(-1).alias("t"), F.col("part").alias("cited")).union(
-        answers.select("answer_id", F.lit(-1), F.lit(-1), "line")
-    )
-    hits = pairs.union(whole).withColumn("key", citation_text(F.upper("cited"))).join(first, "key")
-    once = hits.groupBy("answer_id", "document_id").agg(F.min(F.struct("g", "t")).alias("at"), F.first("label").alias("label"))
+    pairs = titles.select("answer_id", citation_text(F.upper(F.concat_ws(" - ", "name", "title"))).alias("key"), F.col("g") + 1, F.col("t"))
+    hits = exact.union(pairs).join(first, "key")
+    long = F.when(F.col("g") == 0, -F.char_length("label")).otherwise(0)
+    once = hits.groupBy("answer_id", "document_id").agg(F.min(F.struct(F.col("g") > 0, long, "g", "t")).alias("at"), F.first("label").alias("label"))
     rank = F.row_number().over(Window.partitionBy("answer_id").orderBy("at", "document_id"))
     return once.select("answer_id", "document_id", "label", rank.alias("rank"))
 
@@ -163,6 +189,7 @@ QUERIES = {
 
 _CITED = """'Kaynak: src' || conv_id % 20 || ' - src' || conv_id % 20 || ' en; src' || conv_id % 20 || ' de | src' || (conv_id + 3) % 20
     || ' - src' || (conv_id + 3) % 20 || ' fr'"""
+_KEY = "trim(regexp_replace(regexp_replace(upper({}), '[^\\p{{L}}\\p{{Nd}}\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ')"
 _CONTACT = """chr(10) || 'Mail info.' || conv_id || '@mail.example.com or 0212 555 ' || lpad((conv_id % 100)::VARCHAR, 2, '0') || ' 11, www.site' || conv_id || '.com/x.'"""
 ORACLES = {
     "suggestions": """
@@ -176,16 +203,26 @@ FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY i) AS k FROM
     "source_lines": f"""
 SELECT conv_id * 1000 + turn AS answer_id, replace({_CITED}, 'Kaynak: ', '') AS line, sha256(trim(text || {_CONTACT}, ' ')) AS body_hash
 FROM conversations WHERE role = 'assistant'""",
-    "citation_resolution": """
+    "citation_resolution": f"""
 WITH label AS (
-  SELECT s.name, d.title, min(d.id) AS document_id, s.name || ' - ' || d.title AS label FROM doc d JOIN src s ON s.id = d.source_id
+  SELECT min(d.id) AS document_id, s.name || ' - ' || d.title AS label FROM doc d JOIN src s ON s.id = d.source_id
   WHERE d.is_enabled AND NOT d.is_archived AND d.status_code = 'ok' AND s.is_enabled AND NOT s.is_archived
     AND length(trim(d.content, ' ')) > 0 GROUP BY s.name, d.title
-), cited AS (
-  SELECT conv_id * 1000 + turn AS answer_id, k, CASE WHEN k < 2 THEN 'src' || conv_id % 20 ELSE 'src' || (conv_id + 3) % 20 END AS name,
-    (['en', 'de', 'fr'])[k + 1] AS lang
-  FROM (SELECT *, unnest(range(3)) AS k FROM conversations WHERE role = 'assistant')
+), key AS (
+  SELECT *, {_KEY.format("label")} AS key FROM label
+), line AS (
+  SELECT conv_id * 1000 + turn AS answer_id, replace({_CITED}, 'Kaynak: ', '') AS line FROM conversations WHERE role = 'assistant'
+), part AS (
+  SELECT answer_id, g, string_split_regex(line, '\\s*\\|\\s*')[g] AS part
+  FROM (SELECT *, unnest(range(1, len(string_split_regex(line, '\\s*\\|\\s*')) + 1)) AS g FROM line)
+), title AS (
+  SELECT answer_id, g, t, split_part(part, ' - ', 1) || ' - ' || string_split_regex(substr(part, strpos(part, ' - ') + 3), '\\s*;\\s*')[t] AS cited
+  FROM (SELECT *, unnest(range(1, len(string_split_regex(substr(part, strpos(part, ' - ') + 3), '\\s*;\\s*')) + 1)) AS t FROM part WHERE strpos(part, ' - ') > 1)
+), hit AS (
+  SELECT answer_id, document_id, label, [0, -length(label), 0, 0] AS place FROM line JOIN key ON contains({_KEY.format("line")}, key)
+  UNION ALL SELECT answer_id, document_id, label, [1, 0, g, t] FROM title JOIN key ON {_KEY.format("cited")} = key
+), once AS (
+  SELECT answer_id, document_id, label, min(place) AS place FROM hit GROUP BY ALL
 )
-SELECT answer_id, document_id, label, row_number() OVER (PARTITION BY answer_id ORDER BY k)::INT AS rank
-FROM cited c JOIN label l ON l.name = c.name AND l.title = c.name || ' ' || c.lang""",
+SELECT answer_id, document_id, label, row_number() OVER (PARTITION BY answer_id ORDER BY place, document_id)::INT AS rank FROM once""",
 }

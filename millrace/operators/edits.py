@@ -54,15 +54,19 @@ def toggle(rows: DataFrame, ids: DataFrame, flag: str, value: bool) -> DataFrame
 
 
 def after_refresh(sources: DataFrame, results: DataFrame, now: Column) -> DataFrame:
-    """Seeded sources after refreshes (id, ok, period_minutes): when they are due next, and when they last succeeded."""
+    """Seeded sources after refreshes (id, ok, period_minutes): when they are due next, and when they last succeeded.
+
+    A failed refresh leaves the time of the last success as it was.
+    """
+    before = F.col("succeeded_at") if "succeeded_at" in sources.columns else F.lit(None)
     marked = results.select(F.col("id"), F.col("ok").alias("e_ok"), F.col("period_minutes").alias("e_period"), F.lit(True).alias("_hit"))
     joined = sources.join(marked, "id", "left")
     hit = F.coalesce("_hit", F.lit(False)) & F.col("seed_key").isNotNull()
     due = F.timestamp_add("minute", F.greatest(F.lit(1), F.col("e_period").cast("int")), now)
     return joined.select(
-        *[c for c in sources.columns if c != "next_refresh"],
+        *[c for c in sources.columns if c not in ("next_refresh", "succeeded_at")],
         F.when(hit, due).otherwise(F.col("next_refresh")).alias("next_refresh"),
-        F.when(hit & F.col("e_ok"), now).alias("succeeded_at"),
+        F.when(hit & F.col("e_ok"), now).otherwise(before).alias("succeeded_at"),
     )
 
 
@@ -133,7 +137,7 @@ def q_invalid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_refreshed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = views.sources(spark, sf_dir)
+    sources = views.sources(spark, sf_dir).withColumn("succeeded_at", F.when(F.col("id") % 3 == 0, F.col("next_refresh")))
     results = sources.where("id % 2 = 0").select("id", (F.col("id") % 4 == 0).alias("ok"), (F.col("id") * 30 - 60).alias("period_minutes"))
     return after_refresh(sources, results, _now()).select("id", "next_refresh", "succeeded_at")
 
@@ -197,7 +201,7 @@ SELECT id, CASE WHEN id % 14 = 0 THEN 'invalid' WHEN id % 7 = 0 THEN 'timeout' E
   CASE WHEN id % 7 = 0 THEN NULL ELSE http_status END AS http_status, CASE WHEN id % 7 = 0 THEN {_AT_SQL} ELSE crawled_at END AS crawled_at FROM doc""",
     "refreshed_sources": f"""
 SELECT id, CASE WHEN id % 2 = 0 AND seed_key IS NOT NULL THEN {_AT_SQL} + to_minutes(greatest(1, id * 30 - 60)) ELSE next_refresh END AS next_refresh,
-  CASE WHEN id % 4 = 0 AND seed_key IS NOT NULL THEN {_AT_SQL} END AS succeeded_at FROM src""",
+  CASE WHEN id % 4 = 0 AND seed_key IS NOT NULL THEN {_AT_SQL} WHEN id % 3 = 0 THEN next_refresh END AS succeeded_at FROM src""",
     "folders": """
 SELECT source_id, path, h[7:8] || h[5:6] || h[3:4] || h[1:2] || '-' || h[11:12] || h[9:10] || '-' || h[15:16] || h[13:14] || '-' || h[17:20] || '-' || h[21:32] AS guid
 FROM (SELECT *, sha256(source_id || '|' || path) AS h FROM (

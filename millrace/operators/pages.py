@@ -199,7 +199,7 @@ FROM pages""",
     "page_links": r"""
 SELECT page_id, (unnest(range(0, len(found))))::INT AS position, unnest(found) AS link FROM (
   SELECT page_id, list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']+)["'']', 1)
-    || regexp_extract_all(html, '"(?:href|url)"\s*:\s*"([^"]+)"', 1)
+    || regexp_extract_all(html, '(?i)"(?:href|url)"\s*:\s*"([^"]+)"', 1)
     || regexp_extract_all(html, '["''](/[A-Za-z0-9][^"''\s<>]*)["'']', 1)
     || regexp_extract_all(html, '(?i)<loc>\s*([^<\s]+)\s*</loc>', 1), lambda x: trim(x) <> '') AS found FROM pages)""",
     "refresh_period_parse": """

@@ -65,12 +65,13 @@ def rotation(found: DataFrame, n: int, seed: int = 7) -> DataFrame:
 
 
 def serve(questions: DataFrame, served: DataFrame, now: Column) -> DataFrame:
-    """Questions after serving: counted, and stamped with the time."""
+    """Questions after serving: counted, and stamped with the time; the others keep their last stamp, if they have one."""
+    before = F.col("last_served_at") if "last_served_at" in questions.columns else F.lit(None)
     hit = served.select("id", F.lit(True).alias("_hit"))
     return questions.join(hit, "id", "left").select(
         *[c for c in questions.columns if c not in ("served_count", "last_served_at")],
         (F.col("served_count") + F.col("_hit").isNotNull().cast("int")).alias("served_count"),
-        F.when(F.col("_hit"), now).alias("last_served_at"),
+        F.when(F.col("_hit"), now).otherwise(before).alias("last_served_at"),
     )
 
 
@@ -172,9 +173,11 @@ def q_rotation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_served_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = views.questions(spark, sf_dir)
-    after = serve(questions, rotation(questions, 6), F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
-    return after.agg(F.sum("served_count").alias("served"), F.count("last_served_at").alias("stamped"))
+    questions = views.questions(spark, sf_dir).withColumn("last_served_at", F.when(F.col("id") % 3 == 0, F.col("created_at")))
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp_ntz")
+    # those due by count and id, so that every row can be told
+    served = questions.where("served_count = 0").orderBy("id").limit(6)
+    return serve(questions, served, at(2)).select("id", "served_count", "last_served_at")
 
 
 QUERIES = {
@@ -242,5 +245,8 @@ WITH usable AS (
 )
 SELECT * FROM (SELECT row_number() OVER (ORDER BY made, url, document_id, place)::INT AS rank, question, document_id FROM firsts) WHERE rank <= 100""",
     "rotation_sample": "SELECT served_count FROM question ORDER BY served_count LIMIT 6",
-    "served_questions": "SELECT (sum(served_count) + 6)::BIGINT AS served, 6::BIGINT AS stamped FROM question",
+    "served_questions": """
+SELECT id, served_count + CASE WHEN hit THEN 1 ELSE 0 END AS served_count,
+  CASE WHEN hit THEN TIMESTAMP '2024-01-02 00:00:00' WHEN id % 3 = 0 THEN created_at END AS last_served_at
+FROM (SELECT *, served_count = 0 AND row_number() OVER (PARTITION BY served_count ORDER BY id) <= 6 AS hit FROM question)""",
 }

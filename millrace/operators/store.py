@@ -44,12 +44,18 @@ def upsert_by_origin(present: DataFrame, batch: DataFrame, key: str = "url") ->
     )
 
 
-def snapshot_diff(present: DataFrame, staged: DataFrame, key: str = "url") -> DataFrame:
-    """What replacing a snapshot changes, a row a key: added, updated, deleted or unchanged."""
+def snapshot_diff(present: DataFrame, staged: DataFrame, key: str = "url", order: str = "id") -> DataFrame:
+    """What replacing a snapshot changes, a row a key: added, updated, deleted or unchanged.
+
+    Keys are compared without case; where one side repeats a key its last row counts, by ``order``.
+    """
     columns = ["content_hash", "status_code", "http_status"]
-    side = lambda df, name: df.select(
-        F.lower(key).alias("key"), F.lit(True).alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns]
-    )
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.lower(key).alias("key"), F.col(order).alias("_order"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        last = last_by_key(rows.where("key is not null"), "key", "_order").union(rows.where("key is null"))
+        return last.drop("_order").withColumn(name, F.lit(True))
+
     joined = side(present, "old").join(side(staged, "new"), "key", "full_outer")
     same = (
         (F.lower("old_content_hash") == F.lower("new_content_hash"))
@@ -113,7 +119,16 @@ def q_upsert_pages_by_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_snapshot_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot_diff(views.documents(spark, sf_dir), views.incoming(spark, sf_dir))
+    return snapshot_diff(views.documents(spark, sf_dir), _staged(spark, sf_dir))
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second snapshot, in which some addresses come twice, in another case and with another text."""
+    staged = views.incoming(spark, sf_dir)
+    again = staged.where("id % 7 = 0").withColumns(
+        {"id": F.col("id") + 20_000_000, "url": F.upper("url"), "content_hash": F.upper(F.reverse("content_hash"))}
+    )
+    return staged.unionByName(again)
 
 
 def q_snapshot_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,12 +164,17 @@ QUERIES = {
     "last_by_origin": q_last_by_origin,
 }
 
-_DIFF = """diff AS (
+_DIFF = """twice AS (
+  SELECT lower(url) AS url, content_hash, status_code, http_status, id FROM incoming
+  UNION ALL SELECT lower(url), upper(reverse(content_hash)), status_code, http_status, id + 20000000 FROM incoming WHERE id % 7 = 0
+), staged AS (
+  SELECT * FROM twice QUALIFY url IS NULL OR row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1
+), diff AS (
   SELECT lower(coalesce(o.url, n.url)) AS key, coalesce(n.content_hash, o.content_hash) AS content_hash,
     CASE WHEN o.url IS NULL THEN 'added' WHEN n.url IS NULL THEN 'deleted'
-      WHEN o.content_hash = n.content_hash AND o.status_code IS NOT DISTINCT FROM n.status_code
+      WHEN lower(o.content_hash) = lower(n.content_hash) AND o.status_code IS NOT DISTINCT FROM n.status_code
         AND o.http_status IS NOT DISTINCT FROM n.http_status THEN 'unchanged' ELSE 'updated' END AS change
-  FROM doc o FULL JOIN incoming n ON lower(o.url) = lower(n.url))"""
+  FROM doc o FULL JOIN staged n ON lower(o.url) = n.url)"""
 ORACLES = {
     "upsert_pages_by_origin": """
 SELECT coalesce(o.id, n.id) AS id, coalesce(o.url, n.url) AS url,
