@@ -361,6 +361,7 @@ def linked_rows(docs: DataFrame) -> DataFrame:
         links = links.union(keep(_verify(pairs, sets), step))
         forget(spanning, pairs)
     roots = components(links)
+    forget(sets, orders, survivors)
 
     joined = classes.select("digest", "least_doc").join(roots, F.col("digest") == F.col("node"))
     ids = joined.groupBy("root").agg(F.min("least_doc").alias("component_id"))
