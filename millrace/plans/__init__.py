@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import answers, edits, eligibility, health, imports, pages, questions, retrieve, store
+from ..operators import answers, edits, eligibility, health, imports, pages, questions, retrieve, store, upkeep
 from ..sources import views
 
-_MODULES = (retrieve, eligibility, store, edits, imports, pages, questions, answers, health)
+_MODULES = (retrieve, eligibility, store, edits, imports, pages, questions, answers, health, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
