@@ -43,11 +43,14 @@ def roll_up(results: DataFrame) -> DataFrame:
 
 
 def knowledge_status(run_status: Column, pages: Column, run_pages: Column, warnings: Column, questions: Column, agree: Column) -> Column:
-    """running: warming_up; nothing, or a failed run without pages: degraded; any defect: ready_with_warnings; else ready."""
+    """running: warming_up; nothing, or a failed run without pages: degraded; any defect: ready_with_warnings; else ready.
+
+    ``agree``: whether cache and questions were made for the same documents; null, no cache, is a defect.
+    """
     return (
         F.when(run_status == "running", "warming_up")
         .when((pages == 0) | ((run_status == "failed") & (run_pages == 0)), "degraded")
-        .when((warnings > 0) | (questions == 0) | ~agree, "ready_with_warnings")
+        .when((warnings > 0) | (questions == 0) | ~F.coalesce(agree, F.lit(False)), "ready_with_warnings")
         .otherwise("ready")
     )
 
@@ -73,17 +76,21 @@ def q_latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health of the knowledge bank after each run: one-row facts beside the runs."""
+    """Health of the knowledge bank after each run: one-row facts beside the runs.
+
+    Every fourth run has another cache than the newest questions', every ninth none.
+    """
     docs, sources = views.documents(spark, sf_dir), views.sources(spark, sf_dir)
     found = usable(docs, sources)
     pages = found.agg(F.count("*").alias("pages"))
-    asked = metadata(eligible(views.questions(spark, sf_dir), views.question_documents(spark, sf_dir), docs, sources)).select("available")
+    asked = metadata(eligible(views.questions(spark, sf_dir), views.question_documents(spark, sf_dir), docs, sources)).select("available", "fingerprint")
     facts = pages.crossJoin(asked)  # one row each
     runs = roll_up(views.runs(spark, sf_dir)).crossJoin(F.broadcast(facts))
     run_status = F.when(F.col("run_id") % 10 == 0, "running").otherwise(F.col("status"))
+    cached = F.when(F.col("run_id") % 4 == 0, "other").when(F.col("run_id") % 9 != 0, F.col("fingerprint"))
     status = knowledge_status(
         run_status, F.col("pages"), F.col("added") + F.col("updated") + F.col("unchanged"),
-        F.col("warning_sources") + F.col("failed_sources"), F.col("available"), F.lit(True),
+        F.col("warning_sources") + F.col("failed_sources"), F.col("available"), cached == F.col("fingerprint"),
     )
     api = F.when(F.col("run_id") % 3 == 0, "ready_with_warnings").otherwise("ready")
     return runs.select("run_id", status.alias("knowledge"), worse(status, api).alias("overall"), "pages", "available")
@@ -125,7 +132,7 @@ WITH {_ROLL}, fact AS (
 ), judged AS (
   SELECT run_id, pages, available, CASE WHEN run_id % 10 = 0 THEN 'warming_up'
     WHEN pages = 0 OR (status = 'failed' AND added + updated + unchanged = 0) THEN 'degraded'
-    WHEN warning_sources + failed_sources > 0 OR available = 0 THEN 'ready_with_warnings' ELSE 'ready' END AS knowledge FROM roll, fact)
+    WHEN warning_sources + failed_sources > 0 OR available = 0 OR run_id % 4 = 0 OR run_id % 9 = 0 THEN 'ready_with_warnings' ELSE 'ready' END AS knowledge FROM roll, fact)
 SELECT run_id, knowledge, CASE WHEN knowledge IN ('degraded', 'warming_up') THEN knowledge
   WHEN run_id % 3 = 0 OR knowledge = 'ready_with_warnings' THEN 'ready_with_warnings' ELSE 'ready' END AS overall, pages, available FROM judged""",
 }
