@@ -19,6 +19,14 @@ def test_citations_with_separators_in_labels(spark):
     assert not cite(answers.limit(0), blocks).collect() and not cite(answers, blocks.limit(0)).collect()
 
 
+def test_whole_labels_come_first_longest_first(spark):
+    from millrace.operators.answers import cite
+
+    blocks = spark.createDataFrame([(1, "A - one"), (2, "A - two"), (3, "B - three"), (4, "a - ONE")], "document_id long, label string")
+    line = spark.createDataFrame([(7, "A - one; two | B - three")], "answer_id long, line string")
+    assert [r.document_id for r in cite(line, blocks).orderBy("rank").collect()] == [3, 1, 2]
+
+
 def test_stamps_stay(spark):
     from millrace.operators.edits import after_refresh
     from millrace.operators.questions import serve
