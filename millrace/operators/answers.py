@@ -154,7 +154,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = F.concat(
         F.lit("Kaynak: src"), n % 20, F.lit(" - src"), n % 20, F.lit(" en; src"), n % 20, F.lit(" de | src"), (n + 3) % 20, F.lit(" - src"), (n + 3) % 20, F.lit(" fr")
     )
-    listed = F.array_join(F.transform(F.slice(F.split("text", "\n"), 1, 6), lambda s: F.concat(F.lit("- **"), s, F.lit("**"))), "\n")
+    listed = F.array_join(F.transform(F.split("text", "\n"), lambda s: F.concat(F.lit("- **"), s, F.lit("**"))), "\n")
     heading = F.when(n % 4 != 3, F.concat(F.lit("\n## Önerilen sorular\n"), listed)).otherwise("")
     contact = F.concat(F.lit("\nMail info."), n, F.lit("@mail.example.com or 0212 555 "), F.lpad((n % 100).cast("string"), 2, "0"), F.lit(" 11, www.site"), n, F.lit(".com/x."))
     return said.select((n * 1000 + F.col("turn")).alias("answer_id"), F.concat("text", contact, F.lit("\n"), cited, heading).alias("markdown"))
@@ -195,7 +195,7 @@ ORACLES = {
     "suggestions": """
 WITH listed AS (
   SELECT conv_id * 1000 + turn AS answer_id, i, trim(regexp_replace(trim(string_split(text, chr(10))[i]), '[*_~]', '', 'g'), ' "''`-*') AS q
-  FROM (SELECT *, unnest(range(1, least(len(string_split(text, chr(10))), 6) + 1)) AS i FROM conversations WHERE role = 'assistant' AND conv_id % 4 <> 3)
+  FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations WHERE role = 'assistant' AND conv_id % 4 <> 3)
 ), firsts AS (
   SELECT * FROM listed WHERE q <> '' QUALIFY row_number() OVER (PARTITION BY answer_id, upper(q) ORDER BY i) = 1)
 SELECT answer_id, (k - 1)::INT AS position, q AS question

@@ -121,24 +121,26 @@ def _now() -> Column:
 
 
 def q_edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents but uploads are edited by hand, their whole texts too."""
     docs = views.documents(spark, sf_dir)
-    edits = docs.where("id % 10 = 3").select(
-        "id", F.concat(F.lit(" "), "title", F.lit(" edited ")).alias("title"), F.substring("content", 1, 500).alias("content"), (F.col("id") % 20 == 3).alias("is_enabled")
-    )
+    edits = docs.where("origin <> 'manual_upload'").select(
+        "id", F.concat(F.lit(" "), "title", F.lit(" edited ")).alias("title"), F.concat("content", F.lit("\r\n  end ")).alias("content"),
+        (~F.col("is_enabled")).alias("is_enabled"),
+    )
     after = edit_documents(docs, edits, _now())
     return after.select("id", "title", "content_hash", "is_enabled", "http_status", "origin", "crawled_at", preview(F.col("content"), F.col("title"), "-").alias("preview"))
 
 
 def q_invalid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.documents(spark, sf_dir)
-    code = F.when(F.col("id") % 14 == 0, " ").otherwise(" timeout ")
-    failures = docs.where("id % 7 = 0").select("id", code.alias("status_code"), F.lit(None).cast("int").alias("http_status"))
+    code = F.when(F.col("http_status") == 503, " timeout ").otherwise(" ")
+    failures = docs.where("http_status <> 200").select("id", code.alias("status_code"), F.lit(None).cast("int").alias("http_status"))
     return mark_invalid(docs, failures, _now()).select("id", "status_code", "http_status", "crawled_at")
 
 
 def q_refreshed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = views.sources(spark, sf_dir).withColumn("succeeded_at", F.when(F.col("id") % 3 == 0, F.col("next_refresh")))
-    results = sources.where("id % 2 = 0").select("id", (F.col("id") % 4 == 0).alias("ok"), (F.col("id") * 30 - 60).alias("period_minutes"))
+    results = sources.where("is_enabled").select("id", (~F.col("is_archived")).alias("ok"), (F.col("id") * 30 - 60).alias("period_minutes"))
     return after_refresh(sources, results, _now()).select("id", "next_refresh", "succeeded_at")
 
 
@@ -151,7 +153,7 @@ def q_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_toggled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.documents(spark, sf_dir)
-    return toggle(docs, docs.where("id % 6 = 1"), "is_archived", True).select("id", "is_archived")
+    return toggle(docs, docs.where("origin = 'web_crawl'"), "is_archived", True).select("id", "is_archived")
 
 
 def q_replaced_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,23 +192,23 @@ SELECT id, title, content_hash, is_enabled, http_status, origin, crawled_at,
   SELECT *, CASE WHEN p <> '' THEN p ELSE coalesce(nullif(trim(title, ' '), ''), '-') END AS c FROM (
     SELECT *, trim(regexp_replace(translate(content, chr(13) || chr(10), '  '), ' +', ' ', 'g'), ' ') AS p FROM (
       SELECT id, CASE WHEN hit THEN title || ' edited' ELSE title END AS title, CASE WHEN hit THEN e ELSE content END AS content,
-        CASE WHEN hit THEN sha256(e) ELSE content_hash END AS content_hash, CASE WHEN hit THEN id % 20 = 3 ELSE is_enabled END AS is_enabled,
+        CASE WHEN hit THEN sha256(e) ELSE content_hash END AS content_hash, hit <> is_enabled AS is_enabled,
         CASE WHEN hit THEN coalesce(http_status, 200) ELSE http_status END AS http_status,
         CASE WHEN hit AND origin = 'web_crawl' THEN 'manual_upload' ELSE origin END AS origin,
         CASE WHEN hit THEN {_AT_SQL} ELSE crawled_at END AS crawled_at
-      FROM (SELECT *, id % 10 = 3 AND e <> '' AS hit FROM (
-        SELECT *, trim(regexp_replace(translate(left(content, 500), chr(13) || chr(10), '  '), ' +', ' ', 'g'), ' ') AS e FROM doc)))))""",
+      FROM (SELECT *, coalesce(origin <> 'manual_upload' AND title <> '' AND e <> '', false) AS hit FROM (
+        SELECT *, trim(regexp_replace(translate(content || chr(13) || chr(10) || '  end ', chr(13) || chr(10), '  '), ' +', ' ', 'g'), ' ') AS e FROM doc)))))""",
     "invalid_documents": f"""
-SELECT id, CASE WHEN id % 14 = 0 THEN 'invalid' WHEN id % 7 = 0 THEN 'timeout' ELSE status_code END AS status_code,
-  CASE WHEN id % 7 = 0 THEN NULL ELSE http_status END AS http_status, CASE WHEN id % 7 = 0 THEN {_AT_SQL} ELSE crawled_at END AS crawled_at FROM doc""",
+SELECT id, CASE http_status WHEN 404 THEN 'invalid' WHEN 503 THEN 'timeout' ELSE status_code END AS status_code,
+  CASE WHEN http_status = 200 THEN 200 END AS http_status, CASE WHEN http_status <> 200 THEN {_AT_SQL} ELSE crawled_at END AS crawled_at FROM doc""",
     "refreshed_sources": f"""
-SELECT id, CASE WHEN id % 2 = 0 AND seed_key IS NOT NULL THEN {_AT_SQL} + to_minutes(greatest(1, id * 30 - 60)) ELSE next_refresh END AS next_refresh,
-  CASE WHEN id % 4 = 0 AND seed_key IS NOT NULL THEN {_AT_SQL} WHEN id % 3 = 0 THEN next_refresh END AS succeeded_at FROM src""",
+SELECT id, CASE WHEN is_enabled AND seed_key IS NOT NULL THEN {_AT_SQL} + to_minutes(greatest(1, id * 30 - 60)) ELSE next_refresh END AS next_refresh,
+  CASE WHEN is_enabled AND NOT is_archived AND seed_key IS NOT NULL THEN {_AT_SQL} WHEN id % 3 = 0 THEN next_refresh END AS succeeded_at FROM src""",
     "folders": """
 SELECT source_id, path, h[7:8] || h[5:6] || h[3:4] || h[1:2] || '-' || h[11:12] || h[9:10] || '-' || h[15:16] || h[13:14] || '-' || h[17:20] || '-' || h[21:32] AS guid
 FROM (SELECT *, sha256(source_id || '|' || path) AS h FROM (
   SELECT DISTINCT source_id, '/a/' || id % 7 || '/' || id % 3 AS path FROM doc WHERE source_id IS NOT NULL))""",
-    "toggled_documents": "SELECT id, is_archived OR id % 6 = 1 AS is_archived FROM doc",
+    "toggled_documents": "SELECT id, is_archived OR origin = 'web_crawl' AS is_archived FROM doc",
     "replaced_questions": """
 WITH ref AS (
   SELECT q.question, r.document_id, min(r.question_id * 10 + r.position) AS rank FROM question_doc r JOIN question q ON q.id = r.question_id GROUP BY ALL

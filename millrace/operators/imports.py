@@ -73,34 +73,31 @@ def clashing(docs: DataFrame, moved: DataFrame) -> DataFrame:
     return moved.join(keyed, (target == F.col("_url")) & (F.col("id") != F.col("_id")), "left_semi")
 
 
-def _page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = views.table(spark, sf_dir, "pages")
-    return pages.select("url", F.lit("page").alias("title"), F.substring("html", 1, 200).alias("content"))
-
-
 def _path() -> Column:
     return F.concat(F.lit("dir"), (F.col("id") % 3).cast("string"), F.lit("//./f"), (F.col("id") % 400).cast("string"), F.lit(".md"))
 
 
 def q_ensured_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensure_sources(views.sources(spark, sf_dir), _page_docs(spark, sf_dir))
+    return ensure_sources(views.sources(spark, sf_dir), views.table(spark, sf_dir, "pages"))
 
 
 def q_manual_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document added again under its URL, empty under another and whole under a third."""
     docs = views.documents(spark, sf_dir)
-    again = docs.where("id % 25 = 0").select(F.concat("url", F.lit("/?x=1")).alias("url"), "title", F.lit("text").alias("content"))
-    empty = docs.where("id % 50 = 1").select(F.concat("url", F.lit("/empty")).alias("url"), "title", F.lit(" \n").alias("content"))
-    fresh = docs.where("id % 40 = 2").select(F.concat("url", F.lit("//fresh/")).alias("url"), "title", F.lit("new  text").alias("content"))
+    again = docs.select(F.concat("url", F.lit("/?x=1")).alias("url"), "title", "content")
+    empty = docs.select(F.concat("url", F.lit("/empty")).alias("url"), "title", F.lit(" \n").alias("content"))
+    fresh = docs.select(F.concat("url", F.lit("//fresh/")).alias("url"), "title", F.concat("content", F.lit(" new  text")).alias("content"))
     return add_manual(docs, again.union(empty).union(fresh))
 
 
 def q_imported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a file, blank or unreadable for some; those imported before are present."""
     docs = views.documents(spark, sf_dir).where("source_id is not null")
-    files = docs.where("id % 2 = 0").select(
-        "source_id", _path().alias("path"), F.when(F.col("id") % 8 != 0, F.substring("content", 1, 80)).otherwise(" ").alias("text"),
-        F.when(F.col("id") % 26 == 0, "unreadable").alias("error"),
+    files = docs.select(
+        "source_id", _path().alias("path"), F.when(F.col("id") % 8 != 0, F.col("content")).otherwise(" ").alias("text"),
+        F.when(F.col("http_status") == 503, "unreadable").alias("error"),
     )
-    present = docs.where("id % 4 = 2").select("source_id", _path().alias("path"), F.when(F.col("id") % 3 == 0, F.sha2(F.substring("content", 1, 80), 256)).otherwise("old").alias("content_hash"))
+    present = docs.where("origin = 'local_import'").select("source_id", _path().alias("path"), F.when(F.col("is_enabled"), F.col("content_hash")).otherwise("old").alias("content_hash"))
     firsts = present.groupBy("source_id", "path").agg(F.min("content_hash").alias("content_hash"))
     return import_files(files, firsts)
 
@@ -139,18 +136,22 @@ SELECT name, min(scheme || '://' || name) AS address FROM (
   SELECT {_HOST} AS name, lower(regexp_extract(url, '^((?i:https?))://', 1)) AS scheme FROM pages)
 WHERE name <> '' AND name NOT IN (SELECT name || '.example' FROM src) GROUP BY name""",
     "manual_documents": """
-SELECT replace(url, 'https://www.', 'https://') || '' AS url, title, 'duplicate' AS outcome, sha256('text') AS content_hash FROM doc WHERE id % 25 = 0
-UNION ALL SELECT replace(url, 'https://www.', 'https://') || '/empty', title, 'empty', sha256('') FROM doc WHERE id % 50 = 1
-UNION ALL SELECT replace(url, 'https://www.', 'https://') || '/fresh', title, 'added', sha256('new text') FROM doc WHERE id % 40 = 2""",
+WITH new AS (
+  SELECT replace(url, 'https://www.', 'https://') AS url, title, content, 'duplicate' AS known FROM doc
+  UNION ALL SELECT replace(url, 'https://www.', 'https://') || '/empty', title, ' ', 'added' FROM doc
+  UNION ALL SELECT replace(url, 'https://www.', 'https://') || '/fresh', title, content || ' new  text', 'added' FROM doc
+)
+SELECT url, title, CASE WHEN coalesce(c, '') = '' THEN 'empty' ELSE known END AS outcome, sha256(c) AS content_hash
+FROM (SELECT *, trim(regexp_replace(translate(content, chr(13) || chr(10), '  '), ' +', ' ', 'g'), ' ') AS c FROM new)""",
     "imported_files": f"""
 WITH file AS (
   SELECT source_id, path, arg_max(text, (text, coalesce(error, ''))) AS text, nullif(arg_max(coalesce(error, '-'), (text, coalesce(error, ''))), '-') AS error FROM (
-    SELECT source_id, {_FILE} AS path, CASE WHEN id % 8 <> 0 THEN left(content, 80) ELSE ' ' END AS text,
-      CASE WHEN id % 26 = 0 THEN 'unreadable' END AS error FROM doc WHERE source_id IS NOT NULL AND id % 2 = 0)
+    SELECT source_id, {_FILE} AS path, CASE WHEN id % 8 <> 0 THEN content ELSE ' ' END AS text,
+      CASE WHEN http_status = 503 THEN 'unreadable' END AS error FROM doc WHERE source_id IS NOT NULL)
   GROUP BY ALL
 ), old AS (
-  SELECT source_id, {_FILE} AS path, min(CASE WHEN id % 3 = 0 THEN sha256(left(content, 80)) ELSE 'old' END) AS old
-  FROM doc WHERE source_id IS NOT NULL AND id % 4 = 2 GROUP BY ALL
+  SELECT source_id, {_FILE} AS path, min(CASE WHEN is_enabled THEN content_hash ELSE 'old' END) AS old
+  FROM doc WHERE source_id IS NOT NULL AND origin = 'local_import' GROUP BY ALL
 )
 SELECT source_id, path, folder, {_GUID.format(1)} AS document_guid, {_GUID.format(2)} AS folder_guid, content_hash,
   CASE WHEN error IS NOT NULL THEN 'failed' WHEN trim(text, ' ') = '' THEN 'skipped' WHEN old IS NULL THEN 'imported'

@@ -138,7 +138,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = views.table(spark, sf_dir, "conversations").where("role = 'assistant'")
     lines = F.transform(
         F.split("text", "\n"),
-        lambda s, i: F.concat(F.lit("- "), (F.col("conv_id") % 97 + i).cast("string"), F.lit(", "), (F.col("turn") * 3).cast("string"), F.lit(" | "), s),
+        lambda s, i: F.concat(F.lit("- "), (F.col("conv_id") + i).cast("string"), F.lit(", "), (F.col("turn") * 3).cast("string"), F.lit(" | "), s),
     )
     return said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), F.array_join(lines, "\n").alias("text"))
 
@@ -163,7 +163,7 @@ def q_parse_generated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_complete_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, _, docs, sources = _all(spark, sf_dir)
-    first = questions.where("id < 5").select((F.col("id") + 1).cast("int").alias("rank"), "question", F.col("id").alias("document_id"))
+    first = questions.select((F.col("id") + 1).cast("int").alias("rank"), "question", F.col("id").alias("document_id"))
     return complete(first, usable(docs, sources))
 
 
@@ -214,7 +214,7 @@ WITH line AS (
   SELECT conv_id * 1000 + turn AS response_id, conv_id, turn, i - 1 AS line, string_split(text, chr(10))[i] AS s
   FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations WHERE role = 'assistant')
 ), parsed AS (
-  SELECT response_id, line, list_distinct([conv_id % 97 + line]) || CASE WHEN turn * 3 = conv_id % 97 + line THEN [] ELSE [turn * 3] END AS ids,
+  SELECT response_id, line, list_distinct([conv_id + line]) || CASE WHEN turn * 3 = conv_id + line THEN [] ELSE [turn * 3] END AS ids,
     {_NORMAL.format("trim(s)")} AS q FROM line WHERE length(trim(s)) > 0
 ), kept AS (
   SELECT response_id, line, ids, CASE WHEN q = '' OR q LIKE '%?' THEN q ELSE q || '?' END AS question FROM parsed
@@ -234,7 +234,7 @@ WITH usable AS (
     AND d.source_id IS NOT NULL AND s.is_enabled AND NOT s.is_archived
 ), made AS (
   SELECT 1 AS made, upper(url) AS url, id AS document_id, i AS place, [{_TEMPLATES}][i] AS raw FROM usable, range(1, 11) AS r(i)
-  UNION ALL SELECT 0, '', id, id + 1, question FROM question WHERE id < 5
+  UNION ALL SELECT 0, '', id, id + 1, question FROM question
 ), normal AS (
   SELECT *, {_NORMAL.format("raw")} AS q FROM made
 ), named AS (

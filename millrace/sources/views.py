@@ -89,11 +89,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One to three documents for each question (none for every ninth), by modular arithmetic."""
+    """One to three of all documents for each question (none for every ninth), by modular arithmetic."""
     items = table(spark, sf_dir, "benchmark").where("item_id % 9 <> 8")
     k = F.explode(F.sequence(F.lit(0), (F.col("item_id") % 3).cast("int"))).alias("position")
     refs = items.select(F.col("item_id").alias("question_id"), k)
-    refs = refs.withColumn("document_id", (F.col("question_id") * 31 + F.col("position") * 17) % 211)
+    ids = table(spark, sf_dir, "documents").agg((F.coalesce(F.max("doc_id"), F.lit(0)) + 1).alias("_ids"))
+    # one row
+    refs = refs.crossJoin(ids).withColumn("document_id", (F.col("question_id") * 7919 + F.col("position") * 17) % F.col("_ids"))
     docs = documents(spark, sf_dir).select(F.col("id").alias("document_id"), "source_id")
     return refs.join(docs, "document_id", "left").select("question_id", "position", "document_id", "source_id")
 
@@ -144,7 +146,7 @@ src AS (
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(item_id) AS created_at, sha256(item_id::VARCHAR) AS fingerprint FROM benchmark
 ), question_doc AS (
   SELECT q.question_id, q.position, q.document_id, d.source_id FROM (
-    SELECT item_id AS question_id, position, (item_id * 31 + position * 17) % 211 AS document_id
+    SELECT item_id AS question_id, position, (item_id * 7919 + position * 17) % (SELECT coalesce(max(doc_id), 0) + 1 FROM documents) AS document_id
     FROM (SELECT item_id, unnest(range(0, item_id % 3 + 1)) AS position FROM benchmark WHERE item_id % 9 <> 8)) q
   LEFT JOIN doc d ON d.id = q.document_id
 ), run AS (
