@@ -1,4 +1,4 @@
-"""Answers: suggestions, source lines, citations and contact details in generated Markdown."""
+"""Answers: suggestions, source lines and citations in generated Markdown."""
 
 from __future__ import annotations
 
@@ -9,13 +9,10 @@ from ..functions.text import citation_text
 from ..sources import views
 from .retrieve import active_blocks
 
-# The heading of suggestions, the mark of a source line, and the shapes of contact details.
+# The heading of suggestions, the mark of a source line, and the shape of a listed question.
 HEADING = r"(?iu)^#{1,6}\s*[öo]nerilen\s+sorular\s*:?\s*$"
 SOURCE = r"(?iu)^[*_]{0,2}kaynak[*_]{0,2}\s*:[*_]{0,2}\s*"
 BULLET = r"^\s*(?:[-*+]\s+|\d+[\.)]\s+)(.+?)\s*$"
-EMAIL = r"(?i)(?<![\w.+-])([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})(?![\w.-])"
-PHONE = r"(?<!\w)((?:\+?\d{1,3}[\s.-]?)?(?:\(?0?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{2}[\s.-]?\d{2}|444[\s.-]?\d[\s.-]?\d{3}))(?!\w)"
-LINK = r"(?i)(?<![@\w])((?:https?://|www\.)[^\s<>()]+)"
 
 
 def _lines(markdown: Column) -> Column:
@@ -70,31 +67,19 @@ def body(markdown: Column) -> Column:
 
 
 def phone(number: Column) -> Column:
-    """A number as + and digits: 00 is +, national forms get +90; null unless 7 to 15 digits are left."""
+    """A number as + and digits: 00 is +, national forms get +90; null unless it has 7 to 15 digits."""
     digits = F.regexp_replace(number, r"\D", "")
+    n = F.length(digits)
+    after = lambda i: F.substring(digits, i + 1, 20)
     whole = (
-        F.when(F.trim(number).startswith("+"), F.concat(F.lit("+"), digits))
-        .when(digits.startswith("00"), F.concat(F.lit("+"), F.substring(digits, 3, 20)))
-        .when(digits.startswith("90") & (F.length(digits) == 12), F.concat(F.lit("+"), digits))
-        .when(digits.startswith("0") & (F.length(digits) == 11), F.concat(F.lit("+9"), digits))
-        .when(F.length(digits) == 10, F.concat(F.lit("+90"), digits))
+        F.when(digits.startswith("00") & (n > 4), F.concat(F.lit("+"), after(2)))
+        .when(F.contains(number, F.lit("+")), F.concat(F.lit("+"), digits))
+        .when(digits.startswith("0") & (n == 11), F.concat(F.lit("+90"), after(1)))
+        .when((n == 10) & F.left(digits, F.lit(1)).isin(*"23458"), F.concat(F.lit("+90"), digits))
+        .when(digits.startswith("90") & (n == 12), F.concat(F.lit("+"), digits))
         .otherwise(digits)
     )
-    n = F.length(F.regexp_replace(whole, r"\D", ""))
-    return F.when((n >= 7) & (n <= 15), whole)
-
-
-def contacts(text: Column) -> Column:
-    """kind and value of each e-mail address, link and phone number, in this order."""
-    each = lambda kind, pattern, f: F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), f(v).alias("value"))
-    )
-    found = F.concat(
-        each("email", EMAIL, lambda v: v),
-        each("link", LINK, lambda v: F.rtrim(v, F.lit(".,;:!?)]"))),
-        each("phone", PHONE, phone),
-    )
-    return F.filter(found, lambda c: c["value"].isNotNull())
+    return F.when(n.between(7, 15), whole)
 
 
 #: Letters of the part of a label by which lines that contain it are looked up.
@@ -170,11 +155,6 @@ def q_source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("answer_id", source_line(md).alias("line"), F.sha2(body(md), 256).alias("body_hash"))
 
 
-def q_contact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _answers(spark, sf_dir).select("answer_id", F.posexplode(contacts(F.col("markdown"))).alias("position", "c"))
-    return found.select("answer_id", "position", "c.kind", "c.value")
-
-
 def q_citation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _answers(spark, sf_dir).select("answer_id", source_line(F.col("markdown")).alias("line"))
     return cite(lines, active_blocks(views.documents(spark, sf_dir), views.sources(spark, sf_dir)))
@@ -183,7 +163,6 @@ def q_citation_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "suggestions": q_suggestions,
     "source_lines": q_source_lines,
-    "contact_candidates": q_contact_candidates,
     "citation_resolution": q_citation_resolution,
 }
 

@@ -93,24 +93,27 @@ def replace_questions(candidates: DataFrame, fingerprint: str, now: Column) -> t
     return questions, refs.join(ids, "question").select(F.col("id").alias("question_id"), "document_id")
 
 
-def non_overlapping(spans: DataFrame) -> DataFrame:
-    """Of each text's ``spans`` (text_id, start, length, priority) those to replace.
+def without_overlaps(spans: Column, kind: str) -> Column:
+    """Of an array of ``spans`` (of type ``kind``, with start, length and priority) those to replace.
 
     In order of start, priority and length, longest first, each is taken that
-    overlaps none taken before it: a fold over one text's spans.
+    overlaps none taken before it.
     """
-    order = F.struct("start", "priority", (-F.col("length")).alias("shorter"), "length")
-    lists = spans.groupBy("text_id").agg(F.array_sort(F.collect_list(order)).alias("spans"))
-    kind = "struct<upto: int, kept: array<struct<start: int, length: int, priority: int>>>"
-    empty = F.struct(F.lit(0).alias("upto"), F.array().alias("kept")).cast(kind)
-
-    def step(acc: Column, s: Column) -> Column:
-        span = F.struct(s["start"].alias("start"), s["length"].alias("length"), s["priority"].alias("priority"))
-        taken = F.struct((s["start"] + s["length"]).alias("upto"), F.concat(acc["kept"], F.array(span)).alias("kept"))
-        return F.when(s["start"] >= acc["upto"], taken).otherwise(acc)
-
-    kept = F.aggregate("spans", empty, step, lambda acc: acc["kept"])
-    return lists.select("text_id", F.inline(kept))
+    keys = lambda s: F.struct(s["start"].alias("start"), s["priority"].alias("priority"), (-s["length"]).alias("shorter"), s.alias("s"))
+    empty = F.struct(F.lit(0).alias("upto"), F.array().alias("kept")).cast(f"struct<upto: int, kept: array<{kind}>>")
+
+    def step(acc: Column, k: Column) -> Column:
+        taken = F.struct((k["start"] + k["s"]["length"]).alias("upto"), F.concat(acc["kept"], F.array(k["s"])).alias("kept"))
+        return F.when(k["start"] >= acc["upto"], taken).otherwise(acc)
+
+    return F.aggregate(F.array_sort(F.transform(spans, keys)), empty, step, lambda acc: acc["kept"])
+
+
+def non_overlapping(spans: DataFrame) -> DataFrame:
+    """Of each text's ``spans`` (text_id, start, length, priority) those to replace, as `without_overlaps` says."""
+    kind = "struct<start: int, length: int, priority: int>"
+    lists = spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "length", "priority").cast(kind)).alias("spans"))
+    return lists.select("text_id", F.inline(without_overlaps(F.col("spans"), kind)))
 
 
 _AT = "2024-02-01 00:00:00"
