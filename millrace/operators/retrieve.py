@@ -8,24 +8,41 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import citation_text, let, search_terms, search_text
+from ..functions.urls import title_of
 from ..sources import views
 from .eligibility import displayable, usable, with_source
 
 MAX_BLOCKS, MAX_CHARS = 12, 60_000
+# The name of a source without one, and the mark of a block.
+NO_SOURCE, BLOCK = "Bilgi Bankası", "Knowledge Document"
+#: Wording of prompts; a deployment gives its own.
+RULES = "Answer only from these documents:"
+CLOSING = "Cite only these labels:"
+EMPTY = "There are no documents yet: say that the answer isn't here, and don't guess."
 #: The question of the flagship query.
 QUESTION = "What are the thanedble reinth and tionhe with 2024 pathetic lyourer?"
 
 
 def blocks(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """A context block for each unarchived document with content, whose source is missing or unarchived."""
+    """A context block for each unarchived document with content, whose source is missing or unarchived.
+
+    A source that is missing or has a blank name goes by the default name. Title,
+    type and URL may be null: their places stay empty, and the label is the
+    title that `citation_title` gives.
+    """
     found = docs.where("not is_archived and status_code = 'ok' and length(trim(content)) > 0 and source_id is not null")
-    named = with_source(found, sources).where("source_name is null or not source_archived")
+    known = with_source(found, sources).where("source_name is null or not source_archived")
+    name = F.coalesce(F.nullif(F.trim("source_name"), F.lit("")), F.lit(NO_SOURCE))
+    shown = F.coalesce(F.nullif(F.trim("title"), F.lit("")), title_of(F.col("url")), F.lit(""))
+    named = known.withColumns({"source_name": name, "title": shown})
     label = F.concat_ws(" - ", "source_name", "title")
-    block = F.concat(
-        F.lit("[Document]\n[Source] "), F.coalesce("source_name", F.lit("")),
-        F.lit("\n[Title] "), "title", F.lit("\n[Url] "), "url", F.lit("\n[Label] "), label,
-        F.lit("\n"), F.trim("content"), F.lit("\n[/Document]"),
-    )
+    lines = {
+        "DocumentId": F.col("id").cast("string"), "SourceId": F.col("source_id").cast("string"), "SourceName": F.col("source_name"),
+        "SourceType": F.col("source_type"), "DocumentTitle": F.col("title"), "DocumentUrl": F.col("url"), "CitationLabel": label,
+    }
+    head = [F.concat(F.lit(f"[{k}] "), F.coalesce(v, F.lit(""))) for k, v in lines.items()]
+    marked = lambda mark: F.lit(f"[{mark}]")
+    block = F.concat_ws("\n", marked(BLOCK), *head, marked("Content"), "content", marked("/Content"), marked("/" + BLOCK))
     return named.select(
         F.col("id").alias("document_id"), "source_id", "source_name", "source_type", "title", "url",
         label.alias("label"), "content_hash", block.alias("block"),
@@ -97,6 +114,37 @@ def retrieve(spark: SparkSession, found: DataFrame, question: str) -> DataFrame:
     return top_under_budget(scored(found, literal))
 
 
+def system_prompt(found: DataFrame, rules: str = RULES, closing: str = CLOSING, empty: str = EMPTY) -> DataFrame:
+    """One row: the number of ``blocks`` and the ``prompt`` of them.
+
+    The rules, the blocks by source, title and id, the closing and the labels in
+    order, case ignored. Without blocks it is the text of an empty bank.
+    ``found`` is what a budget chose (`top_under_budget`), so one row holds it.
+    """
+    ordered = lambda c, *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, F.col(c).alias("_x")))), lambda s: s["_x"])
+    each = F.array_join(ordered("block", "source_name", "title", "document_id"), "\n\n")
+    labels = F.transform(ordered("label", F.upper("label").alias("_k"), F.col("document_id")), lambda x: F.concat(F.lit("- "), x))
+    text = F.concat_ws("\n", F.lit(rules + "\n"), each, F.lit("\n" + closing), F.array_join(labels, "\n"))
+    return found.agg(F.count("*").alias("blocks"), F.when(F.count("*") > 0, text).otherwise(empty).alias("prompt"))
+
+
+def runtime_rules(questions: Column, sources_shown: Column) -> Column:
+    """What the settings add to a prompt: how many questions to suggest (1 to 10), and whether sources are named."""
+    n = F.least(F.greatest(questions, F.lit(1)), F.lit(10)).cast("string")
+    named = F.when(sources_shown, "Name the sources in one line.").otherwise("Don't name sources.")
+    return F.concat(F.lit("Suggest "), n, F.lit(" questions at most.\n"), named)
+
+
+def runtime_prompt(prompt: Column, questions: Column, sources_shown: Column) -> Column:
+    return F.concat_ws("\n\n", prompt, runtime_rules(questions, sources_shown))
+
+
+def user_message(question: Column, questions: Column, sources_shown: Column) -> Column:
+    """The trimmed question between its marks, then the rules once more; null is an empty question."""
+    asked = F.trim(F.coalesce(question, F.lit("")))
+    return F.concat(F.lit("[Question]\n"), asked, F.lit("\n[/Question]\n"), runtime_rules(questions, sources_shown))
+
+
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return views.documents(spark, sf_dir), views.sources(spark, sf_dir)
 
@@ -125,19 +173,16 @@ def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_system_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt of the flagship question: chosen blocks and labels in order, or none."""
-    found = retrieve(spark, active_blocks(*_model(spark, sf_dir)), QUESTION)
-    joined = lambda c, by: F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct(*by, F.col(c).alias("_x")))), lambda s: s["_x"]), "\n"
-    )
-    key = F.upper("label").alias("k")
-    text = F.concat(
-        F.lit("Answer only from these documents:\n"),
-        joined("block", ("source_name", "title", "document_id")),
-        F.lit("\nLabels:\n"),
-        joined("label", (key, F.col("document_id"))),
-    )
-    return found.agg(F.count("*").alias("blocks"), F.sha2(text, 256).alias("prompt_hash"))
+    """The prompt of the flagship question."""
+    made = system_prompt(retrieve(spark, active_blocks(*_model(spark, sf_dir)), QUESTION))
+    return made.select("blocks", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+def q_runtime_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question asked as a message, with settings that differ between conversations."""
+    asked = views.table(spark, sf_dir, "conversations").where("role = 'user'")
+    n, shown = (F.col("conv_id") % 15).cast("int"), F.col("conv_id") % 2 == 0
+    return asked.select("conv_id", "turn", F.sha2(user_message(F.col("text"), n, shown), 256).alias("message_hash"))
 
 
 def q_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +206,7 @@ QUERIES = {
     "rebuilt_blocks": q_rebuilt_blocks,
     "fingerprint": q_fingerprint,
     "system_prompt": q_system_prompt,
+    "runtime_prompts": q_runtime_prompts,
     "search_terms": q_search_terms,
     "search_text": q_search_text,
     "citation_labels": q_citation_labels,
@@ -170,10 +216,12 @@ _SEARCH = (
     "trim(regexp_replace(strip_accents(lower(translate({}, 'ıİşŞğĞüÜöÖçÇ', 'iissgguuoocc'))), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'), ' ')"
 )
 _BLOCKS = """block AS (
-  SELECT *, '[Document]' || chr(10) || '[Source] ' || coalesce(source_name, '') || chr(10) || '[Title] ' || title || chr(10)
-    || '[Url] ' || url || chr(10) || '[Label] ' || label || chr(10) || trim(content, ' ') || chr(10) || '[/Document]' AS block FROM (
-    SELECT d.id AS document_id, d.source_id, s.name AS source_name, s.source_type, d.title, d.url,
-      concat_ws(' - ', s.name, d.title) AS label, d.content_hash, d.content, d.is_enabled, s.is_enabled AS source_enabled
+  SELECT *, '[Knowledge Document]' || chr(10) || '[DocumentId] ' || document_id || chr(10) || '[SourceId] ' || source_id || chr(10)
+    || '[SourceName] ' || source_name || chr(10) || '[SourceType] ' || coalesce(source_type, '') || chr(10) || '[DocumentTitle] ' || title || chr(10)
+    || '[DocumentUrl] ' || url || chr(10) || '[CitationLabel] ' || label || chr(10) || '[Content]' || chr(10) || content || chr(10)
+    || '[/Content]' || chr(10) || '[/Knowledge Document]' AS block FROM (
+    SELECT d.id AS document_id, d.source_id, coalesce(s.name, 'Bilgi Bankası') AS source_name, s.source_type, d.title, d.url,
+      coalesce(s.name, 'Bilgi Bankası') || ' - ' || d.title AS label, d.content_hash, d.content, d.is_enabled, s.is_enabled AS source_enabled
     FROM doc d LEFT JOIN src s ON s.id = d.source_id
     WHERE NOT d.is_archived AND d.status_code = 'ok' AND length(trim(d.content, ' ')) > 0 AND d.source_id IS NOT NULL
       AND (s.id IS NULL OR NOT s.is_archived)))"""
@@ -206,9 +254,14 @@ SELECT *, fingerprint = question_fingerprint AS agree FROM
   (SELECT {_PRINT} AS question_fingerprint FROM doc d LEFT JOIN src s ON s.id = d.source_id
    WHERE {_ACTIVE} AND (s.id IS NULL OR (s.is_enabled AND NOT s.is_archived)))""",
     "system_prompt": f"""WITH {_TOP}
-SELECT count(*) AS blocks, sha256('Answer only from these documents:' || chr(10)
-  || string_agg(block, chr(10) ORDER BY source_name, title, document_id) || chr(10) || 'Labels:' || chr(10)
-  || string_agg(label, chr(10) ORDER BY upper(label), document_id)) AS prompt_hash FROM top""",
+SELECT count(*) AS blocks, sha256(CASE WHEN count(*) = 0 THEN '{EMPTY.replace("'", "''")}' ELSE '{RULES}' || chr(10) || chr(10)
+  || string_agg(block, chr(10) || chr(10) ORDER BY source_name, title, document_id) || chr(10) || chr(10) || '{CLOSING}' || chr(10)
+  || string_agg('- ' || label, chr(10) ORDER BY upper(label), document_id) END) AS prompt_hash FROM top""",
+    "runtime_prompts": """
+SELECT conv_id, turn, sha256('[Question]' || chr(10) || trim(coalesce(text, ''), ' ') || chr(10) || '[/Question]' || chr(10)
+  || 'Suggest ' || least(greatest(conv_id % 15, 1), 10) || ' questions at most.' || chr(10)
+  || CASE WHEN conv_id % 2 = 0 THEN 'Name the sources in one line.' ELSE 'Don''t name sources.' END) AS message_hash
+FROM conversations WHERE role = 'user'""",
     "search_terms": f"""
 SELECT conv_id, turn, coalesce(string_agg(DISTINCT t, ' ' ORDER BY t) FILTER (length(t) >= 3 OR regexp_matches(t, '^[0-9]+$')), '') AS terms
 FROM (SELECT conv_id, turn, unnest(string_split({_SEARCH.format("text")}, ' ')) AS t FROM conversations WHERE role = 'user')
