@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import answers, edits, eligibility, health, imports, links, pages, questions, retrieve, store, upkeep
+from ..operators import answers, bank, edits, eligibility, flows, health, imports, links, pages, questions, retrieve, store, upkeep
 from ..sources import views
 
-_MODULES = (retrieve, eligibility, store, edits, imports, pages, questions, answers, links, health, upkeep)
+_MODULES = (retrieve, eligibility, store, edits, imports, pages, questions, answers, links, health, upkeep, flows, bank)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
