@@ -136,9 +136,12 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns in the form that answers have: body, source line, heading and suggestions."""
     said = views.table(spark, sf_dir, "conversations").where("role = 'assistant'")
     n = F.col("conv_id")
-    cited = F.concat(
-        F.lit("Kaynak: src"), n % 20, F.lit(" - src"), n % 20, F.lit(" en; src"), n % 20, F.lit(" de | src"), (n + 3) % 20, F.lit(" - src"), (n + 3) % 20, F.lit(" fr")
+    names = F.concat(
+        F.lit("src"), n % 20, F.lit(" - src"), n % 20, F.lit(" en; src"), n % 20, F.lit(" de | src"), (n + 3) % 20, F.lit(" - src"), (n + 3) % 20, F.lit(" fr")
     )
+    # marks of all kinds: plain, bold, after a line that a later one replaces, and none
+    mark = {0: "Kaynak: ", 1: "**Kaynak:** ", 2: "kaynak: old - one\n_KAYNAK_ : ", 3: "Kaynaklar "}
+    cited = F.concat(F.element_at(F.create_map(*[F.lit(x) for kv in mark.items() for x in kv]), n % 5 % 4), names)
     listed = F.array_join(F.transform(F.split("text", "\n"), lambda s: F.concat(F.lit("- **"), s, F.lit("**"))), "\n")
     heading = F.when(n % 4 != 3, F.concat(F.lit("\n## Önerilen sorular\n"), listed)).otherwise("")
     contact = F.concat(F.lit("\nMail info."), n, F.lit("@mail.example.com or 0212 555 "), F.lpad((n % 100).cast("string"), 2, "0"), F.lit(" 11, www.site"), n, F.lit(".com/x."))
@@ -166,10 +169,24 @@ QUERIES = {
     "citation_resolution": q_citation_resolution,
 }
 
-_CITED = """'Kaynak: src' || conv_id % 20 || ' - src' || conv_id % 20 || ' en; src' || conv_id % 20 || ' de | src' || (conv_id + 3) % 20
-    || ' - src' || (conv_id + 3) % 20 || ' fr'"""
+_MARK = r"(?i)^[*_]{0,2}kaynak[*_]{0,2}\s*:[*_]{0,2}\s*"
 _KEY = "trim(regexp_replace(regexp_replace(upper({}), '[^\\p{{L}}\\p{{Nd}}\\s]', '', 'g'), '\\s+', ' ', 'g'), ' ')"
 _CONTACT = """chr(10) || 'Mail info.' || conv_id || '@mail.example.com or 0212 555 ' || lpad((conv_id % 100)::VARCHAR, 2, '0') || ' 11, www.site' || conv_id || '.com/x.'"""
+_ANSWER = f"""answer AS (
+  SELECT conv_id * 1000 + turn AS answer_id, text || {_CONTACT} || chr(10)
+    || (['Kaynak: ', '**Kaynak:** ', 'kaynak: old - one' || chr(10) || '_KAYNAK_ : ', 'Kaynaklar '])[conv_id % 5 % 4 + 1]
+    || 'src' || conv_id % 20 || ' - src' || conv_id % 20 || ' en; src' || conv_id % 20 || ' de | src' || (conv_id + 3) % 20 || ' - src' || (conv_id + 3) % 20 || ' fr'
+    || CASE WHEN conv_id % 4 <> 3 THEN chr(10) || '## Önerilen sorular' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: '- **' || x || '**'), chr(10)) ELSE '' END AS markdown
+  FROM conversations WHERE role = 'assistant'
+), above AS (
+  SELECT answer_id, CASE WHEN heading > 0 THEN lines[1:heading - 1] ELSE lines END AS lines FROM (
+    SELECT *, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(trim(x, ' '), '(?i)^#+ *[öo]nerilen +sorular *:? *$')), true), 0) AS heading
+    FROM (SELECT answer_id, string_split(replace(markdown, chr(13) || chr(10), chr(10)), chr(10)) AS lines FROM answer))
+), marked AS (
+  SELECT *, list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(trim(lines[i], ' '), '{_MARK}')) AS places FROM above
+), line AS (
+  SELECT answer_id, lines, places[-1] AS place, trim(regexp_replace(trim(lines[places[-1]], ' '), '{_MARK}', ''), ' *_') AS line FROM marked
+)"""
 ORACLES = {
     "suggestions": """
 WITH listed AS (
@@ -180,8 +197,9 @@ WITH listed AS (
 SELECT answer_id, (k - 1)::INT AS position, q AS question
 FROM (SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY i) AS k FROM firsts) WHERE k <= 4""",
     "source_lines": f"""
-SELECT conv_id * 1000 + turn AS answer_id, replace({_CITED}, 'Kaynak: ', '') AS line, sha256(trim(text || {_CONTACT}, ' ')) AS body_hash
-FROM conversations WHERE role = 'assistant'""",
+WITH {_ANSWER}
+SELECT answer_id, line, sha256(trim(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: place IS NULL OR i <> place), lambda i: lines[i]), chr(10)), ' ')) AS body_hash
+FROM line""",
     "citation_resolution": f"""
 WITH label AS (
   SELECT min(d.id) AS document_id, s.name || ' - ' || d.title AS label FROM doc d JOIN src s ON s.id = d.source_id
@@ -189,9 +207,7 @@ WITH label AS (
     AND length(trim(d.content, ' ')) > 0 GROUP BY s.name, d.title
 ), key AS (
   SELECT *, {_KEY.format("label")} AS key FROM label
-), line AS (
-  SELECT conv_id * 1000 + turn AS answer_id, replace({_CITED}, 'Kaynak: ', '') AS line FROM conversations WHERE role = 'assistant'
-), part AS (
+), {_ANSWER}, part AS (
   SELECT answer_id, g, string_split_regex(line, '\\s*\\|\\s*')[g] AS part
   FROM (SELECT *, unnest(range(1, len(string_split_regex(line, '\\s*\\|\\s*')) + 1)) AS g FROM line)
 ), title AS (

@@ -217,4 +217,16 @@ WITH ref AS (
   SELECT q.question, r.document_id, min(r.question_id * 10 + r.position) AS rank FROM question_doc r JOIN question q ON q.id = r.question_id GROUP BY ALL
 ), head AS (SELECT question, row_number() OVER (ORDER BY min(rank)) AS id FROM ref GROUP BY question)
 SELECT h.id AS question_id, r.document_id, r.question FROM ref r JOIN head h USING (question)""",
+    "chosen_spans": """
+WITH RECURSIVE span AS (
+  SELECT l_orderkey AS text_id, (l_partkey % 60)::INT AS start, (l_suppkey % 25 + 1)::INT AS length, l_linenumber::INT AS priority FROM lineitem
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY start, priority, length DESC) AS place FROM span
+), chosen AS (
+  SELECT *, start + length AS upto, true AS taken FROM placed WHERE place = 1
+  UNION ALL
+  SELECT p.*, CASE WHEN p.start >= c.upto THEN p.start + p.length ELSE c.upto END, p.start >= c.upto
+  FROM chosen c JOIN placed p ON p.text_id = c.text_id AND p.place = c.place + 1
+)
+SELECT text_id, start, length, priority FROM chosen WHERE taken""",
 }

@@ -21,7 +21,8 @@ def oracle_sql() -> dict[str, str]:
 
     def whole(sql: str) -> str:
         rest = sql.strip()
-        own = ", " + rest[5:] if rest.startswith("WITH ") else "\n" + rest
-        return f"WITH {views.SQL.strip()}{own}"
+        kind = "WITH RECURSIVE " if rest.startswith("WITH RECURSIVE ") else "WITH "
+        own = ", " + rest[len(kind) :] if rest.startswith(kind) else "\n" + rest
+        return f"{kind}{views.SQL.strip()}{own}"
 
     return {name: whole(sql) for m in _MODULES for name, sql in m.ORACLES.items()}
