@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("mixing", "quality", "chat", "bpe", "sharding", "fingerprints", "warc", "substrings", "jaccard", "secrets", "runs", "alignment")
+MODULES = ("mixing", "quality", "chat", "bpe", "sharding", "fingerprints", "warc", "substrings", "jaccard", "secrets", "runs", "alignment", "suffixes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -71,9 +71,13 @@ def forget(*kept: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_or_not(keys: DataFrame, row_bytes: int = 16) -> DataFrame:
-    """``keys`` to be broadcast if their counted rows are few enough, else as they are, for a shuffled join."""
-    return F.broadcast(keys) if keys.count() * row_bytes <= BROADCAST_BYTES else keys
+def small_or_not(keys: DataFrame, row_bytes: int | Column = 16) -> DataFrame:
+    """``keys`` to be broadcast if their bytes are few enough, else as they are, for a shuffled join.
+
+    ``row_bytes``: of each row; an expression where rows hold lists.
+    """
+    size = keys.agg(F.sum(row_bytes)).first()[0] or 0 if isinstance(row_bytes, Column) else keys.count() * row_bytes
+    return F.broadcast(keys) if size <= BROADCAST_BYTES else keys
 
 
 def join_uneven(rows: DataFrame, named: DataFrame, on: Sequence[str], count: str) -> DataFrame:
