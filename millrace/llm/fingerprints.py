@@ -6,10 +6,8 @@ same passage gives the same anchors wherever it stands, and what is edited
 elsewhere changes none of them.
 
 A fingerprint holds each anchor once, at its first position, in order of
-position: 8 hex digits of hash and 8 of position. Texts of over ``WHOLE``
-anchors keep one in ``DENSITY``, those whose hash is a multiple of it: the
-fingerprint grows with the text, and all of the text has its part in it. Two
-fingerprints are compared by the anchors that both could have kept.
+position: 8 hex digits of hash and 8 of position. All anchors of a text are in
+it, whatever its length, so it grows with the text: two in K - S + 1 places.
 
 `matching` matches by position: common anchors vote for the shift between their
 positions in the two texts, and those count that agree with another on theirs.
@@ -32,8 +30,6 @@ from pyspark.sql import functions as F
 from .common import mix64, table
 
 K, S = 24, 8
-#: Texts of more anchors than this keep one in DENSITY.
-WHOLE, DENSITY = 128, 4
 #: Common anchors that must agree on a shift, where both texts have so many.
 AGREE = 2
 #: Bytes of text in a range of doc_id.
@@ -82,24 +78,18 @@ def fingerprint(text: str) -> str:
     at, hashed = anchors(text)
     short = (hashed >> np.uint64(32)).astype(np.uint32)
     # of equal ones the first
-    short, first = np.unique(short, return_index=True)
-    at = at[first]
-    if len(short) > WHOLE:
-        kept = short % np.uint32(DENSITY) == 0
-        short, at = short[kept], at[kept]
+    order = np.argsort(short, kind="stable")
+    first = order[np.append(True, short[order[1:]] != short[order[:-1]])] if len(order) else order
+    short, at = short[first], at[first]
     order = np.argsort(at, kind="stable")
     rows = np.empty((len(at), 2), ">u4")
     rows[:, 0], rows[:, 1] = short[order], at[order]
-    # a digit tells whether all are kept
-    return ("1" if len(first) > WHOLE else "0") + rows.tobytes().hex() if len(first) else ""
+    return rows.tobytes().hex()
 
 
-def _read(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions (n x 2) of both, of those anchors that both could have kept."""
-    both = [np.frombuffer(bytes.fromhex(x[1:]), ">u4").reshape(-1, 2).astype(np.int64) for x in (a, b)]
-    if "1" in (a[:1], b[:1]):
-        both = [x[x[:, 0] % DENSITY == 0] for x in both]
-    return both[0], both[1]
+def _read(print_: str) -> np.ndarray:
+    """Hashes and positions (n x 2) of a fingerprint."""
+    return np.frombuffer(bytes.fromhex(print_), ">u4").reshape(-1, 2).astype(np.int64)
 
 
 def matching(a: str, b: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -107,7 +97,7 @@ def matching(a: str, b: str) -> tuple[np.ndarray, np.ndarray, int]:
 
     The most agreed first, of equals the least shift.
     """
-    x, y = _read(a, b)
+    x, y = _read(a), _read(b)
     _, in_x, in_y = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
     shifts, votes = np.unique(y[in_y, 1] - x[in_x, 1], return_counts=True)
     order = np.lexsort((np.abs(shifts), -votes))

@@ -69,7 +69,9 @@ def test_chat_round_trip(spark):
     given.append((None, None, "user", "no conversation"))
     given += [(77, i, rng.choice(["user", "assistant"]), f"turn {i} {hard}") for i in range(300)]
     given += [(78, 0, "user", "long " * 50_000), (78, 1, "assistant", "é<|" * 50_000)]
-    examples = chat.expand(spark.createDataFrame(given, "conv_id long, turn long, role string, text string"))
+    clash = "_long", "_replies", "written", "example", "upto"
+    kinds = "conv_id long, turn long, role string, text string, " + ", ".join(f"{c} string" for c in clash)
+    examples = chat.expand(spark.createDataFrame([(*g, *clash) for g in given], kinds))
     rows = examples.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(examples).alias("loss")).collect()
     by_conv = {}
     for c, _, role, text in given:
@@ -83,6 +85,14 @@ def test_chat_round_trip(spark):
     assert not chat.expand(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect()
 
 
+def test_bpe_takes_ids_of_other_types(spark):
+    from millrace.llm import bpe
+
+    rows = spark.createDataFrame([(1, "a b", "x"), (None, None, "y")], "doc_id int, text string, ids string")
+    found = {r.doc_id: r.n_tokens for r in bpe.digests(rows, bpe.default_path()).collect()}
+    assert found == {1: 2, None: 0}
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer as Library
 
@@ -204,16 +214,13 @@ def _plain_print(text):
     first = {}
     for at, h in _plain_anchors(text):
         first.setdefault(h >> 32, at)
-    kept = {h: at for h, at in first.items() if len(first) <= 128 or h % 4 == 0}
-    return kept, len(first) > 128
+    return first
 
 
 def _plain_likeness(a, b):
-    (x, more_x), (y, more_y) = _plain_print(a), _plain_print(b)
-    if (x, more_x) == (y, more_y):
+    x, y = _plain_print(a), _plain_print(b)
+    if x == y:
         return 1.0
-    if more_x or more_y:
-        x, y = ({h: at for h, at in z.items() if h % 4 == 0} for z in (x, y))
     shifts = Counter(y[h] - x[h] for h in x.keys() & y.keys())
     agreed = sum(n for n in shifts.values() if n >= min(2, len(x), len(y)))
     return agreed / len(x.keys() | y.keys()) if x.keys() | y.keys() else 0.0
@@ -226,9 +233,7 @@ def test_fingerprints_equal_brute_force(spark, docs):
     texts = [r.text or "" for r in docs.collect() if len(r.text or "") < 3000] + ["abc" * 40, "a", "x" * 23, "y" * 24, "é🙂" * 300]
     for text in texts:
         assert [(int(a), int(h)) for a, h in zip(*fp.anchors(text), strict=True)] == _plain_anchors(text)
-        kept, more = _plain_print(text)
-        spelled = "".join(f"{h:08x}{at:08x}" for h, at in sorted(kept.items(), key=lambda x: x[1]))
-        assert fp.fingerprint(text) == (f"{int(more)}{spelled}" if text else "")
+        assert fp.fingerprint(text) == "".join(f"{h:08x}{at:08x}" for h, at in sorted(_plain_print(text).items(), key=lambda x: x[1]))
     for _ in range(150):
         a, b = rng.choice(texts), rng.choice(texts)
         cut = rng.randint(0, len(a))
@@ -254,7 +259,9 @@ def test_fingerprints_match_by_position(spark, docs):
     # one of half the length shares half; all of a text of any length takes part
     whole = " ".join(str(i * 7919) for i in range(40_000))
     assert abs(fp.likeness(fp.fingerprint(whole), fp.fingerprint(whole[: len(whole) // 2])) - 0.5) < 0.03
-    assert len(fp.fingerprint(whole)) > 16 * len(whole) / 60
+    # as many anchors for their length in short texts as in long ones
+    sizes = [len(fp.fingerprint(whole[:n])) / 16 / n for n in (1000, 1100, 10_000, len(whole))]
+    assert max(sizes) < 1.2 * min(sizes)
     assert fp.likeness("", "") == 1 and fp.likeness("", fp.fingerprint("abc")) == 0
 
 
