@@ -43,6 +43,7 @@ def _targets(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     Of conversations with up to ``FEW`` replies, each in the task that put it
     together; and of the others, whose examples are dealt out.
     """
+    conversations = conversations.select("conv_id", "turn", "role", "text")
     turn = F.struct(
         F.col("turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),

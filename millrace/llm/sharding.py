@@ -8,7 +8,9 @@ other. A combination of partial partitions is again a partial partition, so
 the work is a tree: groups are hashed into bins of bounded size, each task
 differences one bin, and the bins' results are differenced in turn, level by
 level, until one partition is left. No task or driver ever holds more than a
-bin of groups or of partial partitions.
+bin of groups or of partial partitions. Up to ``GROUPS_PER_BIN`` groups that is
+differencing as it is defined; beyond, the order of the method holds within a
+bin, and the largest spreads of different bins meet when bins are combined.
 """
 
 from __future__ import annotations

@@ -180,6 +180,51 @@ def test_difference_is_karmarkar_karp():
     assert [int(sum(x for x, w in zip((8, 7, 6, 5, 4), went[:, 0], strict=True) if w == s)) for s in (0, 1)] == total.tolist()
 
 
+def _karmarkar_karp(weights, k):
+    """Where each of the weights (largest first) goes: partial partitions as sorted lists of (sum, members)."""
+    queue = [[(w, [i])] + [(0, [])] * (k - 1) for i, w in enumerate(weights)]
+    ids = list(range(len(queue)))
+    while len(queue) > 1:
+        order = sorted(range(len(queue)), key=lambda j: (min(queue[j])[0] - max(queue[j], key=lambda p: p[0])[0], ids[j]))
+        (x, y), rest = (queue[order[0]], queue[order[1]]), sorted(order[2:], key=lambda j: ids[j])
+        down = sorted(x, key=lambda p: -p[0])
+        up = sorted(y, key=lambda p: p[0])
+        made = [(a + b, m + n) for (a, m), (b, n) in zip(down, up, strict=True)]
+        queue, ids = [queue[j] for j in rest] + [made], [ids[j] for j in rest] + [max(ids) + 1]
+    return queue[0]
+
+
+def test_shards_equal_a_plain_karmarkar_karp(spark):
+    """One bin of groups: the sets of groups that share a shard are those of the plain version."""
+    from millrace.llm import sharding
+
+    rng = random.Random(12)
+    for n, k in ((5, 2), (60, 4), (200, 40)):
+        # distinct sizes, so that ties don't matter
+        sizes = rng.sample(range(20, 100_000), n)
+        rows = [(f"g{i:03d}", size) for i, size in enumerate(sizes)]
+        placed = sharding.place_groups(spark.createDataFrame(rows, "group string, bytes long"), k).collect()
+        of = defaultdict(set)
+        for r in placed:
+            of[r.shard].add(r.group)
+        largest = sorted(rows, key=lambda r: -r[1])
+        want = _karmarkar_karp([size for _, size in largest], k)
+        assert sorted(map(sorted, of.values())) == sorted(sorted(largest[i][0] for i in m) for _, m in want if m)
+        loads = sorted(sum(dict(rows)[g] for g in groups) for groups in of.values())
+        assert loads == sorted(total for total, m in want if m)
+
+
+def test_shards_of_very_long_texts(spark):
+    from millrace.llm import sharding
+
+    rows = [(i, chr(97 + i % 26) * (2_000_000 if i < 3 else 100 + i)) for i in range(80)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    loads = Counter()
+    for r in found:
+        loads[r.shard] += r.size
+    assert len(found) == 80 and max(loads.values()) < 2_100_000
+
+
 def test_warc_round_trip(spark, tmp_path):
     from millrace.llm import warc
 
