@@ -4,7 +4,10 @@ Every record is a gzip member of its own, so a reader can start at any member.
 The reader cuts archives into byte ranges; a task looks for gzip magic in its
 range, takes a candidate for real only if its bytes inflate to a WARC header,
 and owns the records whose first byte lies in its range, however far the last
-one reaches.
+one reaches. It also owns what stands behind its records and is none: a damaged
+member, or other bytes, are told as a row of type ``error`` and the reader goes
+on with the next record. An archive that isn't compressed is read by one task,
+from record to record, as any bytes may stand in a payload.
 
 Archives lie in a folder that all executors share. Each attempt of a writing
 task has a file name of its own and reports it in its result, so the manifest
@@ -98,7 +101,10 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     """
     # known by its written size: small enough it is broadcast, else both sides are shuffled
     known = small_or_not(keep(revisits(pages), "revisits"))
-    rows = pages.select("page_id", "url", "html").join(known, "page_id", "left")
+    all_ = pages.select("page_id", "url", "html")
+    rows = all_.where("page_id is not null").join(known, "page_id", "left")
+    # pages without id are no one key's of a shuffle
+    rows = rows.unionByName(all_.where("page_id is null"), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, n = "", None, 0
@@ -188,10 +194,70 @@ class Range:
             self.pos += len(fed) - len(packed.unused_data)
         return b"".join(parts)
 
-    def __iter__(self) -> Iterator[bytes]:
-        # members follow each other; what else stands between them is passed over
-        while self.find():
-            yield self.take()
+    def go(self, to: int) -> None:
+        """Moves to byte ``to`` of the file."""
+        self.base, self.data, self.pos = to, b"", 0
+
+    def gap(self) -> str | None:
+        """Moves over bytes here that are no record, to the next one or the end of the file, and tells of them."""
+        start, end = self.at, self.end
+        if start >= self.size or self.is_record():
+            return None
+        self.end = self.size
+        if not self.find():
+            self.go(self.size)
+        self.end, to = end, self.at
+        if self.padding(start, to):
+            return None
+        return f"bytes {start} to {to} are no record"
+
+    def padding(self, start: int, to: int) -> bool:
+        """Whether bytes start to ``to`` are all zero, as some writers put between members."""
+        self.file.seek(start)
+        while start < to:
+            got = self.file.read(min(READ_BYTES, to - start))
+            if got.strip(b"\0"):
+                return False
+            start += len(got)
+        return True
+
+    def __iter__(self) -> Iterator[tuple[list[tuple[dict[str, str], bytes]], str | None]]:
+        """Records of each member, and what is wrong with the bytes behind them or in their place."""
+        if self.base > 0 and not self.find():
+            # what stands here belongs to a member that starts before
+            return
+        if self.base == 0 and (fault := self.gap()):
+            yield [], fault
+        while self.at < min(self.end, self.size):
+            start, found, fault = self.at, [], None
+            try:
+                found = list(parse(self.take()))
+            except (ValueError, KeyError, zlib.error) as e:
+                fault = f"the record at byte {start} is damaged: {e}"
+                self.go(start + 1)
+            behind = self.gap()
+            yield found, fault or behind
+
+
+def plain(file, size: int) -> Iterator[tuple[list[tuple[dict[str, str], bytes]], str | None]]:
+    """As `Range`, for a file without compression: from record to record, to the first that is damaged."""
+    at, held = 0, b""
+    while at < size or held.strip(b"\r\n"):
+        held = held.lstrip(b"\r\n")
+        head, mark, rest = held.partition(b"\r\n\r\n")
+        told = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head) if mark else None
+        sound = not held or b"WARC/".startswith(held[:5]) or held.startswith(b"WARC/")
+        n = int(told[1]) if told else 0
+        if sound and not (mark and told and len(rest) >= n) and at < size:
+            file.seek(at)
+            got = file.read(min(max(READ_BYTES, n - len(rest)), size - at))
+            at, held = at + len(got), held + got
+            continue
+        if not (sound and mark and told and len(rest) >= n):
+            yield [], f"bytes {at - len(held)} to {size} are no whole records"
+            return
+        yield list(parse(held[: len(held) - len(rest) + n])), None
+        held = rest[n:]
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -217,13 +283,30 @@ def payload_of(fields: dict[str, str], block: bytes) -> tuple[dict[str, str], by
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
 
 
-def _fits(payload: bytes, digest: str) -> bool:
-    """Whether a payload has the recorded digest, in hex or base32; other algorithms can't be told."""
+def unchunked(payload: bytes) -> bytes | None:
+    """What a chunked HTTP body holds; None if it isn't one."""
+    parts, at = [], 0
+    while True:
+        line = payload.find(b"\r\n", at)
+        size = re.fullmatch(rb"[ \t]*([0-9a-fA-F]+)[ \t]*(;.*)?", payload[at:line]) if line >= 0 else None
+        if not size:
+            return None
+        n, at = int(size[1], 16), line + 2
+        if n == 0:
+            return b"".join(parts)
+        if payload[at + n : at + n + 2] != b"\r\n":
+            return None
+        parts.append(payload[at : at + n])
+        at += n + 2
+
+
+def _fits(payloads: list[bytes], digest: str) -> bool | None:
+    """Whether one of the payloads has the recorded digest, in hex or base32; None where none is, or its algorithm isn't known."""
     name, _, value = digest.partition(":")
     if name.lower() not in ("sha1", "sha256", "md5"):
-        return True
-    found = hashlib.new(name.lower(), payload)
-    return value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
+        return None
+    found = [hashlib.new(name.lower(), p) for p in payloads]
+    return any(value.lower() == f.hexdigest() or value.upper().rstrip("=") == base64.b32encode(f.digest()).decode().rstrip("=") for f in found)
 
 
 def _page(name: str | None) -> int | None:
@@ -234,25 +317,32 @@ def _page(name: str | None) -> int | None:
 
 READ = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
-    "record_id string, refers_to_id string, url string, html string"
+    "record_id string, refers_to_id string, url string, html string, fits boolean, error string"
 )
 
 
 def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Responses and revisits in the archives of ``manifest`` (file, bytes): a row each.
+    """Responses and revisits in the archives of ``manifest`` (file, bytes), and what can't be read: a row each.
 
     Returns page_id, payload_bytes, payload_digest (SHA-256 in hex: of the
     payload itself for responses, as recorded for revisits), record_type,
-    refers_to, record_id, refers_to_id, url, and html (null for revisits, and
-    if ``payloads`` is false; what is no UTF-8 is replaced).
+    refers_to, record_id, refers_to_id, url, html (null for revisits, and if
+    ``payloads`` is false; what is no UTF-8 is replaced), fits (whether the
+    payload has its recorded digest; null where none is or it isn't known) and
+    error. Chunked HTTP bodies are put together; such a payload fits if it does
+    so either way.
+
+    A member that is damaged or cut off, and bytes between members that are
+    none (but zeros), are a row of record_type ``error`` that tells the file and
+    the bytes; what follows is read. Archives that aren't compressed are read
+    too, up to the first damaged record, whose row tells the rest.
 
     Archives of other writers are read too: page_id and refers_to are null
     where a record id isn't a page's, the digest of a revisit is null where
     SHA-256 isn't recorded, its payload_bytes where no length is. Records of
     other types (warcinfo, request, metadata and so on) are left out, members
-    with several records read whole. Raises if a payload doesn't fit its
-    recorded digest or a member is cut off. An empty manifest, and an empty
-    file, have no rows.
+    with several records read whole. An empty manifest, and an empty file, have
+    no rows.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
     splits = manifest.where("bytes > 0").select("file", "bytes", F.explode(starts).alias("start"))
@@ -263,10 +353,11 @@ def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BY
         name, kind, first = fields.get("warc-record-id"), fields["warc-type"], fields.get("warc-refers-to")
         recorded = fields.get("warc-payload-digest", "")
         http, payload = payload_of(fields, block)
-        html = digest = None
+        html = digest = fits = None
         if kind == "response":
-            if not _fits(payload, recorded):
-                raise ValueError(f"the payload of {name} isn't what was written")
+            whole = unchunked(payload) if "chunked" in http.get("transfer-encoding", "").lower() else None
+            fits = _fits([payload] if whole is None else [whole, payload], recorded)
+            payload = payload if whole is None else whole
             digest, n_bytes = hashlib.sha256(payload).hexdigest(), len(payload)
             html = payload.decode("utf-8", "replace") if payloads else None
         else:
@@ -274,10 +365,17 @@ def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BY
             n_bytes = int(told) if told.isdigit() else None
             if re.fullmatch("(?i)sha256:[0-9a-f]{64}", recorded):
                 digest = recorded[7:].lower()
-        return _page(name), n_bytes, digest, kind, _page(first), name, first, fields.get("warc-target-uri"), html
+        return _page(name), n_bytes, digest, kind, _page(first), name, first, fields.get("warc-target-uri"), html, fits, None
+
+    def members(file, split: dict) -> Iterator[tuple[list[tuple[dict[str, str], bytes]], str | None]]:
+        start = split["start"]
+        file.seek(0)
+        if file.read(5) == b"WARC/":
+            return plain(file, split["bytes"]) if start == 0 else iter(())
+        return iter(Range(file, split["bytes"], start, start + split_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4, pa.bool_(), pa.string()]
         names = [c.split()[0] for c in READ.split(", ")]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -290,9 +388,11 @@ def read(manifest: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BY
                 system, at = file_system(split["file"])
                 rows, held = [], 0
                 with system.open_input_file(at) as file:
-                    for data in Range(file, split["bytes"], split["start"], split["start"] + split_bytes):
-                        rows += [row(*r) for r in parse(data) if r[0].get("warc-type") in ("response", "revisit")]
-                        held += len(data)
+                    for records, fault in members(file, split):
+                        rows += [row(*r) for r in records if r[0].get("warc-type") in ("response", "revisit")]
+                        if fault:
+                            rows.append((None, None, None, "error", *[None] * 6, f"{split['file']}: {fault}"))
+                        held += sum(len(r[1]) for r in records)
                         if held > 16 << 20 and rows:
                             yield batch_of(rows)
                             rows, held = [], 0
@@ -306,7 +406,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to archives and read back."""
     pages = table(spark, sf_dir, "pages")
     manifest = write(pages, new_path(spark, "warc"))
-    return read(manifest, payloads=False).drop("html", "url", "record_id", "refers_to_id")
+    found = read(manifest, payloads=False)
+    # all of our own records are there, whole
+    wrong = F.col("error").isNotNull() | ~F.coalesce("fits", F.lit(True))
+    kind = F.when(wrong, F.raise_error(F.coalesce("error", F.lit("a payload isn't what was written")))).otherwise(F.col("record_type"))
+    return found.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 QUERIES = {"op9_warc": op9_warc}
