@@ -17,6 +17,10 @@ exactly in these stretches: a window of so many words is repeated if it occurs
 at two places or more, in one document or several, and the first place (by
 doc_id, then place) keeps it.
 
+A passage may hold no whole chunk that its own bytes settle: 50 words of a letter
+each, say. Windows without one are told by each text for itself, and looked at
+whatever the chunks around say; so nothing is missed.
+
 Neither step joins chunks or windows with each other. Both aggregate by key to
 the one place to be told (that of a single chunk; the first of a window), which
 merges before the shuffle, so a line that every document has is as light as any
@@ -161,6 +165,31 @@ def chunk(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, in
     return ends, np.array(digests, np.uint64).view(np.int64), low, high, int(upto[-1])
 
 
+def unsettled(low: np.ndarray, high: np.ndarray, n_words: int, repeat_words: int) -> np.ndarray:
+    """Ranges of words (start, end, ...) of the windows that hold no chunk which their own bytes settle."""
+    n = n_words - repeat_words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    # the first words of windows that hold a chunk and all that settles it
+    first, last = np.maximum(high + 1 - repeat_words, 0), np.minimum(low, n - 1)
+    some = first <= last
+    depth = np.zeros(n + 1, np.int32)
+    np.add.at(depth, first[some], 1)
+    np.add.at(depth, last[some] + 1, -1)
+    bare = np.flatnonzero(np.diff(np.cumsum(depth[:-1]) == 0, prepend=False, append=False)).reshape(-1, 2)
+    bare[:, 1] += repeat_words - 1
+    return _joined(bare[:, 0], bare[:, 1])
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Ranges (start, end, start, ...), those that meet as one; ``low`` ascends."""
+    if not len(low):
+        return np.zeros(0, np.int64)
+    reached = np.maximum.accumulate(high)
+    new = np.append(True, low[1:] > reached[:-1])
+    return np.stack([low[new], reached[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)]], 1).ravel()
+
+
 def _lists(found: list[np.ndarray], kind: type) -> pa.ListArray:
     offsets = np.zeros(len(found) + 1, np.int32)
     np.cumsum([len(x) for x in found], out=offsets[1:])
@@ -172,8 +201,8 @@ def _key() -> Column:
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """key, doc_id, n_words and digests, low and high (arrays, an entry a chunk) of every row of ``docs``."""
+def _chunks(docs: DataFrame, repeat_words: int) -> DataFrame:
+    """key, doc_id, n_words, bare (see `unsettled`) and digests, low and high (arrays, an entry a chunk) of every row of ``docs``."""
     rows = docs.where("length(text) > 0").select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +212,13 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 [
                     batch.column("key"), batch.column("doc_id"), pa.array([c[4] for c in cut], pa.int64()),
                     _lists([c[1] for c in cut], np.int64), _lists([c[2] for c in cut], np.int32), _lists([c[3] for c in cut], np.int32),
+                    _lists([unsettled(c[2], c[3], c[4], repeat_words) for c in cut], np.int32),
                 ],
-                names=["key", "doc_id", "n_words", "digests", "low", "high"],
+                names=["key", "doc_id", "n_words", "digests", "low", "high", "bare"],
             )
 
     return rows.mapInArrow(
-        run, "key binary, doc_id long, n_words long, digests array<long>, low array<int>, high array<int>"
+        run, "key binary, doc_id long, n_words long, digests array<long>, low array<int>, high array<int>, bare array<int>"
     )
 
 
@@ -199,7 +229,7 @@ def _stretches(docs: DataFrame, repeat_words: int) -> DataFrame:
     rows have it), ranges (array of words: start, end, start, end, ...), block
     and blocks: the text's first block of places, and their number.
     """
-    cut = keep(_chunks(docs).withColumn("row", F.monotonically_increasing_id()), "chunks")
+    cut = keep(_chunks(docs, repeat_words).withColumn("row", F.monotonically_increasing_id()), "chunks")
     # rows with equal text are one; its chunks count once
     texts = cut.groupBy("key").agg(
         F.min("row").alias("row"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"),
@@ -212,9 +242,10 @@ def _stretches(docs: DataFrame, repeat_words: int) -> DataFrame:
     # a chunk at one place only: the least of its columns are its own
     once = each.groupBy("digest").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("row", "seq", "low", "high")]).where("n = 1")
     lone = once.groupBy("row").agg(F.collect_list(F.struct("seq", "low", "high")).alias("lone"))
-    laid = texts.join(lone, "row", "left")
+    bare = read.where("size(bare) > 0").select("row", "bare")
+    laid = texts.join(lone, "row", "left").join(bare, "row", "left")
 
-    def ranges_of(lone, n_words: int, n_chunks: int, copies: int) -> np.ndarray:
+    def ranges_of(lone, bare, n_words: int, n_chunks: int, copies: int) -> np.ndarray:
         if copies > 1 or lone is None or not len(lone):
             return np.array([0, n_words])
         seq, low, high = (lone.field(c).to_numpy() for c in ("seq", "low", "high"))
@@ -223,18 +254,18 @@ def _stretches(docs: DataFrame, repeat_words: int) -> DataFrame:
         low, high = np.concatenate([[0], low[order]]), np.append(high[order], n_words)
         wide = (np.diff(seq) > 1) & (high - low >= repeat_words)
         low, high = low[wide], high[wide]
-        if not len(low):
-            return low
-        # ranges that meet are one
-        reached = np.maximum.accumulate(high)
-        new = np.concatenate([[True], low[1:] > reached[:-1]])
-        return np.stack([low[new], reached[np.append(np.flatnonzero(new)[1:] - 1, len(low) - 1)]], 1).ravel()
+        if bare is not None:
+            more = bare.to_numpy().reshape(-1, 2)
+            low, high = np.concatenate([low, more[:, 0]]), np.concatenate([high, more[:, 1]])
+            order = np.argsort(low, kind="stable")
+            low, high = low[order], high[order]
+        return _joined(low, high)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c) for c in ("lone", "n_words", "n_chunks", "copies"))
+            columns = (batch.column(c) for c in ("lone", "bare", "n_words", "n_chunks", "copies"))
             ranges = [
-                ranges_of(x.values, n.as_py(), k.as_py(), c.as_py()) for x, n, k, c in zip(*columns, strict=True)
+                ranges_of(x.values, b.values, n.as_py(), k.as_py(), c.as_py()) for x, b, n, k, c in zip(*columns, strict=True)
             ]
             kept = pa.array([len(r) > 0 for r in ranges])
             out = pa.RecordBatch.from_arrays(
@@ -250,13 +281,13 @@ def _stretches(docs: DataFrame, repeat_words: int) -> DataFrame:
     return keep(placed.select("key", "first_doc", "copies", "ranges", (F.col("upto") - F.col("blocks")).alias("block"), "blocks"), "stretches")
 
 
-def _windows(docs: DataFrame, stretches: DataFrame, repeat_words: int, across: bool) -> DataFrame:
+def _windows(docs: DataFrame, stretches: DataFrame, repeat_words: int) -> DataFrame:
     """hash, place and copies of each window of ``repeat_words`` words in the stretches; of equal texts once.
 
-    ``across``: a window that its document had before gets a hash of its own
-    and, for copies, where that was: -1 - the number of the word.
+    A window that its document had before gets a hash of its own and, for
+    copies, where that was: -1 - the number of the word.
     """
-    keys = small_or_not(stretches.withColumnRenamed("key", "_key"), 256)
+    keys = small_or_not(stretches.withColumnRenamed("key", "_key"), 64 + 4 * F.size("ranges"))
     rows = docs.where("length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key"))
     # a row that repeats both doc_id and text counts again, of a text that is counted as several anyway
     rows = rows.join(keys, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
@@ -276,12 +307,11 @@ def _windows(docs: DataFrame, stretches: DataFrame, repeat_words: int, across: b
                 hashed = np.concatenate([hash_windows(words[a:b], repeat_words) for a, b in bounds])
                 times = np.full(len(at), copies.as_py(), np.int32)
                 place = (block.as_py() << BLOCK_BITS) + at
-                if across:
-                    _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-                    before = at[first[which]]
-                    again = before < at
-                    hashed[again] = mix64(hashed[again] ^ mix64(place[again].view(np.uint64)))
-                    times[again] = -1 - before[again]
+                _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+                before = at[first[which]]
+                again = before < at
+                hashed[again] = mix64(hashed[again] ^ mix64(place[again].view(np.uint64)))
+                times[again] = -1 - before[again]
                 found.append((hashed.view(np.int64), place, times))
                 held += len(at)
                 if held > BATCH_WINDOWS:
@@ -294,13 +324,15 @@ def _windows(docs: DataFrame, stretches: DataFrame, repeat_words: int, across: b
 
 
 def passages(docs: DataFrame, repeat_words: int = REPEAT_WORDS, across: bool = False) -> DataFrame:
-    """key, first_doc, spans and drops of the texts with repeated passages, by words.
+    """key, first_doc, spans, drops and shared of the texts with repeated passages, by words.
 
-    ``spans``: all words of repeated windows; ``drops``: those that no first
-    window holds, for the rows of first_doc (arrays of start, end, start, ...).
+    ``spans``: all words of repeated windows (``across``: of those that another
+    row has too); ``drops``: those that no first window holds, for the rows of
+    first_doc; ``shared``: those that another row has (arrays of start, end,
+    start, ...).
     """
     stretches = _stretches(docs, repeat_words)
-    windows = _windows(docs, stretches, repeat_words, across)
+    windows = _windows(docs, stretches, repeat_words)
     firsts = windows.groupBy("hash").agg(F.min("place").alias("place"), F.sum("copies").alias("n"), F.min("copies").alias("least"))
     # the number in the block, whether the window is repeated, and above 32 bits where its document had it before
     code = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)), 1) + (F.col("n") > 1).cast("long")
@@ -322,7 +354,7 @@ def passages(docs: DataFrame, repeat_words: int = REPEAT_WORDS, across: bool = F
         np.add.at(depth, at + repeat_words, -1)
         return np.cumsum(depth)[:-1] > 0
 
-    def spans_of(ranges: np.ndarray, told) -> tuple[np.ndarray, np.ndarray]:
+    def spans_of(ranges: np.ndarray, told) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, links = int(ranges[-1]), []
         repeated, first = np.zeros(n, bool), np.zeros(n, bool)
         for a, b in ranges.reshape(-1, 2).tolist():
@@ -336,66 +368,75 @@ def passages(docs: DataFrame, repeat_words: int = REPEAT_WORDS, across: bool = F
             links.append((at[before >= 0], before[before >= 0]))
         for at, before in links:
             repeated[at] = repeated[before]
+        shared = covered(repeated)
+        if across:
+            return runs(shared), runs(shared & ~covered(first)), runs(shared)
+        for at, before in links:
+            # the first place of what only this text has
+            first[before[~repeated[before]]] = True
+        for at, before in links:
+            repeated[at] = repeated[before] = True
         spans = covered(repeated)
-        return runs(spans), runs(spans & ~covered(first))
+        return runs(spans), runs(spans & ~covered(first)), runs(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [spans_of(r.values.to_numpy(), t.values) for r, t in zip(batch.column("ranges"), batch.column("told"), strict=True)]
             out = pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("first_doc"), *(_lists([f[k] for f in found], np.int32) for k in (0, 1))],
-                names=["key", "first_doc", "spans", "drops"],
+                [batch.column("key"), batch.column("first_doc"), *(_lists([f[k] for f in found], np.int32) for k in range(3))],
+                names=["key", "first_doc", "spans", "drops", "shared"],
             )
             yield out.filter(pa.array([len(f[0]) > 0 for f in found]))
 
-    return laid.mapInArrow(run, "key binary, first_doc long, spans array<int>, drops array<int>")
+    return laid.mapInArrow(run, "key binary, first_doc long, spans array<int>, drops array<int>, shared array<int>")
 
 
 SPAN = "struct<start: int, end: int, words: int>"
 
 
 def repeats(docs: DataFrame, repeat_words: int = REPEAT_WORDS, across: bool = False) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text and others) that hold repeated passages, with spans and drops.
+    """Rows of ``docs`` (doc_id, text and others) that hold repeated passages, with spans, drops and shared.
 
     ``spans``: the passages (start, end in code points, end exclusive; words),
     whole and apart, each of ``repeat_words`` words or more that stand elsewhere
     too, in this document or another (``across``: in another row, only).
     ``drops``: what of them is not the first of its kind, first by doc_id, then
-    by place; it may go.
+    by place; it may go. ``shared``: what of them stands in another row.
 
     Rows with equal text are copies, of which those of the least doc_id are
     first (all of them, if rows repeat both doc_id and text, or if no copy has a
     doc_id). Rows without doc_id come last. Null and empty texts have no
-    passages; an empty table gives an empty result. Columns named spans or drops
-    are replaced, others pass through.
+    passages; an empty table gives an empty result. Columns named spans, drops
+    or shared are replaced, others pass through.
     """
-    docs = docs.drop("spans", "drops")
+    docs = docs.drop("spans", "drops", "shared")
     found = keep(passages(docs, repeat_words, across), "passages")
     key, doc = fresh(docs, "_key", "_first")
-    found = found.select(F.col("key").alias(key), F.col("first_doc").alias(doc), "spans", "drops")
+    found = found.select(F.col("key").alias(key), F.col("first_doc").alias(doc), "spans", "drops", "shared")
     own = F.unhex(F.md5(F.col("text").cast("binary")))
-    rows = docs.join(small_or_not(found, 256), own == F.col(key))
+    lists = ("spans", "drops", "shared")
+    rows = docs.join(small_or_not(found, 64 + 4 * sum((F.size(c) for c in lists), F.lit(0))), own == F.col(key))
     # other copies go as a whole
     drops = F.when(F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), F.col("drops")).otherwise(F.col("spans"))
-    rows = rows.select(*[F.col(c) for c in docs.columns], "spans", drops.alias("drops"))
+    rows = rows.select(*[F.col(c) for c in docs.columns], "spans", drops.alias("drops"), "shared")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            laid: list[list] = [[], []]
-            for text, *both in zip(batch.column("text"), batch.column("spans"), batch.column("drops"), strict=True):
+            laid: list[list] = [[], [], []]
+            for text, *each in zip(batch.column("text"), *(batch.column(c) for c in lists), strict=True):
                 data = np.frombuffer(text.as_py().encode(), np.uint8)
                 starts, ends, _ = hash_words(data)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                for out, words in zip(laid, both, strict=True):
+                for out, words in zip(laid, each, strict=True):
                     bounds = words.values.to_numpy().reshape(-1, 2).tolist()
                     out.append([{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]]), "words": b - a} for a, b in bounds])
             columns = [batch.column(c) for c in names] + [pa.array(x, kind) for x in laid]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "spans", "drops"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *lists])
 
     none = F.lit(None).cast(f"array<{SPAN}>")
-    return rows.mapInArrow(run, docs.withColumns({"spans": none, "drops": none}).schema)
+    return rows.mapInArrow(run, docs.withColumns(dict.fromkeys(lists, none)).schema)
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -417,7 +458,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     found = repeats(docs.select("doc_id", "text")).select("doc_id", "text", F.col("drops"))
     # one row a text and doc_id, of which all rows have the same drops
     found = found.groupBy(F.col("doc_id").alias(spans), F.unhex(F.md5(F.col("text").cast("binary"))).alias(key)).agg(F.first("drops").alias(drops))
-    found = small_or_not(keep(found.where(F.size(drops) > 0), "drops"), 256)
+    found = small_or_not(keep(found.where(F.size(drops) > 0), "drops"), 64 + 16 * F.size(drops))
     own = F.unhex(F.md5(F.col("text").cast("binary")))
     marked = docs.join(found, F.col("doc_id").eqNullSafe(F.col(spans)) & (own == F.col(key)), "left")
     text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(drops)))
@@ -425,8 +466,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with passages of 50 words or more that repeat across documents."""
-    found = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), across=True)
+    """All documents with passages of 50 words or more that stand elsewhere too, in another document (shared) or in their own."""
+    found = repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["words"])
     spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return found.select(
@@ -434,8 +475,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         words(F.col("spans")).alias("repeated_words"),
         words(F.col("drops")).alias("dropped_words"),
+        words(F.col("shared")).alias("shared_words"),
         spelled(F.col("spans")).alias("spans"),
         spelled(F.col("drops")).alias("drops"),
+        spelled(F.col("shared")).alias("shared"),
     )
 
 

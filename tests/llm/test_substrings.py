@@ -105,6 +105,26 @@ def test_planted_passages_are_found_to_the_word(spark):
     assert Counter(planted[d] for d, spans, _ in got if spans[0][2] <= planted[d] + 1 and planted[d] >= 50) == dict.fromkeys((50, 51, 55, 60), 120)
 
 
+def test_passages_of_short_words_and_repeats_inside(spark):
+    """All passages of words of a letter or two are found, and those that only their own document repeats are told apart."""
+    from millrace.llm import substrings as sub
+
+    rng = random.Random(11)
+    prose = lambda n, most: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(1, most))) for _ in range(n))
+    rows = []
+    for k in range(250):
+        passage = prose(50, 1 + k % 2)
+        rows += [(len(rows) + j, " ".join([prose(rng.randint(3, 90), 5), passage, prose(rng.randint(3, 90), 5)])) for j in (0, 1)]
+    own = prose(60, 6)
+    rows += [(600, " ".join([prose(70, 6), own, prose(70, 6), own])), (601, prose(200, 6))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = found(table)
+    assert got == brute(rows) and {d for d, *_ in got} == {d for d, _ in rows} - {601}
+    shared = {r.doc_id: tuple(map(tuple, r.shared)) for r in sub.repeats(table).collect()}
+    across = {d: spans for d, spans, _ in brute(rows, across=True)}
+    assert {d: s for d, s in shared.items() if s} == across and not shared[600]
+
+
 def test_dedup_leaves_each_passage_once(spark):
     from millrace.llm import substrings as sub
 
