@@ -47,6 +47,11 @@ def canonical(url: Column, with_path: bool = True) -> Column:
     return F.when(host(url) == "", F.trim(url)).otherwise(whole)
 
 
+def key_of(url: Column) -> Column:
+    """What stands for a URL in the store: canonical, without case."""
+    return F.lower(canonical(url))
+
+
 def is_allowed_host(url_host: Column, site_host: Column, subdomains: bool = True) -> Column:
     same = url_host == site_host
     return same | url_host.endswith(F.concat(F.lit("."), site_host)) if subdomains else same

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import labels, urls
 from ..functions.text import minutes_as_unit
 from ..sources import views
 from .answers import ORACLES as ANSWERS
@@ -23,19 +23,24 @@ UNIT_MINUTES = {"minute": 1, "hour": 60, "day": 1440, "week": 10080}
 def update_sources(sources: DataFrame, edits: DataFrame) -> DataFrame:
     """``sources`` after ``edits`` (id, source_type, name, address, is_enabled), each with its ``outcome``.
 
-    A type never changes (``refused_type``), nor the address of a seeded source
-    (``refused_address``); blank names and null addresses stay. Files and lists
-    of links have an address made of their guid. Of edits of one id that with
+    A type never changes (``refused_type``; it may be spelled as `labels.source_type`
+    reads it), nor the address of a seeded source (``refused_address``); blank
+    names and null addresses stay. Files and lists of links have an address made
+    of their guid. ``description`` is the edit's, '' if it has none; ``protocol``
+    follows from type and address; of an updated source new_status is ``pending``
+    where its pages are crawled again, else ``ok``. Of edits of one id that with
     the greatest values counts.
     """
-    one = edits.groupBy("id").agg(F.max(F.struct("source_type", "name", "address", "is_enabled")).alias("_e"))
+    described = edits if "description" in edits.columns else edits.withColumn("description", F.lit(None).cast("string"))
+    spelled = described.withColumn("source_type", labels.source_type(F.col("source_type")))
+    one = spelled.groupBy("id").agg(F.max(F.struct("source_type", "name", "address", "is_enabled", "description")).alias("_e"))
     rows, e = sources.join(one, "id", "left"), F.col("_e")
     kind = F.col("source_type")
     own = lambda scheme: F.concat(F.lit(f"{scheme}://source/"), F.col("guid"))
     address = (
         F.when(kind == "local_files", own("local"))
         .when(kind == "web_links", own("web-links"))
-        .otherwise(urls.canonical(F.coalesce(e["address"], F.col("address")), with_path=False))
+        .otherwise(urls.canonical(F.coalesce(e["address"], F.col("address"))))
     )
     outcome = (
         F.when(e.isNull(), "kept")
@@ -47,9 +52,12 @@ def update_sources(sources: DataFrame, edits: DataFrame) -> DataFrame:
     changed = F.col("outcome") == "updated"
     values = {
         "name": F.coalesce(F.nullif(F.trim(e["name"]), F.lit("")), F.col("name")), "address": F.col("_address"), "is_enabled": e["is_enabled"],
+        "description": F.coalesce(F.trim(e["description"]), F.lit("")),
     }
     status = F.when(changed, F.when(kind == "web_site", "pending").otherwise("ok")).alias("new_status")
-    return rows.select(*[F.when(changed, values[c]).otherwise(F.col(c)).alias(c) if c in values else c for c in sources.columns], status, "outcome")
+    protocol = F.when(kind == "local_files", "local").when(kind == "web_links", "web-links").otherwise(urls.scheme(F.when(changed, F.col("_address")).otherwise(F.col("address"))))
+    kept = [F.when(changed, values[c]).otherwise(F.col(c)).alias(c) if c in values else c for c in sources.columns if c != "protocol"]
+    return rows.select(*kept, protocol.alias("protocol"), status, "outcome")
 
 
 def upload_settings(file_mb: Column, files: Column, batch_mb: Column) -> Column:
@@ -131,14 +139,14 @@ def payload_blocks(docs: DataFrame) -> DataFrame:
 
 def q_updated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source but archived ones is renamed and switched; disabled ones ask for another type, some for another address."""
-    sources = views.sources(spark, sf_dir).withColumn("guid", F.sha2("name", 256))
-    kind = F.when(F.col("is_enabled"), F.col("source_type")).otherwise("other")
+    sources = views.sources(spark, sf_dir).withColumns({"guid": F.sha2("name", 256), "description": F.concat(F.lit("about "), "name")})
+    kind = F.when(F.col("is_enabled"), F.concat(F.lit(" "), F.upper("source_type"))).otherwise("other")
     moved = F.when(F.col("next_refresh").isNull(), F.concat(F.lit("HTTPS://www.new-"), "name", F.lit(".example/x")))
     edits = sources.where("not is_archived").select(
         "id", kind.alias("source_type"), F.when(F.col("seed_key").isNotNull(), F.concat(F.lit(" new "), "name")).otherwise(" ").alias("name"),
-        moved.alias("address"), (~F.col("is_enabled")).alias("is_enabled"),
+        moved.alias("address"), (~F.col("is_enabled")).alias("is_enabled"), F.when(F.col("id") % 2 == 0, F.concat(F.lit(" now "), "name")).alias("description"),
     )
-    return update_sources(sources, edits).select("id", "name", "address", "is_enabled", "new_status", "outcome")
+    return update_sources(sources, edits).select("id", "name", "address", "protocol", "description", "is_enabled", "new_status", "outcome")
 
 
 def q_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,13 +197,15 @@ ORACLES = {
     "updated_sources": """
 WITH asked AS (
   SELECT *, CASE source_type WHEN 'local_files' THEN 'local://source/' || sha256(name) WHEN 'web_links' THEN 'web-links://source/' || sha256(name)
-    ELSE CASE WHEN next_refresh IS NULL THEN 'https://new-' || name || '.example' ELSE address END END AS target FROM src
+    ELSE CASE WHEN next_refresh IS NULL THEN 'https://new-' || name || '.example/x' ELSE address END END AS target FROM src
 ), judged AS (
   SELECT *, CASE WHEN is_archived THEN 'kept' WHEN NOT is_enabled THEN 'refused_type'
     WHEN seed_key IS NOT NULL AND target <> address THEN 'refused_address' ELSE 'updated' END AS outcome FROM asked
 )
 SELECT id, CASE WHEN outcome = 'updated' AND seed_key IS NOT NULL THEN 'new ' || name ELSE name END AS name,
-  CASE WHEN outcome = 'updated' THEN target ELSE address END AS address, CASE WHEN outcome = 'updated' THEN NOT is_enabled ELSE is_enabled END AS is_enabled,
+  CASE WHEN outcome = 'updated' THEN target ELSE address END AS address,
+  CASE source_type WHEN 'local_files' THEN 'local' WHEN 'web_links' THEN 'web-links' ELSE 'https' END AS protocol,
+  CASE WHEN outcome <> 'updated' THEN 'about ' || name WHEN id % 2 = 0 THEN 'now ' || name ELSE '' END AS description, CASE WHEN outcome = 'updated' THEN NOT is_enabled ELSE is_enabled END AS is_enabled,
   CASE WHEN outcome = 'updated' THEN CASE source_type WHEN 'web_site' THEN 'pending' ELSE 'ok' END END AS new_status, outcome FROM judged""",
     "settings": """
 SELECT event_id, least(greatest(n - 5, 1), 250) AS file_mb, least(greatest(n, 1), 1000) AS files, least(greatest(n * 3, 1), 2048) AS batch_mb,

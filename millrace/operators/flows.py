@@ -63,10 +63,8 @@ def refresh(present: DataFrame, staged: DataFrame, sources: DataFrame, errors: D
     new = _applied(staged, states)
     after = replace_crawl(present, new, states.where("replaced").select(F.col("source_id").alias("id")), now)
     done = new.select("source_id").distinct()  # as many rows as there are sources
-    keyed = lambda df: df.withColumn("url", F.concat_ws("|", F.col("source_id").cast("string"), "url"))
     old = present.where("origin = 'web_crawl' and url is not null").join(done, "source_id", "left_semi")
-    changes = snapshot_diff(keyed(old), keyed(new)).withColumn("source_id", F.substring_index("key", "|", 1).cast("long"))
-    counts = changes.groupBy("source_id").agg(*[F.count_if(F.col("change") == c).alias(c) for c in CHANGES])
+    counts = snapshot_diff(old, new).groupBy("source_id").agg(*[F.count_if(F.col("change") == c).alias(c) for c in CHANGES])
     results = states.join(counts, "source_id", "left").fillna(0, list(CHANGES))
     failed = F.when(F.col("replaced"), F.col("failed")).otherwise(0).alias("failed")
     return after, results.select("source_id", "state", *CHANGES, failed, (F.col("added") + F.col("updated") + F.col("deleted") > 0).alias("changed"))
@@ -129,7 +127,7 @@ QUERIES = {"refresh_results": q_refresh_results, "redownloaded_documents": q_red
 ORACLES = {
     "refresh_results": """
 WITH fetched AS (
-  SELECT i.source_id, i.url, i.id, i.content, i.content_hash, CASE WHEN s.is_archived THEN 'timeout' ELSE i.status_code END AS status_code,
+  SELECT i.source_id, i.key, i.id, i.content, i.content_hash, CASE WHEN s.is_archived THEN 'timeout' ELSE i.status_code END AS status_code,
     CASE WHEN NOT s.is_archived THEN i.http_status END AS http_status
   FROM incoming i JOIN src s ON s.id = i.source_id WHERE s.is_enabled
 ), state AS (
@@ -140,15 +138,15 @@ WITH fetched AS (
   FROM src s LEFT JOIN fetched f ON f.source_id = s.id GROUP BY s.id, s.is_archived, s.source_type
 ), new AS (
   SELECT f.* FROM fetched f JOIN state USING (source_id) WHERE state <> 'unreachable' AND coalesce(http_status NOT IN (404, 410), true)
-    AND url IS NOT NULL AND length(trim(content, ' ')) > 0
-  QUALIFY row_number() OVER (PARTITION BY source_id, lower(url) ORDER BY id DESC) = 1
+    AND key IS NOT NULL AND length(trim(content, ' ')) > 0
+  QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY id DESC) = 1
 ), old AS (
   SELECT * FROM doc WHERE origin = 'web_crawl' AND url IS NOT NULL AND source_id IN (SELECT source_id FROM new)
 ), change AS (
   SELECT coalesce(o.source_id, n.source_id) AS source_id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'deleted'
     WHEN o.content_hash = n.content_hash AND o.status_code IS NOT DISTINCT FROM n.status_code AND o.http_status IS NOT DISTINCT FROM n.http_status
     THEN 'unchanged' ELSE 'updated' END AS change
-  FROM old o FULL JOIN new n ON o.source_id = n.source_id AND lower(o.url) = lower(n.url)
+  FROM old o FULL JOIN new n ON o.source_id = n.source_id AND o.key = n.key
 ), counts AS (
   SELECT source_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'updated') AS updated,
     count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change = 'unchanged') AS unchanged FROM change GROUP BY source_id

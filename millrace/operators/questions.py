@@ -13,7 +13,7 @@ from .eligibility import is_active, usable
 TARGET = 100
 LEAST_CHARS = 12
 MAX_REFERENCES = 3
-#: A generated line: bullet or number, one to three ids, a separator, the question.
+# Fixed value: a generated line: bullet or number, one to three ids, a separator, the question.
 LINE = r"(?i)^\s*(?:[-*+]\s+|\d+[\.)]\s+)?(?:document[_\s-]?ids?\s*[:=#]?\s*)?(\d+(?:\s*,\s*\d+){0,2})\s*[|:\-–—]\s*(.+?)\s*$"
 
 # The questions that are asked of any topic.

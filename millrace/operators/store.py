@@ -6,28 +6,37 @@ changes and returns the new table, to be written beside the old one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import canonical, key_of
 from ..sources import views
 
 
-def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
+def last_by_key(rows: DataFrame, key: str | Sequence[str], order: str) -> DataFrame:
     """The last row of each key: what is left when a batch repeats it. Aggregates before it shuffles."""
-    rest = [c for c in rows.columns if c != key]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return last.select(key, "_row.*").select(*rows.columns)
+    keys = [key] if isinstance(key, str) else [*key]
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    return last.select(*keys, "_row.*").select(*rows.columns)
 
 
-def upsert_by_origin(present: DataFrame, batch: DataFrame, key: str = "url") -> DataFrame:
-    """Insert new keys; update content columns where the origin is the same; else leave the row.
+def upsert_by_origin(present: DataFrame, batch: DataFrame) -> DataFrame:
+    """Insert new URLs; update content columns where the origin is the same; else leave the row.
 
-    Ids and flags of present rows never change. ``change`` tells what happened.
+    URLs are compared as the store keeps them (canonical, without case), and new
+    ones are stored canonical; of rows of one URL in the batch the last by id
+    counts. Ids, flags and URLs of present rows never change, nor do rows without
+    a URL; those of the batch are left out. ``change`` tells what happened.
     """
     content = ["title", "content", "content_hash", "status_code", "http_status", "crawled_at"]
-    new = batch.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in batch.columns if c != key], F.lit(True).alias("_new"))
-    old = present.withColumn("_old", F.lit(True))
-    joined = old.join(new, key, "full_outer")
+    keyed = batch.where("url is not null").withColumns({"url": canonical(F.col("url")), "_key": key_of(F.col("url"))})
+    new = last_by_key(keyed, "_key", "id")
+    new = new.select("_key", *[F.col(c).alias(f"_{c}") for c in batch.columns], F.lit(True).alias("_new"))
+    old = present.withColumns({"_old": F.lit(True), "_key": key_of(F.col("url"))})
+    joined = old.join(new, "_key", "full_outer")
     inserted = F.col("_old").isNull()
     updated = F.col("_new").isNotNull() & ~inserted & (F.col("origin") == F.col("_origin"))
     change = (
@@ -35,28 +44,30 @@ def upsert_by_origin(present: DataFrame, batch: DataFrame, key: str = "url") ->
     )
     return joined.select(
         *[
-            c
-            if c == key
-            else F.when(inserted | updated if c in content else inserted, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+            F.when(inserted | updated if c in content else inserted, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
             for c in present.columns
         ],
         change.alias("change"),
     )
 
 
-def snapshot_diff(present: DataFrame, staged: DataFrame, key: str = "url", order: str = "id") -> DataFrame:
-    """What replacing a snapshot changes, a row a key: added, updated, deleted or unchanged.
+def snapshot_diff(present: DataFrame, staged: DataFrame, order: str = "id") -> DataFrame:
+    """What replacing the snapshot of each source changes, a row a source_id and key: added, updated, deleted or unchanged.
 
-    Keys are compared without case; where one side repeats a key its last row counts, by ``order``.
+    ``key`` is the URL as the store compares it (canonical, without case); where
+    one side repeats a key of a source its last row counts, by ``order``. Rows
+    without a URL, and without a source, match nothing.
     """
     columns = ["content_hash", "status_code", "http_status"]
+    keys = ["source_id", "key"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.lower(key).alias("key"), F.col(order).alias("_order"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-        last = last_by_key(rows.where("key is not null"), "key", "_order").union(rows.where("key is null"))
+        rows = df.select("source_id", key_of(F.col("url")).alias("key"), F.col(order).alias("_order"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        whole = F.col("key").isNotNull() & F.col("source_id").isNotNull()
+        last = last_by_key(rows.where(whole), keys, "_order").union(rows.where(~whole).select(*rows.columns))
         return last.drop("_order").withColumn(name, F.lit(True))
 
-    joined = side(present, "old").join(side(staged, "new"), "key", "full_outer")
+    joined = side(present, "old").join(side(staged, "new"), keys, "full_outer")
     same = (
         (F.lower("old_content_hash") == F.lower("new_content_hash"))
         & F.col("old_status_code").eqNullSafe(F.col("new_status_code"))
@@ -65,12 +76,27 @@ def snapshot_diff(present: DataFrame, staged: DataFrame, key: str = "url", order
     change = (
         F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(same, "unchanged").otherwise("updated")
     )
-    return joined.select("key", change.alias("change"), F.coalesce("new_content_hash", "old_content_hash").alias("content_hash"))
+    return joined.select(*keys, change.alias("change"), F.coalesce("new_content_hash", "old_content_hash").alias("content_hash"))
+
 
+def missing(present: DataFrame, found: DataFrame, crawled: DataFrame | None = None) -> DataFrame:
+    """Crawled rows of the sources in ``crawled`` (id) that their crawl no longer finds.
+
+    ``found`` has source_id and url; URLs are compared as the store keeps them,
+    within a source. Without ``crawled`` the sources are those that found any. A
+    source that is listed and found nothing misses all it has; rows without a
+    URL or source are never missing.
+    """
+    named = found.select("source_id", key_of(F.col("url")).alias("_key"))
+    of = named.select("source_id") if crawled is None else crawled.select(F.col("id").alias("source_id"))
+    rows = present.where("origin = 'web_crawl' and url is not null").join(of.distinct(), "source_id", "left_semi")
+    left = rows.withColumn("_key", key_of(F.col("url"))).join(named, ["source_id", "_key"], "left_anti")
+    return left.select(*present.columns)
 
-def missing(present: DataFrame, found: DataFrame, key: str = "url") -> DataFrame:
-    """Crawled rows that a crawl no longer finds."""
-    return present.where("origin = 'web_crawl'").join(found.select(key), key, "left_anti")
+
+def without_missing(present: DataFrame, found: DataFrame, crawled: DataFrame | None = None) -> DataFrame:
+    """``present`` without its `missing` rows (id unique)."""
+    return present.join(missing(present, found, crawled).select("id"), "id", "left_anti")
 
 
 def without_sources(sources: DataFrame, docs: DataFrame, refs: DataFrame, gone: DataFrame) -> tuple[DataFrame, ...]:
@@ -114,8 +140,8 @@ def seed_sources(sources: DataFrame, seeds: DataFrame) -> DataFrame:
 def q_upsert_pages_by_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, staged = views.documents(spark, sf_dir), views.incoming(spark, sf_dir)
     other = F.when(F.col("id") % 6 == 0, "manual_upload").otherwise(F.col("origin"))
-    batch = last_by_key(staged.withColumn("origin", other), "url", "id")
-    return upsert_by_origin(docs, batch).select("id", "url", "title", "content_hash", "origin", "is_enabled", "change")
+    found = upsert_by_origin(docs, staged.withColumn("origin", other))
+    return found.select("id", "url", "title", "content_hash", "origin", "is_enabled", "change")
 
 
 def q_snapshot_diff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +163,16 @@ def q_snapshot_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of the second snapshot; one in 23 is found by another source than its own."""
+    rows = views.incoming(spark, sf_dir)
+    return rows.select(F.when(F.col("id") % 23 == 0, -F.col("source_id")).otherwise(F.col("source_id")).alias("source_id"), "url")
+
+
 def q_missing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return missing(views.documents(spark, sf_dir), views.incoming(spark, sf_dir)).select("id", "url")
+    """Two of three sources were crawled."""
+    crawled = views.sources(spark, sf_dir).where("source_type <> 'local_files'")
+    return missing(views.documents(spark, sf_dir), _found(spark, sf_dir), crawled).select("id", "url")
 
 
 def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,31 +199,33 @@ QUERIES = {
 }
 
 _DIFF = """twice AS (
-  SELECT lower(url) AS url, content_hash, status_code, http_status, id FROM incoming
-  UNION ALL SELECT lower(url), upper(reverse(content_hash)), status_code, http_status, id + 20000000 FROM incoming WHERE id % 7 = 0
+  SELECT source_id, key, content_hash, status_code, http_status, id FROM incoming
+  UNION ALL SELECT source_id, key, upper(reverse(content_hash)), status_code, http_status, id + 20000000 FROM incoming WHERE id % 7 = 0
 ), staged AS (
-  SELECT * FROM twice QUALIFY url IS NULL OR row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1
+  SELECT * FROM twice QUALIFY key IS NULL OR row_number() OVER (PARTITION BY source_id, key ORDER BY id DESC) = 1
 ), diff AS (
-  SELECT lower(coalesce(o.url, n.url)) AS key, coalesce(n.content_hash, o.content_hash) AS content_hash,
-    CASE WHEN o.url IS NULL THEN 'added' WHEN n.url IS NULL THEN 'deleted'
+  SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.key, n.key) AS key, coalesce(n.content_hash, o.content_hash) AS content_hash,
+    CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'deleted'
       WHEN lower(o.content_hash) = lower(n.content_hash) AND o.status_code IS NOT DISTINCT FROM n.status_code
         AND o.http_status IS NOT DISTINCT FROM n.http_status THEN 'unchanged' ELSE 'updated' END AS change
-  FROM doc o FULL JOIN staged n ON lower(o.url) = n.url)"""
+  FROM doc o FULL JOIN staged n ON o.source_id = n.source_id AND o.key = n.key)"""
 ORACLES = {
     "upsert_pages_by_origin": """
-SELECT coalesce(o.id, n.id) AS id, coalesce(o.url, n.url) AS url,
+SELECT coalesce(o.id, n.id) AS id, coalesce(o.url, CASE WHEN n.id % 5 = 3 THEN replace(n.key, '/new', '/NEW') ELSE n.key END) AS url,
   CASE WHEN o.id IS NULL OR hit THEN n.title ELSE o.title END AS title,
   CASE WHEN o.id IS NULL OR hit THEN n.content_hash ELSE o.content_hash END AS content_hash,
   coalesce(o.origin, n.origin) AS origin, coalesce(o.is_enabled, n.is_enabled) AS is_enabled,
   CASE WHEN o.id IS NULL THEN 'inserted' WHEN hit THEN 'updated' WHEN n.id IS NOT NULL THEN 'ignored' ELSE 'kept' END AS change
-FROM (SELECT o.*, n.id AS nid, n.url AS nurl, o.origin = n.origin AS hit FROM doc o LEFT JOIN (
-    SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN 'manual_upload' ELSE origin END AS origin) FROM incoming) n USING (url)) o
-FULL JOIN (SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN 'manual_upload' ELSE origin END AS origin) FROM incoming) n ON n.url = o.url""",
+FROM (SELECT o.*, o.origin = n.origin AS hit FROM doc o LEFT JOIN (
+    SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN 'manual_upload' ELSE origin END AS origin) FROM incoming) n USING (key)) o
+FULL JOIN (SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN 'manual_upload' ELSE origin END AS origin) FROM incoming) n ON n.key = o.key""",
     "snapshot_diff_rows": f"WITH {_DIFF} SELECT * FROM diff",
     "snapshot_diff_counts": f"""WITH {_DIFF} SELECT count(*) FILTER (change = 'added') AS added,
   count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'deleted') AS deleted,
   count(*) FILTER (change = 'unchanged') AS unchanged FROM diff""",
-    "missing_documents": "SELECT id, url FROM doc WHERE origin = 'web_crawl' AND url NOT IN (SELECT url FROM incoming)",
+    "missing_documents": """
+SELECT id, url FROM doc d WHERE origin = 'web_crawl' AND source_id IN (SELECT id FROM src WHERE source_type <> 'local_files')
+  AND NOT EXISTS (SELECT 1 FROM incoming i WHERE i.key = d.key AND i.id % 23 <> 0)""",
     "cascade_delete": """
 SELECT 'source' AS "table", count(*) AS rows FROM src WHERE id % 5 <> 0
 UNION ALL SELECT 'document', count(*) FROM doc WHERE source_id IS NULL OR source_id % 5 <> 0

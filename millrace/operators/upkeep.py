@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_white, cut
-from ..functions.urls import title_of
+from ..functions.urls import canonical, key_of, title_of
 from ..sources import views
+from .ids import deal_ids
 from .questions import TARGET
 from .retrieve import blocks
 from .store import last_by_key
@@ -27,28 +28,35 @@ def replace_crawl(present: DataFrame, staged: DataFrame, refreshed: DataFrame, n
     """``present`` after the crawled rows of the sources in ``refreshed`` (id) gave way to those ``staged``.
 
     Only ``web_crawl`` rows go; a source without any staged row with content keeps
-    what it has. URLs are compared without case; the last staged row of one
-    counts, by id. Replaced rows keep the time when their URL was ``first_seen``
-    (``crawled_at`` where the table has none), and their ids are null, to be dealt
-    by the store. Staged rows without a URL are left out.
+    what it has. URLs are compared and stored as the store keeps them: canonical,
+    and compared without case, within a source; the last staged row of one
+    counts, by id. Staged rows without a URL are left out, blank titles are made
+    of the URL. New rows keep the time when their URL was ``first_seen``
+    (``crawled_at`` where the table has none), are ``last_seen`` and
+    ``last_checked`` now, and get ids that follow the greatest one present.
     """
-    if "first_seen" not in present.columns:
-        present = present.withColumn("first_seen", F.col("crawled_at"))
-    names = [c for c in present.columns if c not in ("source_id", "first_seen")]
+    stamps = ("first_seen", "last_seen", "last_checked")
+    present = present.withColumns({c: F.col("crawled_at") for c in stamps if c not in present.columns})
+    names = [c for c in present.columns if c not in ("source_id", *stamps)]
     of = refreshed.select(F.col("id").alias("source_id")).distinct()
     filled = staged.where("url is not null and length(trim(content)) > 0").join(of, "source_id", "left_semi")
-    key = F.struct("source_id", F.lower("url").alias("url"))
+    if "title" in names:
+        filled = filled.withColumn("title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), title_of(canonical(F.col("url")))))
+    key = F.struct("source_id", key_of(F.col("url")).alias("url"))
     last = last_by_key(filled.select(key.alias("_key"), "source_id", *names), "_key", "id")
     done = last.select("source_id", F.lit(True).alias("_done")).distinct()  # as many rows as there are sources
 
     marked = present.join(done, "source_id", "left")
     goes = F.coalesce((F.col("origin") == "web_crawl") & F.col("_done"), F.lit(False))
     before = marked.where(goes & F.col("url").isNotNull()).groupBy(key.alias("_key")).agg(F.min("first_seen").alias("_seen"))
-    fixed = {"id": F.lit(None), "origin": F.lit("web_crawl"), "crawled_at": now}
-    new = last.join(before, "_key", "left").select(
+    dealt = deal_ids(last.drop("id"), [F.col("source_id"), F.col("_key.url")], present)
+    fixed = {"url": canonical(F.col("url")), "origin": F.lit("web_crawl"), "crawled_at": now}
+    new = dealt.join(before, "_key", "left").select(
         "source_id",
         *[fixed[c].cast(present.schema[c].dataType).alias(c) if c in fixed else F.col(c) for c in names],
         F.coalesce("_seen", now).alias("first_seen"),
+        now.alias("last_seen"),
+        now.alias("last_checked"),
     )
     return marked.where(~goes).select(*new.columns).unionByName(new)
 
@@ -59,12 +67,12 @@ def delete_documents(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def delete_crawled(docs: DataFrame, urls: DataFrame | None = None) -> DataFrame:
-    """``docs`` without crawled rows: those of ``urls`` (url), or all. Rows of other origins, or of none, stay."""
+    """``docs`` without crawled rows: those of ``urls`` (url), compared canonical, or all. Rows of other origins, or of none, stay."""
     crawled = F.col("origin").eqNullSafe(F.lit("web_crawl"))
     if urls is None:
         return docs.where(~crawled)
-    named = urls.select(F.col("url").alias("_url"))
-    return docs.join(named, crawled & (F.col("url") == F.col("_url")), "left_anti")
+    named = urls.select(canonical(F.col("url")).alias("_url"))
+    return docs.join(named, crawled & (canonical(F.col("url")) == F.col("_url")), "left_anti")
 
 
 def complete_runs(started: DataFrame, completed: DataFrame) -> DataFrame:
@@ -130,7 +138,7 @@ def q_replaced_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     refreshed = views.sources(spark, sf_dir).where("source_type <> 'local_files'")
     now = F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
     whole = replace_crawl(views.documents(spark, sf_dir), staged.unionByName(again), refreshed, now)
-    return whole.select("id", "source_id", "url", "origin", "content_hash", "status_code", "first_seen", "crawled_at")
+    return whole.select("id", "source_id", "url", "title", "origin", "content_hash", "status_code", "first_seen", "last_seen", "last_checked", "crawled_at")
 
 
 def q_deleted_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,22 +225,25 @@ _CACHED = """SELECT d.id AS document_id, d.content_hash FROM {} d LEFT JOIN src
 ORACLES = {
     "replaced_crawl": """
 WITH twice AS (
-  SELECT id, source_id, url, content, content_hash, status_code FROM incoming
-  UNION ALL SELECT id + 20000000, source_id, upper(url), content, reverse(content_hash), status_code FROM incoming WHERE id % 7 = 0
+  SELECT id, source_id, key, title, content, content_hash, status_code, id % 5 = 3 OR id % 7 = 0 AS shouts FROM incoming
+  UNION ALL SELECT id + 20000000, source_id, key, title, content, reverse(content_hash), status_code, true FROM incoming WHERE id % 7 = 0
 ), staged AS (
   SELECT t.* FROM twice t JOIN src s ON s.id = t.source_id
-  WHERE s.source_type <> 'local_files' AND t.url IS NOT NULL AND length(trim(t.content, ' ')) > 0
-  QUALIFY row_number() OVER (PARTITION BY t.source_id, lower(t.url) ORDER BY t.id DESC) = 1
+  WHERE s.source_type <> 'local_files' AND t.key IS NOT NULL AND length(trim(t.content, ' ')) > 0
+  QUALIFY row_number() OVER (PARTITION BY t.source_id, t.key ORDER BY t.id DESC) = 1
 ), gone AS (
   SELECT * FROM doc WHERE origin = 'web_crawl' AND source_id IN (SELECT source_id FROM staged)
-), seen AS (SELECT source_id, lower(url) AS url, min(crawled_at) AS first_seen FROM gone GROUP BY ALL)
-SELECT id, source_id, url, origin, content_hash, status_code, crawled_at AS first_seen, crawled_at
+), seen AS (SELECT source_id, key, min(crawled_at) AS first_seen FROM gone GROUP BY ALL)
+SELECT id, source_id, url, title, origin, content_hash, status_code, crawled_at AS first_seen, crawled_at AS last_seen,
+  crawled_at AS last_checked, crawled_at
 FROM doc WHERE id NOT IN (SELECT id FROM gone)
 UNION ALL
-SELECT NULL, t.source_id, t.url, 'web_crawl', t.content_hash, t.status_code, coalesce(s.first_seen, TIMESTAMP '2025-01-01'), TIMESTAMP '2025-01-01'
-FROM staged t LEFT JOIN seen s ON s.source_id = t.source_id AND s.url = lower(t.url)""",
+SELECT (SELECT max(id) FROM doc) + row_number() OVER (ORDER BY md5(t.source_id || '|' || t.key)), t.source_id,
+  CASE WHEN shouts THEN replace(t.key, '/new', '/NEW') ELSE t.key END, t.title, 'web_crawl', t.content_hash, t.status_code,
+  coalesce(s.first_seen, TIMESTAMP '2025-01-01'), TIMESTAMP '2025-01-01', TIMESTAMP '2025-01-01', TIMESTAMP '2025-01-01'
+FROM staged t LEFT JOIN seen s ON s.source_id = t.source_id AND s.key = t.key""",
     "deleted_by_url": """
-SELECT id, url, origin FROM doc d WHERE origin IS DISTINCT FROM 'web_crawl' OR NOT EXISTS (SELECT 1 FROM incoming i WHERE i.url = d.url)""",
+SELECT id, url, origin FROM doc d WHERE origin IS DISTINCT FROM 'web_crawl' OR NOT EXISTS (SELECT 1 FROM incoming i WHERE i.key = d.key)""",
     "cleared_crawl": "SELECT origin, count(*) AS documents FROM doc WHERE origin IS DISTINCT FROM 'web_crawl' GROUP BY origin",
     "deleted_documents": """
 SELECT d.id, d.source_id, d.url FROM doc d LEFT JOIN src s ON s.id = d.source_id WHERE s.id IS NULL OR (s.is_enabled AND NOT s.is_archived)""",

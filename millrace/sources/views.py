@@ -6,7 +6,7 @@ Every view is a plain projection, so column pruning and filters reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Epoch of all derived times; jobs take their run time as a parameter, never the clock.
@@ -17,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def source_id(name: Column) -> Column:
+    """The id of a source: 60 bits of its name's MD5, so that a document tells it without a join."""
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source dimension: a row for each distinct source name, with a dense id by name."""
+    """The source dimension: a row for each distinct source name."""
     names = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("name")).distinct()
-    # a dimension: as many rows as there are sources
-    numbered = names.select("name", F.row_number().over(Window.orderBy("name")).cast("long").alias("id"))
+    numbered = names.select("name", source_id(F.col("name")).alias("id"))
     kind = F.when(F.col("id") % 3 == 0, "local_files").when(F.col("id") % 3 == 1, "web_site").otherwise("web_links")
     return numbered.select(
         "id",
@@ -29,27 +33,26 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://"), "name", F.lit(".example")).alias("address"),
         kind.alias("source_type"),
         (F.col("id") % 7 != 0).alias("is_enabled"),
-        (F.col("id") % 11 == 0).alias("is_archived"),
+        (F.col("id") % 11 == 10).alias("is_archived"),
         F.when(F.col("id") % 4 != 3, F.concat(F.lit("seed-"), "id")).alias("seed_key"),
-        F.when(F.col("id") % 5 != 0, F.timestamp_add("hour", F.col("id").cast("int"), F.lit(EPOCH).cast("timestamp_ntz"))).alias(
+        F.when(F.col("id") % 5 != 0, F.timestamp_add("hour", (F.col("id") % 1000).cast("int"), F.lit(EPOCH).cast("timestamp_ntz"))).alias(
             "next_refresh"
         ),
     )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main fact: a row for each document, joined to its source id and labels."""
+    """The main fact: a row for each document, with its source id, joined to its labels."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    names = sources(spark, sf_dir).select(F.col("id").alias("source_id"), F.col("name").alias("_name"))
-    rows = docs.join(labels, "doc_id", "left").join(names, F.col("source") == F.col("_name"), "left")
+    rows = docs.join(labels, "doc_id", "left")
     origin = F.element_at(
         F.array(*map(F.lit, ("web_crawl", "manual_web_link", "local_import", "manual_upload"))),
         (F.col("doc_id") % 4 + 1).cast("int"),
     )
     return rows.select(
         F.col("doc_id").alias("id"),
-        "source_id",
+        source_id(F.col("source")).alias("source_id"),
         F.concat(F.lit("https://www."), "source", F.lit(".example/"), "doc_id").alias("url"),
         F.concat("source", F.lit(" "), "lang").alias("title"),
         F.col("text").alias("content"),
@@ -66,14 +69,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second snapshot of the crawl: some documents gone, some changed, some new."""
+    """A second snapshot of the crawl: some documents gone, some changed, some new.
+
+    Addresses are spelled in several ways, as they are found.
+    """
     docs = documents(spark, sf_dir)
     changed = F.when(F.col("id") % 5 == 0, F.concat("content", F.lit(" updated"))).otherwise(F.col("content"))
     first = docs.where("id % 13 <> 0").withColumn("content", changed)
     new = docs.where("id % 29 = 0").withColumns(
         {"id": F.col("id") + 10_000_000, "url": F.concat("url", F.lit("/new"))}
     )
-    return first.unionByName(new).withColumn("content_hash", F.sha2("content", 256))
+    both = first.unionByName(new).withColumn("content_hash", F.sha2("content", 256))
+    n, url = F.col("id") % 5, F.col("url")
+    spelled = (
+        F.when(n == 1, F.replace(url, F.lit("www."), F.lit(""))).when(n == 2, F.concat(url, F.lit("/")))
+        .when(n == 3, F.upper(url)).when(n == 4, F.concat(url, F.lit("//?x=1#top"))).otherwise(url)
+    )
+    return both.withColumn("url", spelled)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +108,7 @@ def question_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "documents").agg((F.coalesce(F.max("doc_id"), F.lit(0)) + 1).alias("_ids"))
     # one row
     refs = refs.crossJoin(ids).withColumn("document_id", (F.col("question_id") * 7919 + F.col("position") * 17) % F.col("_ids"))
-    docs = documents(spark, sf_dir).select(F.col("id").alias("document_id"), "source_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), source_id(F.col("source")).alias("source_id"))
     return refs.join(docs, "document_id", "left").select("question_id", "position", "document_id", "source_id")
 
 
@@ -116,16 +128,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same views as DuckDB common table expressions.
+#: The same views as DuckDB common table expressions; ``key`` is what stands for a URL, known from how the URLs are made.
 SQL = """
 src AS (
   SELECT id, name, 'https://' || name || '.example' AS address,
     CASE id % 3 WHEN 0 THEN 'local_files' WHEN 1 THEN 'web_site' ELSE 'web_links' END AS source_type,
-    id % 7 <> 0 AS is_enabled, id % 11 = 0 AS is_archived,
+    id % 7 <> 0 AS is_enabled, id % 11 = 10 AS is_archived,
     CASE WHEN id % 4 <> 3 THEN 'seed-' || id END AS seed_key,
-    CASE WHEN id % 5 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(id) END AS next_refresh
-  FROM (SELECT row_number() OVER (ORDER BY name) AS id, name
-        FROM (SELECT DISTINCT source AS name FROM documents WHERE source IS NOT NULL))
+    CASE WHEN id % 5 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(id % 1000) END AS next_refresh
+  FROM (SELECT DISTINCT ('0x' || substr(md5(source), 1, 15))::BIGINT AS id, source AS name FROM documents WHERE source IS NOT NULL)
 ), doc AS (
   SELECT d.doc_id AS id, s.id AS source_id, 'https://www.' || d.source || '.example/' || d.doc_id AS url,
     d.source || ' ' || d.lang AS title, d.text AS content,
@@ -134,13 +145,14 @@ src AS (
     CASE WHEN d.doc_id % 17 = 0 THEN 404 WHEN d.doc_id % 19 = 0 THEN 503 WHEN d.doc_id % 5 <> 0 THEN 200 END AS http_status,
     sha256(d.text) AS content_hash,
     (['web_crawl', 'manual_web_link', 'local_import', 'manual_upload'])[d.doc_id % 4 + 1] AS origin,
-    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id % 10000) AS crawled_at
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(d.doc_id % 10000) AS crawled_at, 'https://' || d.source || '.example/' || d.doc_id AS key
   FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN src s ON s.name = d.source
 ), incoming AS (
-  SELECT * REPLACE (sha256(content) AS content_hash) FROM (
+  SELECT * REPLACE (sha256(content) AS content_hash, CASE id % 5 WHEN 1 THEN replace(url, 'www.', '') WHEN 2 THEN url || '/'
+    WHEN 3 THEN upper(url) WHEN 4 THEN url || '//?x=1#top' ELSE url END AS url) FROM (
     SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN content || ' updated' ELSE content END AS content) FROM doc WHERE id % 13 <> 0
     UNION ALL
-    SELECT * REPLACE (id + 10000000 AS id, url || '/new' AS url) FROM doc WHERE id % 29 = 0)
+    SELECT * REPLACE (id + 10000000 AS id, url || '/new' AS url, key || '/new' AS key) FROM doc WHERE id % 29 = 0)
 ), question AS (
   SELECT item_id AS id, text AS question, item_id * 7 % 5 AS served_count,
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(item_id) AS created_at, sha256(item_id::VARCHAR) AS fingerprint FROM benchmark

@@ -13,13 +13,13 @@ def test_edits_of_sources(spark):
          (3, "g3", "web_site", "c", "https://c.com", None, True, False), (4, None, "web_site", None, None, None, None, None)], SOURCES,
     )
     edits = spark.createDataFrame(
-        [(1, "web_site", "x", "https://other.com", True), (2, "web_site", "y", None, True), (3, "web_site", " ", "HTTP://www.C.org/p", False),
+        [(1, "web_site", "x", "https://other.com", True), (2, "web_site", "y", None, True), (3, "WEB_SITE", " ", "HTTP://www.C.org/p/?q", False),
          (4, "web_site", "n", None, True), (4, "web_site", "n", None, True), (9, "web_site", "z", None, True)],
         "id long, source_type string, name string, address string, is_enabled boolean",
     )
     got = {r.id: (r.name, r.address, r.is_enabled, r.outcome) for r in bank.update_sources(sources, edits).collect()}
     assert got[1] == ("a", "https://a.com", True, "refused_address") and got[2] == ("b", "local://source/g2", True, "refused_type")
-    assert got[3] == ("c", "http://c.org", False, "updated") and got[4][0] == "n" and len(got) == 4
+    assert got[3] == ("c", "http://c.org/p", False, "updated") and got[4][0] == "n" and len(got) == 4
     assert {r.outcome for r in bank.update_sources(sources, edits.limit(0)).collect()} == {"kept"}
 
 

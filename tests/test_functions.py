@@ -79,7 +79,7 @@ def test_answers(spark):
     assert one(spark, lambda c: answers.suggestions(c, 9), md)[0] == "Soru bir?"
     blocks = spark.createDataFrame([(1, "A - one"), (2, "A - two"), (3, "B - three"), (4, "a - ONE")], "document_id long, label string")
     line = spark.createDataFrame([(7, "A - one; two | B - three")], "answer_id long, line string")
-    assert [r.document_id for r in answers.cite(line, blocks).orderBy("rank").collect()] == [1, 2, 3]
+    assert [r.document_id for r in answers.cite(line, blocks).orderBy("rank").collect()] == [3, 1, 2]
 
 
 def test_parse_questions_drops_unknown_short_and_repeated(spark):

@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from millrace.operators import upkeep
+from millrace.operators import ids, store, upkeep
 
 DOCS = "id long, source_id long, url string, content string, content_hash string, origin string, crawled_at timestamp_ntz"
 OLD, NEW = datetime(2024, 1, 1), datetime(2025, 1, 1)
@@ -52,6 +52,60 @@ def test_replacement_keeps_what_has_no_successor(spark):
     assert ("n3", NEW) in _rows(again, "content_hash", "first_seen")
 
 
+def test_addresses_are_compared_as_the_store_keeps_them(spark):
+    present = spark.createDataFrame(
+        [
+            (1, 1, "https://www.a.x/P", "old", "h1", "web_crawl", OLD),
+            (2, 1, "https://a.x/q/", "old", "h2", "web_crawl", OLD),
+            (3, 1, "https://a.x/r", "old", "h3", "web_crawl", OLD),
+            (4, 2, "https://a.x/s", "old", "h4", "web_crawl", OLD),
+            (7, 1, "https://a.x/q", "hand", "h5", "manual_upload", OLD),
+        ],
+        DOCS,
+    )
+    spelled = [(1, "HTTPS://a.x:443/p?x=1"), (1, "https://www.A.x/q#top"), (2, "https://a.x/r/")]
+    found = spark.createDataFrame(spelled, "source_id long, url string")
+    crawled = spark.createDataFrame([(1,)], "id long")
+    assert _rows(store.missing(present, found, crawled), "id") == [(3,)]
+    assert _rows(store.missing(present, found), "id") == [(3,), (4,)]
+    assert _rows(store.missing(present, found.limit(0), crawled), "id") == [(1,), (2,), (3,)]
+    assert _rows(store.without_missing(present, found, crawled), "id") == [(1,), (2,), (4,), (7,)]
+    # a path's case counts for deletes, as it is the stored URL that is named
+    urls = spark.createDataFrame([("https://www.a.x/q",), ("https://a.x/p",), ("https://a.x//r/",)], "url string")
+    assert _rows(upkeep.delete_crawled(present, urls), "id") == [(1,), (4,), (7,)]
+    staged = spark.createDataFrame(
+        [
+            (10, 1, "https://a.x/p/", "new", "n1", "web_crawl", NEW),
+            (11, 1, "https://www.a.x/Q", "new", "n2", "web_crawl", NEW),
+            (12, 1, "https://a.x/new", "new", "n3", "web_crawl", NEW),
+            (13, 2, "https://a.x/p", "new", "n4", "web_crawl", NEW),
+        ],
+        DOCS,
+    )
+    after = upkeep.replace_crawl(present, staged, spark.createDataFrame([(1,), (2,)], "id long"), F.expr(NOW))
+    assert _rows(after, "content_hash", "url", "first_seen") == [
+        ("h5", "https://a.x/q", OLD), ("n1", "https://a.x/p", OLD), ("n2", "https://a.x/Q", OLD), ("n3", "https://a.x/new", NEW), ("n4", "https://a.x/p", NEW),
+    ]
+    assert [i for (i,) in _rows(after, "id")] == [7, 8, 9, 10, 11]
+    diff = store.snapshot_diff(*[df.withColumns({"status_code": F.lit("ok"), "http_status": F.lit(200)}) for df in (present.where("id < 7"), staged)])
+    assert _rows(diff, "source_id", "key", "change") == [
+        (1, "https://a.x/new", "added"), (1, "https://a.x/p", "updated"), (1, "https://a.x/q", "updated"), (1, "https://a.x/r", "deleted"),
+        (2, "https://a.x/p", "added"), (2, "https://a.x/s", "deleted"),
+    ]
+
+
+def test_ids_are_dense_and_depend_on_keys_alone(spark):
+    rows = spark.createDataFrame([(f"k{i}", i % 7) for i in range(500)] + [(None, 3)], "k string, v int")
+    present = spark.createDataFrame([(41,), (None,)], "id long")
+    dealt = {(r.k, r.v): r.id for r in ids.deal_ids(rows.repartition(3), [F.col("k")], present).collect()}
+    assert sorted(dealt.values()) == list(range(42, 543))
+    again = ids.deal_ids(rows.orderBy("v"), [F.col("k")], present, digits=1)
+    assert {(r.k, r.v): r.id for r in again.collect()} == dealt
+    assert sorted(r.n for r in ids.deal_ids(rows, [F.col("v"), F.col("k")], column="n").collect()) == list(range(1, 502))
+    assert not ids.deal_ids(rows.limit(0), [F.col("k")], present).collect()
+    assert [r.id for r in ids.deal_ids(rows.limit(1), [F.col("k")], present.limit(0)).collect()] == [1]
+
+
 def test_deletes(spark):
     docs = spark.createDataFrame([(1, "u", "web_crawl"), (2, "u", "manual_upload"), (3, None, None), (4, None, "web_crawl")], "id long, url string, origin string")
     urls = spark.createDataFrame([("u",), ("u",), (None,)], "url string")
