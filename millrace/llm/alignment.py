@@ -23,6 +23,8 @@ that a group which every document has is no task's alone.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -37,8 +39,14 @@ from .common import forget, join_uneven, keep, mix64, powers, small_or_not, tabl
 
 #: Bytes of texts that are aligned at once; a longer text is aligned alone.
 BATCH_BYTES = 1 << 20
+# Fixed value: the pattern of byte-level pre-tokenizers.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What a piece has in place of a space.
+SPACE = "\u2581"
+#: Words whose pieces a worker keeps.
+HELD_WORDS = 1 << 17
 #: Groups in a task's dictionary before it is told and begun anew.
-HELD_GROUPS = 1 << 18
+HELD_GROUPS = 1 << 17
 
 
 @dataclass
@@ -55,34 +63,62 @@ class Pair:
 
 
 class Both:
-    """Both tokenizers in a worker, with the bytes of their tokens."""
+    """Both tokenizers in a worker, with the bytes of their tokens.
+
+    A is run by its ranks, as the file's merges are in order of the ids they
+    make (else it is refused). B's pieces hold U+2581 at their start only, so it
+    cuts each word and the spaces before it by itself, and words are kept.
+    """
 
     def __init__(self, files: Pair) -> None:
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(files.a_json)
-        # their strings in a text are ordinary text
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
+        spec = json.loads(files.a_json)
+        model, byte_of = spec["model"], {c: i for i, c in enumerate(byte_symbols())}
+        kind = spec["normalizer"], spec["pre_tokenizer"], model.get("end_of_word_suffix")
+        if kind != (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None):
+            raise ValueError(f"a tokenizer of another kind: {kind}")
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items()}
+        made = [model["vocab"][a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            raise ValueError("merges that aren't in order of the ids they make")
+        # without special tokens, so that their strings in a text are ordinary text
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = SentencePieceProcessor(model_proto=files.b_model)
-        byte_of = {c: i for i, c in enumerate(byte_symbols())}
-        spelled = map(self.a.id_to_token, range(self.a.get_vocab_size()))
-        self.a_bytes = [b"" if t is None else bytes(byte_of[c] for c in t) if set(t) <= byte_of.keys() else t.encode() for t in spelled]
-        pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
-        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.a_size[list(ranks.values())] = list(map(len, ranks))
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.names = [str(i) for i in range(max(len(self.a_size), len(pieces)))]
+        self.words: dict[str, list[int] | None] = {}
+
+    def pieces(self, texts: list[str]) -> Iterator[list[int] | None]:
+        """Ids of B of each text (which begins with a space); None where they don't spell it."""
+        cut = [self.cut(t) or [t] if self.by_word else [t] for t in texts]
+        new = list({w for words in cut for w in words if w not in self.words})
+        if len(self.words) + len(new) > HELD_WORDS:
+            self.words, new = {}, list({w for words in cut for w in words})
+        for word, ids in zip(new, self.b.encode([w[1:] for w in new], num_threads=1) if new else [], strict=True):
+            self.words[word] = ids if b"".join(map(self.b_bytes.__getitem__, ids)) == word.encode() else None
+        for words in cut:
+            ids = [*map(self.words.__getitem__, words)]
+            yield None if None in ids else list(chain.from_iterable(ids))
+
+    #: A word with the spaces before it, and those that end the text.
+    cut = staticmethod(re.compile(r" +[^ ]+(?: +\Z)?").findall)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of both sides for each text; none where a side doesn't spell it."""
         whole = [" " + t for t in texts]
-        found = self.a.encode_batch_fast(whole, add_special_tokens=False) if texts else []
-        for text, a, b in zip(whole, found, self.b.encode(texts, num_threads=1) if texts else [], strict=True):
-            data, a = text.encode(), a.ids
-            same = len(data) > 1 and b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
-            yield (a, b) if same else ([], [])
+        for text, b in zip(whole, self.pieces(whole), strict=True):
+            if b is None or len(text) < 2:
+                yield [], []
+                continue
+            a = self.a.encode_ordinary(text)
+            yield (a, b) if self.a.decode_bytes(a) == text.encode() else ([], [])
 
 
 #: By id of the broadcast: a worker keeps its tokenizers from task to task.

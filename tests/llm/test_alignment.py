@@ -64,7 +64,7 @@ def test_alignment_equals_a_plain_version(spark):
     from millrace.llm import alignment
 
     rng = random.Random(5)
-    texts = [None, "", " ", "x", "  two  spaces\n\n", "a<|endoftext|>b </s><s>", "▁ marks ▁", "é🙂‍👩‍🔬 漢字かな", "\x00\x01 nul", "ﬁ ½ Å", "tab\tand\r\nline"]
+    texts = [None, "", " ", "x", "  two  spaces\n\n", "a<|endoftext|>b </s><s>", "▁ marks ▁", "é🙂‍👩‍🔬 漢字かな", "\x00\x01 nul", "ﬁ ½ Å", "e \u0301 a", " \n x  ", "end   ", "   start", "tab\tand\r\nline"]
     texts += ["".join(rng.choices("abcdefghij .,;!?()-'\n0123456789éü漢🙂", k=rng.randint(1, 300))) for _ in range(120)]
     texts += [" ".join(rng.choices(["the", "data", "New", "York", "token", "izer", "123", "Ünïcode"], k=rng.randint(1, 60))) for _ in range(120)]
     texts += ["x" * 20_000, " " * 5000, "🙂" * 3000, "word " * 20_000, texts[20], texts[20]]
