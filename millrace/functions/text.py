@@ -97,10 +97,38 @@ def _marks() -> dict[int, None]:
 
 
 @F.pandas_udf(StringType())
-def strip_marks(text: pd.Series) -> pd.Series:
+def _decomposed(text: pd.Series) -> pd.Series:
     """Canonical decomposition without non-spacing marks: no built-in does this."""
     marks = _marks()
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFD", t).translate(marks))
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFD", t).translate(marks))
+
+
+@cache
+def _folds() -> tuple[str, str, str]:
+    """Characters that are one other without its marks, these others, and a pattern of those that decompose into several.
+
+    Marks by themselves are at the end of the first, without a counterpart.
+    """
+    one, other, several = [], [], []
+    for c in map(chr, range(0xC0, 0x2FA20)):
+        if unicodedata.category(c) in ("Mn", "Cs") or (whole := unicodedata.normalize("NFD", c)) == c:
+            continue
+        left = [x for x in whole if unicodedata.category(x) != "Mn"]
+        if len(left) == 1:
+            one.append(c)
+            other.append(left[0])
+        else:
+            several.append(ord(c))
+    starts = [c for k, c in enumerate(several) if not k or several[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(several) if k + 1 == len(several) or several[k + 1] != c + 1]
+    pattern = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+    return "".join(one) + "".join(map(chr, _marks())), "".join(other), pattern
+
+
+def strip_marks(text: Column) -> Column:
+    """``text`` decomposed, without non-spacing marks; only texts with characters that decompose into several leave the JVM."""
+    one, other, several = _folds()
+    return F.coalesce(_decomposed(F.when(text.rlike(several), text)), F.translate(text, one, other))
 
 
 def search_text(text: Column) -> Column:
