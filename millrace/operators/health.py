@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import views
@@ -17,8 +17,8 @@ LADDER = ("ready", "ready_with_warnings", "warming_up", "degraded")
 def roll_up(results: DataFrame) -> DataFrame:
     """A row a run over its sources' results: sums, any change, failures, warnings, status, first three errors.
 
-    Of a run's error messages the three of least id are kept while aggregating,
-    so a run of any size holds no more than that.
+    Of a run's error messages the three of least id are kept, so a run of any
+    size holds no more than that.
     """
     sums = results.groupBy("run_id").agg(
         F.count("*").alias("sources"),
@@ -30,16 +30,13 @@ def roll_up(results: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("failed_sources") > 0, "failed").when(F.col("warning_sources") > 0, "completed_with_warnings").otherwise("completed")
     )
-    # least three by three rounds of min, which merge before the shuffle
-    failed = results.where("status = 'failed'").select("run_id", "id", "message")
-    picks, bound = sums.select("run_id", "sources").drop("sources"), None
-    for k in range(3):
-        left = failed if bound is None else failed.join(bound, "run_id").where(F.col("id") > F.col("_last")).drop("_last")
-        least = left.groupBy("run_id").agg(F.min(F.struct("id", "message")).alias(f"_m{k}"))
-        bound = least.select("run_id", F.col(f"_m{k}.id").alias("_last"))
-        picks = picks.join(least, "run_id", "left")
-    digest = F.concat_ws(" | ", *[F.col(f"_m{k}.message") for k in range(3)])
-    return sums.withColumn("status", status).join(picks.select("run_id", digest.alias("errors")), "run_id")
+    # each task keeps three rows of a run before they are shuffled
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("id", "message"))
+    failed = results.where("status = 'failed'").select("run_id", "id", "message").withColumn("_nth", nth).where("_nth <= 3")
+    listed = F.array_sort(F.collect_list(F.struct("_nth", "message")))
+    digests = failed.groupBy("run_id").agg(F.array_join(F.transform(listed, lambda m: m["message"]), " | ").alias("_errors"))
+    errors = F.coalesce("_errors", F.lit("")).alias("errors")
+    return sums.withColumn("status", status).join(digests, "run_id", "left").select(*sums.columns, "status", errors)
 
 
 def knowledge_status(run_status: Column, pages: Column, run_pages: Column, warnings: Column, questions: Column, agree: Column) -> Column:

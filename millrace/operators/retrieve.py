@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from ..sources import views
 from .eligibility import displayable, usable, with_source
 
 MAX_BLOCKS, MAX_CHARS = 12, 60_000
+#: Lines of a fingerprint in a row of its digest's task.
+CHUNK_LINES = 8192
 # The name of a source without one, and the mark of a block.
 NO_SOURCE, BLOCK = "Bilgi Bankası", "Knowledge Document"
 #: Wording of prompts; a deployment gives its own.
@@ -56,18 +61,45 @@ def active_blocks(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, id_column: str, hash_column: str) -> DataFrame:
-    """SHA-256, in upper-case hex, of the lines ``id|hash`` in order of id, and their number.
+    """SHA-256, in upper-case hex, of the lines ``id|hash`` in order of id, and their number: one row.
 
-    Lines are sorted by all tasks and fed to the digest a partition at a time, so
-    no row or task holds the whole text. One digest of one ordered text is
-    sequential by definition, here on the driver; `tree_fingerprint` is not.
+    All tasks sort their range of the lines and join them into chunks of
+    ``CHUNK_LINES``. One digest of one ordered text is sequential by definition:
+    one task takes the chunks in order and carries the digest from each to the
+    next, holding one at a time. `tree_fingerprint` has no such task.
     """
-    line = F.concat_ws("|", F.col(id_column).cast("string"), hash_column)
-    digest, n = hashlib.sha256(), 0
-    for r in rows.select(F.col(id_column).alias("id"), line.alias("line")).orderBy("id", "line").toLocalIterator(True):
-        digest.update(("\n" if n else "").encode() + r["line"].encode())
-        n += 1
-    return rows.sparkSession.createDataFrame([(digest.hexdigest().upper(), n)], "fingerprint string, documents long")
+    line = F.concat_ws("|", F.col(id_column).cast("string"), hash_column).alias("line")
+    ranged = rows.select(F.col(id_column).alias("id"), line).repartitionByRange("id", "line").sortWithinPartitions("id", "line")
+    # a chunk of nothing, so that there is a row where there are no lines
+    first = rows.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(0).alias("nth"), F.lit(0).alias("n"), F.lit("").alias("text"))
+    chunks = ranged.select("line").mapInArrow(_chunked, "part int, nth int, n int, text string").unionByName(first)
+    return chunks.repartition(1).sortWithinPartitions("part", "nth").select("n", "text").mapInArrow(_digested, "fingerprint string, documents long")
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, nth, held = TaskContext.get().partitionId(), 0, []
+    for batch in batches:
+        held += batch.column("line").to_pylist()
+        while len(held) >= CHUNK_LINES:
+            yield pa.RecordBatch.from_pydict(_chunk(part, nth, held[:CHUNK_LINES]))
+            held, nth = held[CHUNK_LINES:], nth + 1
+    if held:
+        yield pa.RecordBatch.from_pydict(_chunk(part, nth, held))
+
+
+def _chunk(part: int, nth: int, lines: list[str]) -> dict[str, pa.Array]:
+    numbers = {"part": part, "nth": nth, "n": len(lines)}
+    return {k: pa.array([v], pa.int32()) for k, v in numbers.items()} | {"text": pa.array(["\n".join(lines)])}
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest, total = hashlib.sha256(), 0
+    for batch in batches:
+        for n, text in zip(batch.column("n").to_pylist(), batch.column("text"), strict=True):
+            if n:
+                digest.update(("\n" if total else "").encode() + text.as_py().encode())
+                total += n
+    yield pa.RecordBatch.from_pydict({"fingerprint": pa.array([digest.hexdigest().upper()]), "documents": pa.array([total], pa.int64())})
 
 
 def tree_fingerprint(rows: DataFrame, id_column: str, hash_column: str, buckets: int = 4096) -> DataFrame:
