@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import answers, bank, crawl, edits, eligibility, flows, health, imports, index, links, pages, questions, refresh, retrieve, store, upkeep
+from ..operators import answers, archive, bank, crawl, edits, eligibility, flows, health, imports, index, links, pages, questions, refresh, retrieve, store, upkeep
 from ..sources import views
 
-_MODULES = (retrieve, eligibility, store, edits, imports, pages, questions, answers, links, health, upkeep, flows, bank, refresh, index, crawl)
+_MODULES = (retrieve, eligibility, store, edits, imports, pages, questions, answers, links, health, upkeep, flows, bank, refresh, index, crawl, archive)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

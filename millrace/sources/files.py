@@ -130,10 +130,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Document manifests under ``path``; malformed ones are left out."""
+def read_manifests(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Document manifests under ``path``, one a file or (``lines``) one a line; malformed ones are left out."""
     reader = spark.read.schema(f"{schema}, _corrupt string").option("recursiveFileLookup", "true")
-    raw = reader.option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    raw = reader.option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return raw.where("_corrupt is null").drop("_corrupt")
 
 
