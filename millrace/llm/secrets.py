@@ -1,7 +1,9 @@
 """Secret scans: patterns, and a randomness test battery with false-discovery control.
 
-Base kinds are patterns (`assign`, `access`, `hex`). The battery looks at the
-other long tokens that mix letters and digits. It infers each one's encoding
+Base kinds are patterns (`assign`, `access`, `hex`). The battery looks at all
+other long tokens with a letter. UUIDs and digests (hex of a digest's length,
+between other symbols) look random and are ordinary: they are cut out of a token
+first. It infers each one's encoding
 (hex, base32 or base64; of the last, letters and digits are tested, for its
 other symbols also part the words of ordinary tokens) and asks of three
 statistics how likely an ordinary token (an identifier, a path, a name with a
@@ -16,9 +18,10 @@ number) is to look as random as this:
 Each is a standard score under the ordinary token of its encoding: tokens differ
 among themselves as well as by chance, so a score is bounded however long the
 token is. The three are combined by Stouffer's weighted sum; weights and spreads
-were fitted to some 5000 tokens of source code, see the README. Long tokens give more
-evidence and hold more of the real secrets, so each p-value is divided by its
-token's length (``MOST_WEIGHT`` at most) over the mean of these (weighted
+were fitted to some 5000 tokens of source code, and what they report on others is
+in the README. Long tokens hold more of the real secrets, but a token of ten times
+the length is no ten times likelier to be one: each p-value is divided by the
+logarithm of its token's length over the mean of these (weighted
 Benjamini-Hochberg), and tokens are reported at a false-discovery rate of ``FDR`` over the whole corpus.
 
 DataFrame functions only. Positions are code points, ends exclusive.
@@ -44,10 +47,15 @@ LIKELY = {"assign": KINDS["assign"][0], "access": r"AKIA[A-Z0-9]{12}", "hex": r"
 RANDOM = "random"
 #: Tokens the battery looks at, of any length and after any other symbol ("=" included), with their padding.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?"
-#: Tokens longer than this weigh no more, so that one long token doesn't set the mean for all others.
-MOST_WEIGHT = 64
+#: Fewer letters and digits than this, without UUIDs and digests, tell nothing.
+LEAST_SYMBOLS = 10
 FDR = 0.05
 
+# Lengths of digests in hex (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and the shape of a UUID.
+DIGESTS = (32, 40, 56, 64, 96, 128)
+UUID = "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+IDS = "(?<![A-Za-z0-9])(?:" + "|".join([UUID, *(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in DIGESTS)]) + ")(?![A-Za-z0-9])"
+
 # The alphabets of the encodings, in the order of their symbols.
 HEX = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -133,8 +141,8 @@ def _logit(z: Column) -> Column:
 
 
 def randomness(token: Column) -> Column:
-    """Chance that an ordinary token looks as random as ``token`` does."""
-    bare = F.regexp_replace(token, "[^A-Za-z0-9]", "")
+    """Chance that an ordinary token looks as random as ``token`` does; 1 where too little of it is left to tell."""
+    bare = F.regexp_replace(F.regexp_replace(token, IDS, ""), "[^A-Za-z0-9]", "")
     alphabet = (
         F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(HEX))
         .when(bare.rlike("^[A-Z2-7]+$"), F.lit(BASE32))
@@ -190,19 +198,18 @@ def randomness(token: Column) -> Column:
     spelled = lambda k: F.when(k["alphabet"] == HEX, F.lower(k["bare"])).otherwise(k["bare"])
     known = lambda k: F.struct(k["alphabet"].alias("alphabet"), spelled(k).alias("spelled"))
     whole = lambda k: let(chars(k), lambda c: let(described(k, c), score))
-    return let(F.struct(bare.alias("bare"), alphabet.alias("alphabet")), lambda k: let(known(k), whole))
+    tested = lambda k: F.when(F.char_length(k["bare"]) < LEAST_SYMBOLS, 1.0).otherwise(let(known(k), whole))
+    return let(F.struct(bare.alias("bare"), alphabet.alias("alphabet")), tested)
 
 
 _CANDIDATES = "array<struct<start:int,end:int,p:double>>"
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """start, end and chance of the tokens the battery looks at: letters and digits, apart from base spans."""
-    mixed = F.filter(
-        matches(text, CANDIDATE), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
-    )
+    """start, end and chance of the tokens the battery looks at: those with a letter, apart from base spans."""
+    lettered = F.filter(matches(text, CANDIDATE), lambda m: m["value"].rlike("[A-Za-z]"))
     apart = F.filter(
-        mixed, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+        lettered, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     )
     scored = F.transform(
         apart, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), randomness(m["value"]).alias("p"))
@@ -211,7 +218,7 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def _weight(start: Column, end: Column) -> Column:
-    return F.least(end - start, F.lit(MOST_WEIGHT))
+    return F.log((end - start).cast("double"))
 
 
 def _weighted(c: Column, mean_weight: Column | float) -> Column:
@@ -225,8 +232,9 @@ def discoveries(candidates: DataFrame, fdr: float = FDR) -> tuple[float, float]:
     n, mean_weight = tokens.agg(F.count("*"), F.avg(weight)).first()
     if not n:
         return 1.0, -1.0
-    weighted = tokens.select((F.col("p") * mean_weight / weight).alias("q"))
-    ranked = running_totals(weighted, [F.col("q")], {"rank": F.lit(1)})
+    # equal ones as one, so that a token which every text has is one row
+    weighted = tokens.groupBy((F.col("p") * mean_weight / weight).alias("q")).agg(F.count("*").alias("times"))
+    ranked = running_totals(weighted, [F.col("q")], {"rank": F.col("times")})
     last = ranked.where(F.col("q") <= F.col("rank") * fdr / n).agg(F.max("q")).first()[0]
     return mean_weight, -1.0 if last is None else last
 

@@ -1,6 +1,7 @@
 """Operators that judge or rewrite texts one by one, against brute force and on hard cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -182,6 +183,66 @@ def test_secrets_short_among_many(spark):
     assert caught[0] <= 0.1 * len(hit), caught
 
 
+def _plain_chance(token):
+    """The battery of a token in plain Python: chance that an ordinary one looks as random."""
+    ids = [r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", *(f"[{c}]{{{n}}}" for n in (32, 40, 56, 64, 96, 128) for c in ("0-9a-f", "0-9A-F"))]
+    bare = re.sub("[^A-Za-z0-9]", "", re.sub("(?<![A-Za-z0-9])(?:" + "|".join(ids) + ")(?![A-Za-z0-9])", "", token))
+    if len(bare) < 10:
+        return 1.0
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare):
+        alphabet, bare, ordinary = digits + "abcdef", bare.lower(), (0.125, 0.2, 0.15)
+    elif re.fullmatch("[A-Z2-7]+", bare):
+        alphabet, ordinary = upper + "234567", (0.08, 0.1, 0.15)
+    else:
+        alphabet, ordinary = upper + lower + digits, (0.05, 0.09, 0.15)
+    x, n = [alphabet.index(c) for c in bare], len(bare)
+    equal = sum(c * (c - 1) for c in Counter(x).values()) / (n * (n - 1))
+    kind = lambda c: 0 if c in digits else 1 if c in lower else 2
+    kinds = [kind(c) for c in bare]
+    runs = sum(a != b and not (len(alphabet) == 62 and (a, b) == (2, 1)) for a, b in zip(kinds, kinds[1:], strict=False)) / (n - 1)
+    mean = sum(x) / n
+    power = sum((v - mean) ** 2 for v in x)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / power if power else 1.0
+    away = ordinary[0] - equal, runs - ordinary[1], ordinary[2] - serial
+    z = [d / (a * a + b * b / n) ** 0.5 for d, (a, b) in zip(away, ((0.012, 0.09), (0.04, 0.25), (0.15, 1.1)), strict=True)]
+    weights = 0.55, 0.8, 0.1
+    total = sum(w * max(-8.0, min(8.0, v)) for w, v in zip(weights, z, strict=True)) / sum(w * w for w in weights) ** 0.5
+    return 1 / (1 + math.exp(1.5976 * total + 0.07056 * total**3))
+
+
+def test_secrets_battery_equals_a_plain_version(spark):
+    """Chances, weights and the false-discovery control over all tokens, without DataFrames."""
+    from millrace.llm import secrets
+
+    rng = random.Random(23)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pools = [letters, letters[:52], letters[:26], letters[26:52], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef", "0123456789ABCDEF", letters + "+/-_"]
+    words = "get User name LIST page count Value index".split()
+    tokens = ["".join(rng.choices(rng.choice(pools), k=rng.choice([20, 21, 24, 31, 44, 60, 300]))) for _ in range(250)]
+    tokens += [rng.choice(["_", "-", "/", ""]).join(rng.choices(words, k=8)) + rng.choice(["", "7"]) for _ in range(600)]
+    tokens += ["123e4567-e89b-12d3-a456-426614174000", "D41D8CD98F00B204E9800998ECF8427E", "repo/da39a3ee5e6b4b0d3255bfef95601890afd80709/file", "a" * 25, "-" * 30, "x" + "-" * 30, "1" * 40]
+    tokens += ["the_same_ordinary_token_everywhere"] * 300
+    texts = [f"see {t} there" for t in tokens]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, s["start"], s["end"]) for r in secrets.find(table).collect() for s in r.spans if s["kind"] == 3}
+
+    pattern = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+    base = re.compile(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}")
+    looked = []
+    for i, text in enumerate(texts):
+        taken = [(m.start(), m.end()) for m in base.finditer(text)]
+        for m in pattern.finditer(text):
+            if re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
+                looked.append((i, m.start(), m.end(), _plain_chance(m[0])))
+    weight = lambda c: math.log(c[2] - c[1])
+    mean = sum(map(weight, looked)) / len(looked)
+    ranked = sorted((c[3] * mean / weight(c), c[:3]) for c in looked)
+    last = max((q for k, (q, _) in enumerate(ranked, 1) if q <= k * secrets.FDR / len(ranked)), default=-1)
+    assert found == {c for q, c in ranked if q <= last}
+    assert len(found) > 100 and not any(i >= 850 for i, *_ in found)
+
+
 def _plain_anchors(text, k=24, s=8):
     """Closed syncmers as defined: k-mers whose least inner s-mer is the first or the last, with hash and place."""
     mask, base = 2**64 - 1, 0x9E3779B97F4A7C15
