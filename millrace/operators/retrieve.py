@@ -104,13 +104,23 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tree_fingerprint(rows: DataFrame, id_column: str, hash_column: str, buckets: int = 4096) -> DataFrame:
     """As `fingerprint`, of digests of ``buckets`` of documents: it changes whenever a line does, but has other values."""
-    bucket = F.pmod(F.xxhash64(id_column), F.lit(buckets)).alias("_bucket")
+    return sealed(bucket_sums(rows, id_column, hash_column, buckets))
+
+
+def bucket_sums(rows: DataFrame, id_column: str, hash_column: str, buckets: int = 4096) -> DataFrame:
+    """bucket, low, high and n: sums of the halves of the hashes of a bucket's lines, and their number.
+
+    They don't depend on order, and lines can be taken out and added later.
+    """
+    bucket = F.pmod(F.xxhash64(id_column), F.lit(buckets)).cast("int").alias("bucket")
     low, high = F.shiftright(F.xxhash64(id_column, hash_column), 32), F.xxhash64(id_column, hash_column).bitwiseAND(0xFFFFFFFF)
-    # sums of the halves of line hashes don't depend on order, and are merged before the shuffle
-    sums = rows.groupBy(bucket).agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("n"))
-    return fingerprint(
-        sums.select("_bucket", F.concat_ws(":", "low", "high", "n").alias("_sum")), "_bucket", "_sum"
-    ).withColumnRenamed("documents", "buckets")
+    return rows.groupBy(bucket).agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count("*").alias("n"))
+
+
+def sealed(sums: DataFrame) -> DataFrame:
+    """The fingerprint of `bucket_sums`, and the number of buckets that have lines."""
+    lines = sums.where("n > 0").select("bucket", F.concat_ws(":", "low", "high", "n").alias("_sum"))
+    return fingerprint(lines, "bucket", "_sum").withColumnRenamed("documents", "buckets")
 
 
 def scored(found: DataFrame, terms: Column) -> DataFrame:

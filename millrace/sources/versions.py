@@ -125,17 +125,18 @@ class TableSet:
         found = self.tables(version)
         return {n: self.spark.read.schema(StructType.fromJson(t["schema"])).parquet(f"{self.root}/{t['path']}") for n, t in found.items()}
 
-    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], base: int | None = None, by: dict[str, str] | None = None) -> int:
         """The number of a new version: ``base`` (by default the current one) with these tables new.
 
-        Raises `Conflict` if another version followed ``base`` meanwhile, and what
+        ``by``: a column of a table by which it is laid in folders. Raises `Conflict` if another version followed ``base`` meanwhile, and what
         a table's job raises; either way the set is as it was.
         """
         base = self.current() if base is None else base
         found, own = self.tables(base), uuid.uuid4().hex
         for name, df in tables.items():
             path = f"data/{own}/{_checked(name)}"
-            df.write.parquet(f"{self.root}/{path}")
+            writer = df.write.partitionBy(by[name]) if by and name in by else df.write
+            writer.parquet(f"{self.root}/{path}")
             found[name] = {"path": path, "schema": df.schema.jsonValue()}
         return self._point(base, found)
 

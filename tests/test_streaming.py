@@ -53,3 +53,33 @@ def test_provider_lines(spark):
         "value string",
     )
     assert [r.content for r in status.decode_sse(events).select(F.col("content")).collect()] == ["x", "y"]
+
+
+def test_frames_of_chunks_cut_anywhere(spark, tmp_path):
+    import random
+
+    from millrace.streaming import framing
+
+    rng = random.Random(2)
+    texts = ["one\ntwo\r\n\nthree", "é🙂\r\nçift\n", "", "x" * 500, "\n\r\n", "a\rb\n", "end\r\n"]
+    rows = []
+    for i, text in enumerate(texts * 4):
+        data, cuts = text.encode(), []
+        cuts = sorted(rng.sample(range(1, max(2, len(data))), k=min(len(data) // 2, 12))) if len(data) > 1 else []
+        parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)]
+        rows += [(f"s{i}", k, bytearray(p) if p else None, k == len(parts) - 1) for k, p in enumerate(parts)]
+    rng.shuffle(rows)
+    rows += rows[:5]
+    at = str(tmp_path / "in")
+    for part in (rows[: len(rows) // 3], rows[len(rows) // 3 : 2 * len(rows) // 3], rows[2 * len(rows) // 3 :]):
+        spark.createDataFrame(part, framing.CHUNKS).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(framing.CHUNKS).option("maxFilesPerTrigger", 1).parquet(at)
+    query = framing.frames(stream).writeStream.outputMode("append").format("memory").queryName("frames").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = {}
+    for r in spark.table("frames").collect():
+        got.setdefault(r.stream_id, {})[r.line_no] = r.value
+    for i, text in enumerate(texts * 4):
+        want = [x.removesuffix("\r") for x in text.split("\n")]
+        want = want[:-1] if text.endswith("\n") or not text else want
+        assert [got.get(f"s{i}", {}).get(k) for k in range(len(want))] == want and len(got.get(f"s{i}", {})) == len(want)
