@@ -26,7 +26,9 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 10, max_pages: in
     pages, by depth and URL; there is no limit over all sites. A page that two
     sites reach (one within the other's domain) is in both.
     """
-    keyed = pages.select(urls.canonical(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
+    # of pages with one address that of the least spelling, whatever the order of the rows
+    spelled = pages.groupBy(urls.canonical(F.col("url")).alias("_url")).agg(F.min(F.struct("url", "html")).alias("_page"))
+    keyed = spelled.select(F.col("_url").alias("url"), "_page.html")
     landed = keyed.select("url")
 
     def within_cap(new: DataFrame, counts: DataFrame | None, depth: int) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import answers, archive, bank, cache, crawl, edits, eligibility, flows, health, imports, index, links, nodes, pages, questions, refresh, retrieve, store, upkeep
+from ..operators import answers, archive, bank, cache, crawl, edits, eligibility, flows, health, identity, imports, index, links, nodes, pages, questions, refresh, retrieve, store, upkeep
 from ..sources import views
 from ..streaming import framing
 
-_MODULES = (retrieve, eligibility, store, edits, imports, pages, questions, answers, links, health, upkeep, flows, bank, refresh, index, crawl, archive, nodes, cache, framing)
+_MODULES = (retrieve, eligibility, store, edits, imports, pages, questions, answers, links, health, upkeep, flows, bank, refresh, index, crawl, archive, nodes, cache, framing, identity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
