@@ -56,14 +56,18 @@ def snapshot_diff(present: DataFrame, staged: DataFrame, order: str = "id") -> D
 
     ``key`` is the URL as the store compares it (canonical, without case); where
     one side repeats a key of a source its last row counts, by ``order``. Rows
-    without a URL, and without a source, match nothing.
+    without a URL, and without a source, match nothing. Tables without source_id
+    are of one source.
     """
     columns = ["content_hash", "status_code", "http_status"]
-    keys = ["source_id", "key"]
+    within = ["source_id"] if "source_id" in present.columns and "source_id" in staged.columns else []
+    keys = [*within, "key"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select("source_id", key_of(F.col("url")).alias("key"), F.col(order).alias("_order"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-        whole = F.col("key").isNotNull() & F.col("source_id").isNotNull()
+        rows = df.select(*within, key_of(F.col("url")).alias("key"), F.col(order).alias("_order"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        whole = F.col("key").isNotNull()
+        for c in within:
+            whole &= F.col(c).isNotNull()
         last = last_by_key(rows.where(whole), keys, "_order").union(rows.where(~whole).select(*rows.columns))
         return last.drop("_order").withColumn(name, F.lit(True))
 
