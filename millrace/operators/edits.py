@@ -143,7 +143,7 @@ def q_invalid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_refreshed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = views.sources(spark, sf_dir).withColumn("succeeded_at", F.when(F.col("id") % 3 == 0, F.col("next_refresh")))
-    results = sources.where("is_enabled").select("id", (~F.col("is_archived")).alias("ok"), (F.col("id") * 30 - 60).alias("period_minutes"))
+    results = sources.where("is_enabled").select("id", (~F.col("is_archived")).alias("ok"), (F.col("id") % 1000 * 30 - 60).alias("period_minutes"))
     return after_refresh(sources, results, _now()).select("id", "next_refresh", "succeeded_at")
 
 
@@ -205,7 +205,7 @@ SELECT id, title, content_hash, is_enabled, http_status, origin, crawled_at,
 SELECT id, CASE http_status WHEN 404 THEN 'invalid' WHEN 503 THEN 'timeout' ELSE status_code END AS status_code,
   CASE WHEN http_status = 200 THEN 200 END AS http_status, CASE WHEN http_status <> 200 THEN {_AT_SQL} ELSE crawled_at END AS crawled_at FROM doc""",
     "refreshed_sources": f"""
-SELECT id, CASE WHEN is_enabled AND seed_key IS NOT NULL THEN {_AT_SQL} + to_minutes(greatest(1, id * 30 - 60)) ELSE next_refresh END AS next_refresh,
+SELECT id, CASE WHEN is_enabled AND seed_key IS NOT NULL THEN {_AT_SQL} + to_minutes(greatest(1, id % 1000 * 30 - 60)) ELSE next_refresh END AS next_refresh,
   CASE WHEN is_enabled AND NOT is_archived AND seed_key IS NOT NULL THEN {_AT_SQL} WHEN id % 3 = 0 THEN next_refresh END AS succeeded_at FROM src""",
     "folders": """
 SELECT source_id, path, h[7:8] || h[5:6] || h[3:4] || h[1:2] || '-' || h[11:12] || h[9:10] || '-' || h[15:16] || h[13:14] || '-' || h[17:20] || '-' || h[21:32] AS guid
