@@ -23,6 +23,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Entries that `sums_before` adds up at once.
+_BLOCK = 64
+
+
+def sums_before(values: Column) -> Column:
+    """For each entry of an array of integers the sum of those before it, by blocks: no sum is made of all entries again."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    in_block = lambda k: F.floor(k / F.lit(_BLOCK)).cast("int")
+
+    def within(before: Column) -> Column:
+        return F.transform(values, lambda _, i: F.get(before, in_block(i)) + total(F.slice(values, in_block(i) * _BLOCK + 1, i % _BLOCK)))
+
+    blocks = F.transform(F.sequence(F.lit(0), in_block(F.size(values))), lambda b: total(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
+    sums = F.aggregate(blocks, F.array(F.lit(0)), lambda out, b: F.concat(out, F.array(F.element_at(out, -1) + b)))
+    return let(sums, within)
+
+
 def collapse_spaces(text: Column) -> Column:
     """Line ends are spaces, runs of spaces one; tabs and other white space stay."""
     return F.trim(F.regexp_replace(F.translate(text, "\r\n", "  "), " +", " "))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let, sums_before
 from .answers import _answers, phone
 from .edits import without_overlaps
 
@@ -46,14 +47,11 @@ def _matches(text: Column, pattern: str) -> Column:
     """start (from 0) and value of every match: what stands between the matches tells where they are."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, value: string>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["gap"])
-        one = F.struct(start.alias("start"), p["value"].alias("value"))
-        return F.struct((start + F.char_length(p["value"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(pairs, none, step, lambda acc: acc["out"])
+    sizes = F.transform(pairs, lambda p: F.char_length(p["gap"]) + F.char_length(p["value"]))
+    at = lambda before: F.transform(
+        pairs, lambda p, i: F.struct((F.get(before, i) + F.char_length(p["gap"])).alias("start"), p["value"].alias("value"))
+    )
+    return let(sums_before(sizes), at)
 
 
 def candidates(text: Column) -> Column:
