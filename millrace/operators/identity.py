@@ -174,7 +174,7 @@ SELECT (SELECT max(id) FROM src) + row_number() OVER (ORDER BY md5(g)), CASE WHE
 WITH c AS (SELECT * FROM question WHERE served_count = (SELECT min(served_count) FROM question))
 SELECT (SELECT count(*) FROM c) AS questions, (SELECT max(created_at) FROM c) AS newest, (SELECT count(*) FROM question) AS available,
   (SELECT least(count(*), 10) FROM c) AS drawn""",
-    "download_first": """
+    "download_first": r"""
 SELECT page_id, kind IN ('pdf', 'md', 'docx') AS web_site, kind IN ('pdf', 'md', 'docx', 'html', 'htm') AS web_links FROM (
   SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'html' WHEN 2 THEN 'pdf' WHEN 3 THEN 'md' WHEN 4 THEN 'docx' WHEN 5 THEN 'gz'
     ELSE lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '//[^/]*.*\.([^./]+)/?$', 1)) END AS kind,
