@@ -557,4 +557,27 @@ def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_suffixes": op13_suffixes}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op13_suffixes": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), part AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 1310) AS p FROM (SELECT *, unnest(range(0, greatest(length(h) // 2 - 399, 0), 256)) AS i FROM d)
+), w AS (
+  SELECT doc_id, i + j AS i, md5(substr(p, 2 * j + 1, 800)) AS m FROM (SELECT *, unnest(range(0, least(256, length(p) // 2 - 399))) AS j FROM part)
+), r AS (
+  SELECT doc_id, i, i > 400 + lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS opens
+  FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (
+    SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r) GROUP BY doc_id, span
+), g AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s
+), k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last,
+    string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM g JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+}
