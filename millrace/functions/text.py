@@ -1,4 +1,4 @@
-"""Text functions as column expressions; one Arrow UDF where no built-in is exact.
+"""Text functions as column expressions.
 
 Lengths are code points. Null in, null out, unless said otherwise.
 """
@@ -9,10 +9,8 @@ import unicodedata
 from collections.abc import Callable
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Turkish letters and what they are searched as.
 TURKISH = ("ıİşŞğĞüÜöÖçÇ", "iissgguuoocc")
@@ -113,39 +111,55 @@ def _marks() -> dict[int, None]:
     return {c: None for c in range(0x300, 0x110000) if unicodedata.category(chr(c)) == "Mn"}
 
 
-@F.pandas_udf(StringType())
-def _decomposed(text: pd.Series) -> pd.Series:
-    """Canonical decomposition without non-spacing marks: no built-in does this."""
-    marks = _marks()
-    return text.map(lambda t: t if t is None else unicodedata.normalize("NFD", t).translate(marks))
+#: Hangul syllables, and the first letters of their three parts, with how many there are of the last two.
+SYLLABLES, LEADS, VOWELS, TAILS, N_VOWELS, N_TAILS = (0xAC00, 0xD7A3), 0x1100, 0x1161, 0x11A7, 21, 28
 
 
 @cache
-def _folds() -> tuple[str, str, str]:
-    """Characters that are one other without its marks, these others, and a pattern of those that decompose into several.
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters that are one other without its marks, these others, and what those become that decompose into several.
 
     Marks by themselves are at the end of the first, without a counterpart.
+    Hangul syllables aren't among them: their parts follow from their numbers.
     """
-    one, other, several = [], [], []
+    one, other, several = [], [], {}
     for c in map(chr, range(0xC0, 0x2FA20)):
-        if unicodedata.category(c) in ("Mn", "Cs") or (whole := unicodedata.normalize("NFD", c)) == c:
+        if unicodedata.category(c) in ("Mn", "Cs") or SYLLABLES[0] <= ord(c) <= SYLLABLES[1] or (whole := unicodedata.normalize("NFD", c)) == c:
             continue
-        left = [x for x in whole if unicodedata.category(x) != "Mn"]
+        left = "".join(x for x in whole if unicodedata.category(x) != "Mn")
         if len(left) == 1:
             one.append(c)
-            other.append(left[0])
+            other.append(left)
         else:
-            several.append(ord(c))
-    starts = [c for k, c in enumerate(several) if not k or several[k - 1] != c - 1]
-    ends = [c for k, c in enumerate(several) if k + 1 == len(several) or several[k + 1] != c + 1]
-    pattern = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
-    return "".join(one) + "".join(map(chr, _marks())), "".join(other), pattern
+            several[c] = left
+    return "".join(one) + "".join(map(chr, _marks())), "".join(other), several
+
+
+def _parted(text: Column) -> Column:
+    """``text`` with its Hangul syllables as their letters: lead, vowel and, if there is one, tail."""
+    letters = lambda first, n: F.array(*[F.lit(chr(first + k)) for k in range(n)])
+
+    def parts(c: Column) -> Column:
+        s = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - SYLLABLES[0]
+        rest = s % (N_VOWELS * N_TAILS)
+        lead, vowel = F.get(letters(LEADS, 19), F.floor(s / (N_VOWELS * N_TAILS)).cast("int")), F.get(letters(VOWELS, N_VOWELS), F.floor(rest / N_TAILS).cast("int"))
+        tail = F.when(rest % N_TAILS > 0, F.get(letters(TAILS, N_TAILS), (rest % N_TAILS).cast("int"))).otherwise("")
+        return F.when(c.rlike(f"^[\\x{{{SYLLABLES[0]:X}}}-\\x{{{SYLLABLES[1]:X}}}]"), F.concat(lead, vowel, tail)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), parts), "")
 
 
 def strip_marks(text: Column) -> Column:
-    """``text`` decomposed, without non-spacing marks; only texts with characters that decompose into several leave the JVM."""
+    """``text`` decomposed, without non-spacing marks. What decomposes into several characters is rare, and looked at only where it is."""
     one, other, several = _folds()
-    return F.coalesce(_decomposed(F.when(text.rlike(several), text)), F.translate(text, one, other))
+    rare = "[" + "".join(several) + rf"\x{{{SYLLABLES[0]:X}}}-\x{{{SYLLABLES[1]:X}}}]"
+
+    def apart(t: Column) -> Column:
+        for c, parts in several.items():
+            t = F.replace(t, F.lit(c), F.lit(parts))
+        return _parted(t)
+
+    return F.translate(let(text, lambda t: F.when(t.rlike(rare), apart(t)).otherwise(t)), one, other)
 
 
 def search_text(text: Column) -> Column:
