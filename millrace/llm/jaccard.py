@@ -17,7 +17,8 @@ share prefix tokens under every order used. The steps, each exact:
    the most central of its largest component and with one class in ``SOME``.
 5. All candidates between the components that are left: they share a prefix
    token under the second order, with length and position filters, then prefix
-   tokens under the third and fourth, and are then verified on their whole sets.
+   tokens under the third and fourth, and bitmaps of their sets that leave room
+   for enough common tokens, and are then verified on their whole sets.
 
 A token's list never meets itself: in step 5 only lists that span components
 are joined, and the largest component in each meets the others only.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, hash_windows, hash_words, join_uneven, keep, mix64, small_or_not, table
@@ -50,10 +51,12 @@ EARLIER = 8
 SOME = 16
 #: Entries of a list that are joined in one task.
 LIST_ROWS = 4096
+#: Words of 64 bits in the bitmap of a set.
+BITS = 16
 #: Min-hashes that tell how central a class is: how many others agree on them.
 CENTRAL = 8
 
-_SEEDS = [np.uint64(((k + 1) * 0xD6E8FEB86659FD93) % 2**64) for k in range(CENTRAL + 3)]
+_SEEDS = [np.uint64(((k + 1) * 0xD6E8FEB86659FD93) % 2**64) for k in range(CENTRAL + 4)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -169,14 +172,14 @@ def _hot(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _orders(sets: DataFrame) -> DataFrame:
-    """digest, n, star keys, and prefixes under the second (with places), third and fourth order."""
+    """digest, n, star keys, prefixes under the second (with places), third and fourth order, and a bitmap."""
     hot = sets.sparkSession.sparkContext.broadcast(_hot(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = hot.value
-        names = ["stars", "second", "third", "fourth"]
+        names = ["stars", "second", "third", "fourth", "bits"]
         for batch in batches:
-            found: list[list] = [[], [], [], []]
+            found: list[list] = [[], [], [], [], []]
             for tokens in batch.column("tokens"):
                 signed = tokens.values.to_numpy()
                 plain = signed.view(np.uint64)
@@ -187,15 +190,30 @@ def _orders(sets: DataFrame) -> DataFrame:
                 for k in (1, 2, 3):
                     order = np.lexsort((hashed[CENTRAL + k - 1], count))
                     found[k].append(signed[order[: prefix_length(len(signed))]])
+                found[4].append(bitmap(hashed[-1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), batch.column("n"), *(pa.array(c, pa.list_(pa.int64())) for c in found)],
                 names=["digest", "n", *names],
             )
 
-    lists = ", ".join(f"{c} array<long>" for c in ("stars", "second", "third", "fourth"))
+    lists = ", ".join(f"{c} array<long>" for c in ("stars", "second", "third", "fourth", "bits"))
     return sets.mapInArrow(run, f"digest binary, n long, {lists}")
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """``BITS`` words with a bit for each token: one that another set's lacks stands for a token that it lacks."""
+    flags = np.zeros(64 * BITS, np.uint8)
+    flags[(hashes % np.uint64(64 * BITS)).astype(np.int64)] = 1
+    return np.packbits(flags).view(np.int64)
+
+
+def _room(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Column:
+    """Whether two sets can have enough in common to link: of each, at least the tokens of bits that the other lacks aren't."""
+    lacking = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda s, k: s + k)
+    common = F.least(n_a - lacking(bits_a, bits_b), n_b - lacking(bits_b, bits_a))
+    return 100 * common >= PERCENT * (n_a + n_b - common)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b of digests) whose sets link."""
     side = lambda c: sets.select(F.col("digest").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
@@ -327,12 +345,11 @@ def _between(spanning: DataFrame, orders: DataFrame, one_in: int = 1) -> DataFra
 
 
 def _meet(pairs: DataFrame, orders: DataFrame) -> DataFrame:
-    """The pairs that share prefix tokens under the third and the fourth order too."""
-    side = lambda c: orders.select(
-        F.col("digest").alias(c), F.col("third").alias(f"third_{c}"), F.col("fourth").alias(f"fourth_{c}")
-    )
+    """The pairs that share prefix tokens under the third and the fourth order too, and whose bitmaps leave room."""
+    side = lambda c: orders.select(F.col("digest").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "third", "fourth", "bits")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     meets = F.arrays_overlap("third_a", "third_b") & F.arrays_overlap("fourth_a", "fourth_b")
+    meets = meets & _room(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"))
     return both.where(meets).select("a", "b")
 
 

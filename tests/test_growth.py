@@ -3,7 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.llm import jaccard
+from millrace.llm.common import mix64
 from millrace.operators import index
 
 
@@ -21,3 +24,19 @@ def test_shards_answer_without_rows_for_pairs(first):
         want = sorted((-s, titles[i] is not None, titles[i] or "", i) for i, s in enumerate(score) if s)[:12]
         places, scores = shard.best(np.array(asked), 12, first)
         assert list(zip((-scores).tolist(), shard.rows["document_id"].take(pa.array(places)).to_pylist(), strict=True)) == [(w[0], w[3]) for w in want]
+
+
+def test_bitmaps_drop_near_misses_and_no_link(spark):
+    """Pairs of a family that are nearly alike enough are dropped before their sets are joined; no link is."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 140).astype(np.uint64)
+    sets = []
+    for other in (0, 8, 15, 16, 22, 30, 40):
+        sets.append(np.concatenate([base[other:], rng.integers(0, 2**63, other).astype(np.uint64)]))
+    rows = [(i, j, len(a), jaccard.bitmap(mix64(a)).tolist(), len(b), jaccard.bitmap(mix64(b)).tolist()) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j]
+    pairs = spark.createDataFrame(rows, "a int, b int, n_a long, bits_a array<long>, n_b long, bits_b array<long>")
+    room = {(r.a, r.b) for r in pairs.where(jaccard._room(*map(F.col, ("n_a", "bits_a", "n_b", "bits_b")))).collect()}
+    common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j, *_ in rows}
+    links = {p for p, c in common.items() if 100 * c >= 80 * (280 - c)}
+    assert links and links <= room
+    assert not any(common[p] < 115 for p in room)
