@@ -43,15 +43,26 @@ def _bare(value: Column) -> Column:
     return F.rtrim(F.trim(value), F.lit(".,;:!?)]"))
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """start (from 0) and value of every match: what stands between the matches tells where they are."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
-    sizes = F.transform(pairs, lambda p: F.char_length(p["gap"]) + F.char_length(p["value"]))
-    at = lambda before: F.transform(
-        pairs, lambda p, i: F.struct((F.get(before, i) + F.char_length(p["gap"])).alias("start"), p["value"].alias("value"))
-    )
-    return let(sums_before(sizes), at)
+def _matches(text: Column, pattern: str, needs: Column | None = None) -> Column:
+    """start (from 0) and value of every match: what stands between the matches tells where they are.
+
+    ``needs``: what holds for every text with a match; others aren't searched.
+    A text is taken apart only if it has a match, as Spark compiles the pattern for that anew each time.
+    """
+
+    def placed(found: Column) -> Column:
+        pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
+        sizes = F.transform(pairs, lambda p: F.char_length(p["gap"]) + F.char_length(p["value"]))
+        at = lambda before: F.transform(
+            pairs, lambda p, i: F.struct((F.get(before, i) + F.char_length(p["gap"])).alias("start"), p["value"].alias("value"))
+        )
+        return let(sums_before(sizes), at)
+
+    none = F.array().cast("array<struct<start: int, value: string>>")
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if needs is not None:
+        found = F.when(needs, found).otherwise(F.array().cast("array<string>"))
+    return let(found, lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(none))
 
 
 def candidates(text: Column) -> Column:
@@ -61,9 +72,11 @@ def candidates(text: Column) -> Column:
     coordinates; a number a word about phones near it, or a sign of dialling
     within. Positions are code points from 0.
     """
-    text = F.coalesce(text, F.lit(""))
+    return let(F.coalesce(text, F.lit("")), _candidates)
+
 
-    def spans(pattern: str, kind: str, priority: int, visible, href, keep=None) -> Column:
+def _candidates(text: Column) -> Column:
+    def spans(pattern: str, kind: str, priority: int, visible, href, keep=None, needs=None) -> Column:
         def one(m: Column) -> Column:
             seen = visible(m["value"])
             start = m["start"] if kind != "place" else m["start"] + F.char_length(m["value"]) - F.char_length(F.regexp_extract(m["value"], PLACE, 1))
@@ -72,7 +85,7 @@ def candidates(text: Column) -> Column:
                 F.lit(kind).alias("kind"), seen.alias("visible"), href(m, seen).alias("href"),
             ).cast(SPAN)
 
-        found = F.filter(F.transform(_matches(text, pattern), one), lambda s: s["length"] > 0)
+        found = F.filter(F.transform(_matches(text, pattern, needs), one), lambda s: s["length"] > 0)
         return F.filter(found, keep) if keep else found
 
     same = lambda v: v
@@ -98,15 +111,16 @@ def candidates(text: Column) -> Column:
 
     scheme = lambda m, v: F.when(v.rlike("(?i)^https?://"), v).otherwise(F.concat(F.lit("https://"), v))
     return F.concat(
-        spans(HIDDEN, "email", 10, same, lambda m, v: mail(hidden(v))),
-        spans(EMAIL, "email", 20, same, lambda m, v: mail(v)),
+        spans(HIDDEN, "email", 10, same, lambda m, v: mail(hidden(v)), needs=text.rlike("(?i)dot")),
+        spans(EMAIL, "email", 20, same, lambda m, v: mail(v), needs=F.contains(text, F.lit("@"))),
         spans(LINK, "link", 30, _bare, scheme),
         spans(
             PLACE, "place", 40, lambda v: _bare(F.regexp_extract(v, PLACE, 1)), lambda m, v: map_url(v),
             lambda s: (s["length"] >= 8) & (s["visible"].rlike(ADDRESS_WORD) | s["visible"].rlike(POINT)),
+            F.contains(text, F.lit(":")),
         ),
-        spans(POINT, "point", 50, same, lambda m, v: map_url(v)),
-        spans(PHONE, "phone", 60, same, dial, lambda s: s["href"].isNotNull()),
+        spans(POINT, "point", 50, same, lambda m, v: map_url(v), needs=text.rlike(r"\p{Nd}\s*,")),
+        spans(PHONE, "phone", 60, same, dial, lambda s: s["href"].isNotNull(), text.rlike(r"\d")),
     )
 
 
@@ -139,7 +153,9 @@ def linked(text: Column, spans: Column) -> Column:
 
 
 def q_contact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).select("answer_id", F.inline(candidates(F.col("markdown"))))
+    # an outer one, so that no filter on its size has the candidates made twice
+    found = _answers(spark, sf_dir).select("answer_id", F.inline_outer(candidates(F.col("markdown"))))
+    return found.where("start is not null")
 
 
 def q_linked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
