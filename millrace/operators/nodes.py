@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..sources import views
 from .edits import without_overlaps
 from .links import ADDRESS_WORD, PLACE, POINT, SPAN, _bare, _matches, candidates, map_url
@@ -164,7 +165,9 @@ def linked_texts(found: DataFrame) -> DataFrame:
     before, after = F.substring("text", F.lit(1), F.col("span.start")), F.substring(F.col("text"), end + 1, F.char_length("text"))
     split = F.concat(spans_of(before), F.array("span"), F.transform(spans_of(after), moved))
     spans = F.when(F.col("span").isNull(), spans_of(F.col("text"))).otherwise(split)
-    return placed.select("key", "left", "start", "end", "text", spans.alias("spans")).where(F.size("spans") > 0)
+    # by a generator and not by a filter on their number, which would have the spans made twice
+    some = F.explode_outer(let(spans, lambda x: F.when(F.size(x) > 0, F.array(x))))
+    return placed.select("key", "left", "start", "end", "text", some.alias("spans")).where("spans is not null")
 
 
 def _escaped(text: Column) -> Column:

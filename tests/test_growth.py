@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import jaccard
 from millrace.llm.common import mix64
-from millrace.operators import archive, index
+from millrace.operators import archive, index, links, nodes
 
 
 @pytest.mark.parametrize("first", [1, 64, 10**9])
@@ -50,3 +50,15 @@ def test_an_archive_has_no_folder_a_document(spark, tmp_path):
     assert sum(p.is_dir() for p in (tmp_path / "archive").rglob("*")) == 3
     (tmp_path / "archive" / "files" / "container=00000003").mkdir()  # a write that isn't whole
     assert sorted((int(r.document_guid), r.bytes) for r in archive.files(spark, root).collect()) == [(i, 2 if i % 4 else 3) for i in range(40)]
+
+
+def test_patterns_are_searched_once(spark):
+    """The plans name each of the six patterns once for a text, and take texts apart only after a match."""
+    sf = "/root/testdata/sf0.001"
+    plan = links.q_contact_candidates(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lambda") + plan.count("regexp_extract_all(namedlambda") == 6 == plan.count("regexp_extract_all(")
+    rows = spark.createDataFrame([(1, "<p>mail a@b.com or 0212 555 12 34</p><p>none</p>")], "key long, html string")
+    texts = nodes.linked_texts(nodes.nodes(rows))
+    whole = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter (size(" in line and "regexp_extract_all" in line for line in whole.split("\n"))
+    assert [[s.kind for s in r.spans] for r in texts.collect()] == [["email", "phone"]]
