@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -49,14 +50,24 @@ def text_of(markup: str | None, dropped: frozenset[str] = PAGE_DROPS) -> str:
     return _white.sub(" ", "".join(parser.parts)).strip()
 
 
-@F.pandas_udf(StringType())
-def html_to_text(markup: pd.Series) -> pd.Series:
-    return markup.map(text_of)
+#: Texts that are held as Python's at once.
+_AT_ONCE = 256
 
 
-@F.pandas_udf(StringType())
-def decode_entities(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else html.unescape(t))
+def _each(texts: pa.Array, one: Callable[[str | None], str | None]) -> pa.Array:
+    """``one`` of each text: a batch stays in Arrow, and only a few of its texts are Python's at a time."""
+    parts = [pa.array([one(t) for t in texts.slice(k, _AT_ONCE).to_pylist()], pa.string()) for k in range(0, len(texts), _AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def html_to_text(markup: pa.Array) -> pa.Array:
+    return _each(markup, text_of)
+
+
+@F.arrow_udf(StringType())
+def decode_entities(text: pa.Array) -> pa.Array:
+    return _each(text, lambda t: None if t is None else html.unescape(t))
 
 
 def _clean(text: Column) -> Column:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import html
 from millrace.llm import jaccard
 from millrace.llm.common import mix64
 from millrace.operators import archive, index, links, nodes
@@ -62,3 +63,18 @@ def test_patterns_are_searched_once(spark):
     whole = texts._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter (size(" in line and "regexp_extract_all" in line for line in whole.split("\n"))
     assert [[s.kind for s in r.spans] for r in texts.collect()] == [["email", "phone"]]
+
+
+def test_few_texts_of_a_batch_are_pythons_at_once():
+    sizes = []
+
+    class Texts(list):
+        def slice(self, at, n):
+            part = pa.array(self[at : at + n], pa.string())
+            sizes.append(len(part))
+            return part
+
+    texts = [None if i % 7 == 0 else f"<p>{i} &amp;</p>" for i in range(1000)]
+    assert html._each(Texts(texts), html.text_of).to_pylist() == [html.text_of(t) for t in texts]
+    assert sum(sizes) == 1000 and max(sizes) <= 256
+    assert len(html._each(pa.array([], pa.string()), html.text_of)) == 0
