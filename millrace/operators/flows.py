@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import views
+from ..sources.versions import kept
 from .eligibility import is_persistable, is_warning
 from .store import snapshot_diff
 from .upkeep import replace_crawl
@@ -48,9 +49,9 @@ def fetch_states(sources: DataFrame, staged: DataFrame, errors: DataFrame) -> Da
 
 
 def _applied(staged: DataFrame, states: DataFrame) -> DataFrame:
-    """Staged rows that come into the store."""
-    found = staged.where(is_persistable(F.col("http_status"))).where("url is not null and length(trim(content)) > 0")
-    return found.join(states.where("replaced").select("source_id"), "source_id", "left_semi")
+    """Staged rows that come into the store, those that have content (_filled)."""
+    found = staged.where(is_persistable(F.col("http_status"))).where("url is not null and _filled")
+    return found.join(views.small_or_not(states.where("replaced").select("source_id")), "source_id", "left_semi")
 
 
 def refresh(present: DataFrame, staged: DataFrame, sources: DataFrame, errors: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -59,10 +60,13 @@ def refresh(present: DataFrame, staged: DataFrame, sources: DataFrame, errors: D
     The results count what was added, updated, deleted and left as it was, and
     the pages that failed; sources that kept their documents count nothing.
     """
-    states = fetch_states(sources, staged, errors)
-    new = _applied(staged, states)
-    after = replace_crawl(present, new, states.where("replaced").select(F.col("source_id").alias("id")), now)
-    done = new.select("source_id").distinct()  # as many rows as there are sources
+    marked = staged.withColumn("_filled", F.length(F.trim("content")) > 0)
+    # all but what is written into the store is told without texts
+    slim = kept(marked.select("source_id", "id", "url", "status_code", "http_status", "content_hash", "_filled"), "staged")
+    states = kept(fetch_states(sources, slim, errors), "states")
+    new = _applied(slim, states)
+    after = replace_crawl(present, _applied(marked, states).drop("_filled"), states.where("replaced").select(F.col("source_id").alias("id")), now)
+    done = views.small_or_not(new.select("source_id").distinct())  # as many rows as there are sources
     old = present.where("origin = 'web_crawl' and url is not null").join(done, "source_id", "left_semi")
     counts = snapshot_diff(old, new).groupBy("source_id").agg(*[F.count_if(F.col("change") == c).alias(c) for c in CHANGES])
     results = states.join(counts, "source_id", "left").fillna(0, list(CHANGES))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import retry_seconds
 from ..functions.urls import key_of
 from ..sources import views
-from ..sources.versions import Conflict, TableSet, failed, scratch
+from ..sources.versions import Conflict, TableSet, failed, kept, scratch
 from .edits import after_refresh
 from .eligibility import is_persistable, is_warning
 from .flows import is_unreachable, refresh
@@ -72,18 +72,20 @@ def refresh_set(store: TableSet, staged: DataFrame, errors: DataFrame, now: Colu
     sources = known["sources"]
     base = store.current()
     store.backup(backup)
-    after, results = refresh(known["documents"], staged, sources, errors, now)
-    ended = lambda ok: results.select(F.col("source_id").alias("id"), ok.alias("ok"), F.lit(60).alias("period_minutes"))
-    done = results.withColumn("message", F.when(F.col("state") == "completed", F.when(F.col("changed"), "updated").otherwise("nothing changed")).otherwise(F.col("state")))
+    ended = lambda of, ok: of.select(F.col("source_id").alias("id"), ok.alias("ok"), F.lit(60).alias("period_minutes"))
+    told = F.when(F.col("state") == "completed", F.when(F.col("changed"), "updated").otherwise("nothing changed")).otherwise(F.col("state"))
     try:
-        fresh = after_refresh(sources, ended(F.col("state") == "completed"), now)
-        store.commit({"documents": after, "sources": fresh, "blocks": blocks(after, sources)}, base)
+        after, results = refresh(known["documents"], staged, sources, errors, now)
+        done = kept(results.withColumn("message", told), "results")
+        fresh = after_refresh(sources, ended(done, F.col("state") == "completed"), now)
+        store.commit({"documents": after, "sources": fresh, "blocks": lambda made: blocks(made["documents"], sources)}, base)
     except Conflict:
         raise
     except Exception as e:
-        store.commit({"sources": after_refresh(sources, ended(F.lit(False)), now)}, base)
+        all_ = sources.select(F.col("id").alias("source_id"))
+        store.commit({"sources": after_refresh(sources, ended(all_, F.lit(False)), now)}, base)
         none = {c: F.lit(0).cast("long") for c in ("added", "updated", "deleted", "unchanged", "failed")}
-        done = results.withColumns({"state": F.lit("failed"), **none, "changed": F.lit(False), "message": F.lit(failed(e))})
+        done = all_.select("source_id", F.lit("failed").alias("state"), *[v.alias(c) for c, v in none.items()], F.lit(False).alias("changed"), F.lit(failed(e)).alias("message"))
     store.drop_backups_except(backup)
     return done
 
@@ -172,6 +174,10 @@ def _now() -> Column:
     return F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
 
 
+def _blocks(made: dict[str, DataFrame]) -> DataFrame:
+    return blocks(made["documents"], made["sources"])
+
+
 def _at(spark: SparkSession) -> TableSet:
     return TableSet(spark, scratch(spark, "set"))
 
@@ -256,7 +262,7 @@ def q_refreshed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources, staged = views.sources(spark, sf_dir), _fetched(spark, sf_dir)
     store = _at(spark)
     docs = views.documents(spark, sf_dir)
-    store.commit({"documents": docs, "sources": sources.withColumn("succeeded_at", F.lit(None).cast("timestamp_ntz")), "blocks": blocks(docs, sources)})
+    store.commit({"documents": docs, "sources": sources.withColumn("succeeded_at", F.lit(None).cast("timestamp_ntz")), "blocks": _blocks})
     none = _errors(sources).limit(0)
     broken = staged.withColumn("title", F.raise_error(F.lit("a page is broken")).cast("string"))
     first = refresh_set(store, broken, none, _now())

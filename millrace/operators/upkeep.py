@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse_white, cut
 from ..functions.urls import canonical, key_of, title_of
 from ..sources import views
+from ..sources.versions import kept
 from .ids import deal_ids
 from .questions import TARGET
 from .retrieve import blocks
@@ -34,24 +35,28 @@ def replace_crawl(present: DataFrame, staged: DataFrame, refreshed: DataFrame, n
     of the URL. New rows keep the time when their URL was ``first_seen``
     (``crawled_at`` where the table has none), are ``last_seen`` and
     ``last_checked`` now, and get ids that follow the greatest one present.
+
+    Ids and times are made for keys alone and joined where the rows of a key
+    are, so staged texts are shuffled once and present ones not at all.
     """
     stamps = ("first_seen", "last_seen", "last_checked")
     present = present.withColumns({c: F.col("crawled_at") for c in stamps if c not in present.columns})
     names = [c for c in present.columns if c not in ("source_id", *stamps)]
-    of = refreshed.select(F.col("id").alias("source_id")).distinct()
+    of = views.small_or_not(refreshed.select(F.col("id").alias("source_id")).distinct())
     filled = staged.where("url is not null and length(trim(content)) > 0").join(of, "source_id", "left_semi")
     if "title" in names:
         filled = filled.withColumn("title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), title_of(canonical(F.col("url")))))
     key = F.struct("source_id", key_of(F.col("url")).alias("url"))
     last = last_by_key(filled.select(key.alias("_key"), "source_id", *names), "_key", "id")
-    done = last.select("source_id", F.lit(True).alias("_done")).distinct()  # as many rows as there are sources
+    keys = kept(filled.select(key.alias("_key")), "staged_keys").distinct()
+    done = keys.select(F.col("_key.source_id").alias("source_id"), F.lit(True).alias("_done")).distinct()  # as many rows as there are sources
 
-    marked = present.join(done, "source_id", "left")
+    marked = present.join(views.small_or_not(done), "source_id", "left")
     goes = F.coalesce((F.col("origin") == "web_crawl") & F.col("_done"), F.lit(False))
     before = marked.where(goes & F.col("url").isNotNull()).groupBy(key.alias("_key")).agg(F.min("first_seen").alias("_seen"))
-    dealt = deal_ids(last.drop("id"), [F.col("source_id"), F.col("_key.url")], present)
+    dealt = deal_ids(keys, [F.col("_key.source_id"), F.col("_key.url")], present)
     fixed = {"url": canonical(F.col("url")), "origin": F.lit("web_crawl"), "crawled_at": now}
-    new = dealt.join(before, "_key", "left").select(
+    new = last.drop("id").join(dealt, "_key").join(before, "_key", "left").select(
         "source_id",
         *[fixed[c].cast(present.schema[c].dataType).alias(c) if c in fixed else F.col(c) for c in names],
         F.coalesce("_seen", now).alias("first_seen"),

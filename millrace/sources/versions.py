@@ -20,6 +20,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into the shared folder and read again, so that it is made once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Files:
     """The few file operations that a set needs, on any file system that Spark knows."""
 
@@ -125,19 +133,22 @@ class TableSet:
         found = self.tables(version)
         return {n: self.spark.read.schema(StructType.fromJson(t["schema"])).parquet(f"{self.root}/{t['path']}") for n, t in found.items()}
 
-    def commit(self, tables: dict[str, DataFrame], base: int | None = None, by: dict[str, str] | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], base: int | None = None, by: dict[str, str] | None = None) -> int:
         """The number of a new version: ``base`` (by default the current one) with these tables new.
 
-        ``by``: a column of a table by which it is laid in folders. Raises `Conflict` if another version followed ``base`` meanwhile, and what
+        A table may be a function of those that this commit wrote before it, which
+        are read and not made again. ``by``: a column of a table by which it is laid in folders. Raises `Conflict` if another version followed ``base`` meanwhile, and what
         a table's job raises; either way the set is as it was.
         """
         base = self.current() if base is None else base
-        found, own = self.tables(base), uuid.uuid4().hex
+        found, own, made = self.tables(base), uuid.uuid4().hex, {}
         for name, df in tables.items():
+            df = df(made) if callable(df) else df
             path = f"data/{own}/{_checked(name)}"
             writer = df.write.partitionBy(by[name]) if by and name in by else df.write
             writer.parquet(f"{self.root}/{path}")
             found[name] = {"path": path, "schema": df.schema.jsonValue()}
+            made[name] = self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}")
         return self._point(base, found)
 
     def restore(self, version: int | str) -> int:

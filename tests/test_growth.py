@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions import html
 from millrace.llm import jaccard
 from millrace.llm.common import mix64
-from millrace.operators import archive, index, links, nodes
+from millrace.operators import archive, flows, index, links, nodes, refresh, retrieve
+from millrace.sources import versions, views
 
 
 @pytest.mark.parametrize("first", [1, 64, 10**9])
@@ -78,3 +79,56 @@ def test_few_texts_of_a_batch_are_pythons_at_once():
     assert html._each(Texts(texts), html.text_of).to_pylist() == [html.text_of(t) for t in texts]
     assert sum(sizes) == 1000 and max(sizes) <= 256
     assert len(html._each(pa.array([], pa.string()), html.text_of)) == 0
+
+
+def _shuffles(df, column):
+    """How many shuffles of ``df``'s plan carry ``column``, by itself or in a struct."""
+    spark = df.sparkSession
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo, found = [df.select("*")._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            output = [node.output().apply(i) for i in range(node.output().size())]
+            found += node.nodeName() == "Exchange" and any(a.name() == column or f"{column}:" in a.dataType().catalogString() for a in output)
+        return found
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_a_refresh_shuffles_staged_texts_once(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, sources, staged = views.documents(spark, sf), views.sources(spark, sf), views.incoming(spark, sf)
+    assert _shuffles(docs, "content") == _shuffles(staged, "content") == _shuffles(retrieve.blocks(docs, sources), "content") == 0
+    none = sources.limit(0).select(F.col("id").alias("source_id"), F.col("name").alias("message"))
+    after, results = flows.refresh(docs, staged, sources, none, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))
+    assert _shuffles(after, "content") == 1 and _shuffles(results, "content") == 0
+
+
+def test_tables_of_a_commit_are_made_of_those_it_wrote(spark, tmp_path):
+    store, made = versions.TableSet(spark, str(tmp_path / "set")), spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return 2 * x
+
+    store.commit({"a": spark.range(7).select(counted("id").alias("x")), "b": lambda t: t["a"].where("x > 3")})
+    assert made.value == 7 and sorted(r.x for r in store.read()["b"].collect()) == [4, 6, 8, 10, 12]
+
+
+def test_pages_that_no_state_can_be_told_of_fail_a_refresh(spark, tmp_path):
+    """What fails before anything is written fails a refresh as well: all of its sources are told so."""
+    sf = "/root/testdata/sf0.001"
+    docs, sources = views.documents(spark, sf), views.sources(spark, sf).withColumn("succeeded_at", F.lit(None).cast("timestamp_ntz"))
+    store = versions.TableSet(spark, str(tmp_path / "set"))
+    store.commit({"documents": docs, "sources": sources, "blocks": refresh._blocks})
+    broken = views.incoming(spark, sf).withColumn("status_code", F.raise_error(F.lit("no state")).cast("string"))
+    none = sources.limit(0).select(F.col("id").alias("source_id"), F.col("name").alias("message"))
+    told = refresh.refresh_set(store, broken, none, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")).collect()
+    assert {r.state for r in told} == {"failed"} and len(told) == sources.count() and all("no state" in r.message for r in told)
+    assert store.read()["documents"].count() == docs.count()
