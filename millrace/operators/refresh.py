@@ -17,7 +17,6 @@ from ..sources.versions import Conflict, TableSet, failed, kept, scratch
 from .edits import after_refresh
 from .eligibility import is_persistable, is_warning
 from .flows import is_unreachable, refresh
-from .ids import deal_ids
 from .retrieve import blocks
 from .store import upsert_by_origin, without_missing
 from .upkeep import delete_crawled
@@ -90,12 +89,6 @@ def refresh_set(store: TableSet, staged: DataFrame, errors: DataFrame, now: Colu
     return done
 
 
-def _dealt(found: DataFrame, present: DataFrame) -> DataFrame:
-    """`upsert_by_origin`'s rows with ids of the store for the inserted ones."""
-    new = found.where("change = 'inserted'")
-    return found.where("change <> 'inserted'").unionByName(deal_ids(new, [key_of(F.col("url"))], present).select(*found.columns))
-
-
 def redownload_sources(docs: DataFrame, sources: DataFrame, fetched: DataFrame, errors: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """The documents after the sources were fetched anew, by their kind, and a result a source.
 
@@ -109,7 +102,7 @@ def redownload_sources(docs: DataFrame, sources: DataFrame, fetched: DataFrame,
     one warning more.
     """
     kinds = sources.select(F.col("id").alias("source_id"), F.col("source_type").alias("_kind"))
-    pages = fetched.where("url is not null").join(kinds, "source_id")
+    pages = fetched.where("url is not null").join(views.small_or_not(kinds, 64), "source_id")
     unanswered = is_unreachable(F.col("status_code"), F.col("http_status"))
     faulty = errors.groupBy("source_id").agg(F.count("*").alias("_errors"))
     seen = pages.groupBy("source_id").agg(
@@ -121,13 +114,13 @@ def redownload_sources(docs: DataFrame, sources: DataFrame, fetched: DataFrame,
     reached = states.where(site & F.col("_reached")).select("source_id")
 
     columns = [c for c in docs.columns if c != "origin"]
-    crawled = pages.where((F.col("_kind") == "web_site") & is_persistable(F.col("http_status"))).join(reached, "source_id", "left_semi")
+    crawled = pages.where((F.col("_kind") == "web_site") & is_persistable(F.col("http_status"))).join(views.small_or_not(reached), "source_id", "left_semi")
     crawled = crawled.select(*columns, F.lit("web_crawl").alias("origin"))
     own = docs.where("not is_archived").select("source_id", key_of(F.col("url")).alias("_key")).distinct()
     links = pages.where((F.col("_kind") == "web_links") & ~unanswered).withColumn("_key", key_of(F.col("url")))
     links = links.join(own, ["source_id", "_key"], "left_semi").select(*columns, F.lit("manual_web_link").alias("origin"))
     batch = crawled.unionByName(links).withColumn("crawled_at", now.cast(docs.schema["crawled_at"].dataType))
-    after = _dealt(upsert_by_origin(docs, batch.select(*docs.columns)), docs).drop("change")
+    after = upsert_by_origin(docs, batch.select(*docs.columns), docs).drop("change")
     after = without_missing(after, crawled, reached.select(F.col("source_id").alias("id")))
 
     held = docs.groupBy("source_id").agg(F.count("*").alias("_held"))
@@ -152,14 +145,14 @@ def redownload_all(store: TableSet, fetched: DataFrame, errors: DataFrame, now:
     store.backup(backup)
     docs = known["documents"]
     batch = fetched.where("url is not null").select(*docs.columns).withColumn("crawled_at", now.cast(docs.schema["crawled_at"].dataType))
-    after = _dealt(upsert_by_origin(delete_crawled(docs), batch), docs).drop("change")
+    after = upsert_by_origin(delete_crawled(docs), batch, docs).drop("change")
     told = errors.agg(F.count("*").alias("errors"), F.array_join(F.slice(F.array_sort(F.collect_set(F.substring("message", 1, 500))), 1, 3), " | ").alias("message"))
     spark, state, why = store.spark, "succeeded", None
     try:
         if batch.isEmpty():
             raise ValueError("nothing was fetched")
         cleared = {n: known[n].limit(0) for n in ("questions", "question_documents") if n in known}
-        store.commit({"documents": after, "blocks": blocks(after, known["sources"])} | cleared, base)
+        store.commit({"documents": after, "blocks": lambda made: blocks(made["documents"], known["sources"])} | cleared, base)
     except Conflict:
         raise
     except Exception as e:
@@ -278,7 +271,7 @@ def q_redownloaded_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full redownload of nothing, which leaves the set, and one of the second snapshot."""
     sources, docs = views.sources(spark, sf_dir), views.documents(spark, sf_dir)
     store = _at(spark)
-    store.commit({"documents": docs, "sources": sources, "blocks": blocks(docs, sources), "questions": views.questions(spark, sf_dir)})
+    store.commit({"documents": docs, "sources": sources, "blocks": _blocks, "questions": views.questions(spark, sf_dir)})
     fetched, errors = _fetched(spark, sf_dir), _errors(sources)
     first = redownload_all(store, fetched.limit(0), errors, _now()).withColumn("questions", F.lit(0).cast("long"))
     second = redownload_all(store, fetched, errors, _now())

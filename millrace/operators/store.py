@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import canonical, key_of
 from ..sources import views
+from .ids import deal_ids
 
 
 def last_by_key(rows: DataFrame, key: str | Sequence[str], order: str) -> DataFrame:
@@ -23,19 +24,27 @@ def last_by_key(rows: DataFrame, key: str | Sequence[str], order: str) -> DataFr
     return last.select(*keys, "_row.*").select(*rows.columns)
 
 
-def upsert_by_origin(present: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_by_origin(present: DataFrame, batch: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Insert new URLs; update content columns where the origin is the same; else leave the row.
 
     URLs are compared as the store keeps them (canonical, without case), and new
     ones are stored canonical; of rows of one URL in the batch the last by id
     counts. Ids, flags and URLs of present rows never change, nor do rows without
     a URL; those of the batch are left out. ``change`` tells what happened.
+
+    ``ids``: the table whose greatest id those of inserted rows follow; without
+    it they keep those of the batch. They are dealt to keys alone and joined
+    where the rows of a key are, so the texts of a side are shuffled once.
     """
     content = ["title", "content", "content_hash", "status_code", "http_status", "crawled_at"]
     keyed = batch.where("url is not null").withColumns({"url": canonical(F.col("url")), "_key": key_of(F.col("url"))})
     new = last_by_key(keyed, "_key", "id")
     new = new.select("_key", *[F.col(c).alias(f"_{c}") for c in batch.columns], F.lit(True).alias("_new"))
     old = present.withColumns({"_old": F.lit(True), "_key": key_of(F.col("url"))})
+    if ids is not None:
+        keys = keyed.select("_key").distinct().join(old.select("_key"), "_key", "left_anti")
+        numbers = deal_ids(keys, [key_of(F.col("_key"))], ids).select("_key", F.col("id").alias("_number"))
+        new = new.join(numbers, "_key", "left").withColumn("_id", F.col("_number")).drop("_number")
     joined = old.join(new, "_key", "full_outer")
     inserted = F.col("_old").isNull()
     updated = F.col("_new").isNotNull() & ~inserted & (F.col("origin") == F.col("_origin"))

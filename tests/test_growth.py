@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import html
 from millrace.llm import jaccard
 from millrace.llm.common import mix64
-from millrace.operators import archive, flows, index, links, nodes, refresh, retrieve
+from millrace.operators import archive, flows, index, links, nodes, refresh, retrieve, store
 from millrace.sources import versions, views
 
 
@@ -109,26 +109,40 @@ def test_a_refresh_shuffles_staged_texts_once(spark):
     assert _shuffles(after, "content") == 1 and _shuffles(results, "content") == 0
 
 
+def test_a_redownload_shuffles_the_texts_of_a_side_once(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, staged = views.documents(spark, sf), views.incoming(spark, sf)
+    after = store.upsert_by_origin(docs, staged, docs)
+    assert _shuffles(after, "content") == 2
+    rows = after.where("change = 'inserted'").select("id", "url").collect()
+    last = docs.agg(F.max("id")).first()[0]
+    assert rows and sorted(r.id for r in rows) == list(range(last + 1, last + 1 + len(rows)))
+    # a batch that repeats a new URL gets one number for it, and keeps its own without a table of ids
+    twice = staged.unionByName(staged.withColumns({"id": F.col("id") + 20_000_000, "url": F.upper("url")}))
+    assert sorted(r.id for r in store.upsert_by_origin(docs, twice, docs).where("change = 'inserted'").collect()) == sorted(r.id for r in rows)
+    assert store.upsert_by_origin(docs, staged).where("change = 'inserted' and id >= 10000000").count() == len(rows)
+
+
 def test_tables_of_a_commit_are_made_of_those_it_wrote(spark, tmp_path):
-    store, made = versions.TableSet(spark, str(tmp_path / "set")), spark.sparkContext.accumulator(0)
+    tables, made = versions.TableSet(spark, str(tmp_path / "set")), spark.sparkContext.accumulator(0)
 
     @F.udf("long")
     def counted(x):
         made.add(1)
         return 2 * x
 
-    store.commit({"a": spark.range(7).select(counted("id").alias("x")), "b": lambda t: t["a"].where("x > 3")})
-    assert made.value == 7 and sorted(r.x for r in store.read()["b"].collect()) == [4, 6, 8, 10, 12]
+    tables.commit({"a": spark.range(7).select(counted("id").alias("x")), "b": lambda t: t["a"].where("x > 3")})
+    assert made.value == 7 and sorted(r.x for r in tables.read()["b"].collect()) == [4, 6, 8, 10, 12]
 
 
 def test_pages_that_no_state_can_be_told_of_fail_a_refresh(spark, tmp_path):
     """What fails before anything is written fails a refresh as well: all of its sources are told so."""
     sf = "/root/testdata/sf0.001"
     docs, sources = views.documents(spark, sf), views.sources(spark, sf).withColumn("succeeded_at", F.lit(None).cast("timestamp_ntz"))
-    store = versions.TableSet(spark, str(tmp_path / "set"))
-    store.commit({"documents": docs, "sources": sources, "blocks": refresh._blocks})
+    tables = versions.TableSet(spark, str(tmp_path / "set"))
+    tables.commit({"documents": docs, "sources": sources, "blocks": refresh._blocks})
     broken = views.incoming(spark, sf).withColumn("status_code", F.raise_error(F.lit("no state")).cast("string"))
     none = sources.limit(0).select(F.col("id").alias("source_id"), F.col("name").alias("message"))
-    told = refresh.refresh_set(store, broken, none, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")).collect()
+    told = refresh.refresh_set(tables, broken, none, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")).collect()
     assert {r.state for r in told} == {"failed"} and len(told) == sources.count() and all("no state" in r.message for r in told)
-    assert store.read()["documents"].count() == docs.count()
+    assert tables.read()["documents"].count() == docs.count()
