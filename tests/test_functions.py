@@ -193,3 +193,34 @@ def test_fingerprint_gathers_no_lines(spark, monkeypatch):
     text = "\n".join(f"{i}|{h}" for i, h in sorted(rows))
     assert [tuple(r) for r in fingerprint(table, "id", "h").collect()] == [(hashlib.sha256(text.encode()).hexdigest().upper(), 101)]
     assert fingerprint(table.limit(0), "id", "h").first()["fingerprint"] == hashlib.sha256().hexdigest().upper()
+
+
+def test_search_text_of_any_character(spark):
+    """As translated, put in lower case and decomposed one after the other, for every character and beside others."""
+    import re
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    turkish = str.maketrans("ıİşŞğĞüÜöÖçÇ", "iissgguuoocc")
+    chars = [chr(c) for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(chars[i : i + 40]) for i in range(0, len(chars), 40)]
+    rows += ["IŞIK İı İ ΑΣ ΑΣİ ΣΑΣ.", "ascii Only 12-3", "Ç 각 ı İ ক্ো", "", " ", "ı", None]
+    got = spark.createDataFrame([(i, r, None if r is None else r.translate(turkish)) for i, r in enumerate(rows)], "i int, t string, u string")
+    got = got.select("i", text.search_text(F.col("t")).alias("x"), F.lower("u").alias("low")).collect()
+    # letters and digits as the JVM knows them
+    plain = spark.createDataFrame(
+        [(r.i, None if r.low is None else "".join(c for c in unicodedata.normalize("NFD", r.low) if unicodedata.category(c) != "Mn")) for r in got], "i int, t string"
+    ).select("i", F.trim(F.regexp_replace("t", r"[^\p{L}\p{Nd}]+", " ")).alias("x"))
+    want = {r.i: r.x for r in plain.collect()}
+    assert [r.x for r in sorted(got)] == [want[i] for i in range(len(rows))]
+    first = re.search(r"x\{(\w+)\}", text._FROM_SEVERAL).group(1)
+    assert min(int(x, 16) for x in re.findall(r"x\{(\w+)\}", text._folds()[2])) == int(first, 16)
+
+
+def test_ascii_texts_pass_no_table(spark):
+    """Only the branch of other texts names the table of marks, and the long pattern is asked after the short one."""
+    from pyspark.sql import functions as F
+
+    plan = spark.range(1).select(text.search_text(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2 and "octet_length" in plan
