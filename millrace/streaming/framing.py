@@ -14,10 +14,15 @@ from ..sources.versions import scratch
 from .status import decode_ndjson
 
 CHUNKS = "stream_id string, seq long, data binary, last boolean"
-_STATE = "next_seq long, line_no long, rest binary, held_seq array<long>, held_data array<binary>, held_last array<boolean>"
+_STATE = (
+    "ids array<string>, next_seq array<long>, line_no array<long>, rest array<binary>, "
+    "held_of array<int>, held_seq array<long>, held_data array<binary>, held_last array<boolean>"
+)
+#: Buckets of streams, each of which is one group of the state; a checkpoint keeps to its number.
+BUCKETS = 4096
 
 
-def frames(chunks: DataFrame) -> DataFrame:
+def frames(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The lines of each stream of ``chunks`` (stream_id, seq from 0, data, last): stream_id, line_no from 0, and value.
 
     A line ends with LF or CRLF, or with its stream, and is decoded when it is
@@ -25,37 +30,48 @@ def frames(chunks: DataFrame) -> DataFrame:
     State holds the bytes of the line that isn't finished, and chunks that came
     before the ones they follow. Repeated chunks count once, null data is
     empty, blank lines are lines; a stream that has ended takes no more.
+    Streams of one bucket share a group, as a call of Python costs
+    milliseconds: a micro-batch has ``buckets`` calls at most, however many streams.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, line, rest, *lists = state.get if state.exists else (0, 0, b"", [], [], [])
-        held = {s: (bytes(d), bool(e)) for s, d, e in zip(*lists, strict=True)}
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, seqs, lines, rests, held_of, *held_lists = state.get if state.exists else ([], [], [], [], [], [], [], [])
+        # of each stream: next chunk (-1 where it has ended), next line, bytes of the unfinished line, chunks that came early
+        known = {i: [at, line, bytes(rest), {}] for i, at, line, rest in zip(ids, seqs, lines, rests, strict=True)}
+        for of, seq, data, last in zip(held_of, *held_lists, strict=True):
+            known[ids[of]][3][seq] = (bytes(data), bool(last))
+        fresh = {}
         for batch in batches:
-            for seq, data, last in zip(batch["seq"], batch["data"], batch["last"], strict=True):
-                if at is not None and at >= 0 and seq >= at:
-                    held.setdefault(int(seq), (bytes(data) if data is not None else b"", bool(last)))
-        parts, ended = [rest], False
-        while at >= 0 and at in held and not ended:
-            data, ended = held.pop(at)
-            parts.append(data)
-            at += 1
-        *whole, rest = b"".join(parts).split(b"\n")
-        if ended and rest:
-            whole, rest = [*whole, rest], b""
-        out = [(key[0], line + k, x.removesuffix(b"\r").decode("utf-8", "replace")) for k, x in enumerate(whole)]
-        if ended:
-            at, rest, held = -1, b"", {}
-        order = sorted(held)
-        state.update((at, line + len(whole), rest, order, [held[s][0] for s in order], [held[s][1] for s in order]))
+            for i, seq, data, last in zip(batch["stream_id"], batch["seq"], batch["data"], batch["last"], strict=True):
+                stream = fresh[i] = known.setdefault(i, [0, 0, b"", {}])
+                if 0 <= stream[0] <= seq:
+                    stream[3].setdefault(int(seq), (bytes(data) if data is not None else b"", bool(last)))
+        out = []
+        for i, stream in fresh.items():
+            at, line, rest, held = stream
+            parts, ended = [rest], False
+            while at >= 0 and at in held and not ended:
+                data, ended = held.pop(at)
+                parts.append(data)
+                at += 1
+            *whole, rest = b"".join(parts).split(b"\n")
+            if ended and rest:
+                whole, rest = [*whole, rest], b""
+            out += [(i, line + k, x.removesuffix(b"\r").decode("utf-8", "replace")) for k, x in enumerate(whole)]
+            stream[:] = (-1, line + len(whole), b"", {}) if ended else (at, line + len(whole), rest, held)
+        early = [(of, seq, *x) for of, stream in enumerate(known.values()) for seq, x in sorted(stream[3].items())]
+        columns = [[s[k] for s in known.values()] for k in range(3)]
+        state.update((list(known), *columns, *([x[k] for x in early] for k in range(4))))
         yield pd.DataFrame(out, columns=["stream_id", "line_no", "value"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64("stream_id"), F.lit(buckets)).cast("int")
+    return chunks.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(
         step, "stream_id string, line_no long, value string", _STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
-#: Characters of a token, and files of chunks that a micro-batch takes, in the query below.
-_TOKEN, _FILES = 20, 2
+#: Characters of a token, and micro-batches that take the chunks, in the query below.
+_TOKEN, _BATCHES = 20, 2
 
 
 def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +91,10 @@ def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_framed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns put together again from their chunks, which come in several batches and out of order."""
     landed, out, check = (scratch(spark, name) for name in ("chunks", "frames", "frames_check"))
-    _chunked(spark, sf_dir).repartition(2 * _FILES, F.col("seq") % 7).write.parquet(landed)
-    stream = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", _FILES).parquet(landed)
+    # as many files as tasks; those of a micro-batch grow with them
+    files = max(2 * _BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    _chunked(spark, sf_dir).repartition(files, F.col("seq") % 7, F.xxhash64("stream_id")).write.parquet(landed)
+    stream = spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", -(-files // _BATCHES)).parquet(landed)
     query = frames(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
     query.awaitTermination()
     lines = decode_ndjson(spark.read.schema("stream_id string, line_no long, value string").parquet(out))

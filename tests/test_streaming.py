@@ -83,3 +83,23 @@ def test_frames_of_chunks_cut_anywhere(spark, tmp_path):
         want = [x.removesuffix("\r") for x in text.split("\n")]
         want = want[:-1] if text.endswith("\n") or not text else want
         assert [got.get(f"s{i}", {}).get(k) for k in range(len(want))] == want and len(got.get(f"s{i}", {})) == len(want)
+
+
+def test_streams_of_a_bucket_are_one_call(spark, tmp_path):
+    """Streams that share a group keep apart over batches, ended ones stay ended, and calls don't grow with streams."""
+    from millrace.streaming import framing
+
+    n, at = 120, str(tmp_path / "in")
+    first = [(f"s{i}", 1, bytearray(b"b\nc"), i % 2 == 0) for i in range(n)]
+    second = [(f"s{i}", 0, bytearray(f"{i}".encode()), False) for i in range(n)]
+    third = [(f"s{i}", 2, bytearray(b"d\n"), True) for i in range(n)] + [(f"s{i}", 3, bytearray(b"late\n"), True) for i in range(n)]
+    for part in (first, second, third):
+        spark.createDataFrame(part, framing.CHUNKS).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(framing.CHUNKS).option("maxFilesPerTrigger", 1).parquet(at)
+    query = framing.frames(stream, buckets=3).writeStream.outputMode("append").format("memory").queryName("shared").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = {}
+    for r in spark.table("shared").collect():
+        got.setdefault(r.stream_id, []).append((r.line_no, r.value))
+    assert {k: sorted(v) for k, v in got.items()} == {f"s{i}": [(0, f"{i}b"), (1, "c" if i % 2 == 0 else "cd")] for i in range(n)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
